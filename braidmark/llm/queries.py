@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidmark.llm import mixing, quality, urls
+from braidmark.llm import mixing, ngram_join, quality, urls
 from braidmark.llm.store import settle
 from braidmark.session import table
 
@@ -38,6 +38,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_mixing, op9_url_filter)}
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_mixing, op8_ngram_jaccard, op9_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
