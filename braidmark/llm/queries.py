@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidmark.llm import mixing, ngram_join, quality, urls
+from braidmark.llm import dedup_substring, mixing, ngram_join, quality, urls
 from braidmark.llm.store import settle
 from braidmark.session import table
 
@@ -26,6 +26,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     slim = lambda df: settle(df.drop("text"), "mixing")
@@ -42,6 +47,6 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_mixing, op8_ngram_jaccard, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op5_mixing, op8_ngram_jaccard, op9_url_filter)}
 
 ORACLE_SQL: dict[str, str] = {}
