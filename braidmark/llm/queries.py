@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidmark.llm import dedup_substring, mixing, ngram_join, quality, urls
+from braidmark.llm import bpe, dedup_substring, licenses, mixing, ngram_join, pii, quality, tokens, topk, urls
 from braidmark.llm.store import settle
 from braidmark.session import table
 
@@ -26,11 +27,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_topk_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantised = settle(topk.quantise(table(spark, sf_dir, "embeddings")), "quantised")
+    return topk.top_k(quantised, quantised.filter("vec_id % 20 = 0"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substring.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     slim = lambda df: settle(df.drop("text"), "mixing")
@@ -43,10 +53,35 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents"), settle).drop("all_spans")
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_substring_dedup, op5_mixing, op8_ngram_jaccard, op9_url_filter)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs)).drop("paragraphs")
+
+
+_ALL = (
+    op1_quality_rules,
+    op2_topk_bit_sliced,
+    op3_substring_dedup,
+    op4_token_counts,
+    op5_mixing,
+    op6_byte_bpe,
+    op7_pii,
+    op8_ngram_jaccard,
+    op9_url_filter,
+    op10_license_scan,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
