@@ -36,6 +36,7 @@ class Mix:
     budget: int | None = None
     block_docs: int = 1000
     seed: int = 17
+    salts: int = 64
     rounds: int = 6
     fan: int = 16
 
@@ -118,7 +119,10 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
     sized = settle(docs.withColumns({"__key": key, "__tokens": tokens_of(F.col(text))}))
     plan = plan_sources(source_totals(sized), mix)
-    dealt = sized.join(plan, "__key").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(mix.seed), F.col(doc_id)), F.col("n_blocks")))
+    # a hot source's rows meet its one planned row in `salts` places
+    salted = plan.withColumn("__salt", F.explode(F.array(*map(F.lit, range(mix.salts)))))
+    spread = sized.withColumn("__salt", F.pmod(F.xxhash64(doc_id, F.lit("salt")), F.lit(mix.salts)).cast("int"))
+    dealt = spread.join(salted, ["__key", "__salt"]).drop("__salt").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(mix.seed), F.col(doc_id)), F.col("n_blocks")))
     blocks = dealt.groupBy("__key", "mix_block").agg(F.sum("__tokens").alias("tokens"), F.max("full").alias("full"), F.max("rest").alias("rest"))
     blocks = blocks.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("full") + 1)))
     turn = F.xxhash64(F.lit(mix.seed), F.col("mix_pass"), F.col("mix_block"))
