@@ -101,10 +101,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     # a URL that a rule decides needs no look-up
     asks = F.when(F.col("__rule").isNull(), F.col("canonical"))
     probed = parsed.withColumns({"__at": _block(asks, n_blocks), "__bits": _bits(asks, 5)})
-    probed = probed.join(filled, F.when(asks.isNotNull(), F.col("__at")) == F.col("__block"), "left")
+    # rows without a question are dealt by their own hash, to numbers that are no block's
+    elsewhere = -1 - F.pmod(F.xxhash64(F.col(url), F.col("canonical")), F.lit(n_blocks).cast("bigint"))
+    probed = probed.join(filled, F.when(asks.isNotNull(), F.col("__at")).otherwise(elsewhere) == F.col("__block"), "left")
     possible = F.coalesce(F.col("__mask").bitwiseAND(F.col("__bits")) == F.col("__bits"), F.lit(False)) & asks.isNotNull()
     probed = probed.withColumn("possible_hit", possible).drop("__at", "__bits", "__block", "__mask")
-    exact = probed.join(keys, F.when(F.col("possible_hit"), F.col("canonical")) == F.col("__listed"), "left")
+    nowhere = F.concat(F.lit("\0"), F.coalesce(F.col(url), F.lit("")))  # no canonical URL begins so
+    exact = probed.join(keys, F.when(F.col("possible_hit"), F.col("canonical")).otherwise(nowhere) == F.col("__listed"), "left")
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__listed").isNotNull(), "block").otherwise("allow"))
     return exact.withColumns({"rule": F.col("__rule.rule"), "verdict": verdict}).drop("__rule", "__listed")
 
