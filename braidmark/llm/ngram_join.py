@@ -5,12 +5,16 @@ a document of fewer words has its whole sequence as one. Two sets link when
 100 * intersection >= percent * union. Equal sets are one class from the start.
 
 The index lists, for each shingle, the classes that have it in their prefix: the shingles in
-hash order that a similar set can't miss all of. Set relations skip work twice.
+hash order that a similar set can't miss all of. Shingles of one class only need no list; they
+are found by counting 40-bit fingerprints, uniqued per batch before they are shuffled, and go by
+way of a Bloom filter of fixed size (whatever it lets through is sorted out by the lists). Set
+relations then skip work twice.
 
 1. Answers from a similar set: each class is checked against the one class that most of its
-   lists name as their least; the links found make stars. A star's members share all answers
-   inside it, so a list counts stars, not documents, and a list of one star is dropped. A large
-   group of near copies costs as many checks as it has members.
+   first lists name as their least; the links found make stars. A star's members share all
+   answers inside it, so a list of one star is dropped, and in other lists only pairs outside
+   the list's largest star are read. A large group of near copies costs as many checks as it
+   has members.
 2. Blocks skipped by position: what is left of a list is cut into blocks by set size (powers of
    the inverse threshold, so only neighbouring blocks can link), and a pair is read only if the
    shingles after its places in both sets still suffice.
@@ -85,31 +89,101 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_SIGNED = "doc_id long, k long, n int, sketch binary, head array<long>"
+PRINT_BYTES = 5  # of a shingle's hash, in lists and heads; the sets themselves are compared whole
+
+
+def _packed(tokens: np.ndarray) -> bytes:
+    """The leading bytes of each hash; keeps their order."""
+    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // PRINT_BYTES, 8), np.uint8)
+    wide[:, 8 - PRINT_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, PRINT_BYTES)
+    return wide.view(">u8").ravel().astype(U)
+
+
+def held(prefix: int) -> int:
+    """How many of a set's first shingles are kept at hand: the prefix and a reserve."""
+    return prefix + prefix // 4
+
+
+_SIGNED = "doc_id long, k long, n int, sketch binary, head binary"
 
 
 def _sign(text: str, doc_id: str, size: int, percent: int):
     def run(batches):
         for batch in pieces(batches, text):
-            ids, keys, sizes, sketches, heads = batch.column(batch.schema.get_field_index(doc_id)), [], [], [], []
+            keys, sizes, sketches, heads = [], [], [], []
             for s in shingle_sets(batch, text, size):
-                p = prefix_length(len(s), percent)
                 keys.append(_class_of(s) if len(s) else None)
                 sizes.append(len(s))
                 sketches.append(sketch_of(s))
-                heads.append(s[: p + p // 2].view(np.int64) if len(s) else np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), listed], names=["doc_id", "k", "n", "sketch", "head"])
+                heads.append(_packed(s[: held(prefix_length(len(s), percent))]) if len(s) else b"")
+            ids = batch.column(batch.schema.get_field_index(doc_id))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "k", "n", "sketch", "head"])
 
     return run
 
 
-def _whole(text: str, size: int):
+def _dealt(buckets: int):
+    """Distinct fingerprints of a batch by hash range: those met once, and those met more often."""
+
     def run(batches):
-        for batch in pieces(batches, text):
-            found = [(_class_of(s), s.tobytes()) for s in shingle_sets(batch, text, size) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["k", "whole"])
+        for batch in batches:
+            t, count = np.unique(_unpacked(b"".join(batch.column(0).to_pylist())), return_counts=True)
+            cut = [int(np.searchsorted(t, U((i << 8 * PRINT_BYTES) // buckets))) for i in range(1, buckets)]
+            rows = [(_packed_prints(x[c == 1]), _packed_prints(x[c > 1])) for x, c in zip(np.split(t, cut), np.split(count, cut), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "once", "more"])
+
+    return run
+
+
+def _packed_prints(t: np.ndarray) -> bytes:
+    return _packed(t << U(64 - 8 * PRINT_BYTES))
+
+
+def _places(t: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket, and four bits inside the bucket's part of the filter, of each fingerprint."""
+    h = mix(t + U(7))
+    within = np.stack([mix(h + U(i)) & U(bits - 1) for i in range(4)])
+    return ((t * U(buckets)) >> U(8 * PRINT_BYTES)).astype(np.int64), within
+
+
+def _filter_part(buckets: int, bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        once = np.concatenate([_unpacked(x) for x in table.column("once").to_pylist()])
+        more = [_unpacked(x) for x in table.column("more").to_pylist()]
+        t, count = np.unique(once, return_counts=True)
+        # met in two batches, once in each; once here and more often there; or more often in one
+        common = np.unique(np.concatenate([t[count > 1], *more]))
+        part = np.zeros(bits, bool)
+        part[_places(common, buckets, bits)[1].ravel()] = True
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "part": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    return run
+
+
+def _picked(parts, buckets: int, bits: int):
+    """The fingerprints of a class that the filter lets through, with their places."""
+
+    def run(batches):
+        table = parts.value
+        for batch in batches:
+            heads = batch.column(batch.schema.get_field_index("head")).to_pylist()
+            t = _unpacked(b"".join(heads))
+            size = np.array([len(h) // PRINT_BYTES for h in heads], np.int64)
+            first = np.cumsum(size) - size
+            bucket, within = _places(t, buckets, bits)
+            keep = np.ones(len(t), bool)
+            for bit in within.astype(np.int64):
+                keep &= (table[bucket, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+            at = np.flatnonzero(keep)
+            ends = pa.array(np.concatenate([np.searchsorted(at, first), [len(at)]]).astype(np.int32))
+            place = (at - np.repeat(first, size)[at]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (t[at].view(np.int64), place)]
+            own = [batch.column(batch.schema.get_field_index(c)) for c in ("k", "n")]
+            yield pa.RecordBatch.from_arrays([*own, *lists], names=["k", "n", "t", "pos"])
 
     return run
 
@@ -124,15 +198,22 @@ def _bounded(percent: int):
     return run
 
 
-def _linked(percent: int):
+def _linked(text: str, size: int, percent: int):
+    """Pairs (a, b, ta, tb) whose texts' sets link; a row whose text is another class's gives nothing."""
+
     def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(batch.schema.get_field_index("wa")), batch.column(batch.schema.get_field_index("wb")), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in pieces(batches, "tb"):
+            a, b = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("a", "b"))
+            each, first, which = np.unique(a, return_index=True, return_inverse=True)
+            left = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("ta")).take(pa.array(first))], names=["ta"])
+            sets = [s if len(s) and _class_of(s) == k else None for s, k in zip(shingle_sets(left, "ta", size), each.tolist(), strict=True)]
+            keep = np.zeros(len(a), bool)
+            for i, y in enumerate(shingle_sets(batch, "tb", size)):
+                x = sets[which[i]]
+                if x is not None and len(y) and _class_of(y) == b[i]:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -140,20 +221,42 @@ def _linked(percent: int):
 class _Join:
     """The steps share the documents, the classes and the threshold."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, doc_id: str, text: str, size: int, percent: int):
-        self.docs, self.classes, self.doc_id, self.text, self.size, self.percent = docs, classes, doc_id, text, size, percent
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, most_sent: int = 1_000_000):
+        self.docs, self.classes, self.size, self.percent, self.most_sent = docs, classes, size, percent, most_sent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b: class keys) that link."""
-        sk = self.classes.select("k", "n", "sketch")
+        """Those of the pairs (a, b: class keys) that link.
+
+        Texts are picked by a join with the pairs that the sketches leave: sent to all tasks
+        while they are few (24 bytes each, at most most_sent), else shuffled by document.
+        """
+        sk = self.classes.select("k", "n", "sketch", "first_id")
         near = pairs.join(sk.selectExpr("k AS a", "n AS na", "sketch AS sa"), "a").join(sk.selectExpr("k AS b", "n AS nb", "sketch AS sb"), "b")
-        near = settle(near.mapInArrow(_bounded(self.percent), "a long, b long"), "near")
-        ids = near.selectExpr("a AS k").union(near.selectExpr("b AS k")).distinct()
-        wanted = ids.join(self.classes.select("k", "first_id"), "k").select(F.col("first_id").alias(self.doc_id)).distinct()
-        whole = self.docs.select(self.doc_id, self.text).join(wanted, self.doc_id, "left_semi").select(self.text)
-        whole = settle(whole.mapInArrow(_whole(self.text, self.size), "k long, whole binary").join(ids, "k", "left_semi").dropDuplicates(["k"]), "sets")
-        met = near.join(whole.selectExpr("k AS b", "whole AS wb"), "b").join(whole.selectExpr("k AS a", "whole AS wa"), "a")
-        return settle(met.select("a", "b", "wa", "wb").mapInArrow(_linked(self.percent), "a long, b long"), "links")
+        near = near.mapInArrow(_bounded(self.percent), "a long, b long")
+        ids = self.classes.select("k", "first_id")
+        near = settle(near.join(ids.selectExpr("k AS a", "first_id AS ia"), "a").join(ids.selectExpr("k AS b", "first_id AS ib"), "b"), "near")
+        sent = F.broadcast if near.count() <= self.most_sent else lambda df: df
+        texts = self.docs.select(F.col("__id"), F.col("__text"))
+        right = texts.join(sent(near.selectExpr("a", "b", "ib AS __id")), "__id").select("a", "b", F.col("__text").alias("tb"))
+        left = texts.join(sent(near.selectExpr("a", "ia AS __id").distinct()), "__id").select("a", F.col("__text").alias("ta"))
+        met = right.join(left, "a").select("a", "b", "ta", "tb")
+        return settle(met.mapInArrow(_linked("text", self.size, self.percent), "a long, b long").distinct(), "links")
+
+
+def _shared_heads(signed: DataFrame, bucket_prints: int = 2_000_000, most_bits: int = 1 << 26) -> DataFrame:
+    """k, n, t, pos: the fingerprints of each class that another row may have too."""
+    spark = signed.sparkSession
+    total = signed.agg(F.sum(F.length("head"))).first()[0] or 0
+    total //= PRINT_BYTES
+    buckets = total // bucket_prints + 1
+    bits = 1 << max(10, (min(most_bits, 4 * total) // buckets).bit_length() - 1)
+    dealt = signed.select("head").mapInArrow(_dealt(buckets), "bucket int, once binary, more binary")
+    made = dealt.groupBy("bucket").applyInArrow(_filter_part(buckets, bits), "bucket int, part binary").collect()
+    table = np.zeros((buckets, bits // 8), np.uint8)
+    for row in made:  # at most most_bits in all, however large the input
+        table[row.bucket] = np.frombuffer(row.part, np.uint8)
+    parts = spark.sparkContext.broadcast(table)
+    return signed.select("k", "n", "head").mapInArrow(_picked(parts, buckets, bits), "k long, n int, t array<long>, pos array<int>").dropDuplicates(["k"])
 
 
 def _sizes_fit(percent: int) -> str:
@@ -162,33 +265,36 @@ def _sizes_fit(percent: int) -> str:
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 50) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
-    signed = settle(docs.select(doc_id, text).mapInArrow(_sign(text, doc_id, size, percent), _SIGNED), "signed")
+    docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
+    signed = settle(docs.mapInArrow(_sign("__text", "__id", size, percent), _SIGNED), "signed")
     named = signed.filter("k IS NOT NULL")
     least = named.groupBy("k").agg(F.min("doc_id").alias("first_id"))
-    classes = named.join(least, "k").filter("doc_id = first_id").dropDuplicates(["k"])
-    classes = settle(classes.select("k", "first_id", "n", "sketch", "head"), "classes")
-    work = _Join(docs, classes, doc_id, text, size, percent)
+    classes = settle(named.select("k", "n", "sketch").dropDuplicates(["k"]).join(least, "k"), "classes")
+    work = _Join(docs, classes, size, percent)
     prefix = f"(n - (({percent} * n + 99) DIV 100) + 1)"
+    heads = settle(_shared_heads(named), "heads")
 
-    tokens = classes.select("k", "n", F.posexplode("head").alias("pos", "t"))
-    lists = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("r")).filter("c > 1")
-    shared = settle(tokens.join(lists.select("t", F.col("r.k").alias("r"), F.col("r.n").alias("rn")), "t"), "shared")
-
-    # answers from a similar set: one check for each class, against the class most of its lists name
-    star = shared.filter(f"k != r AND 100 * least(n, rn) >= {percent} * greatest(n, rn)").groupBy("k", "r").agg(F.count(F.lit(1)).alias("c"))
+    # answers from a similar set: one check for each class, against the class most of its first lists name
+    some = heads.select("k", "n", F.explode(F.slice("t", 1, 8)).alias("t"))
+    lists = some.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("r")).filter("c > 1")
+    star = some.join(lists.select("t", F.col("r.k").alias("r"), F.col("r.n").alias("rn")), "t")
+    star = star.filter(f"k != r AND 100 * least(n, rn) >= {percent} * greatest(n, rn)").groupBy("k", "r").agg(F.count(F.lit(1)).alias("c"))
     star = star.groupBy("k").agg(F.max_by("r", F.struct("c", "r")).alias("r"))
     star_links = work.links(star.selectExpr("r AS a", "k AS b"))
     stars = settle(components(star_links), "stars")
 
-    known = shared.drop("r", "rn").join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
-    known = settle(known, "known")
-    spread = known.select("t", "c").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("stars")).filter("stars > 1")
-    open_lists = known.join(spread, "t").withColumn("hot", (F.col("stars") > crowded).cast("int"))
+    known = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    known = known.select("k", "c", "n", F.inline(F.arrays_zip("t", "pos")))
+    counted = known.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("t")
+    spread = counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major")).filter("stars > 1")
+    spread = spread.select("t", "major", (F.col("stars") > crowded).cast("int").alias("hot"))
+    open_lists = known.join(spread, "t").withColumn("minor", F.col("c") != F.col("major")).drop("major")
     by_place = W.partitionBy("k").orderBy("pos")
     open_lists = open_lists.withColumns({"hot_before": F.sum("hot").over(by_place.rowsBetween(W.unboundedPreceding, 0)) - F.col("hot"), "hot_all": F.sum("hot").over(W.partitionBy("k"))})
-    # is the list of tokens at hand long enough to fill the prefix without the crowded ones?
-    held = f"least(n, {prefix} + {prefix} DIV 2)"
-    open_lists = settle(open_lists.withColumn("heavy", F.expr(f"hot_all > 0 AND {held} - hot_all < {prefix}")), "open")
+    # are the shingles at hand enough to fill the prefix without the crowded ones?
+    at_hand = f"least(n, {prefix} + {prefix} DIV 4)"
+    heavy = F.expr(f"hot_all > 0 AND {at_hand} - hot_all < {prefix}")
+    open_lists = settle(open_lists.select("t", "k", "c", "n", "pos", "minor", "hot", (F.col("pos") - F.col("hot_before")).alias("place"), heavy.alias("heavy")), "open")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 - 1e-9)))
 
@@ -197,17 +303,20 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         y = right.select("t", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), band.alias("band"))
         enough = f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
         met = x.join(y, ["t", "band"]).filter(f"ca != cb AND {_sizes_fit(percent)} AND {enough}")
-        return met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "a < b AS up")
+        return met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
 
-    plain = open_lists.filter(f"NOT heavy AND hot = 0 AND pos - hot_before < {prefix}").withColumn("at", F.col("pos") - F.col("hot_before"))
-    as_hashed = open_lists.filter(f"pos < {prefix}").withColumn("at", F.col("pos"))
-    pairs = pairs_of(plain, plain).filter("up").unionByName(pairs_of(as_hashed.filter("heavy"), as_hashed)).select("a", "b").distinct()
-    more = work.links(settle(pairs, "pairs"))
+    # of two members of different stars, one at least is outside the list's largest star
+    plain = open_lists.filter(f"NOT heavy AND hot = 0 AND place < {prefix}").withColumnRenamed("place", "at")
+    hashed = open_lists.filter(f"pos < {prefix}").withColumnRenamed("pos", "at")
+    loaded = hashed.filter("heavy")
+    pairs = pairs_of(plain.filter("minor"), plain).unionByName(pairs_of(loaded.filter("minor"), hashed)).unionByName(pairs_of(loaded.filter("NOT minor"), hashed.filter("minor")))
+    more = work.links(settle(pairs.distinct(), "pairs"))
 
     found = components(star_links.unionByName(more))
     # the least doc_id of each component
-    owner = found.withColumnsRenamed({"node": "k"}).join(least, "k").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    owned = found.withColumnsRenamed({"node": "k"}).join(owner, "component").select("k", "component_id")
-    named_to = least.join(owned, "k", "left").select("k", F.coalesce("component_id", "first_id").alias("component_id"))
+    found = found.withColumnRenamed("node", "k")
+    owner = found.join(least, "k").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    owned = found.join(owner, "component").select("k", "component_id")
+    named_to = classes.select("k", "first_id").join(owned, "k", "left").select("k", F.coalesce("component_id", "first_id").alias("component_id"))
     out = signed.select("doc_id", "k", F.col("n").cast("bigint").alias("n_shingles")).join(named_to, "k", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
