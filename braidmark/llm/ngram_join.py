@@ -10,11 +10,11 @@ are found by counting 40-bit fingerprints, uniqued per batch before they are shu
 way of a Bloom filter of fixed size (whatever it lets through is sorted out by the lists). Set
 relations then skip work twice.
 
-1. Answers from a similar set: each class is checked against the one class that most of its
-   first lists name as their least; the links found make stars. A star's members share all
-   answers inside it, so a list of one star is dropped, and in other lists only pairs outside
-   the list's largest star are read. A large group of near copies costs as many checks as it
-   has members.
+1. Answers from a similar set: each class is checked against one member of each of some of its
+   lists, in four turns, and in more while they find many links; linked classes make a
+   star. A star's members share all answers inside it, so a list of one star is dropped, and in
+   other lists only pairs outside the list's largest star are read. A large group of near copies
+   costs a few checks for each member.
 2. Blocks skipped by position: what is left of a list is cut into blocks by set size (powers of
    the inverse threshold, so only neighbouring blocks can link), and a pair is read only if the
    shingles after its places in both sets still suffice.
@@ -105,7 +105,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def held(prefix: int) -> int:
     """How many of a set's first shingles are kept at hand: the prefix and a reserve."""
-    return prefix + prefix // 4
+    return 2 * prefix
 
 
 _SIGNED = "doc_id long, k long, n int, sketch binary, head binary"
@@ -263,7 +263,17 @@ def _sizes_fit(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 50) -> DataFrame:
+def _star_pairs(heads: DataFrame, stars: DataFrame | None, percent: int, turn: int, first: int = 12) -> DataFrame:
+    """a, b: each class with one member, chosen anew each turn, of each list of some of its shingles, if that is of another star."""
+    label = heads.withColumn("c", F.col("k")) if stars is None else heads.join(stars.selectExpr("node AS k", "component AS own"), "k", "left").withColumn("c", F.coalesce("own", "k"))
+    some = label.select("k", "n", "c", F.explode(F.slice("t", 1 + turn % 4 * first, first)).alias("t"))
+    chosen = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c")).alias("r")
+    lists = some.groupBy("t").agg(chosen, F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high")
+    met = some.join(lists.select("t", F.col("r.k").alias("r"), F.col("r.n").alias("rn"), F.col("r.c").alias("rc")), "t")
+    return met.filter(f"c != rc AND 100 * least(n, rn) >= {percent} * greatest(n, rn)").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
     docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     signed = settle(docs.mapInArrow(_sign("__text", "__id", size, percent), _SIGNED), "signed")
@@ -274,14 +284,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     prefix = f"(n - (({percent} * n + 99) DIV 100) + 1)"
     heads = settle(_shared_heads(named), "heads")
 
-    # answers from a similar set: one check for each class, against the class most of its first lists name
-    some = heads.select("k", "n", F.explode(F.slice("t", 1, 8)).alias("t"))
-    lists = some.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "n")).alias("r")).filter("c > 1")
-    star = some.join(lists.select("t", F.col("r.k").alias("r"), F.col("r.n").alias("rn")), "t")
-    star = star.filter(f"k != r AND 100 * least(n, rn) >= {percent} * greatest(n, rn)").groupBy("k", "r").agg(F.count(F.lit(1)).alias("c"))
-    star = star.groupBy("k").agg(F.max_by("r", F.struct("c", "r")).alias("r"))
-    star_links = work.links(star.selectExpr("r AS a", "k AS b"))
-    stars = settle(components(star_links), "stars")
+    # answers from a similar set: a few checks for each class, each round against other members of its first lists
+    n_classes = classes.count()
+    star_links, stars, turn = None, None, 0
+    while True:
+        new = settle(work.links(_star_pairs(heads, stars, percent, turn)), "star-links")
+        n_new, turn = new.count(), turn + 1
+        star_links = new if star_links is None else star_links.unionByName(new)
+        if n_new or stars is None:
+            stars = settle(components(star_links), "stars")
+        if turn >= 4 and n_new * few_per < n_classes:
+            break
 
     known = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = known.select("k", "c", "n", F.inline(F.arrays_zip("t", "pos")))
@@ -292,7 +305,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     by_place = W.partitionBy("k").orderBy("pos")
     open_lists = open_lists.withColumns({"hot_before": F.sum("hot").over(by_place.rowsBetween(W.unboundedPreceding, 0)) - F.col("hot"), "hot_all": F.sum("hot").over(W.partitionBy("k"))})
     # are the shingles at hand enough to fill the prefix without the crowded ones?
-    at_hand = f"least(n, {prefix} + {prefix} DIV 4)"
+    at_hand = f"least(n, 2 * {prefix})"
     heavy = F.expr(f"hot_all > 0 AND {at_hand} - hot_all < {prefix}")
     open_lists = settle(open_lists.select("t", "k", "c", "n", "pos", "minor", "hot", (F.col("pos") - F.col("hot_before")).alias("place"), heavy.alias("heavy")), "open")
 
