@@ -293,7 +293,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         star_links = new if star_links is None else star_links.unionByName(new)
         if n_new or stars is None:
             stars = settle(components(star_links), "stars")
-        if turn >= 4 and n_new * few_per < n_classes:
+        if turn >= 4 and n_new * few_per <= n_classes:
             break
 
     known = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
