@@ -32,8 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("braidmark.checkpoint.dir", None)
     if not named:
         named = tempfile.mkdtemp(prefix="braidmark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.conf.set("braidmark.checkpoint.dir", named)
     return named
