@@ -4,26 +4,27 @@ A document's set is its distinct 5-word shingles (64-bit hashes of the words, A-
 a document of fewer words has its whole sequence as one. Two sets link when
 100 * intersection >= percent * union. Equal sets are one class from the start.
 
-The index lists, for each shingle, the classes that have it in their prefix: the shingles in
-hash order that a similar set can't miss all of. Shingles of one class only need no list; they
-are found by counting 40-bit fingerprints, uniqued per batch before they are shuffled, and go by
-way of a Bloom filter of fixed size (whatever it lets through is sorted out by the lists). Set
-relations then skip work twice.
+Every set is put into one order: shingles of no other row first, then those of a few rows, then
+the crowded ones (of more than `crowded` rows: a passage or a base that many documents share), by
+hash within each kind. The kinds are two Bloom filters of fixed size over 40-bit fingerprints;
+the fingerprints are counted in spans of many documents, uniqued per span before they are
+shuffled. Any order that all sets share is exact, so what the filters mistake loses no pair, and
+nothing is capped.
+
+The index lists, for each shingle, the classes that have it in their prefix: the shingles in this
+order that a similar set can't miss all of. A set with enough shingles of its own is in no list
+at all. Set relations then skip work twice.
 
 1. Answers from a similar set: each class is checked against one member of each of some of its
-   lists, in four turns, and in more while they find many links; linked classes make a
-   star. A star's members share all answers inside it, so a list of one star is dropped, and in
-   other lists only pairs outside the list's largest star are read. A large group of near copies
-   costs a few checks for each member.
+   lists, in four turns, and in more while they find many links; linked classes make a star.
+   Every other turn the member with the least before the shingle is taken, so that the base of a
+   group of near copies is met. A star's members share all answers inside it, so a list of one
+   star is dropped, and in other lists only pairs outside the list's largest star are read. A
+   large group of near copies costs a few checks for each member.
 2. Blocks skipped by position: what is left of a list is cut into blocks by set size (powers of
    the inverse threshold, so only neighbouring blocks can link), and a pair is read only if the
    shingles after its places in both sets still suffice.
 
-Shingles in the lists of more than `crowded` stars (a passage that many documents share) move to
-the end of the order of every set, which puts others into the prefix; a set with too many of
-them keeps the hash order, and is paired under that order with all. Any order that both sets of
-a pair share is exact, so no pair is lost, and nothing is capped.
-
 Candidates pass a count sketch (shingles per hash bucket: the sum of the lesser counts bounds
 the intersection from above), then the sets themselves are intersected. Links become components
 by stars of stars.
@@ -48,7 +49,8 @@ from braidmark.llm.components import components
 from braidmark.llm.store import settle
 from braidmark.llm.words import U, hash_words, mix, pieces, rolling
 
-PER_BUCKET = 16
+PER_BUCKET = 4
+SPAN = 2_000_000  # shingles counted together before they are shuffled
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, size: int) -> Iterator[np.ndarray]:
@@ -89,12 +91,15 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-PRINT_BYTES = 5  # of a shingle's hash, in lists and heads; the sets themselves are compared whole
+PRINT_BYTES = 5  # of a shingle's hash, in lists and filters; the sets themselves are compared whole
+
 
+def _prints(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> U(64 - 8 * PRINT_BYTES)
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """The leading bytes of each hash; keeps their order."""
-    return tokens.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PRINT_BYTES].tobytes()
+
+def _packed(t: np.ndarray) -> bytes:
+    return t.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - PRINT_BYTES :].tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -103,46 +108,48 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(U)
 
 
-def held(prefix: int) -> int:
-    """How many of a set's first shingles are kept at hand: the prefix and a reserve."""
-    return 2 * prefix
-
+_SIGNED = "doc_id long, k long, n int, sketch binary"
 
-_SIGNED = "doc_id long, k long, n int, sketch binary, head binary"
 
-
-def _sign(text: str, doc_id: str, size: int, percent: int):
+def _sign(text: str, doc_id: str, size: int):
     def run(batches):
         for batch in pieces(batches, text):
-            keys, sizes, sketches, heads = [], [], [], []
+            keys, sizes, sketches = [], [], []
             for s in shingle_sets(batch, text, size):
                 keys.append(_class_of(s) if len(s) else None)
                 sizes.append(len(s))
                 sketches.append(sketch_of(s))
-                heads.append(_packed(s[: held(prefix_length(len(s), percent))]) if len(s) else b"")
             ids = batch.column(batch.schema.get_field_index(doc_id))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(heads, pa.binary())], names=["doc_id", "k", "n", "sketch", "head"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["doc_id", "k", "n", "sketch"])
 
     return run
 
 
-def _dealt(buckets: int):
-    """Distinct fingerprints of a batch by hash range: those met once, and those met more often."""
+def _dealt(text: str, size: int, buckets: int, crowded: int):
+    """Distinct fingerprints of a span of texts by hash range: met once, a few times, or more than `crowded` times."""
+    cuts = [U((i << 8 * PRINT_BYTES) // buckets) for i in range(1, buckets)]
+
+    def dealt(sets):
+        t, count = np.unique(np.concatenate(sets), return_counts=True)
+        at = np.searchsorted(t, np.array(cuts, U))
+        rows = [(_packed(x[c == 1]), _packed(x[(c > 1) & (c <= crowded)]), _packed(x[c > crowded])) for x, c in zip(np.split(t, at), np.split(count, at), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(v, pa.binary()) for v in zip(*rows, strict=True))], names=["bucket", "once", "few", "many"])
 
     def run(batches):
-        for batch in batches:
-            t, count = np.unique(_unpacked(b"".join(batch.column(0).to_pylist())), return_counts=True)
-            cut = [int(np.searchsorted(t, U((i << 8 * PRINT_BYTES) // buckets))) for i in range(1, buckets)]
-            rows = [(_packed_prints(x[c == 1]), _packed_prints(x[c > 1])) for x, c in zip(np.split(t, cut), np.split(count, cut), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "once", "more"])
+        sets, held = [], 0
+        for batch in pieces(batches, text):
+            for s in shingle_sets(batch, text, size):
+                sets.append(_prints(s))
+                held += len(s)
+                if held >= SPAN:
+                    yield dealt(sets)
+                    sets, held = [], 0
+        if held:
+            yield dealt(sets)
 
     return run
 
 
-def _packed_prints(t: np.ndarray) -> bytes:
-    return _packed(t << U(64 - 8 * PRINT_BYTES))
-
-
 def _places(t: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket, and four bits inside the bucket's part of the filter, of each fingerprint."""
     h = mix(t + U(7))
@@ -150,40 +157,56 @@ def _places(t: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndar
     return ((t * U(buckets)) >> U(8 * PRINT_BYTES)).astype(np.int64), within
 
 
-def _filter_part(buckets: int, bits: int):
+def _filter_parts(buckets: int, bits: int, crowded: int):
     def run(table: pa.Table) -> pa.Table:
-        once = np.concatenate([_unpacked(x) for x in table.column("once").to_pylist()])
-        more = [_unpacked(x) for x in table.column("more").to_pylist()]
-        t, count = np.unique(once, return_counts=True)
-        # met in two batches, once in each; once here and more often there; or more often in one
-        common = np.unique(np.concatenate([t[count > 1], *more]))
-        part = np.zeros(bits, bool)
-        part[_places(common, buckets, bits)[1].ravel()] = True
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "part": pa.array([np.packbits(part).tobytes()], pa.binary())})
+        found = [_unpacked(b"".join(table.column(c).to_pylist())) for c in ("once", "few", "many")]
+        weight = np.repeat([1, 2, crowded + 1], [len(x) for x in found])
+        t, at = np.unique(np.concatenate(found), return_inverse=True)
+        rows = np.bincount(at, weight, len(t))
+        parts = []
+        for least in (1, crowded):
+            part = np.zeros(bits, bool)
+            part[_places(t[rows > least], buckets, bits)[1].ravel()] = True
+            parts.append(pa.array([np.packbits(part).tobytes()], pa.binary()))
+        return pa.table([table.column("bucket").slice(0, 1), *parts], names=["bucket", "shared", "hot"])
 
     return run
 
 
-def _picked(parts, buckets: int, bits: int):
-    """The fingerprints of a class that the filter lets through, with their places."""
+def _among(t: np.ndarray, table: np.ndarray) -> np.ndarray:
+    buckets, width = table.shape
+    bucket, within = _places(t, buckets, 8 * width)
+    keep = np.ones(len(t), bool)
+    for bit in within.astype(np.int64):
+        keep &= (table[bucket, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def _picked(text: str, size: int, percent: int, filters):
+    """The shared fingerprints in each text's prefix, with their places; texts without one are left out."""
 
     def run(batches):
-        table = parts.value
-        for batch in batches:
-            heads = batch.column(batch.schema.get_field_index("head")).to_pylist()
-            t = _unpacked(b"".join(heads))
-            size = np.array([len(h) // PRINT_BYTES for h in heads], np.int64)
-            first = np.cumsum(size) - size
-            bucket, within = _places(t, buckets, bits)
-            keep = np.ones(len(t), bool)
-            for bit in within.astype(np.int64):
-                keep &= (table[bucket, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(keep)
-            ends = pa.array(np.concatenate([np.searchsorted(at, first), [len(at)]]).astype(np.int32))
-            place = (at - np.repeat(first, size)[at]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (t[at].view(np.int64), place)]
-            own = [batch.column(batch.schema.get_field_index(c)) for c in ("k", "n")]
-            yield pa.RecordBatch.from_arrays([*own, *lists], names=["k", "n", "t", "pos"])
+        shared, hot = filters.value
+        for batch in pieces(batches, text):
+            keys, sizes, lists, places = [], [], [], []
+            sets = list(shingle_sets(batch, text, size))
+            t = _prints(np.concatenate(sets)) if sets else np.empty(0, U)
+            kind = _among(t, shared).astype(np.int8)
+            kind[kind == 1] += _among(t[kind == 1], hot)
+            end = 0
+            for s in sets:
+                begin, end = end, end + len(s)
+                prefix = prefix_length(len(s), percent)
+                own = kind[begin:end]
+                alone = int(np.count_nonzero(own == 0))
+                if not len(s) or alone >= prefix:
+                    continue
+                order = np.argsort(own, kind="stable")[alone:prefix]
+                keys.append(_class_of(s))
+                sizes.append(len(s))
+                lists.append(t[begin:end][order].view(np.int64))
+                places.append(np.arange(alone, prefix, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["k", "n", "t", "pos"])
 
     return run
 
@@ -243,46 +266,51 @@ class _Join:
         return settle(met.mapInArrow(_linked("text", self.size, self.percent), "a long, b long").distinct(), "links")
 
 
-def _shared_heads(signed: DataFrame, bucket_prints: int = 2_000_000, most_bits: int = 1 << 26) -> DataFrame:
-    """k, n, t, pos: the fingerprints of each class that another row may have too."""
-    spark = signed.sparkSession
-    total = signed.agg(F.sum(F.length("head"))).first()[0] or 0
-    total //= PRINT_BYTES
+def _prefixes(docs: DataFrame, total: int, size: int, percent: int, crowded: int, bucket_prints: int = 2_000_000, most_bits: int = 1 << 26) -> DataFrame:
+    """k, n, t, pos: the fingerprints in each class's prefix that another row may have too; total: of the sizes of all sets."""
     buckets = total // bucket_prints + 1
     bits = 1 << max(10, (min(most_bits, 4 * total) // buckets).bit_length() - 1)
-    dealt = signed.select("head").mapInArrow(_dealt(buckets), "bucket int, once binary, more binary")
-    made = dealt.groupBy("bucket").applyInArrow(_filter_part(buckets, bits), "bucket int, part binary").collect()
-    table = np.zeros((buckets, bits // 8), np.uint8)
-    for row in made:  # at most most_bits in all, however large the input
-        table[row.bucket] = np.frombuffer(row.part, np.uint8)
-    parts = spark.sparkContext.broadcast(table)
-    return signed.select("k", "n", "head").mapInArrow(_picked(parts, buckets, bits), "k long, n int, t array<long>, pos array<int>").dropDuplicates(["k"])
+    dealt = docs.select("__text").mapInArrow(_dealt("__text", size, buckets, crowded), "bucket int, once binary, few binary, many binary")
+    made = dealt.groupBy("bucket").applyInArrow(_filter_parts(buckets, bits, crowded), "bucket int, shared binary, hot binary").collect()
+    filters = np.zeros((2, buckets, bits // 8), np.uint8)
+    for row in made:  # at most 2 * most_bits in all, or 1024 bits a bucket, however large the input
+        for which, part in enumerate((row.shared, row.hot)):
+            filters[which, row.bucket] = np.frombuffer(part, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    return docs.select("__text").mapInArrow(_picked("__text", size, percent, sent), "k long, n int, t array<long>, pos array<int>").dropDuplicates(["k"])
 
 
 def _sizes_fit(percent: int) -> str:
     return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
+def _enough_left(percent: int) -> str:
+    """Whether two sets can link whose first common shingle is at places ia and ib."""
+    return f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
+
+
 def _star_pairs(heads: DataFrame, stars: DataFrame | None, percent: int, turn: int, first: int = 12) -> DataFrame:
     """a, b: each class with one member, chosen anew each turn, of each list of some of its shingles, if that is of another star."""
     label = heads.withColumn("c", F.col("k")) if stars is None else heads.join(stars.selectExpr("node AS k", "component AS own"), "k", "left").withColumn("c", F.coalesce("own", "k"))
-    some = label.select("k", "n", "c", F.explode(F.slice("t", 1 + turn % 4 * first, first)).alias("t"))
-    chosen = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c")).alias("r")
+    parts = [F.slice(x, 1 + turn // 2 % 4 * first, first).alias(x) for x in ("t", "pos")]
+    some = label.select("k", "n", "c", F.inline(F.arrays_zip(*parts)))
+    before = F.floor(32 * F.col("pos") / F.col("n")) if turn % 2 == 0 else F.lit(0).cast("bigint")
+    chosen = F.min(F.struct(before.alias("before"), F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c", "pos")).alias("r")
     lists = some.groupBy("t").agg(chosen, F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high")
-    met = some.join(lists.select("t", F.col("r.k").alias("r"), F.col("r.n").alias("rn"), F.col("r.c").alias("rc")), "t")
-    return met.filter(f"c != rc AND 100 * least(n, rn) >= {percent} * greatest(n, rn)").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
+    met = some.selectExpr("t", "k", "c", "n AS na", "pos AS ia").join(lists.selectExpr("t", "r.k AS r", "r.n AS nb", "r.c AS rc", "r.pos AS ib"), "t")
+    return met.filter(f"c != rc AND {_sizes_fit(percent)} AND {_enough_left(percent)}").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
     docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    signed = settle(docs.mapInArrow(_sign("__text", "__id", size, percent), _SIGNED), "signed")
+    signed = settle(docs.mapInArrow(_sign("__text", "__id", size), _SIGNED), "signed")
     named = signed.filter("k IS NOT NULL")
     least = named.groupBy("k").agg(F.min("doc_id").alias("first_id"))
     classes = settle(named.select("k", "n", "sketch").dropDuplicates(["k"]).join(least, "k"), "classes")
     work = _Join(docs, classes, size, percent)
-    prefix = f"(n - (({percent} * n + 99) DIV 100) + 1)"
-    heads = settle(_shared_heads(named), "heads")
+    total = signed.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
+    heads = settle(_prefixes(docs, total, size, percent, crowded), "heads")
 
     # answers from a similar set: a few checks for each class, each round against other members of its first lists
     n_classes = classes.count()
@@ -299,31 +327,19 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     known = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = known.select("k", "c", "n", F.inline(F.arrays_zip("t", "pos")))
     counted = known.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("t")
-    spread = counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major")).filter("stars > 1")
-    spread = spread.select("t", "major", (F.col("stars") > crowded).cast("int").alias("hot"))
-    open_lists = known.join(spread, "t").withColumn("minor", F.col("c") != F.col("major")).drop("major")
-    by_place = W.partitionBy("k").orderBy("pos")
-    open_lists = open_lists.withColumns({"hot_before": F.sum("hot").over(by_place.rowsBetween(W.unboundedPreceding, 0)) - F.col("hot"), "hot_all": F.sum("hot").over(W.partitionBy("k"))})
-    # are the shingles at hand enough to fill the prefix without the crowded ones?
-    at_hand = f"least(n, 2 * {prefix})"
-    heavy = F.expr(f"hot_all > 0 AND {at_hand} - hot_all < {prefix}")
-    open_lists = settle(open_lists.select("t", "k", "c", "n", "pos", "minor", "hot", (F.col("pos") - F.col("hot_before")).alias("place"), heavy.alias("heavy")), "open")
+    spread = counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major")).filter("stars > 1").drop("stars")
+    lists = settle(known.join(spread, "t").select("t", "k", "c", "n", F.col("pos").alias("at"), (F.col("c") != F.col("major")).alias("minor")), "lists")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 - 1e-9)))
 
     def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
         x = left.select("t", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
         y = right.select("t", F.col("k").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), band.alias("band"))
-        enough = f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
-        met = x.join(y, ["t", "band"]).filter(f"ca != cb AND {_sizes_fit(percent)} AND {enough}")
+        met = x.join(y, ["t", "band"]).filter(f"ca != cb AND {_sizes_fit(percent)} AND {_enough_left(percent)}")
         return met.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
 
     # of two members of different stars, one at least is outside the list's largest star
-    plain = open_lists.filter(f"NOT heavy AND hot = 0 AND place < {prefix}").withColumnRenamed("place", "at")
-    hashed = open_lists.filter(f"pos < {prefix}").withColumnRenamed("pos", "at")
-    loaded = hashed.filter("heavy")
-    pairs = pairs_of(plain.filter("minor"), plain).unionByName(pairs_of(loaded.filter("minor"), hashed)).unionByName(pairs_of(loaded.filter("NOT minor"), hashed.filter("minor")))
-    more = work.links(settle(pairs.distinct(), "pairs"))
+    more = work.links(settle(pairs_of(lists.filter("minor"), lists).distinct(), "pairs"))
 
     found = components(star_links.unionByName(more))
     # the least doc_id of each component
