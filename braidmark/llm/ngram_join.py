@@ -25,8 +25,8 @@ at all. Set relations then skip work twice.
    the inverse threshold, so only neighbouring blocks can link), and a pair is read only if the
    shingles after its places in both sets still suffice.
 
-Candidates pass a count sketch (shingles per hash bucket: the sum of the lesser counts bounds
-the intersection from above), then the sets themselves are intersected. Links become components
+Candidates pass a count sketch (shared shingles per hash bucket: the sum of the lesser counts
+bounds the intersection from above), then the sets themselves are intersected. Links become components
 by stars of stars.
 
 Defined results: a null or wordless text has an empty set and links with nothing; repeated rows
@@ -49,7 +49,7 @@ from braidmark.llm.components import components
 from braidmark.llm.store import settle
 from braidmark.llm.words import U, hash_words, mix, pieces, rolling
 
-PER_BUCKET = 4
+PER_BUCKET = 1
 SPAN = 2_000_000  # shingles counted together before they are shuffled
 
 
@@ -69,7 +69,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """Shingles per bucket of the hash's high bits; about PER_BUCKET on average, never over 255."""
+    """Shingles per bucket of the hash's high bits; PER_BUCKET on average at most, never over 255."""
     bits = max(5, int(len(s) // PER_BUCKET).bit_length())
     while True:
         counts = np.bincount((mix(s) >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
@@ -108,19 +108,18 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(U)
 
 
-_SIGNED = "doc_id long, k long, n int, sketch binary"
+_SIGNED = "doc_id long, k long, n int"
 
 
 def _sign(text: str, doc_id: str, size: int):
     def run(batches):
         for batch in pieces(batches, text):
-            keys, sizes, sketches = [], [], []
+            keys, sizes = [], []
             for s in shingle_sets(batch, text, size):
                 keys.append(_class_of(s) if len(s) else None)
                 sizes.append(len(s))
-                sketches.append(sketch_of(s))
             ids = batch.column(batch.schema.get_field_index(doc_id))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], names=["doc_id", "k", "n", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "k", "n"])
 
     return run
 
@@ -183,12 +182,12 @@ def _among(t: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def _picked(text: str, size: int, percent: int, filters):
-    """The shared fingerprints in each text's prefix, with their places; texts without one are left out."""
+    """The shared fingerprints in each text's prefix, with their places, and a sketch of all its shared shingles; texts without one in the prefix are left out."""
 
     def run(batches):
         shared, hot = filters.value
         for batch in pieces(batches, text):
-            keys, sizes, lists, places = [], [], [], []
+            keys, sizes, lists, places, sketches = [], [], [], [], []
             sets = list(shingle_sets(batch, text, size))
             t = _prints(np.concatenate(sets)) if sets else np.empty(0, U)
             kind = _among(t, shared).astype(np.int8)
@@ -206,7 +205,8 @@ def _picked(text: str, size: int, percent: int, filters):
                 sizes.append(len(s))
                 lists.append(t[begin:end][order].view(np.int64))
                 places.append(np.arange(alone, prefix, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["k", "n", "t", "pos"])
+                sketches.append(sketch_of(s[own > 0]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(sketches, pa.binary())], names=["k", "n", "t", "pos", "sketch"])
 
     return run
 
@@ -216,7 +216,7 @@ def _bounded(percent: int):
         for batch in batches:
             rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True)
             keep = [overlap_bound(sa, sb) * (100 + percent) >= percent * (na + nb) for na, sa, nb, sb in rows]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "ia", "ib"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -242,10 +242,10 @@ def _linked(text: str, size: int, percent: int):
 
 
 class _Join:
-    """The steps share the documents, the classes and the threshold."""
+    """The steps share the documents, the listed classes and the threshold."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, percent: int, most_sent: int = 1_000_000):
-        self.docs, self.classes, self.size, self.percent, self.most_sent = docs, classes, size, percent, most_sent
+    def __init__(self, docs: DataFrame, heads: DataFrame, size: int, percent: int, most_sent: int = 1_000_000):
+        self.docs, self.heads, self.size, self.percent, self.most_sent = docs, heads, size, percent, most_sent
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b: class keys) that link.
@@ -253,11 +253,9 @@ class _Join:
         Texts are picked by a join with the pairs that the sketches leave: sent to all tasks
         while they are few (24 bytes each, at most most_sent), else shuffled by document.
         """
-        sk = self.classes.select("k", "n", "sketch", "first_id")
-        near = pairs.join(sk.selectExpr("k AS a", "n AS na", "sketch AS sa"), "a").join(sk.selectExpr("k AS b", "n AS nb", "sketch AS sb"), "b")
-        near = near.mapInArrow(_bounded(self.percent), "a long, b long")
-        ids = self.classes.select("k", "first_id")
-        near = settle(near.join(ids.selectExpr("k AS a", "first_id AS ia"), "a").join(ids.selectExpr("k AS b", "first_id AS ib"), "b"), "near")
+        of = lambda x: self.heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("first_id").alias(f"i{x}"))
+        near = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_bounded(self.percent), "a long, b long, ia long, ib long")
+        near = settle(near, "near")
         sent = F.broadcast if near.count() <= self.most_sent else lambda df: df
         texts = self.docs.select(F.col("__id"), F.col("__text"))
         right = texts.join(sent(near.selectExpr("a", "b", "ib AS __id")), "__id").select("a", "b", F.col("__text").alias("tb"))
@@ -267,7 +265,7 @@ class _Join:
 
 
 def _prefixes(docs: DataFrame, total: int, size: int, percent: int, crowded: int, bucket_prints: int = 2_000_000, most_bits: int = 1 << 26) -> DataFrame:
-    """k, n, t, pos: the fingerprints in each class's prefix that another row may have too; total: of the sizes of all sets."""
+    """k, n, t, pos, sketch: the fingerprints in each class's prefix that another row may have too; total: of the sizes of all sets."""
     buckets = total // bucket_prints + 1
     bits = 1 << max(10, (min(most_bits, 4 * total) // buckets).bit_length() - 1)
     dealt = docs.select("__text").mapInArrow(_dealt("__text", size, buckets, crowded), "bucket int, once binary, few binary, many binary")
@@ -277,7 +275,7 @@ def _prefixes(docs: DataFrame, total: int, size: int, percent: int, crowded: int
         for which, part in enumerate((row.shared, row.hot)):
             filters[which, row.bucket] = np.frombuffer(part, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    return docs.select("__text").mapInArrow(_picked("__text", size, percent, sent), "k long, n int, t array<long>, pos array<int>").dropDuplicates(["k"])
+    return docs.select("__text").mapInArrow(_picked("__text", size, percent, sent), "k long, n int, t array<long>, pos array<int>, sketch binary").dropDuplicates(["k"])
 
 
 def _sizes_fit(percent: int) -> str:
@@ -306,14 +304,13 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     signed = settle(docs.mapInArrow(_sign("__text", "__id", size), _SIGNED), "signed")
     named = signed.filter("k IS NOT NULL")
-    least = named.groupBy("k").agg(F.min("doc_id").alias("first_id"))
-    classes = settle(named.select("k", "n", "sketch").dropDuplicates(["k"]).join(least, "k"), "classes")
-    work = _Join(docs, classes, size, percent)
+    least = settle(named.groupBy("k").agg(F.min("doc_id").alias("first_id")), "classes")
     total = signed.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
-    heads = settle(_prefixes(docs, total, size, percent, crowded), "heads")
+    heads = settle(_prefixes(docs, total, size, percent, crowded).join(least, "k"), "heads")
+    work = _Join(docs, heads, size, percent)
 
     # answers from a similar set: a few checks for each class, each round against other members of its first lists
-    n_classes = classes.count()
+    n_classes = least.count()
     star_links, stars, turn = None, None, 0
     while True:
         new = settle(work.links(_star_pairs(heads, stars, percent, turn)), "star-links")
@@ -346,6 +343,6 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = found.withColumnRenamed("node", "k")
     owner = found.join(least, "k").groupBy("component").agg(F.min("first_id").alias("component_id"))
     owned = found.join(owner, "component").select("k", "component_id")
-    named_to = classes.select("k", "first_id").join(owned, "k", "left").select("k", F.coalesce("component_id", "first_id").alias("component_id"))
+    named_to = least.join(owned, "k", "left").select("k", F.coalesce("component_id", "first_id").alias("component_id"))
     out = signed.select("doc_id", "k", F.col("n").cast("bigint").alias("n_shingles")).join(named_to, "k", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
