@@ -50,7 +50,7 @@ from braidmark.llm.store import settle
 from braidmark.llm.words import U, hash_words, mix, pieces, rolling
 
 PER_BUCKET = 1
-SPAN = 2_000_000  # shingles counted together before they are shuffled
+SPAN = 1_000_000  # shingles counted together before they are shuffled
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, size: int) -> Iterator[np.ndarray]:
@@ -264,7 +264,7 @@ class _Join:
         return settle(met.mapInArrow(_linked("text", self.size, self.percent), "a long, b long").distinct(), "links")
 
 
-def _prefixes(docs: DataFrame, total: int, size: int, percent: int, crowded: int, bucket_prints: int = 2_000_000, most_bits: int = 1 << 26) -> DataFrame:
+def _prefixes(docs: DataFrame, total: int, size: int, percent: int, crowded: int, bucket_prints: int = 500_000, most_bits: int = 1 << 26) -> DataFrame:
     """k, n, t, pos, sketch: the fingerprints in each class's prefix that another row may have too; total: of the sizes of all sets."""
     buckets = total // bucket_prints + 1
     bits = 1 << max(10, (min(most_bits, 4 * total) // buckets).bit_length() - 1)
