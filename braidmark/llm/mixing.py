@@ -14,7 +14,8 @@ has blocks or a block has documents.
 
 Defined results: a null source is a source of its own; a null or empty text counts one token
 (its separator), as every document does besides its words; repeated rows are dealt row by row;
-extra columns pass through; an empty table gives an empty result.
+extra columns pass through, but for those of the names in ADDED, which are replaced; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from braidmark.llm import store
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -109,21 +112,31 @@ def plan_sources(totals: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
+ADDED = ("mix_pass", "mix_block", "mix_block_pos", "mix_order", "mix_tokens", "mix_weight")
+
+
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text", settle=lambda df: df) -> DataFrame:
     """docs' rows, once for each pass that takes them.
 
     Adds mix_pass (from 1), mix_block, mix_block_pos (the block's place in that pass), mix_order
     (order inside the block), mix_tokens and mix_weight. settle may write the sized documents,
-    which are read twice.
+    which are read three times. Sizes, sources and blocks are written as tables of their own, so
+    that Spark knows their size: while they are small, texts meet them without a shuffle.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    sized = settle(docs.withColumns({"__key": key, "__tokens": tokens_of(F.col(text))}))
-    plan = plan_sources(source_totals(sized), mix)
+    sized = settle(docs.drop(*ADDED).withColumns({"__key": key, "__tokens": tokens_of(F.col(text))}))
+    thin = store.settle(sized.select("__key", "__tokens", F.col(doc_id).alias("__id")), "mix-sizes")
+    totals = store.settle(source_totals(thin), "mix-totals")
+    plan = plan_sources(totals, mix).select("__key", *(F.col(c).alias(f"__{c}") for c in ("weight", "n_blocks", "full", "rest")))
     # a hot source's rows meet its one planned row in `salts` places
-    salted = plan.withColumn("__salt", F.explode(F.array(*map(F.lit, range(mix.salts)))))
-    spread = sized.withColumn("__salt", F.pmod(F.xxhash64(doc_id, F.lit("salt")), F.lit(mix.salts)).cast("int"))
-    dealt = spread.join(salted, ["__key", "__salt"]).drop("__salt").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(mix.seed), F.col(doc_id)), F.col("n_blocks")))
-    blocks = dealt.groupBy("__key", "mix_block").agg(F.sum("__tokens").alias("tokens"), F.max("full").alias("full"), F.max("rest").alias("rest"))
+    salted = store.settle(plan.withColumn("__salt", F.explode(F.array(*map(F.lit, range(mix.salts))))), "mix-plan")
+
+    def dealt(rows: DataFrame, row_id: str) -> DataFrame:
+        spread = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id, F.lit("salt")), F.lit(mix.salts)).cast("int"))
+        met = spread.join(salted, ["__key", "__salt"])
+        return met.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(mix.seed), F.col(row_id)), F.col("__n_blocks"))).drop("__salt", "__n_blocks")
+
+    blocks = dealt(thin, "__id").groupBy("__key", "mix_block").agg(F.sum("__tokens").alias("tokens"), F.max("__full").alias("full"), F.max("__rest").alias("rest"))
     blocks = blocks.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("full") + 1)))
     turn = F.xxhash64(F.lit(mix.seed), F.col("mix_pass"), F.col("mix_block"))
     order = W.partitionBy("__key", "mix_pass").orderBy(turn, "mix_block")
@@ -131,8 +144,9 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     room = F.when(F.col("mix_pass") <= F.col("full"), F.col("tokens")).otherwise(F.col("rest") - F.col("__end") + F.col("tokens"))
     # what of the budget is left when this block's turn comes; nothing: the block isn't read
     placed = placed.withColumn("__room", room).filter("__room > 0").select("__key", "mix_block", "mix_pass", "mix_block_pos", "__room", (F.col("__room") >= F.col("tokens")).alias("__whole"))
-    taken = dealt.join(placed, ["__key", "mix_block"]).withColumn("mix_order", F.xxhash64(F.lit(mix.seed + 1), F.col("mix_pass"), F.col(doc_id)))
+    placed = store.settle(placed, "mix-blocks")
+    taken = dealt(sized, doc_id).join(placed, ["__key", "mix_block"]).withColumn("mix_order", F.xxhash64(F.lit(mix.seed + 1), F.col("mix_pass"), F.col(doc_id)))
     inside = W.partitionBy("__key", "mix_block", "mix_pass").orderBy("mix_order", doc_id).rowsBetween(W.unboundedPreceding, 0)
     last = taken.filter("NOT __whole").withColumn("__so_far", F.sum("__tokens").over(inside)).filter("__so_far <= __room").drop("__so_far")
     out = taken.filter("__whole").unionByName(last)
-    return out.withColumnsRenamed({"__tokens": "mix_tokens", "weight": "mix_weight"}).drop("__key", "passes", "n_blocks", "full", "rest", "__room", "__whole")
+    return out.withColumnsRenamed({"__tokens": "mix_tokens", "__weight": "mix_weight"}).drop("__key", "__full", "__rest", "__room", "__whole")

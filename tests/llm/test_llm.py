@@ -203,6 +203,11 @@ def test_mixing(docs, rows):
     a = 1 - math.log(2) / math.log(max(total.values()) / min(total.values()))
     exponent = mixing.find_exponent(mixing.source_totals(docs.withColumn("__key", F.coalesce("source", F.lit("-"))).withColumn("__tokens", mixing.tokens_of(F.col("text")))), mix)
     assert exponent == pytest.approx(max(0.0, a), abs=1e-6)
+    clashing = docs.withColumns({c: F.lit(-1) for c in ("weight", "full", "rest", "tokens", "passes", "n_blocks", "mix_pass")})
+    again = mixing.mix_sources(clashing, mix)
+    assert {"weight", "full", "rest", "tokens", "passes", "n_blocks"} <= set(again.columns)
+    same = again.select("doc_id", "mix_pass", "mix_block", "full").toPandas()
+    assert set(same.full) == {-1} and sorted(zip(same.doc_id, same.mix_pass, same.mix_block)) == sorted(zip(out.doc_id, out.mix_pass, out.mix_block))
 
 
 def test_licenses(docs, rows):
