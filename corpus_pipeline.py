@@ -18,7 +18,8 @@ from braidmark.session import table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
     failed = settle(quality.failures(quality.measure(docs)), "quality")
-    return quality.judge(failed, quality.host_verdicts(failed)).filter("kept").select(*docs.columns)
+    hosts = settle(quality.host_verdicts(failed), "hosts")
+    return quality.judge(failed, hosts).filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
