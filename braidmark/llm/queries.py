@@ -17,7 +17,8 @@ URL_RULES = [
     urls.Rule("allow", "com", "/fr/"),
     urls.Rule("block", "com", "/de/"),
 ]
-SPAM_NAMES = ["spam-farm", "cheap-pills"]
+#: Every name of a junk host in the given tables of pages; their pages stand in for a feed from outside.
+JUNK_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +48,9 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs, settle=slim).select("doc_id", "source", "mix_pass", "mix_block", "mix_block_pos", "mix_order", "mix_tokens", F.round("mix_weight", 9).alias("mix_weight"))
 
 
-def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_url_filter(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = JUNK_NAMES) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = urls.judge_urls(pages, urls.feed_of(pages, SPAM_NAMES), URL_RULES)
+    judged = urls.judge_urls(pages, urls.feed_of(pages, list(names)), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "canonical")
 
 

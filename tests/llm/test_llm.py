@@ -16,6 +16,7 @@ from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from braidmark.llm import bpe, dedup_substring, licenses, mixing, ngram_join, pii, quality, tokens, topk, urls  # noqa: E402
+from braidmark.llm import queries as llm_queries  # noqa: E402
 from braidmark.llm.queries import URL_RULES  # noqa: E402
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -179,6 +180,14 @@ def test_ngram_join(docs, rows, crowded):
     assert len(got) == len(rows) and dict(got) == groups(rows)
 
 
+def test_url_feed_has_every_junk_name(spark, tmp_path):
+    names = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+    pages = [(i, f"http://www.{n}.example.net/x/{i}") for i, n in enumerate(names)] + [(9, "http://ok.example.net/x/9")]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.verdict for r in llm_queries.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: "block" for i in range(6)} | {9: "allow"}
+
+
 def test_url_filter(spark):
     pages = [(1, "http://A.example.org/es/5?x"), (2, "https://spam.example.net/a/"), (3, "https://www.spam.example.net/a.html#t"), (4, None), (5, "no url"), (6, "http://x.com/de/1"), (7, "http://example.org"), (8, "http://example.org/en/17"), (9, "http://ok.example.net/a"), (9, "http://ok.example.net/a")]
     df = spark.createDataFrame(pages, "page_id long, url string").withColumn("rule", F.lit("clash"))
