@@ -12,9 +12,9 @@ Query groups of bounded size meet blocks of bounded size; each block gives k row
 the best k of all blocks remain.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
-rows that repeat a vec_id count once, with the least of its quantised vectors; vectors of
-different length don't meet; ties go to the smaller id; extra columns are ignored; empty tables
-give an empty result.
+rows that repeat a vec_id are rows of their own, and queries of their own, if their quantised
+vectors differ, else one row; vectors of different length don't meet; ties go to the smaller id;
+extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ U = np.uint64
 
 
 def quantise(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id, q array<long>, dim: the usable vectors, each id once."""
+    """vec_id, q array<long>, dim: the usable vectors, each different vector of an id once."""
     x = F.col(embedding)
     ok = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     q = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("bigint"))
     usable = vectors.filter(ok & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("vec_id"), q.alias("q"))
-    return usable.groupBy("vec_id").agg(F.min("q").alias("q")).withColumn("dim", F.size("q"))
+    return usable.distinct().withColumn("dim", F.size("q"))
 
 
 class SlicedBlock:
@@ -62,6 +62,8 @@ class SlicedBlock:
         at = {}
         for b in range(top):
             d = np.flatnonzero((size >> b) & 1)
+            if not len(d):
+                continue
             for j in range(self.digits):
                 at.setdefault(b + j, []).append(j * dims + d + (weights[d] < 0) * (self.digits * dims))
         out, carry, k = [], [], 0
@@ -86,8 +88,8 @@ class SlicedBlock:
     def best(self, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than the query's own."""
         tied = self.full.copy()
-        own = int(np.searchsorted(self.ids, query_id))
-        if own < len(self.ids) and self.ids[own] == query_id:
+        start, end = np.searchsorted(self.ids, [query_id, query_id + 1]).tolist()
+        for own in (start + np.flatnonzero((self.values[start:end] == weights).all(1))).tolist():
             tied[own >> 6] &= ~(U(1) << U(own & 63))
         sure, n_sure = np.zeros_like(tied), 0
         if int(np.bitwise_count(tied).sum()) > k:
@@ -113,7 +115,7 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.astype(np.int64).reshape(n, -1)
 
 
-_BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_BEST = pa.schema([("query_id", pa.int64()), ("nth", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _meet(k: int):
@@ -121,26 +123,28 @@ def _meet(k: int):
         if not rows.num_rows or not queries.num_rows:
             return _BEST.empty_table()
         block = SlicedBlock(np.asarray(rows.column("vec_id")), _matrix(rows.column("q"), rows.num_rows))
-        asked, found, scores = [], [], []
-        for i, w in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("q"), queries.num_rows), strict=True):
+        asked, nths, found, scores = [], [], [], []
+        for i, nth, w in zip(queries.column("vec_id").to_pylist(), queries.column("nth").to_pylist(), _matrix(queries.column("q"), queries.num_rows), strict=True):
             ids, score = block.best(i, w, k)
             asked.append(np.full(len(ids), i))
+            nths.append(np.full(len(ids), nth))
             found.append(ids)
             scores.append(score)
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (asked, found, scores)], schema=_BEST)
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (asked, nths, found, scores)], schema=_BEST)
 
     return run
 
 
 def top_k(quantised: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 16384, group_queries: int = 512) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows of quantised other than its own."""
+    """query_id, rank, vec_id, score: each query's k best rows of quantised other than its own; k for each vector of a query's id."""
     n_blocks = max(1, -(-quantised.count() // block_rows))
     n_groups = max(1, -(-queries.count() // group_queries))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
     rows = quantised.select("vec_id", "q", "dim", deal(n_blocks).alias("block"), F.explode(upto(n_groups)).alias("part"))
-    asked = queries.select("vec_id", "q", "dim", F.explode(upto(n_blocks)).alias("block"), deal(n_groups).alias("part"))
+    nth = F.row_number().over(W.partitionBy("vec_id").orderBy("q")).cast("bigint")
+    asked = queries.withColumn("nth", nth).select("vec_id", "nth", "q", "dim", F.explode(upto(n_blocks)).alias("block"), deal(n_groups).alias("part"))
     keys = ("dim", "block", "part")
-    best = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_meet(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_meet(k), "query_id long, nth long, vec_id long, score long")
+    place = F.row_number().over(W.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

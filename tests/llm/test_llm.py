@@ -97,6 +97,21 @@ def test_topk(spark):
         assert hits == [(j, -s) for s, j in score[:20]]
 
 
+def test_topk_even_weights_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    vectors = [(i, [float(x) for x in rng.choice([0, 1, 0.5, 0.25, -0.5], 8)]) for i in range(200)]
+    vectors += [(200 + i, [float(i == j) for j in range(8)]) for i in range(8)]  # one-hot
+    vectors += [(20, [0.5] * 8), (21, [1.0] * 8), (21, [-1.0] * 8), (220, [0.0] * 8)]
+    q = topk.quantise(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
+    got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(q, q.filter("vec_id % 20 = 0"), 20, 64, 4).collect())
+    want = Counter()
+    for at, (i, v) in enumerate(vectors):
+        if i % 20 == 0:
+            score = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), j) for other, (j, w) in enumerate(vectors) if other != at)
+            want.update((i, n, j, -s) for n, (s, j) in enumerate(score[:20], 1))
+    assert got == want
+
+
 @pytest.mark.parametrize("crowded", [2000, 1])
 def test_substring(docs, rows, crowded):
     seen, all_words = Counter(), [split(t) for _, t, *_ in rows]
