@@ -30,8 +30,9 @@ bounds the intersection from above), then the sets themselves are intersected. L
 by stars of stars.
 
 Defined results: a null or wordless text has an empty set and links with nothing; repeated rows
-keep their rows and share their component; rows that repeat a doc_id with other texts each get
-their own text's component; extra columns are ignored; an empty table gives an empty result.
+keep their rows and share their component; rows that repeat a doc_id with other texts, or have
+none, each get their own text's component, named by its least doc_id if any row of it has one,
+else by the row's own; texts are told apart by 64-bit hash; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -108,18 +109,18 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(U)
 
 
-_SIGNED = "doc_id long, k long, n int"
+_SIGNED = "doc_id long, h long, k long, n int"
 
 
-def _sign(text: str, doc_id: str, size: int):
+def _sign(text: str, doc_id: str, text_hash: str, size: int):
     def run(batches):
         for batch in pieces(batches, text):
             keys, sizes = [], []
             for s in shingle_sets(batch, text, size):
                 keys.append(_class_of(s) if len(s) else None)
                 sizes.append(len(s))
-            ids = batch.column(batch.schema.get_field_index(doc_id))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "k", "n"])
+            ids, hashes = (batch.column(batch.schema.get_field_index(c)) for c in (doc_id, text_hash))
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "h", "k", "n"])
 
     return run
 
@@ -216,7 +217,7 @@ def _bounded(percent: int):
         for batch in batches:
             rows = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("na", "sa", "nb", "sb")), strict=True)
             keep = [overlap_bound(sa, sb) * (100 + percent) >= percent * (na + nb) for na, sa, nb, sb in rows]
-            yield batch.select(["a", "b", "ia", "ib"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -250,17 +251,20 @@ class _Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b: class keys) that link.
 
-        Texts are picked by a join with the pairs that the sketches leave: sent to all tasks
-        while they are few (24 bytes each, at most most_sent), else shuffled by document.
+        Each class has the address (doc_id, which may be null, and text hash) of one text. Texts
+        are picked by a join with the addresses of the pairs that the sketches leave: sent to all
+        tasks while the pairs are few (at most most_sent), else shuffled by address.
         """
-        of = lambda x: self.heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("first_id").alias(f"i{x}"))
-        near = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_bounded(self.percent), "a long, b long, ia long, ib long")
+        of = lambda x: self.heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        near = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_bounded(self.percent), "a long, b long")
         near = settle(near, "near")
         sent = F.broadcast if near.count() <= self.most_sent else lambda df: df
-        texts = self.docs.select(F.col("__id"), F.col("__text"))
-        right = texts.join(sent(near.selectExpr("a", "b", "ib AS __id")), "__id").select("a", "b", F.col("__text").alias("tb"))
-        left = texts.join(sent(near.selectExpr("a", "ia AS __id").distinct()), "__id").select("a", F.col("__text").alias("ta"))
-        met = right.join(left, "a").select("a", "b", "ta", "tb")
+        asked = near.selectExpr("a AS k").union(near.selectExpr("b AS k")).distinct()
+        asked = settle(self.heads.join(asked, "k", "left_semi").select("k", "first_id", "first_h"), "asked")
+        address = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__h") == F.col("first_h"))
+        texts = self.docs.join(sent(asked), address).select("k", "__text").dropDuplicates(["k"])  # repeated rows have one address
+        right = near.join(texts.select(F.col("k").alias("b"), F.col("__text").alias("tb")), "b")
+        met = right.join(texts.select(F.col("k").alias("a"), F.col("__text").alias("ta")), "a").select("a", "b", "ta", "tb")
         return settle(met.mapInArrow(_linked("text", self.size, self.percent), "a long, b long").distinct(), "links")
 
 
@@ -301,10 +305,24 @@ def _star_pairs(heads: DataFrame, stars: DataFrame | None, percent: int, turn: i
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs."""
-    docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    signed = settle(docs.mapInArrow(_sign("__text", "__id", size), _SIGNED), "signed")
+    return judged_rows(docs, doc_id, text, size, percent, crowded, few_per).select("doc_id", "n_shingles", "component_id")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, is_first: a row for each row of docs.
+
+    is_first: whether the row has the doc_id and text of its component's first row, which are
+    those of one row (and its repetitions) in each component.
+    """
+    docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), text_hash(F.col(text)).alias("__h"))
+    signed = settle(docs.mapInArrow(_sign("__text", "__id", "__h", size), _SIGNED), "signed")
     named = signed.filter("k IS NOT NULL")
-    least = settle(named.groupBy("k").agg(F.min("doc_id").alias("first_id")), "classes")
+    address = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))  # null ids last
+    least = settle(named.groupBy("k").agg(address.alias("r")).selectExpr("k", "r.doc_id AS first_id", "r.h AS first_h"), "classes")
     total = signed.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
     heads = settle(_prefixes(docs, total, size, percent, crowded).join(least, "k"), "heads")
     work = _Join(docs, heads, size, percent)
@@ -341,8 +359,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = components(star_links.unionByName(more))
     # the least doc_id of each component
     found = found.withColumnRenamed("node", "k")
-    owner = found.join(least, "k").groupBy("component").agg(F.min("first_id").alias("component_id"))
-    owned = found.join(owner, "component").select("k", "component_id")
-    named_to = least.join(owned, "k", "left").select("k", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = signed.select("doc_id", "k", F.col("n").cast("bigint").alias("n_shingles")).join(named_to, "k", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    head = F.min(F.struct(F.col("first_id").isNull(), "first_id", "k"))
+    owner = found.join(least, "k").groupBy("component").agg(head.alias("r")).selectExpr("component", "r.first_id AS component_id", "r.k AS head")
+    owned = found.join(owner, "component").select("k", "component_id", "head")
+    named_to = least.join(owned, "k", "left").select("k", F.when(F.col("head").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.coalesce("head", "k") == F.col("k"), F.col("first_h")).alias("head_h"))
+    out = signed.join(named_to, "k", "left")
+    is_first = F.col("k").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("h").eqNullSafe(F.col("head_h")))
+    return out.select("doc_id", F.col("h").alias("text_hash"), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), is_first.alias("is_first"))

@@ -195,6 +195,36 @@ def test_ngram_join(docs, rows, crowded):
     assert len(got) == len(rows) and dict(got) == groups(rows)
 
 
+def by_row(rows):
+    """doc_id, n_shingles, component_id of each row, judged by its text, and the number of components."""
+    found = groups([(i, t) for i, (_, t) in enumerate(rows)])
+    named = {}
+    for i, (_, c) in found.items():
+        if rows[i][0] is not None:
+            named[c] = min(named.get(c, rows[i][0]), rows[i][0])
+    return [(rows[i][0], n, named.get(c, rows[i][0])) for i, (n, c) in found.items()]
+
+
+def same_ids_and_none():
+    rng = random.Random(8)
+    prose = lambda: [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    changed = lambda base, *at: " ".join(w if i not in at else f"x{i}" for i, w in enumerate(base))
+    shared = [prose() for _ in range(12)]
+    rows = [(1, changed(base)) for base in shared] + [(10 + i, changed(base, 50)) for i, base in enumerate(shared)]
+    rows += [(2, changed(shared[0], 100)), (2, changed(prose()))]  # one of 1's group, one of its own
+    bridge, alone = prose(), changed(prose())
+    rows += [(40, changed(bridge)), (None, changed(bridge, 30, 60, 90)), (None, changed(bridge, 30, 60, 90)), (41, changed(bridge, 30, 60, 90, 120, 150, 180))]
+    return rows + [(None, alone), (None, alone + " end"), (None, None), (3, None), (3, "")]
+
+
+def test_ngram_join_repeated_and_null_ids(spark):
+    rows = same_ids_and_none()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(docs).collect()]
+    order = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(got, key=order) == sorted(by_row(rows), key=order)
+
+
 def test_url_feed_has_every_junk_name(spark, tmp_path):
     names = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
     pages = [(i, f"http://www.{n}.example.net/x/{i}") for i, n in enumerate(names)] + [(9, "http://ok.example.net/x/9")]
