@@ -23,10 +23,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least doc_id stays (one row of it); rows without a doc_id stay."""
-    groups = ngram_join.similar_documents(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of linked documents, the one with the least doc_id stays (one row of it); rows without a doc_id stay.
+
+    Rows that repeat a doc_id with other texts are judged by their own text's group.
+    """
+    first = ngram_join.judged_rows(docs).filter("is_first").select("doc_id", F.col("text_hash").alias("__h")).distinct()
+    hashed = docs.withColumn("__h", ngram_join.text_hash(F.col("text")))
+    named = hashed.join(first, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
     return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
 
 

@@ -225,6 +225,22 @@ def test_ngram_join_repeated_and_null_ids(spark):
     assert sorted(got, key=order) == sorted(by_row(rows), key=order)
 
 
+def test_near_duplicates_keeps_other_texts_of_an_id(spark):
+    rows = same_ids_and_none()
+    rows.append(rows[0])  # a repeated row
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").collect()]
+    parts = defaultdict(list)
+    for i, (n, c) in groups([(i, t) for i, (_, t) in enumerate(rows)]).items():
+        parts[c if n else -1 - i].append(rows[i])
+    want = [r for r in rows if r[0] is None]
+    for part in parts.values():
+        ids = [r[0] for r in part if r[0] is not None]
+        if ids:
+            want += sorted({r for r in part if r[0] == min(ids)})[:1]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_url_feed_has_every_junk_name(spark, tmp_path):
     names = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
     pages = [(i, f"http://www.{n}.example.net/x/{i}") for i, n in enumerate(names)] + [(9, "http://ok.example.net/x/9")]
