@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from braidmark.llm.store import bound_batches
 from braidmark.llm.words import bytes_and_offsets, pieces
 
 # classes of code points
@@ -156,7 +157,7 @@ class _Cache(dict):
 class Vocabulary:
     """Ranks of byte strings, and a bounded cache of merged pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], most_cached: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], most_cached: int = 150_000):
         self.ranks, self.most = ranks, most_cached
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
@@ -251,6 +252,7 @@ def _digests(path: str, doc_id: str, text: str):
 
 def token_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    bound_batches(docs.sparkSession)
     return docs.select(doc_id, text).mapInArrow(_digests(path, doc_id, text), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -269,6 +271,7 @@ def _encoded(path: str, doc_id: str, text: str):
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, and per pre-token its first byte (starts) and number of ids (sizes)."""
+    bound_batches(docs.sparkSession)
     return docs.select(doc_id, text).mapInArrow(_encoded(path, doc_id, text), "doc_id long, ids array<int>, starts array<int>, sizes array<int>")
 
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidmark.llm.store import bound_batches
 from braidmark.llm.words import U, bytes_and_offsets, hash_words, mix, pieces, rolling
 
 # Families and common wordings of their notices.
@@ -236,5 +237,6 @@ def _scanned(model: Model, doc_id: str, text: str, sure: float, least: float, do
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", sure: float = 0.6, least: float = 0.6) -> DataFrame:
     """doc_id, n_paragraphs, n_license, n_unknown, families (comma-joined) and paragraphs (number, family, probability)."""
+    bound_batches(docs.sparkSession)
     shape = "doc_id long, n_paragraphs long, n_license long, n_unknown long, families string, paragraphs array<struct<paragraph:int,family:string,probability:double>>"
     return docs.select(doc_id, text).mapInArrow(_scanned(model, doc_id, text, sure, least), shape)

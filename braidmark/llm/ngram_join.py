@@ -6,9 +6,9 @@ a document of fewer words has its whole sequence as one. Two sets link when
 
 Every set is put into one order: shingles of no other row first, then those of a few rows, then
 the crowded ones (of more than `crowded` rows: a passage or a base that many documents share), by
-hash within each kind. The kinds are two Bloom filters of fixed size over 40-bit fingerprints;
-the fingerprints are counted in spans of many documents, uniqued per span before they are
-shuffled. Any order that all sets share is exact, so what the filters mistake loses no pair, and
+hash within each kind. The kinds are two Bloom filters of fixed size over fingerprints of 40 bits
+or, for larger inputs, more; the fingerprints are counted in spans of many documents, uniqued per
+span before they are shuffled. Any order that all sets share is exact, so what the filters mistake loses no pair, and
 nothing is capped.
 
 The index lists, for each shingle, the classes that have it in their prefix: the shingles in this
@@ -16,7 +16,7 @@ order that a similar set can't miss all of. A set with enough shingles of its ow
 at all. Set relations then skip work twice.
 
 1. Answers from a similar set: each class is checked against one member of each of some of its
-   lists, in four turns, and in more while they find many links; linked classes make a star.
+   lists, in two turns, and in more while they find many links; linked classes make a star.
    Every other turn the member with the least before the shingle is taken, so that the base of a
    group of near copies is met. A star's members share all answers inside it, so a list of one
    star is dropped, and in other lists only pairs outside the list's largest star are read. A
@@ -44,10 +44,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from braidmark.llm.components import components
-from braidmark.llm.store import settle
+from braidmark.llm.store import discard, settle
 from braidmark.llm.words import U, hash_words, mix, pieces, rolling
 
 PER_BUCKET = 1
@@ -92,23 +91,29 @@ def _class_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-PRINT_BYTES = 5  # of a shingle's hash, in lists and filters; the sets themselves are compared whole
+def print_bytes(total: int) -> int:
+    """Bytes of a shingle's hash in lists and filters: so many that few of all shingles share one by chance. The sets themselves are compared whole."""
+    return min(8, max(5, -(-(total.bit_length() + 8) // 8)))
 
 
-def _prints(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> U(64 - 8 * PRINT_BYTES)
+def _prints(hashes: np.ndarray, width: int) -> np.ndarray:
+    return hashes >> U(64 - 8 * width)
 
 
-def _packed(t: np.ndarray) -> bytes:
-    return t.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - PRINT_BYTES :].tobytes()
+def _packed(t: np.ndarray, width: int) -> bytes:
+    return t.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // PRINT_BYTES, 8), np.uint8)
-    wide[:, 8 - PRINT_BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, PRINT_BYTES)
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, 8 - width :] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return wide.view(">u8").ravel().astype(U)
 
 
+def _bucket_of(t: np.ndarray, buckets: int, width: int) -> np.ndarray:
+    return (((t >> U(8 * width - 32)) * U(buckets)) >> U(32)).astype(np.int64)
+
+
 _SIGNED = "doc_id long, h long, k long, n int"
 
 
@@ -125,21 +130,27 @@ def _sign(text: str, doc_id: str, text_hash: str, size: int):
     return run
 
 
-def _dealt(text: str, size: int, buckets: int, crowded: int):
-    """Distinct fingerprints of a span of texts by hash range: met once, a few times, or more than `crowded` times."""
-    cuts = [U((i << 8 * PRINT_BYTES) // buckets) for i in range(1, buckets)]
+def _dealt(text: str, size: int, buckets: int, crowded: int, width: int):
+    """Distinct fingerprints of a span of texts by hash range: met once, a few times, or more than `crowded` times.
+
+    A span gives a row for each range that it has fingerprints in: never more rows than fingerprints.
+    """
 
     def dealt(sets):
         t, count = np.unique(np.concatenate(sets), return_counts=True)
-        at = np.searchsorted(t, np.array(cuts, U))
-        rows = [(_packed(x[c == 1]), _packed(x[(c > 1) & (c <= crowded)]), _packed(x[c > crowded])) for x, c in zip(np.split(t, at), np.split(count, at), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(range(buckets), pa.int32()), *(pa.array(v, pa.binary()) for v in zip(*rows, strict=True))], names=["bucket", "once", "few", "many"])
+        of = _bucket_of(t, buckets, width)
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        rows = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True):
+            x, c = t[s:e], count[s:e]
+            rows.append((_packed(x[c == 1], width), _packed(x[(c > 1) & (c <= crowded)], width), _packed(x[c > crowded], width)))
+        return pa.RecordBatch.from_arrays([pa.array(of[starts]), *(pa.array(v, pa.binary()) for v in zip(*rows, strict=True))], names=["bucket", "once", "few", "many"])
 
     def run(batches):
         sets, held = [], 0
         for batch in pieces(batches, text):
             for s in shingle_sets(batch, text, size):
-                sets.append(_prints(s))
+                sets.append(_prints(s, width))
                 held += len(s)
                 if held >= SPAN:
                     yield dealt(sets)
@@ -150,39 +161,42 @@ def _dealt(text: str, size: int, buckets: int, crowded: int):
     return run
 
 
-def _places(t: np.ndarray, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket, and four bits inside the bucket's part of the filter, of each fingerprint."""
+def _places(t: np.ndarray, bits: int) -> np.ndarray:
+    """Four bits inside the fingerprint's part of the filter."""
     h = mix(t + U(7))
-    within = np.stack([mix(h + U(i)) & U(bits - 1) for i in range(4)])
-    return ((t * U(buckets)) >> U(8 * PRINT_BYTES)).astype(np.int64), within
+    return np.stack([mix(h + U(i)) & U(bits - 1) for i in range(4)])
 
 
-def _filter_parts(buckets: int, bits: int, crowded: int):
+def _filter_parts(bits: int, crowded: int, width: int):
     def run(table: pa.Table) -> pa.Table:
-        found = [_unpacked(b"".join(table.column(c).to_pylist())) for c in ("once", "few", "many")]
+        found = [_unpacked(b"".join(table.column(c).to_pylist()), width) for c in ("once", "few", "many")]
         weight = np.repeat([1, 2, crowded + 1], [len(x) for x in found])
         t, at = np.unique(np.concatenate(found), return_inverse=True)
         rows = np.bincount(at, weight, len(t))
         parts = []
         for least in (1, crowded):
             part = np.zeros(bits, bool)
-            part[_places(t[rows > least], buckets, bits)[1].ravel()] = True
+            part[_places(t[rows > least], bits).ravel()] = True
             parts.append(pa.array([np.packbits(part).tobytes()], pa.binary()))
         return pa.table([table.column("bucket").slice(0, 1), *parts], names=["bucket", "shared", "hot"])
 
     return run
 
 
-def _among(t: np.ndarray, table: np.ndarray) -> np.ndarray:
-    buckets, width = table.shape
-    bucket, within = _places(t, buckets, 8 * width)
+def _joined_parts(table: pa.Table) -> pa.Table:
+    """The bits of all buckets that share a part."""
+    both = [pa.array([np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()]).tobytes()], pa.binary()) for c in ("shared", "hot")]
+    return pa.table([table.column("part").slice(0, 1), *both], names=["part", "shared", "hot"])
+
+
+def _among(t: np.ndarray, table: np.ndarray, part: np.ndarray) -> np.ndarray:
     keep = np.ones(len(t), bool)
-    for bit in within.astype(np.int64):
-        keep &= (table[bucket, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+    for bit in _places(t, 8 * table.shape[1]).astype(np.int64):
+        keep &= (table[part, bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
     return keep
 
 
-def _picked(text: str, size: int, percent: int, filters):
+def _picked(text: str, size: int, percent: int, filters, buckets: int, width: int):
     """The shared fingerprints in each text's prefix, with their places, and a sketch of all its shared shingles; texts without one in the prefix are left out."""
 
     def run(batches):
@@ -190,9 +204,10 @@ def _picked(text: str, size: int, percent: int, filters):
         for batch in pieces(batches, text):
             keys, sizes, lists, places, sketches = [], [], [], [], []
             sets = list(shingle_sets(batch, text, size))
-            t = _prints(np.concatenate(sets)) if sets else np.empty(0, U)
-            kind = _among(t, shared).astype(np.int8)
-            kind[kind == 1] += _among(t[kind == 1], hot)
+            t = _prints(np.concatenate(sets), width) if sets else np.empty(0, U)
+            part = _bucket_of(t, buckets, width) % len(shared)
+            kind = _among(t, shared, part).astype(np.int8)
+            kind[kind == 1] += _among(t[kind == 1], hot, part[kind == 1])
             end = 0
             for s in sets:
                 begin, end = end, end + len(s)
@@ -265,21 +280,31 @@ class _Join:
         texts = self.docs.join(sent(asked), address).select("k", "__text").dropDuplicates(["k"])  # repeated rows have one address
         right = near.join(texts.select(F.col("k").alias("b"), F.col("__text").alias("tb")), "b")
         met = right.join(texts.select(F.col("k").alias("a"), F.col("__text").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return settle(met.mapInArrow(_linked("text", self.size, self.percent), "a long, b long").distinct(), "links")
+        out = settle(met.mapInArrow(_linked("text", self.size, self.percent), "a long, b long").distinct(), "links")
+        discard(near, asked)
+        return out
 
 
 def _prefixes(docs: DataFrame, total: int, size: int, percent: int, crowded: int, bucket_prints: int = 500_000, most_bits: int = 1 << 26) -> DataFrame:
-    """k, n, t, pos, sketch: the fingerprints in each class's prefix that another row may have too; total: of the sizes of all sets."""
-    buckets = total // bucket_prints + 1
-    bits = 1 << max(10, (min(most_bits, 4 * total) // buckets).bit_length() - 1)
-    dealt = docs.select("__text").mapInArrow(_dealt("__text", size, buckets, crowded), "bucket int, once binary, few binary, many binary")
-    made = dealt.groupBy("bucket").applyInArrow(_filter_parts(buckets, bits, crowded), "bucket int, shared binary, hot binary").collect()
-    filters = np.zeros((2, buckets, bits // 8), np.uint8)
-    for row in made:  # at most 2 * most_bits in all, or 1024 bits a bucket, however large the input
-        for which, part in enumerate((row.shared, row.hot)):
-            filters[which, row.bucket] = np.frombuffer(part, np.uint8)
+    """k, n, t, pos, sketch: the fingerprints in each class's prefix that another row may have too; total: of the sizes of all sets.
+
+    Buckets of about bucket_prints fingerprints are counted apart. Each fills a part of the two
+    filters, which have most_bits bits each at most, however large the input: beyond that, buckets
+    share parts.
+    """
+    buckets, width = total // bucket_prints + 1, print_bytes(total)
+    parts = min(buckets, max(1, most_bits >> 10))
+    bits = 1 << max(10, (min(most_bits, 4 * total) // parts).bit_length() - 1)
+    dealt = docs.select("__text").mapInArrow(_dealt("__text", size, buckets, crowded, width), "bucket long, once binary, few binary, many binary")
+    made = dealt.groupBy("bucket").applyInArrow(_filter_parts(bits, crowded, width), "bucket long, shared binary, hot binary")
+    part = F.pmod("bucket", F.lit(parts).cast("bigint"))
+    joined = made.select(part.alias("part"), "shared", "hot").groupBy("part").applyInArrow(_joined_parts, "part long, shared binary, hot binary").collect()
+    filters = np.zeros((2, parts, bits // 8), np.uint8)
+    for row in joined:  # at most 2 * most_bits in all
+        for which, bitmap in enumerate((row.shared, row.hot)):
+            filters[which, row.part] = np.frombuffer(bitmap, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    return docs.select("__text").mapInArrow(_picked("__text", size, percent, sent), "k long, n int, t array<long>, pos array<int>, sketch binary").dropDuplicates(["k"])
+    return docs.select("__text").mapInArrow(_picked("__text", size, percent, sent, buckets, width), "k long, n int, t array<long>, pos array<int>, sketch binary").dropDuplicates(["k"])
 
 
 def _sizes_fit(percent: int) -> str:
@@ -299,6 +324,7 @@ def _star_pairs(heads: DataFrame, stars: DataFrame | None, percent: int, turn: i
     before = F.floor(32 * F.col("pos") / F.col("n")) if turn % 2 == 0 else F.lit(0).cast("bigint")
     chosen = F.min(F.struct(before.alias("before"), F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c", "pos")).alias("r")
     lists = some.groupBy("t").agg(chosen, F.min("c").alias("low"), F.max("c").alias("high")).filter("low != high")
+    lists = settle(lists.select("t", "r"), "star-lists")  # a table, so that a hot list's join can be split
     met = some.selectExpr("t", "k", "c", "n AS na", "pos AS ia").join(lists.selectExpr("t", "r.k AS r", "r.n AS nb", "r.c AS rc", "r.pos AS ib"), "t")
     return met.filter(f"c != rc AND {_sizes_fit(percent)} AND {_enough_left(percent)}").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
 
@@ -331,18 +357,19 @@ def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     n_classes = least.count()
     star_links, stars, turn = None, None, 0
     while True:
-        new = settle(work.links(_star_pairs(heads, stars, percent, turn)), "star-links")
+        new = work.links(_star_pairs(heads, stars, percent, turn))
         n_new, turn = new.count(), turn + 1
         star_links = new if star_links is None else star_links.unionByName(new)
         if n_new or stars is None:
-            stars = settle(components(star_links), "stars")
-        if turn >= 4 and n_new * few_per <= n_classes:
+            old, stars = stars, settle(components(star_links if stars is None else new.unionByName(stars.selectExpr("node AS a", "component AS b")), most_rounds=2), "stars")
+            discard(old)
+        if turn >= 2 and n_new * few_per <= n_classes:
             break
 
     known = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = known.select("k", "c", "n", F.inline(F.arrays_zip("t", "pos")))
     counted = known.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("t")
-    spread = counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major")).filter("stars > 1").drop("stars")
+    spread = settle(counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major")).filter("stars > 1").drop("stars"), "spread")
     lists = settle(known.join(spread, "t").select("t", "k", "c", "n", F.col("pos").alias("at"), (F.col("c") != F.col("major")).alias("minor")), "lists")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 - 1e-9)))
@@ -356,7 +383,7 @@ def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     # of two members of different stars, one at least is outside the list's largest star
     more = work.links(settle(pairs_of(lists.filter("minor"), lists).distinct(), "pairs"))
 
-    found = components(star_links.unionByName(more))
+    found = components(stars.selectExpr("node AS a", "component AS b").unionByName(star_links).unionByName(more))
     # the least doc_id of each component
     found = found.withColumnRenamed("node", "k")
     head = F.min(F.struct(F.col("first_id").isNull(), "first_id", "k"))

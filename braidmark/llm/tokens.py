@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from braidmark.llm.store import bound_batches
 from braidmark.llm.words import pieces
 
 
@@ -37,7 +38,7 @@ def _byte_letters() -> list[str]:
 class Counter(dict):
     """pre-token -> number of tokens: proven ones at the start, merged ones as they come."""
 
-    def __init__(self, path: str, most_cached: int = 700_000):
+    def __init__(self, path: str, most_cached: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -141,5 +142,6 @@ def _counted(path: str, doc_id: str, text: str):
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
+    bound_batches(docs.sparkSession)
     counted = docs.select(doc_id, text).mapInArrow(_counted(path, doc_id, text), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", counted.n_tokens > limit)

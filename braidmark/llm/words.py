@@ -131,3 +131,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             j = max(i + 1, int(np.searchsorted(size, size[i] + most_bytes, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers live on between tasks

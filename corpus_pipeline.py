@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidmark.llm import bpe, mixing, ngram_join, pii, quality
-from braidmark.llm.store import settle
+from braidmark.llm.store import discard, settle
 from braidmark.session import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go."""
-    failed = settle(quality.failures(quality.measure(docs)), "quality")
-    hosts = settle(quality.host_verdicts(failed), "hosts")
-    return quality.judge(failed, hosts).filter("kept").select(*docs.columns)
+    """Documents that the rules or their host's verdict reject go. Extra columns stay as they are, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"))
+    failed = settle(quality.failures(quality.measure(rows, "__row.text")), "quality")
+    hosts = settle(quality.host_verdicts(failed, "__row.source"), "hosts")
+    return quality.judge(failed, hosts, "__row.source").filter("kept").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat a doc_id with other texts are judged by their own text's group.
     """
-    first = ngram_join.judged_rows(docs).filter("is_first").select("doc_id", F.col("text_hash").alias("__h")).distinct()
-    hashed = docs.withColumn("__h", ngram_join.text_hash(F.col("text")))
-    named = hashed.join(first, ["doc_id", "__h"], "left_semi").dropDuplicates(["doc_id", "__h"]).drop("__h")
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    judged = settle(ngram_join.judged_rows(docs).select("doc_id", F.col("text_hash").alias("__h"), "is_first"), "judged")
+    # thin rows: which texts stay, and which of those come in several equal rows
+    first = settle(judged.filter("is_first AND doc_id IS NOT NULL").groupBy("doc_id", "__h").agg((F.count(F.lit(1)) > 1).alias("__again")), "first")
+    given = docs.select("*", F.col("doc_id").alias("__id"), ngram_join.text_hash(F.col("text")).alias("__h"))
+    kept = given.join(first.withColumnRenamed("doc_id", "__id"), ["__id", "__h"])
+    once = kept.filter("NOT __again").unionByName(kept.filter("__again").dropDuplicates(["__id", "__h"]))
+    return once.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +44,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, and those of lighter sources again until the weights are met."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    """Every document once, and those of lighter sources again until the weights are met. Extra columns stay as they are."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"))
+    return mixing.mix_sources(rows, doc_id="__row.doc_id", source="__row.source", text="__row.text").select("__row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        before, docs = docs, settle(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
