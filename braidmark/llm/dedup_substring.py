@@ -2,13 +2,12 @@
 
 Documents are cut into segments: runs of consecutive windows with the same minimizer (the least
 hash of their 8-word pieces). Equal windows have equal minimizers, so whatever a window could
-equal has its minimizer, and a minimizer that occurs once needs no more looking at. Segments
-that occur twice as they are consist of repeats. The other segments with a common minimizer
-differ somewhere: they go, each different one once, to the shard of their minimizer, where a
-compressed FM-index (Burrows-Wheeler transform in a wavelet matrix) is built from them and they
-are streamed through it: backward search gives the matching statistics, and intervals of at
-least `width` words matched at two places or more are reported back to every document that has
-the segment.
+equal has its minimizer, and a minimizer that occurs once needs no more looking at. All segments
+with a common minimizer go, each different one once and with the number of its occurrences, to the
+shard of their minimizer, where a compressed FM-index (Burrows-Wheeler transform in a wavelet
+matrix) is built from them and they are streamed through it: backward search gives the matching
+statistics, and intervals of at least `width` words that weigh two occurrences or more are
+reported back to every document that has the segment.
 
 No shard collects a hot phrase: the segments of a minimizer with more than `crowded` different
 ones are taken apart into windows, which are counted by their own hash instead.
@@ -18,7 +17,8 @@ different ones meet is about 3 %, that of one given pair 5e-20).
 
 Defined results: a null or wordless text has no words and keeps none (the hash of an empty
 string); repeated rows are documents like any other, so their windows are repeats; a doc_id may
-name several texts; extra columns are ignored; an empty table gives an empty result.
+name several texts, and may be null: rows are told apart by doc_id and 64-bit text hash; texts of
+any length are cut whole; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from braidmark.llm import words
 from braidmark.llm.fm_index import repeated_windows
-from braidmark.llm.store import settle
+from braidmark.llm.store import discard, settle
 from braidmark.llm.words import U, hash_words, mix, pieces, rolling
 
 PIECE = 8
-_SEGMENTS = "doc_id long, key long, start array<int>, nw array<int>, m array<long>, sh array<long>, self array<boolean>"
+_SEGMENTS = "doc_id long, h long, start array<int>, nw array<int>, m array<long>, sh array<long>, self array<boolean>"
 
 
 def _sums(hashes: np.ndarray) -> np.ndarray:
@@ -59,12 +59,6 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(x) - width + 1], have[width - size : width - size + len(x) - width + 1])
 
 
-def _row_keys(ids: pa.Array, sums: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """A key of each row's doc_id and words."""
-    named = mix(np.asarray(ids.fill_null(0)).astype(np.int64).view(U) + U(1))
-    return (mix(named ^ _hash_of(sums, before[:-1], before[1:]))).view(np.int64)
-
-
 def cut_segments(hashes: np.ndarray, before: np.ndarray, width: int):
     """start, number of windows, minimizer, end of the first segment of each text, and self: two equal windows inside."""
     n = len(hashes)
@@ -104,27 +98,23 @@ def _cut(doc_id: str, text: str, width: int):
             inside = start - np.repeat(before[:-1], np.diff(at))
             at = pa.array(at.astype(np.int32))
             lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (inside.astype(np.int32), nw.astype(np.int32), m.view(np.int64), sh.view(np.int64), own)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(_row_keys(ids, sums, before)), *lists], names=["doc_id", "key", "start", "nw", "m", "sh", "self"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(batch.schema.get_field_index("h")), *lists], names=["doc_id", "h", "start", "nw", "m", "sh", "self"])
 
     return run
 
 
-def _read_words(doc_id: str, text: str, width: int):
-    """Rows with a list of wanted segments (start, nw, m, sh, crowded) to the words of each."""
-    fields = [("m", pa.int64()), ("sh", pa.int64()), ("nw", pa.int32()), ("crowded", pa.bool_()), ("words", pa.list_(pa.int64()))]
+def _read_words(text: str, width: int):
+    """Rows with a list of wanted segments (start, nw, m, sh, weight) to the words of each."""
+    fields = [("m", pa.int64()), ("sh", pa.int64()), ("nw", pa.int32()), ("weight", pa.int32()), ("words", pa.list_(pa.int64()))]
 
     def run(batches):
         for batch in pieces(batches, text):
-            ids = batch.column(batch.schema.get_field_index(doc_id))
             hashes, before, *_ = hash_words(batch.column(batch.schema.get_field_index(text)))
-            keys = _row_keys(ids, _sums(hashes), before)
-            wanted = batch.column(batch.schema.get_field_index("wanted"))
-            right = keys == np.asarray(batch.column(batch.schema.get_field_index("key")))
             out = {name: [] for name, _ in fields}
-            for i in np.flatnonzero(right).tolist():
-                for s in wanted[i].as_py():
+            for i, wanted in enumerate(batch.column(batch.schema.get_field_index("wanted")).to_pylist()):
+                for s in wanted:
                     at = int(before[i]) + s["start"]
-                    for name in ("m", "sh", "nw", "crowded"):
+                    for name in ("m", "sh", "nw", "weight"):
                         out[name].append(s[name])
                     out["words"].append(hashes[at : at + s["nw"] + width - 1].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in fields], names=[n for n, _ in fields])
@@ -153,7 +143,7 @@ def _search(width: int):
         starts = np.concatenate([[0], np.cumsum(length + 1)[:-1]]).astype(np.int64)
         text = np.zeros(int((length + 1).sum()), np.int64)
         text[np.arange(len(flat)) + np.repeat(np.arange(len(size)), length)] = number + 1
-        hit = repeated_windows(text, starts, size, width, len(symbols) + 1)
+        hit = repeated_windows(text, starts, size, width, len(symbols) + 1, np.asarray(table.column("weight")).astype(np.int64))
         runs = [_runs(hit[s : s + n]) for s, n in zip(starts.tolist(), size.tolist(), strict=True)]
         found = pa.Table.from_arrays([table.column("m"), table.column("sh"), table.column("nw"), pa.array(runs, pa.list_(pa.int32()))], schema=_FOUND)
         return found.filter(pa.array([bool(r) for r in runs], pa.bool_()))
@@ -162,17 +152,17 @@ def _search(width: int):
 
 
 def _apart(width: int):
-    """Segments to their windows' hashes."""
+    """Segments to their windows' hashes, each window once a segment and as heavy as it."""
 
     def run(batches):
         for batch in batches:
-            m, sh, nw = (batch.column(batch.schema.get_field_index(c)) for c in ("m", "sh", "nw"))
+            m, sh, nw, weight = (batch.column(batch.schema.get_field_index(c)) for c in ("m", "sh", "nw", "weight"))
             full = [rolling(np.asarray(w.values).view(U), width).view(np.int64) for w in batch.column(batch.schema.get_field_index("words"))]
             count = np.array([len(f) for f in full], np.int64)
             at = pa.array(np.repeat(np.arange(len(full)), count))
             place = np.concatenate([np.arange(c) for c in count] or [np.empty(0)]).astype(np.int32)
             hashes = np.concatenate(full) if full else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([m.take(at), sh.take(at), nw.take(at), pa.array(place), pa.array(hashes)], names=["m", "sh", "nw", "place", "window"])
+            yield pa.RecordBatch.from_arrays([m.take(at), sh.take(at), nw.take(at), weight.take(at), pa.array(place), pa.array(hashes)], names=["m", "sh", "nw", "weight", "place", "window"])
 
     return run
 
@@ -182,10 +172,9 @@ def _strip(doc_id: str, text: str, width: int):
         for batch in pieces(batches, text):
             ids = batch.column(batch.schema.get_field_index(doc_id))
             hashes, before, data, starts, ends = hash_words(batch.column(batch.schema.get_field_index(text)))
-            keys = _row_keys(ids, _sums(hashes), before)
-            want, found = np.asarray(batch.column(batch.schema.get_field_index("key"))), batch.column(batch.schema.get_field_index("found"))
+            found = batch.column(batch.schema.get_field_index("found"))
             rows, raw = [], data.tobytes()
-            for i in np.flatnonzero(keys == want).tolist():
+            for i in range(batch.num_rows):
                 s, e = int(before[i]), int(before[i + 1])
                 change = np.zeros(e - s + 1, np.int64)
                 for seg in found[i].as_py() or ():
@@ -206,31 +195,35 @@ def _strip(doc_id: str, text: str, width: int):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 35, crowded: int = 2000, shard_words: int = 300_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text and removed (first, last word of each removed stretch)."""
-    docs = docs.select(doc_id, text)
+    docs = docs.select(doc_id, text, F.xxhash64(text).alias("h"))
     cut = settle(docs.mapInArrow(_cut(doc_id, text, width), _SEGMENTS), "segments")
-    every = cut.select("doc_id", "key", F.inline(F.arrays_zip("start", "nw", "m", "sh", "self")))
-    met = every.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("self").alias("own")).filter("c > 1 OR own").select("m")
+    every = cut.select("doc_id", "h", F.inline(F.arrays_zip("start", "nw", "m", "sh", "self")))
+    # what is joined back to rows is written first: a join of two tables, whose hot keys Spark can split
+    met = settle(every.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("self").alias("own")).filter("c > 1 OR own").select("m"), "met")
     shared = settle(every.join(met, "m"), "shared")
-
-    kinds = shared.groupBy("m", "sh", "nw").agg(F.count(F.lit(1)).alias("c"), F.max("self").alias("own"), F.min(F.struct("doc_id", "key", "start")).alias("at"))
-    kinds = settle(kinds, "kinds")
-    per = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("different"), F.max("own").alias("any_own")).filter("different > 1 OR any_own")
-    asked = kinds.join(per, "m").select("m", "sh", "nw", "at.*", (F.col("different") > crowded).alias("crowded"))
-    wanted = asked.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "nw", "m", "sh", "crowded")).alias("wanted"))
-    given = docs.join(wanted.withColumnRenamed("doc_id", "__id"), F.col(doc_id).eqNullSafe(F.col("__id"))).select(doc_id, text, "key", "wanted")
-    read = given.mapInArrow(_read_words(doc_id, text, width), "m long, sh long, nw int, crowded boolean, words array<long>")
+    discard(cut, met)
+
+    kinds = shared.groupBy("m", "sh", "nw").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight"), F.min(F.struct("doc_id", "h", "start")).alias("at"))
+    kinds = settle(kinds.select("m", "sh", "nw", "weight", "at.*"), "kinds")
+    wanted = kinds.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "nw", "m", "sh", "weight")).alias("wanted"))
+    same_row = lambda x: F.col(doc_id).eqNullSafe(F.col(f"{x}_id")) & (F.col("h") == F.col(f"{x}_h"))
+    given = docs.join(wanted.withColumnsRenamed({"doc_id": "w_id", "h": "w_h"}), same_row("w")).select(text, "wanted")
+    read = given.mapInArrow(_read_words(text, width), "m long, sh long, nw int, weight int, words array<long>")
     read = settle(read.dropDuplicates(["m", "sh", "nw"]), "words")
 
-    total = read.filter("NOT crowded").agg(F.sum(F.col("nw") + width)).first()[0] or 0
+    hot = settle(kinds.groupBy("m").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowded).select("m"), "hot")
+    easy = read.join(hot, "m", "left_anti")
+    total = read.agg(F.sum(F.col("nw") + width)).first()[0] or 0
     shards = total // shard_words + 1
-    found = read.filter("NOT crowded").groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInArrow(_search(width), "m long, sh long, nw int, runs array<int>")
-    windows = settle(read.filter("crowded").mapInArrow(_apart(width), "m long, sh long, nw int, place int, window long"), "windows")
-    twice = windows.groupBy("window").count().filter("count > 1")
-    single = windows.join(twice, "window", "left_semi").groupBy("m", "sh", "nw").agg(F.flatten(F.collect_list(F.array("place", "place"))).alias("runs"))
-    copied = kinds.filter("c > 1").select("m", "sh", "nw", F.array(F.lit(0), F.col("nw") - 1).alias("runs"))
-    again = settle(copied.unionByName(found).unionByName(single), "found")
-
-    spans = shared.join(again, ["m", "sh", "nw"]).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
-    rows = cut.select("doc_id", "key").distinct().withColumnRenamed("doc_id", "__id").join(spans.withColumnRenamed("doc_id", "__id2"), F.col("__id").eqNullSafe(F.col("__id2")) & (spans.key == cut.key), "left").select("__id", cut.key, "found")
-    full = docs.join(rows, F.col(doc_id).eqNullSafe(F.col("__id")), "left").select(doc_id, text, "key", "found")
+    found = easy.groupBy(F.pmod(F.xxhash64("m"), F.lit(shards)).alias("shard")).applyInArrow(_search(width), "m long, sh long, nw int, runs array<int>")
+    windows = settle(read.join(hot, "m", "left_semi").mapInArrow(_apart(width), "m long, sh long, nw int, weight int, place int, window long"), "windows")
+    twice = settle(windows.groupBy("window").agg(F.sum("weight").alias("n")).filter("n > 1").select("window"), "twice")
+    single = windows.join(twice, "window").groupBy("m", "sh", "nw").agg(F.flatten(F.collect_list(F.array("place", "place"))).alias("runs"))
+    again = settle(found.unionByName(single), "found")
+    discard(read, hot, windows, twice, kinds)
+
+    # repeated rows share their doc_id and hash, and so their segments
+    own = shared.dropDuplicates(["doc_id", "h", "start"])
+    spans = own.join(again, ["m", "sh", "nw"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
+    full = docs.join(spans.withColumnsRenamed({"doc_id": "s_id", "h": "s_h"}), same_row("s"), "left").select(doc_id, text, "found")
     return full.mapInArrow(_strip(doc_id, text, width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<int>")

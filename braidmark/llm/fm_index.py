@@ -60,9 +60,11 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, symbols: int):
-        """text: numbers from 1, each text followed by 0."""
+    def __init__(self, text: np.ndarray, symbols: int, weights: np.ndarray):
+        """text: numbers from 1, each text followed by 0; weights: how often each text occurs."""
         order = suffix_order(text)
+        text_of = np.cumsum(text == 0) - (text == 0)
+        self.mass = np.concatenate([[0], np.cumsum(weights[text_of[order]])])
         self.wavelet = WaveletMatrix(text[order - 1], symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))]).astype(np.int64)
         self.n = len(text)
@@ -74,23 +76,23 @@ class FMIndex:
         return at + both[:m], at + both[m:]
 
 
-def repeated_windows(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int, symbols: int) -> np.ndarray:
-    """For windows[j] consecutive windows of `width` from starts[j] on: which occur twice or more in text.
+def repeated_windows(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int, symbols: int, weights: np.ndarray) -> np.ndarray:
+    """For windows[j] consecutive windows of `width` from starts[j] on: which occur twice or more in text, whose j-th text occurs weights[j] times.
 
     Returns a mask over text's places. Each pattern holds a range of undecided windows and tries,
     in turn, the whole stretch under them and the leftmost window alone, going back word by word
-    while at least two places match (the matching statistics of the stretch's end). Where the match
+    while places of a weight of two match (the matching statistics of the stretch's end). Where the match
     of a stretch ends, the windows to the right of that place are repeats; where that of the
     leftmost window ends, no window that covers the unmatched part can be.
     """
-    index, hit = FMIndex(text, symbols), np.zeros(len(text) + 1, np.int64)
+    index, hit = FMIndex(text, symbols, weights), np.zeros(len(text) + 1, np.int64)
     low, high = starts.astype(np.int64), (starts + windows - 1).astype(np.int64)
     whole = np.ones(len(low), bool)
     at = high + width - 1
     a, b = np.zeros(len(low), np.int64), np.full(len(low), index.n, np.int64)
     while len(low):
         x, y = index.step(text[at], a, b)
-        alive = y - x >= 2
+        alive = index.mass[y] - index.mass[x] >= 2
         done = alive & (at == low)
         fail = ~alive
         # a full match: all undecided windows of a stretch, or the one leftmost window

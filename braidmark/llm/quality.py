@@ -2,10 +2,12 @@
 
 Each document is measured by column expressions alone. Rule failures are added up per host
 (partial sums, so one hot host costs no single task its rows), the host's failure rate is
-shrunk by a beta prior fitted to all hosts by moments, and the host's verdict is joined back:
-documents of a bad host are held to the strict limits, all others to the lenient ones.
+shrunk by a beta prior fitted to all hosts by moments, and the host's verdict is joined back: a
+host is bad if its shrunk rate lies more than host_z of the prior's standard deviations above the
+prior's mean, or above host_rate at all. Documents of a bad host are held to the strict limits,
+all others to the lenient ones.
 
-Defined results: a null text counts as empty (no words, so it fails the word minimum); a null
+Defined results: texts of any length are measured whole; hosts that tie have the same verdict; a null text counts as empty (no words, so it fails the word minimum); a null
 host is a host of its own; repeated rows are judged row by row; extra columns pass through
 `judge` untouched except those it adds; an empty table gives an empty result.
 """
@@ -33,6 +35,7 @@ class Limits:
     dup_line_pct: int = 50
     dup_line_pct_strict: int = 30
     host_rate: float = 0.5
+    host_z: float = 1.0
     least_strength: float = 2.0
     most_strength: float = 1000.0
 
@@ -130,10 +133,12 @@ def host_verdicts(failed: DataFrame, host: str = "source", limits: Limits = Limi
     prior = moments.select("m", F.greatest(F.lit(limits.least_strength), F.least(F.lit(limits.most_strength), strength)).alias("k"))
     # one row: the two moments of all hosts
     shrunk = (F.col("n_failed") + F.col("m") * F.col("k")) / (F.col("n_docs") + F.col("k"))
+    limit = F.least(F.lit(limits.host_rate), F.col("m") + limits.host_z * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("k") + 1)))
+    # rounded, so that equal hosts tie whatever the order of sums
     return (
         per_host.join(F.broadcast(prior), F.lit(True))
-        .withColumn("shrunk_rate", shrunk)
-        .select("host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > limits.host_rate).alias("host_bad"))
+        .withColumns({"shrunk_rate": F.round(shrunk, 9), "__limit": F.round(limit, 9)})
+        .select("host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > F.col("__limit")).alias("host_bad"))
     )
 
 

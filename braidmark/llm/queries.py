@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidmark.llm import bpe, dedup_substring, licenses, mixing, ngram_join, pii, quality, tokens, topk, urls
+from braidmark.llm import bpe, dedup_substring, licenses, mixing, ngram_join, oracles, pii, quality, tokens, topk, urls
 from braidmark.llm.store import settle
 from braidmark.session import table
 
@@ -85,4 +85,10 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_quality_rules": oracles.OP1,
+    "op2_topk_bit_sliced": oracles.OP2,
+    "op3_substring_dedup": oracles.OP3,
+    "op8_ngram_jaccard": oracles.OP8,
+    "op9_url_filter": oracles.op9(JUNK_NAMES),
+}

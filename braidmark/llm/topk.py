@@ -8,8 +8,10 @@ the slices of all rows' scores. The best rows are then selected from the most si
 downward; rows that still tie at the k-th place are resolved by the least id, and the scores of
 the selected rows are computed anew as whole numbers.
 
-Query groups of bounded size meet blocks of bounded size; each block gives k rows per query, and
-the best k of all blocks remain.
+The index is one table, a row for each block: its ids, its values and its slices, built once.
+Queries are packed into groups of bounded size that are sent to the blocks (a group is much
+smaller than a block); each block gives k rows per query, and the best k of all blocks remain. A
+block's row is copied only while there are fewer blocks than `spread`, to keep more tasks busy.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
 rows that repeat a vec_id are rows of their own, and queries of their own, if their quantised
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from braidmark.llm.store import settle
+
 U = np.uint64
 
 
@@ -37,23 +41,28 @@ def quantise(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embed
     return usable.distinct().withColumn("dim", F.size("q"))
 
 
+def _sliced(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids and values in order of id, and the slices: bitmaps by digit and attribute."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], values[order]
+    n, dims = values.shape
+    above = values - values.min(0)
+    digits = max(1, int(above.max(initial=0)).bit_length())
+    bits = np.zeros((digits, dims, -(-n // 64) * 64), np.uint8)
+    for j in range(digits):
+        bits[j, :, :n] = ((above >> j) & 1).T
+    return ids, values, np.packbits(bits, axis=2, bitorder="little").view(U)
+
+
 class SlicedBlock:
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order]
-        n, dims = self.values.shape
-        self.least = self.values.min(0)
-        above = self.values - self.least
-        self.digits = max(1, int(above.max(initial=0)).bit_length())
-        rows = -(-n // 64) * 64
-        bits = np.zeros((self.digits, dims, rows), np.uint8)
-        for j in range(self.digits):
-            bits[j, :, :n] = ((above >> j) & 1).T
-        plain = np.packbits(bits, axis=2, bitorder="little").view(U)
-        self.slices = np.concatenate([plain.reshape(self.digits * dims, -1), ~plain.reshape(self.digits * dims, -1)])
-        self.full = np.zeros(rows, np.uint8)
-        self.full[:n] = 1
-        self.full = np.packbits(self.full, bitorder="little").view(U)
+    def __init__(self, ids: np.ndarray, values: np.ndarray, plain: np.ndarray):
+        self.ids, self.values = ids, values
+        self.digits, dims, words = plain.shape
+        plain = plain.reshape(self.digits * dims, words)
+        self.slices = np.concatenate([plain, ~plain])
+        full = np.zeros(words * 64, np.uint8)
+        full[: len(ids)] = 1
+        self.full = np.packbits(full, bitorder="little").view(U)
 
     def _score_slices(self, weights: np.ndarray) -> list[np.ndarray]:
         """Bitmaps of all rows' scores (less a constant), least significant first."""
@@ -118,33 +127,63 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
 _BEST = pa.schema([("query_id", pa.int64()), ("nth", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+def _index(table: pa.Table) -> pa.Table:
+    """A block's rows to its row in the index."""
+    n = table.num_rows
+    ids, values, slices = _sliced(np.asarray(table.column("vec_id")), _matrix(table.column("q"), n))
+    small = np.int16 if np.abs(values).max(initial=0) < 1 << 15 else np.int64
+    packed = [pa.array([x.tobytes()], pa.binary()) for x in (ids, values.astype(small), slices)]
+    return pa.table([table.column("dim").slice(0, 1), table.column("block").slice(0, 1), pa.array([n], pa.int32()), *packed], names=["dim", "block", "n", "ids", "vals", "slices"])
+
+
+_INDEX = "dim int, block long, n int, ids binary, vals binary, slices binary"
+
+
+def _packed_queries(table: pa.Table) -> pa.Table:
+    asked, nth = (np.asarray(table.column(c)).astype(np.int64) for c in ("vec_id", "nth"))
+    packed = [pa.array([x.tobytes()], pa.binary()) for x in (asked, nth, _matrix(table.column("q"), table.num_rows))]
+    return pa.table([table.column("dim").slice(0, 1), table.column("part").slice(0, 1), *packed], names=["dim", "part", "asked", "nths", "weights"])
+
+
 def _meet(k: int):
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        if not rows.num_rows or not queries.num_rows:
-            return _BEST.empty_table()
-        block = SlicedBlock(np.asarray(rows.column("vec_id")), _matrix(rows.column("q"), rows.num_rows))
-        asked, nths, found, scores = [], [], [], []
-        for i, nth, w in zip(queries.column("vec_id").to_pylist(), queries.column("nth").to_pylist(), _matrix(queries.column("q"), queries.num_rows), strict=True):
-            ids, score = block.best(i, w, k)
-            asked.append(np.full(len(ids), i))
-            nths.append(np.full(len(ids), nth))
-            found.append(ids)
-            scores.append(score)
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (asked, nths, found, scores)], schema=_BEST)
+    """Rows of a block with a group of queries to the queries' best rows of the block; rows come in order of block."""
+
+    def run(batches):
+        held, block = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                get = lambda c: batch.column(batch.schema.get_field_index(c))[r]  # noqa: B023, E731
+                dim, n, key = get("dim").as_py(), get("n").as_py(), (get("dim").as_py(), get("block").as_py())
+                if key != held:
+                    raw = np.frombuffer(get("vals").as_buffer(), np.uint8)
+                    values = raw.view(np.int16 if len(raw) == 2 * n * dim else np.int64).reshape(n, dim).astype(np.int64)
+                    plain = np.frombuffer(get("slices").as_buffer(), U).reshape(-1, dim, -(-n // 64))
+                    held, block = key, SlicedBlock(np.frombuffer(get("ids").as_buffer(), np.int64), values, plain)
+                asked, nths = (np.frombuffer(get(c).as_buffer(), np.int64) for c in ("asked", "nths"))
+                weights = np.frombuffer(get("weights").as_buffer(), np.int64).reshape(len(asked), dim)
+                best = [block.best(int(i), w, k) for i, w in zip(asked, weights, strict=True)]
+                sizes = [len(ids) for ids, _ in best]
+                cols = [np.repeat(asked, sizes), np.repeat(nths, sizes), *(np.concatenate(x) for x in zip(*best, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_BEST)
 
     return run
 
 
-def top_k(quantised: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 16384, group_queries: int = 512) -> DataFrame:
+def top_k(quantised: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 16384, group_queries: int = 512, spread: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of quantised other than its own; k for each vector of a query's id."""
     n_blocks = max(1, -(-quantised.count() // block_rows))
     n_groups = max(1, -(-queries.count() // group_queries))
+    copies = min(n_groups, -(-spread // n_blocks))
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
     upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    rows = quantised.select("vec_id", "q", "dim", deal(n_blocks).alias("block"), F.explode(upto(n_groups)).alias("part"))
+    rows = quantised.select("vec_id", "q", "dim", deal(n_blocks).alias("block"))
+    index = settle(rows.groupBy("dim", "block").applyInArrow(_index, _INDEX), "sliced")
     nth = F.row_number().over(W.partitionBy("vec_id").orderBy("q")).cast("bigint")
-    asked = queries.withColumn("nth", nth).select("vec_id", "nth", "q", "dim", F.explode(upto(n_blocks)).alias("block"), deal(n_groups).alias("part"))
-    keys = ("dim", "block", "part")
-    best = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_meet(k), "query_id long, nth long, vec_id long, score long")
+    asked = queries.withColumn("nth", nth).select("vec_id", "nth", "q", "dim", deal(n_groups).alias("part"))
+    groups = settle(asked.groupBy("dim", "part").applyInArrow(_packed_queries, "dim int, part long, asked binary, nths binary, weights binary"), "asked")
+    sent = groups.select("*", F.explode(upto(n_blocks)).alias("block"), F.pmod("part", F.lit(copies)).alias("copy"))
+    copied = index.withColumn("copy", F.explode(upto(copies)))
+    met = sent.hint("merge").join(copied, ["dim", "block", "copy"])  # sorted by block, so a block is unpacked once a task
+    best = met.select("dim", "block", "n", "ids", "vals", "slices", "asked", "nths", "weights").mapInArrow(_meet(k), "query_id long, nth long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
