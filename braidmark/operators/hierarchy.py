@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidmark.session import written
+
 LEVELS = ("grade", "domain", "big_idea", "standard", "substandard")
 
 
+def split_label(df: DataFrame, text: str, most: int = 40) -> DataFrame:
+    """label: what stands before the first colon, if it is short and has no dot, else empty; body: what is left."""
+    t = F.trim(F.coalesce(F.col(text), F.lit("")))
+    at = F.locate(":", t)
+    head = F.trim(F.substring(t, F.lit(1), at - 1))
+    good = (at > 1) & (F.length(head) <= most) & ~F.contains(head, F.lit("."))
+    return df.withColumns({"label": F.when(good, head).otherwise(""), "body": F.when(good, F.trim(F.substr(t, at + 1))).otherwise(t)})
+
+
 def code_columns(df: DataFrame, code: str) -> DataFrame:
     """level (by depth), parent (null at the domain) and grade (K is 0; bands give null)."""
     parts = F.split(F.col(code), r"\.")
@@ -17,22 +28,47 @@ def code_columns(df: DataFrame, code: str) -> DataFrame:
     return df.withColumns({"level": level, "parent": parent, "grade": grade})
 
 
-def ancestors(nodes: DataFrame, node: str, parent: str, most_depth: int = 12) -> DataFrame:
-    """node, ancestor, distance for every ancestor in the table; a cycle or missing parent ends a chain.
+def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, ancestor, distance for every ancestor in the table, however deep; a missing parent or a cycle ends a chain.
 
-    One self-join per level of the tree, on edges that are still open.
+    One join per level of the tree, on the chains that are still open, each level written out; a
+    chain that comes to a pair again has met a cycle.
     """
-    edges = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor IS NOT NULL")
-    known = nodes.select(F.col(node).alias("ancestor"))
+    edges = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor IS NOT NULL AND node != ancestor").distinct()
+    edges = written(edges.join(nodes.select(F.col(node).alias("ancestor")).distinct(), "ancestor", "left_semi").select("node", "ancestor"), "edges")
     up = edges.selectExpr("node AS ancestor", "ancestor AS next")
-    step = edges.join(known, "ancestor", "left_semi").withColumn("distance", F.lit(1))
-    out = step
-    for d in range(2, most_depth + 1):
-        step = step.join(up, "ancestor").filter("next != node").select("node", F.col("next").alias("ancestor")).join(known, "ancestor", "left_semi").withColumn("distance", F.lit(d))
+    out = step = edges.withColumn("distance", F.lit(1))
+    while True:
+        further = step.join(up, "ancestor").filter("next != node").select("node", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
+        step = written(further.join(out, ["node", "ancestor"], "left_anti").distinct(), "level")
         if step.isEmpty():
-            break
+            return out.select("node", "ancestor", "distance")
         out = out.unionByName(step)
-    return out.select("node", "ancestor", "distance")
+
+
+def paths(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, path (from its root down to its parent) and depth; a root's path is empty."""
+    up = ancestors(nodes, node, parent).groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ancestor"))).alias("a"))
+    found = nodes.select(F.col(node).alias("node")).distinct().join(up, "node", "left")
+    path = F.coalesce(F.transform("a", lambda x: x["ancestor"]), F.array().cast("array<string>"))
+    return found.select("node", path.alias("path"), F.size(path).alias("depth"))
+
+
+def children_of(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node and its children in order of code (an empty list for a leaf)."""
+    kids = nodes.filter(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("node")).agg(F.array_sort(F.collect_set(node)).alias("children"))
+    none = F.array().cast(nodes.select(F.array(node)).schema[0].dataType)
+    return nodes.select(F.col(node).alias("node")).distinct().join(kids, "node", "left").withColumn("children", F.coalesce("children", none))
+
+
+def context(nodes: DataFrame, node: str, parent: str, label: str) -> DataFrame:
+    """Each node with its label, the labels of its ancestors from the root down, and those of its children in order of code."""
+    named = nodes.select(F.col(node).alias("ancestor"), F.col(label).alias("__l"))
+    up = ancestors(nodes, node, parent).join(named, "ancestor").groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "__l"))).alias("a"))
+    down = nodes.filter(F.col(parent).isNotNull()).groupBy(F.col(parent).alias("node")).agg(F.array_sort(F.collect_list(F.struct(node, label))).alias("c"))
+    met = nodes.select(F.col(node).alias("node"), F.col(label).alias("label")).join(up, "node", "left").join(down, "node", "left")
+    none = F.array().cast("array<string>")
+    return met.select("node", "label", F.coalesce(F.transform("a", lambda x: x["__l"]), none).alias("ancestor_labels"), F.coalesce(F.transform("c", lambda x: x[label]), none).alias("child_labels"))
 
 
 def roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +23,44 @@ def embed_plan(corpus: DataFrame, index: DataFrame, key: str, stamps: list[str])
     return met.select(key, action.alias("action"))
 
 
-def fingerprint(df: DataFrame, key: str, digest: str, buckets: int = 256) -> DataFrame:
-    """One hash of all rows in any order of arrival: hashes of hash-dealt buckets, each over its sorted rows, then of those.
+def corpus_digest(df: DataFrame, key: str, digest: str) -> DataFrame:
+    """One row: the sha-256 of all `key:digest` lines in order of key.
 
-    A bucket holds rows / buckets lines; raise buckets with the table.
+    The digest is serial, so one task reads all lines; for corpora of some hundred thousand rows. `fingerprint` is the form for any size.
     """
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(digest).alias("h")))), lambda x: F.concat_ws(":", x["k"], x["h"])), "\n")
+    return df.agg(F.sha2(lines, 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def fingerprint(df: DataFrame, key: str, digest: str, bucket_rows: int = 4096) -> DataFrame:
+    """One hash of all rows in any order of arrival: rows are dealt by the hash of their key to buckets of about bucket_rows, each bucket's sorted lines are hashed, then the buckets' hashes."""
     line = F.concat_ws(":", F.col(key).cast("string"), F.col(digest))
-    one = df.select(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets)).alias("b"), line.alias("l")).groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("l")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    digits = max(1, math.ceil(math.log(max(1, df.count()) / bucket_rows, 16)))
+    own = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, digits)
+    one = df.select(own.alias("b"), line.alias("l")).groupBy("b").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("l")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     return one.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"), F.sum("n").alias("n_rows"))
 
 
+def cache_key(*parts: Column) -> Column:
+    """Hash of length-delimited parts, so that no two lists of parts share one."""
+    text = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.sha2(F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in text]), 256)
+
+
+def point_id(namespace: str, key: Column) -> Column:
+    """The name-based UUID (version 5) of a key in a namespace UUID."""
+    raw = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), key.cast("string").cast("binary")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(raw, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(raw, 1, 8), F.substring(raw, 9, 4), F.concat(F.lit("5"), F.substring(raw, 14, 3)), F.concat(variant, F.substring(raw, 18, 3)), F.substring(raw, 21, 12))
+
+
+def index_count(corpus: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: both counts, and equal, partial (fewer vectors) or stale (more)."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    state = F.when(F.col("vectors") < F.col("documents"), "partial").when(F.col("vectors") > F.col("documents"), "stale").otherwise("equal")
+    return n(corpus, "documents").join(F.broadcast(n(index, "vectors"))).withColumn("state", state)  # one row each
+
+
 def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 3.5).cast("int") + 1)
 
@@ -45,3 +75,8 @@ def vector_violations(df: DataFrame, key: str, vector: str, dims: int) -> DataFr
 def uncached(work: DataFrame, memo: DataFrame, keys: list[str]) -> DataFrame:
     """Work whose key the memo lacks."""
     return work.join(memo.select(*keys), keys, "left_anti")
+
+
+def restamped(work: DataFrame, memo: DataFrame, keys: list[str], answer: str) -> DataFrame:
+    """Work whose key the memo has, with the memo's answer; every other column is the work's own."""
+    return work.drop(answer).join(memo.select(*keys, answer), keys)

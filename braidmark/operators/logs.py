@@ -15,8 +15,8 @@ def line_type(line: Column, rules: list[tuple[str, str]], default: str = "info")
 
 
 def stage_rollup(rows: DataFrame, job: str, stage: str, item: str, status: str, order: list[str]) -> DataFrame:
-    """Per job and stage: items by their status of highest precedence (the first in order)."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col(status))
+    """Per job and stage: items by their status of highest precedence (the first in order); a status that isn't in order never counts."""
+    rank = F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(status)), F.lit(0))
     items = rows.groupBy(job, stage, item).agg(F.min_by(status, rank).alias(status))
     n = [F.count(F.when(F.col(status) == s, 1)).alias(f"n_{s}") for s in order]
     return items.groupBy(job, stage).agg(F.count(F.lit(1)).alias("n_items"), *n)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +19,10 @@ def robust_minmax(df: DataFrame, by: list[str], value: str, out: str = "scaled",
     high = F.when(F.col("__n") >= few, F.col("__p95")).otherwise(F.col("__b"))
     filled = F.coalesce(x, F.col("__a"))
     scaled = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (filled - low) / (high - low)))).otherwise(F.lit(0.5))
-    return df.join(own, by).withColumn(out, F.round(scaled, 9)).drop("__n", "__a", "__b", "__p5", "__p95")
+    for c in by:
+        own = own.withColumnRenamed(c, f"__by_{c}")
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]  # a null key is a group of its own
+    return df.join(own, same).withColumn(out, F.round(scaled, 9)).select(*[c for c in df.columns if c != out], out)
 
 
 def blend(df: DataFrame, alpha: float) -> DataFrame:
@@ -77,45 +83,64 @@ def shortlist(df: DataFrame, top_n: int = 50, preserve: int = 12, head: int = 12
     return kept.withColumn("final_rank", final).select(*df.columns, "final_rank")
 
 
-def interleave_families(df: DataFrame, family: str = "family", rank: str = "rank", most_in_row: int = 3, most_rows: int = 1000) -> DataFrame:
+def interleave_families(df: DataFrame, family: str = "family", rank: str = "rank", most_in_row: int = 3) -> DataFrame:
     """After most_in_row rows of one family, the next row of another comes first; nothing is dropped.
 
-    Order-dependent, so each entity's list (at most most_rows rows) is one group.
+    Each step depends on the last, so an entity's list is one group: one queue a family, and a
+    heap of the queues' heads, from which the first or second is taken.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most_rows:
-            raise ValueError("list too long to interleave")
-        left, out, last, length = pdf.sort_values(rank).to_dict("records"), [], None, 0
-        while left:
-            at = 0
-            if length >= most_in_row:
-                at = next((i for i, r in enumerate(left) if r[family] != last), 0)
-            row = left.pop(at)
-            length = length + 1 if row[family] == last else 1
-            last = row[family]
-            out.append(row | {rank: len(out) + 1})
-        return pd.DataFrame(out, columns=pdf.columns)
+        pdf = pdf.sort_values(rank, kind="stable").reset_index(drop=True)
+        codes = pd.factorize(pdf[family], use_na_sentinel=False)[0].tolist()
+        queues: dict[int, deque] = {}
+        for at, code in enumerate(codes):
+            queues.setdefault(code, deque()).append(at)
+        heads, order, last, length = [(q[0], code) for code, q in queues.items()], [], None, 0
+        heapq.heapify(heads)
+        while heads:
+            at, code = heapq.heappop(heads)
+            if code == last and length >= most_in_row and heads:
+                other = heapq.heappop(heads)
+                heapq.heappush(heads, (at, code))
+                at, code = other
+            queues[code].popleft()
+            if queues[code]:
+                heapq.heappush(heads, (queues[code][0], code))
+            length = length + 1 if code == last else 1
+            last = code
+            order.append(at)
+        out = pdf.iloc[order].reset_index(drop=True)
+        out[rank] = range(1, len(out) + 1)
+        return out
 
     return df.groupBy("entity_id").applyInPandas(run, df.schema)
 
 
 def rescue(fused: DataFrame, sums: DataFrame, top_n: int, slots: int) -> DataFrame:
-    """Reserves the last slots for documents that the fused head lacks and the sum ranking has in its own.
+    """Lets documents that the fused head lacks and the sum ranking has in its own into the last `slots` places.
 
-    fused, sums: entity_id, doc_id, rank. Gives entity_id, final_rank, doc_id, rescued_via.
+    fused, sums: entity_id, doc_id, rank. Gives entity_id, final_rank, doc_id, rescued_via. The
+    first top_n - slots fused rows stay; then come the rescued, then the fused rows that follow,
+    then other documents of the sum ranking, then of the fused one. An entity without anything to
+    rescue keeps its fused head as it is.
     """
-    if slots >= top_n and top_n >= 20:
-        raise ValueError("more slots than rows")
-    e = W.partitionBy("entity_id")
-    slots = 0 if slots >= top_n else slots
-    inside = fused.filter(F.col("rank") <= top_n)
-    lost = sums.filter(F.col("rank") <= top_n).join(inside, ["entity_id", "doc_id"], "left_anti").withColumn("__turn", F.row_number().over(e.orderBy("rank", "doc_id"))).filter(F.col("__turn") <= slots)
-    count = lost.groupBy("entity_id").agg(F.count(F.lit(1)).alias("__n"))
-    stay = inside.join(count, "entity_id", "left").filter(F.col("rank") <= top_n - F.coalesce("__n", F.lit(0)))
-    rows = stay.select("entity_id", "doc_id", F.lit(0).alias("__late"), F.col("rank").alias("__by"), F.lit(None).cast("string").alias("rescued_via"))
-    rows = rows.unionByName(lost.select("entity_id", "doc_id", F.lit(1).alias("__late"), F.col("__turn").alias("__by"), F.lit("sum").alias("rescued_via")))
-    return rows.withColumn("final_rank", F.row_number().over(e.orderBy("__late", "__by"))).select("entity_id", "final_rank", "doc_id", "rescued_via")
+    if slots < 0 or (slots >= top_n and top_n >= 20):
+        raise ValueError("slots must be fewer than rows")
+    e, core = W.partitionBy("entity_id"), top_n - (0 if slots >= top_n else slots)
+    head = fused.filter(F.col("rank") <= top_n).select("entity_id", "doc_id")
+    absent = sums.join(head, ["entity_id", "doc_id"], "left_anti")
+    lost = absent.filter(F.col("rank") <= top_n).withColumn("__turn", F.row_number().over(e.orderBy("rank", "doc_id"))).filter(F.col("__turn") <= top_n - core)
+    row = lambda df, source, via: df.select("entity_id", "doc_id", source.alias("__source"), F.col("rank").alias("__by"), F.lit(via).cast("string").alias("rescued_via"))
+    place = F.when(F.col("rank") <= core, 0).when(F.col("rank") <= top_n, 2).otherwise(4)
+    rest = absent.join(lost.select("entity_id", "doc_id"), ["entity_id", "doc_id"], "left_anti")
+    every = row(fused, place, None).unionByName(row(lost, F.lit(1), "sum")).unionByName(row(rest, F.lit(3), "sum"))
+    rescued = lost.select("entity_id").distinct().withColumn("__any", F.lit(True))
+    # one row a document, its best source; entities without a rescue have fused rows only
+    best = every.join(rescued, "entity_id", "left").filter(F.col("__any") | F.col("__source").isin(0, 2))
+    best = best.withColumn("__n", F.row_number().over(W.partitionBy("entity_id", "doc_id").orderBy("__source", "__by"))).filter("__n = 1")
+    ranked = best.withColumn("final_rank", F.row_number().over(e.orderBy("__source", "__by", "doc_id")))
+    return ranked.filter(F.col("final_rank") <= top_n).select("entity_id", "final_rank", "doc_id", "rescued_via")
 
 
 def stage_ranks(stages: dict[str, DataFrame], keys: list[str]) -> DataFrame:
@@ -150,3 +175,40 @@ def insert_at(df: DataFrame, new: DataFrame, at: int, keep: int) -> DataFrame:
 def first_by_priority(df: DataFrame, by: str, order: list, n: int) -> DataFrame:
     """The first n rows by source priority and place, renumbered."""
     return df.withColumn("new_index", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("new_index") <= n)
+
+
+def rank_deltas(stages: DataFrame, names: list[str]) -> DataFrame:
+    """Adds <b>_delta for each stage after the first: how many places a row rose since the stage before (null where it lacks either)."""
+    return stages.withColumns({f"{b}_delta": F.col(f"{a}_rank") - F.col(f"{b}_rank") for a, b in zip(names, names[1:], strict=False)})
+
+
+def lost_at(gold: DataFrame, stages: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """gold's rows with the stage ranks of each and the first stage that lacks it; null if all have it."""
+    met = gold.select(*keys).distinct().join(stages, keys, "left")
+    lost = F.lit(None).cast("string")
+    for name in reversed(names):
+        lost = F.when(F.col(f"{name}_rank").isNull(), F.lit(name)).otherwise(lost)
+    return met.withColumn("lost_at", lost)
+
+
+def ordered_union(lists: list[DataFrame], keys: list[str], rank: str = "rank") -> DataFrame:
+    """Rows of all lists (entity_id first among keys), list by list in order of rank; a row that several have counts where it first comes."""
+    out = None
+    for place, df in enumerate(lists):
+        one = df.select(*keys, F.struct(F.lit(place).alias("p"), F.col(rank).alias("r")).alias("__at"))
+        out = one if out is None else out.unionByName(one)
+    first = out.groupBy(*keys).agg(F.min("__at").alias("__at"))
+    return first.withColumn("place", F.row_number().over(W.partitionBy(keys[0]).orderBy("__at", *keys[1:]))).drop("__at")
+
+
+def sum_ranks(pool: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """entity_id, doc_id, sum_rank: the stored ranks where at least 3 and a quarter of an entity's rows have one, else those rebuilt.
+
+    pool: entity_id, doc_id, rrf_rank; rebuilt: entity_id, doc_id, score of the plain sum.
+    """
+    stored = F.when(F.col("rrf_rank") > 0, F.col("rrf_rank"))
+    enough = pool.groupBy("entity_id").agg((F.count(stored) >= F.greatest(F.lit(3), F.floor(F.count(F.lit(1)) / 4))).alias("__stored"))
+    e = W.partitionBy("entity_id")
+    kept = pool.join(enough.filter("__stored"), "entity_id", "left_semi").filter("rrf_rank > 0").select("entity_id", "doc_id", F.row_number().over(e.orderBy("rrf_rank", "doc_id")).alias("sum_rank"))
+    made = rebuilt.join(enough.filter("NOT __stored"), "entity_id", "left_semi").select("entity_id", "doc_id", F.row_number().over(e.orderBy(F.desc("score"), "doc_id")).alias("sum_rank"))
+    return kept.unionByName(made)

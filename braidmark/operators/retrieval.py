@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from braidmark.session import written
+
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
 
 
@@ -35,64 +37,138 @@ def of_grade(docs: DataFrame, grade: str, wanted: str) -> DataFrame:
     return docs.filter(F.col(grade).isNull() | (F.col(grade) == wanted))
 
 
+def of_grade_or_error(docs: DataFrame, grade: str, wanted: str) -> DataFrame:
+    """of_grade, but an error where nothing remains."""
+    kept = of_grade(docs, grade, wanted)
+    if kept.isEmpty():
+        raise ValueError(f"no document of grade {wanted}")
+    return kept
+
+
+def scorable(docs: DataFrame, level: str, levels: tuple[str, ...] = ("standard", "substandard")) -> DataFrame:
+    return docs.filter(F.col(level).isin(*levels))
+
+
+def allowed_hits(hits: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Hits (query_id, doc_id, score) of allowed documents only, ranked anew."""
+    kept = hits.drop("rank").join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).select("query_id", "rank", "doc_id", "score")
+
+
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, term, tf, len: one row per document and term."""
+    """doc_id, term, tf, len: one row per document and term; a document without terms has one row, its term null and its len 1."""
     tokens = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    terms = tokens.select("doc_id", F.greatest(F.lit(1), F.size("tokens")).alias("len"), F.explode("tokens").alias("term"))
+    terms = tokens.select("doc_id", F.greatest(F.lit(1), F.size("tokens")).alias("len"), F.explode_outer("tokens").alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
 
 
-def corpus_stats(docs: DataFrame, postings: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+def corpus_stats(docs: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, df) and one row of n_docs and the mean length."""
-    lengths = docs.select(F.greatest(F.lit(1), F.size(tokenize(F.coalesce(F.col(text), F.lit(""))))).alias("len"))
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    totals = postings.agg(F.sum("tf").alias("__t")).join(n).select("n_docs", (F.col("__t") / F.col("n_docs")).alias("avg_len"))  # one row each
+    return postings.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals
+
+
+_HITS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
 
+def _best_of(score: np.ndarray, asked: np.ndarray, docs: np.ndarray, k: int, digits: int, least: float | None = None) -> pa.Table:
+    """The k best columns of each row, ties to the smaller document; docs ascend."""
+    score = np.round(score, digits)
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    rows = np.repeat(np.arange(len(asked)), best.shape[1])
+    found = score[rows, best.ravel()]
+    keep = slice(None) if least is None else found > least
+    return pa.Table.from_arrays([pa.array(asked[rows][keep]), pa.array(docs[best.ravel()][keep]), pa.array(found[keep])], schema=_HITS)
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, rank, doc_id, score: the best k documents of each query by BM25 over shared terms.
 
-    Repeated query terms count again; scores must exceed 0; ties go to the smaller id.
+def _sum_blocks(k: int):
+    """Postings of a block of documents (id, term, v) meet a group's query terms (id, term, v): sums of products, k documents a query."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _HITS.empty_table()
+        get = lambda t, c: t.column(c).to_numpy()
+        docs, row = np.unique(get(left, "id"), return_inverse=True)
+        asked, col = np.unique(get(right, "id"), return_inverse=True)
+        order, ask = np.argsort(get(left, "term"), kind="stable"), np.argsort(get(right, "term"), kind="stable")
+        terms, starts = np.unique(get(left, "term")[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+        names = get(right, "term")[ask]
+        lows, highs = np.searchsorted(names, terms, "left"), np.searchsorted(names, terms, "right")
+        v, w, score = get(left, "v"), get(right, "v"), np.zeros((len(asked), len(docs)))
+        for s, e, a, b in zip(starts.tolist(), ends.tolist(), lows.tolist(), highs.tolist(), strict=True):
+            if a < b:  # a document has a term once, and so has a query
+                score[np.ix_(col[ask[a:b]], row[order[s:e]])] += w[ask[a:b], None] * v[None, order[s:e]]
+        return _best_of(score, asked, docs, k, 6, 0.0)
+
+    return run
+
+
+def _score_terms(postings: DataFrame, asked: DataFrame, n_docs: int, k: int, block_rows: int = 2048, group_queries: int = 512) -> DataFrame:
+    """query_id, doc_id, score: sums of products over shared terms. postings: id, term, v; asked: id, term, v (long ids).
+
+    Blocks of documents meet groups of queries, so no task holds a frequent term's whole list and
+    k rows of a block leave it. Terms are compared by 64-bit hash.
     """
-    postings = term_counts(docs, doc_id, text)
-    df, totals = corpus_stats(docs, postings, text)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.coalesce(F.col(query_text), F.lit("")))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    met = asked.join(df, "term").join(postings, "term").join(F.broadcast(totals))  # totals: one row
-    scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * tf), 6).alias("score")).filter("score > 0")
-    return top_k(scored, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
-
-
-def term_overlap(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str, k: int) -> DataFrame:
-    """The best k documents of each query by number of distinct shared terms."""
-    postings = term_counts(docs, doc_id, text)
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokenize(F.coalesce(F.col(query_text), F.lit(""))))).alias("term"))
-    scored = asked.join(postings, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
-
-
-def _cosine_block(k: int):
+    asked = asked.select("id", F.xxhash64("term").alias("term"), "v")
+    blocks, groups = max(1, -(-n_docs // block_rows)), max(1, -(-asked.select("id").distinct().count() // group_queries))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    wanted = asked.select("term").distinct()
+    thin = postings.select("id", F.xxhash64("term").alias("term"), F.col("v").cast("double").alias("v")).join(wanted, "term", "left_semi")
+    left = thin.select("id", "term", "v", deal(blocks).alias("block"), upto(groups).alias("part")).groupBy("block", "part")
+    right = asked.select("id", "term", F.col("v").cast("double").alias("v"), upto(blocks).alias("block"), deal(groups).alias("part")).groupBy("block", "part")
+    return left.cogroup(right).applyInArrow(_sum_blocks(k), "query_id long, doc_id long, score double")
+
+
+class Corpus:
+    """A corpus's postings, written once and shared by the sparse arms; doc_id is a long."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str):
+        self.docs, self.postings = docs, written(term_counts(docs, doc_id, text), "postings")
+        df, totals = corpus_stats(docs, self.postings)
+        self.df, self.totals = df, totals.first()
+
+    def _asked(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+        terms = queries.select(F.col(query_id).alias("id"), F.explode(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+        return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("times"))
+
+    def bm25(self, queries: DataFrame, query_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+        """query_id, rank, doc_id, score: the best k documents of each query (long ids) by BM25 over shared terms.
+
+        Repeated query terms count again; scores must exceed 0; ties go to the smaller id.
+        """
+        n, avg_len = self.totals.n_docs, self.totals.avg_len or 1.0
+        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
+        asked = written(self._asked(queries, query_id, text).join(self.df, "term").select("id", "term", (F.col("times") * idf).alias("v")), "asked")
+        best = _score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", tf.alias("v")), asked, n, k)
+        return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
+
+    def term_overlap(self, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
+        """The best k documents of each query by number of distinct shared terms."""
+        asked = written(self._asked(queries, query_id, text).select("id", "term", F.lit(1.0).alias("v")), "asked")
+        best = _score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", F.lit(1.0).alias("v")), asked, self.totals.n_docs, k)
+        return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
+
+
+def _cosine_block(k: int, digits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        matrix = lambda t: np.array(t.column("v").to_pylist(), np.float64)
-        docs, asked = np.asarray(left.column("id")), np.asarray(right.column("id"))
+            return _HITS.empty_table()
+        matrix = lambda t: np.concatenate([c.flatten().to_numpy() for c in t.column("v").chunks]).reshape(t.num_rows, -1)
+        docs, asked = left.column("id").to_numpy(), right.column("id").to_numpy()
         order = np.argsort(docs, kind="stable")
-        x, q = matrix(left)[order], matrix(right)
-        score = np.round(q @ x.T, 9)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(asked)), best.shape[1])
-        return pa.Table.from_arrays([pa.array(asked[rows]), pa.array(docs[order][best.ravel()]), pa.array(score[rows, best.ravel()])], schema=schema)
+        return _best_of(matrix(right) @ matrix(left)[order].T, asked, docs[order], k, digits)
 
     return run
 
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str, k: int, block_rows: int = 8192, group_queries: int = 512) -> DataFrame:
+def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, vector: str, k: int, block_rows: int = 8192, group_queries: int = 512, digits: int = 9) -> DataFrame:
     """query_id, rank, doc_id, score: exact cosine top-k; blocks of rows meet groups of queries, k rows a block remain.
 
-    Null, empty and zero vectors take no part.
+    Null, empty and zero vectors take no part. Ids are longs.
     """
 
     def unit(df: DataFrame, key: str) -> DataFrame:
@@ -101,13 +177,13 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
         usable = df.select(F.col(key).cast("long").alias("id"), v.alias("v"), norm.alias("norm")).filter("norm > 0 AND NOT isnan(norm)")
         return usable.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"), F.size("v").alias("dim"))
 
-    rows, asked = unit(docs, doc_id), unit(queries, query_id)
+    rows, asked = written(unit(docs, doc_id), "vectors"), written(unit(queries, query_id), "asked")
     blocks, groups = max(1, -(-rows.count() // block_rows)), max(1, -(-asked.count() // group_queries))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("*", deal(blocks).alias("block"), upto(groups).alias("part")).groupBy("dim", "block", "part")
     right = asked.select("*", upto(blocks).alias("block"), deal(groups).alias("part")).groupBy("dim", "block", "part")
-    best = left.cogroup(right).applyInArrow(_cosine_block(k), "query_id long, doc_id long, score double")
+    best = left.cogroup(right).applyInArrow(_cosine_block(k, digits), "query_id long, doc_id long, score double")
     return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
 
 
@@ -119,34 +195,40 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int, rrf_k: int = 60) -> Data
     return top_k(scored, ["query_id"], [F.desc("rrf_score"), "doc_id"], k)
 
 
-def fuse_arms(hits: DataFrame, mode: str = "top_k_sum", rrf_k: int = 60, top_arms: int = 3, base: float = 2.0, max_blend: float = 1.0) -> DataFrame:
+def fuse_arms(hits: DataFrame, mode: str | Column = "top_k_sum", rrf_k: int | Column = 60, top_arms: int | Column = 3, base: float = 2.0, max_blend: float = 1.0, by: list[str] = ()) -> DataFrame:
     """entity_id, doc_id, score, n_arms, arm_hits of weighted ranked lists.
 
     hits: entity_id, query_index, doc_id, rank, weight. A document counts once per list, at its
     first place; blank ids and lists of weight 0 are skipped; a negative weight is an error.
+    The settings may be columns that are constant in each group of `by`.
     """
+    mode, rrf_k, top_arms = (x if isinstance(x, Column) else F.lit(x) for x in (mode, rrf_k, top_arms))
     good = hits.filter(F.col("doc_id").isNotNull() & (F.col("weight") != 0))
     checked = good.withColumn("weight", F.when(F.col("weight") < 0, F.raise_error(F.lit("negative arm weight"))).otherwise(F.col("weight")))
-    first = checked.groupBy("entity_id", "query_index", "doc_id").agg(F.min("rank").alias("rank"), F.first("weight").alias("weight"))
-    parts = first.withColumn("part", F.col("weight") / (rrf_k + F.col("rank")))
-    order = W.partitionBy("entity_id", "doc_id").orderBy(F.desc("part"), "rank", "query_index")
+    settled = checked.select(*by, "entity_id", "query_index", "doc_id", "rank", "weight", mode.alias("__mode"), rrf_k.alias("__k"), top_arms.alias("__top"))
+    first = settled.groupBy(*by, "entity_id", "query_index", "doc_id").agg(F.min("rank").alias("rank"), *[F.first(c).alias(c) for c in ("weight", "__mode", "__k", "__top")])
+    parts = first.withColumn("part", F.col("weight") / (F.col("__k") + F.col("rank")))
+    order = W.partitionBy(*by, "entity_id", "doc_id").orderBy(F.desc("part"), "rank", "query_index")
     placed = parts.withColumn("place", F.row_number().over(order))
-    n = F.count(F.lit(1))
-    score = {
-        "sum": F.sum("part"),
-        "max": F.max("part"),
-        "top_k_sum": F.sum(F.when(F.col("place") <= top_arms, F.col("part"))),
-        "log_dampened": F.sum("part") * F.log(1.0 + n) / F.log(F.lit(base)) / n,
-    }[mode] + max_blend * F.max("part")
+    n, kind = F.count(F.lit(1)), F.first("__mode")
+    score = (
+        F.when(kind == "sum", F.sum("part"))
+        .when(kind == "max", F.max("part"))
+        .when(kind == "top_k_sum", F.sum(F.when(F.col("place") <= F.col("__top"), F.col("part"))))
+        .when(kind == "log_dampened", F.sum("part") * F.log(1.0 + n) / F.log(F.lit(base)) / n)
+        .otherwise(F.raise_error(F.concat(F.lit("no such mode: "), kind)).cast("double"))
+    )
     hit = F.struct("place", "query_index", "rank", "weight", "part")
-    return placed.groupBy("entity_id", "doc_id").agg(F.round(score, 9).alias("score"), n.alias("n_arms"), F.sort_array(F.collect_list(hit)).alias("arm_hits"))
+    return placed.groupBy(*by, "entity_id", "doc_id").agg(F.round(score + max_blend * F.max("part"), 9).alias("score"), n.alias("n_arms"), F.sort_array(F.collect_list(hit)).alias("arm_hits"))
 
 
-def pool_membership(primary: DataFrame, secondary: DataFrame, k: int) -> DataFrame:
+def pool_membership(primary: DataFrame, secondary: DataFrame | None, k: int) -> DataFrame:
     """Top k of primary, then those of secondary's top k that it lacks, by primary score (nulls as 0).
 
-    Both: entity_id, doc_id, score.
+    Both: entity_id, doc_id, score. Without a secondary list the pool is primary's top k alone.
     """
+    if secondary is None:
+        return top_k(primary, ["entity_id"], [F.desc("score"), "doc_id"], k).select("entity_id", "rank", "doc_id", "score", F.lit(False).alias("added"))
     order = [F.desc("score"), "doc_id"]
     one = top_k(primary, ["entity_id"], order, k, "p_rank").select("entity_id", "doc_id", "p_rank")
     two = top_k(secondary, ["entity_id"], order, k, "s_rank").select("entity_id", "doc_id", "s_rank")
@@ -159,18 +241,44 @@ def pool_membership(primary: DataFrame, secondary: DataFrame, k: int) -> DataFra
 def merge_queries(hits: DataFrame, coverage_top: int = 12) -> DataFrame:
     """Per entity and document: least ranks, greatest scores, and how many coverage queries hit it near the top.
 
-    hits: entity_id, query_index, doc_id, rank, score, weight, covers.
+    hits: entity_id, query_index, doc_id, rank, score, weight, covers; where the arms' own
+    dense_rank, bm25_rank, dense_score and bm25_score are given, they are merged as well and all
+    hits kept in order of query. Other columns come from the first query that hit the document.
     """
     counted = F.col("covers") & (F.col("rank") <= coverage_top)
+    given = [c for c in ("dense_rank", "bm25_rank", "dense_score", "bm25_score") if c in hits.columns]
+    arms = [(F.min(c) if c.endswith("rank") else F.max(c)).alias(c) for c in given]
+    own = ("entity_id", "query_index", "doc_id", "rank", "score", "weight", "covers", *given)
+    rest = [F.min_by(c, "query_index").alias(c) for c in hits.columns if c not in own]
+    kept = [F.array_sort(F.collect_list(F.struct("query_index", "rank", "weight"))).alias("arm_hits")] if given else []
     return hits.groupBy("entity_id", "doc_id").agg(
         F.min("rank").alias("best_rank"),
         F.max("score").alias("best_score"),
         F.count(F.when(counted, 1)).alias("query_hits"),
         F.coalesce(F.sum(F.when(counted, F.col("weight"))), F.lit(0.0)).alias("query_hit_weight"),
         F.min_by("score", "query_index").alias("first_score"),
+        *arms,
+        *kept,
+        *rest,
     )
 
 
+def sum_extras(merged: DataFrame, fused: DataFrame, dense: DataFrame, sparse: DataFrame, rrf_k: int = 60, arm_weight: float = 0.0, agree_most: int = 10) -> DataFrame:
+    """Merge scores of the sum mode, for merged documents only.
+
+    The fused score, plus 0.55 * hit weight / k; with an arm weight also the weighted sums of the
+    two arms' own lists (dense, sparse: entity_id, doc_id, score) and a bonus of 1.5 (2.5 more up
+    to agree_most) over k + the worse of both ranks where both arms hit the document.
+    """
+    one = lambda df, name: df.select("entity_id", "doc_id", F.col("score").alias(name))
+    met = merged.drop("score").join(one(fused, "__f"), ["entity_id", "doc_id"], "left").join(one(dense, "__d"), ["entity_id", "doc_id"], "left").join(one(sparse, "__s"), ["entity_id", "doc_id"], "left")
+    worse = F.when(F.col("dense_rank").isNotNull() & F.col("bm25_rank").isNotNull(), F.greatest("dense_rank", "bm25_rank"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    bonus = zero(1.5 / (rrf_k + worse)) + zero(F.when(worse <= agree_most, 2.5 / (rrf_k + worse)))
+    extras = arm_weight * (zero(F.col("__d")) + zero(F.col("__s")) + bonus)
+    return met.withColumn("score", F.round(zero(F.col("__f")) + extras + 0.55 * F.col("query_hit_weight") / rrf_k, 9)).drop("__f", "__d", "__s")
+
+
 def exhaustive_pool(merged: DataFrame, corpus: DataFrame, grade: str, ceiling: int = 200) -> DataFrame:
     """Adds a grade's unseen documents, without a prior, where the grade has at most `ceiling` of them.
 
@@ -182,16 +290,33 @@ def exhaustive_pool(merged: DataFrame, corpus: DataFrame, grade: str, ceiling: i
     return merged.unionByName(unseen.select("entity_id", grade, "doc_id"), allowMissingColumns=True)
 
 
-def embed_with(docs: DataFrame, text: str, embed_fn, out: str = "embedding") -> DataFrame:
-    """Adds vectors by a caller's function over lists of texts; one vector for each text, none empty."""
+def embed_with(docs: DataFrame, text: str, embed_fn, out: str = "embedding", dims: int | None = None) -> DataFrame:
+    """Adds vectors by a caller's function over lists of texts: one for each text, all of one length, none zero."""
     schema = docs.schema.add(out, "array<float>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             vectors = embed_fn(texts)
-            if len(vectors) != len(texts) or any(not len(v) for v in vectors):
-                raise ValueError("embed_fn must give one vector for each text")
+            if len(vectors) != len(texts) or len({len(v) for v in vectors} | ({dims} if dims else set())) > 1:
+                raise ValueError("embed_fn must give one vector of the same length for each text")
+            if any(not np.any(np.asarray(v)) for v in vectors):
+                raise ValueError("embed_fn gave an empty or zero vector")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32()))], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
+
+
+def score_with(pairs: DataFrame, query: str, text: str, score_fn, out: str = "rerank_score") -> DataFrame:
+    """Adds scores by a caller's function over lists of queries and texts: one number for each pair."""
+    schema = pairs.schema.add(out, "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (query, text))
+            scores = list(score_fn(asked, texts))
+            if len(scores) != len(texts):
+                raise ValueError("score_fn must give one score for each pair")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
+
+    return pairs.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from braidmark.operators import evaluation as ev
 from braidmark.operators import ranking as rk
 from braidmark.operators import retrieval as rt
 from braidmark.plans.book import Book
-from braidmark.session import table
+from braidmark.session import table, written
 
 BOOK = Book()
 query = BOOK.query
@@ -37,7 +37,7 @@ hit AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, do
 
 
 ARMS_SQL = """arms AS (SELECT item_id, i - 1 AS query_index, trim(s[i]) AS text, CASE WHEN i = 1 THEN 1.5 ELSE 1.0 END AS weight
-FROM (SELECT item_id, s, unnest(range(1, least(len(s), 4) + 1)) AS i FROM (SELECT item_id, string_split(text, '.') AS s FROM benchmark)) WHERE length(trim(s[i])) >= 12)"""
+FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, string_split(text, '.') AS s FROM benchmark)) WHERE length(trim(s[i])) >= 12)"""
 ARM_HITS_SQL = ARMS_SQL + ", " + bm25_sql("arms", "item_id, query_index, weight", 50)
 
 
@@ -49,32 +49,38 @@ def items(spark, d):
     return table(spark, d, "benchmark")
 
 
+def corpus(spark, d):
+    return rt.Corpus(docs(spark, d), "doc_id", "text")
+
+
 def bm25_top(spark, d, k=20):
-    return rt.bm25(docs(spark, d), items(spark, d), "doc_id", "text", "item_id", "text", k)
+    return corpus(spark, d).bm25(items(spark, d), "item_id", "text", k)
 
 
 def arms(spark, d):
-    """Up to four sentences of each item, the first weighted more."""
-    s = items(spark, d).select("item_id", F.posexplode(F.slice(F.split("text", r"\."), 1, 4)).alias("query_index", "text"))
+    """All sentences of 12 characters or more of each item, the first weighted more."""
+    s = items(spark, d).select("item_id", F.posexplode(F.split("text", r"\.")).alias("query_index", "text"))
     return s.withColumn("text", F.trim("text")).filter(F.length("text") >= 12).withColumn("weight", F.when(F.col("query_index") == 0, 1.5).otherwise(1.0))
 
 
 def arm_hits(spark, d, k=50):
-    a = arms(spark, d).withColumn("key", F.struct("item_id", "query_index", "weight"))
-    hit = rt.bm25(docs(spark, d), a, "doc_id", "text", "key", "text", k)
-    return hit.select(F.col("query_id.item_id").alias("entity_id"), F.col("query_id.query_index").alias("query_index"), F.col("query_id.weight").alias("weight"), "rank", "doc_id", "score")
+    a = written(arms(spark, d).withColumn("key", F.xxhash64("item_id", "query_index")), "arms")
+    hit = corpus(spark, d).bm25(a, "key", "text", k)
+    hit = hit.join(a.select(F.col("key").alias("query_id"), F.col("item_id").alias("entity_id"), "query_index", "weight"), "query_id")
+    return written(hit.select("entity_id", "query_index", "weight", "rank", "doc_id", "score"), "arm-hits")
 
 
 def vectors(spark, d):
+    """All rows, and those that are queries."""
     v = table(spark, d, "embeddings")
-    return v.filter("vec_id % 50 != 0"), v.filter("vec_id % 50 = 0")
+    return v, v.filter("vec_id % 50 = 0")
 
 
 @query(f"WITH {POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(al, 6) AS avg_len FROM dfs, tot")
 def corpus_statistics(spark, d):
-    post = rt.term_counts(docs(spark, d), "doc_id", "text")
-    df, tot = rt.corpus_stats(docs(spark, d), post, "text")
-    return df.join(F.broadcast(tot)).select("term", "df", F.round(F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"), F.round("avg_len", 6).alias("avg_len"))
+    c = corpus(spark, d)
+    n, df = c.totals.n_docs, F.col("df")
+    return c.df.select("term", "df", F.round(F.log(1 + (n - df + 0.5) / (df + 0.5)), 6).alias("idf"), F.round(F.lit(c.totals.avg_len), 6).alias("avg_len"))
 
 
 @query(f"WITH {bm25_sql('benchmark', 'item_id', 20)} SELECT item_id AS query_id, rank, doc_id, score FROM hit")
@@ -94,18 +100,18 @@ s AS (SELECT *, round(coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + bm
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) <= 20"""
 )
 def hybrid_top20(spark, d):
-    other = rt.term_overlap(docs(spark, d), items(spark, d), "doc_id", "text", "item_id", "text", 20)
-    return rt.hybrid(other, bm25_top(spark, d), 20)
+    c = corpus(spark, d)
+    return rt.hybrid(c.term_overlap(items(spark, d), "item_id", "text", 20), c.bm25(items(spark, d), "item_id", "text", 20), 20)
 
 
 _V = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-cs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id % 50 != 0)"""
+cs AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_cosine_similarity(q.e, c.e), 6) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id != q.vec_id)"""
 
 
 @query(f"WITH {_V} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10")
 def dense_top10(spark, d):
-    corpus, asked = vectors(spark, d)
-    hit = rt.dense_top_k(corpus, asked, "vec_id", "vec_id", "embedding", 20).withColumn("score", F.round("score", 6)).drop("rank")
+    every, asked = vectors(spark, d)
+    hit = rt.dense_top_k(every, asked, "vec_id", "vec_id", "embedding", 11, digits=6).filter("query_id != doc_id").drop("rank")
     return rt.top_k(hit, ["query_id"], [F.desc("score"), "doc_id"], 10).select("query_id", "rank", "doc_id", "score")
 
 
@@ -202,15 +208,24 @@ _RERANKED = BOOK.sql["hybrid_top20"].replace("SELECT *, row_number() OVER (PARTI
 c AS (SELECT query_id AS entity_id, doc_id, rank AS rrf_rank, rrf_score, dense_rank, bm25_rank, coalesce(dense_score, 0) - doc_id % 7 AS rerank_score FROM h),
 pp AS (SELECT entity_id, count(*) AS n, min(rerank_score) AS a1, max(rerank_score) AS b1, quantile_cont(rerank_score, 0.05) AS l1, quantile_cont(rerank_score, 0.95) AS h1, min(rrf_score) AS a2, max(rrf_score) AS b2, quantile_cont(rrf_score, 0.05) AS l2, quantile_cont(rrf_score, 0.95) AS h2 FROM c GROUP BY 1),
 lim AS (SELECT entity_id, CASE WHEN n >= 10 THEN l1 ELSE a1 END AS lo1, CASE WHEN n >= 10 THEN h1 ELSE b1 END AS hi1, CASE WHEN n >= 10 THEN l2 ELSE a2 END AS lo2, CASE WHEN n >= 10 THEN h2 ELSE b2 END AS hi2 FROM pp),
-bl AS (SELECT c.*, round(0.7 * round(CASE WHEN hi1 > lo1 THEN greatest(0, least(1, (rerank_score - lo1) / (hi1 - lo1))) ELSE 0.5 END, 9) + 0.3 * round(CASE WHEN hi2 > lo2 THEN greatest(0, least(1, (rrf_score - lo2) / (hi2 - lo2))) ELSE 0.5 END, 9), 6) AS blended_score FROM c JOIN lim USING (entity_id))"""
+bl AS (SELECT c.*, round(0.7 * round(CASE WHEN hi1 > lo1 THEN greatest(0, least(1, (rerank_score - lo1) / (hi1 - lo1))) ELSE 0.5 END, 9) + 0.3 * round(CASE WHEN hi2 > lo2 THEN greatest(0, least(1, (rrf_score - lo2) / (hi2 - lo2))) ELSE 0.5 END, 9), 9) AS blended_score FROM c JOIN lim USING (entity_id))"""
 
 
-@query(f"{_RERANKED} SELECT entity_id, doc_id, rrf_rank, blended_score FROM bl")
+@query(f"{_RERANKED} SELECT entity_id, doc_id, rrf_rank, round(blended_score, 6) AS blended_score FROM bl")
 def rerank_blend(spark, d):
     return reranked(spark, d).select("entity_id", "doc_id", "rrf_rank", F.round("blended_score", 6).alias("blended_score"))
 
 
-@query()
+_SWAPPED = """"in" AND NOT (NOT must AND gone <= m)) OR (must AND NOT "in" AND let <= m)"""
+
+
+@query(
+    f"""{_RERANKED}, ra AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY blended_score DESC, rerank_score DESC, doc_id) AS pos FROM bl),
+rb AS (SELECT *, pos <= 10 AS "in", rrf_rank <= 4 AS must FROM ra),
+rc AS (SELECT *, least(count(*) FILTER (must AND NOT "in") OVER (PARTITION BY entity_id), count(*) FILTER ("in" AND NOT must) OVER (PARTITION BY entity_id)) AS m,
+      row_number() OVER (PARTITION BY entity_id, must AND NOT "in" ORDER BY rrf_rank) AS let, row_number() OVER (PARTITION BY entity_id, "in" AND NOT must ORDER BY blended_score, pos) AS gone FROM rb)
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY blended_score DESC, rerank_score DESC, doc_id) AS rerank_rank, doc_id, rrf_rank, blended_score FROM rc WHERE ({_SWAPPED}"""
+)
 def rerank_preserve(spark, d):
     return rk.preserve_heads(reranked(spark, d), 10, 4).select("entity_id", "rerank_rank", "doc_id", "rrf_rank", "blended_score")
 
@@ -222,7 +237,16 @@ def fused(spark, d):
     return rk.fusion_score(reranked(spark, d).withColumn("ce_rank", ce))
 
 
-@query()
+@query(
+    f"""{_RERANKED}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY blended_score DESC, rerank_score DESC, doc_id) AS ce_rank FROM bl),
+f AS (SELECT *, round(1 / (60 + ce_rank) + 10 / (60 + rrf_rank) + CASE WHEN rrf_rank BETWEEN 12 AND 35 AND ce_rank <= 26 THEN 3 / (60 + ce_rank) ELSE 0 END, 9) AS fused_score,
+      dense_rank IS NOT NULL AND bm25_rank IS NOT NULL AND greatest(dense_rank, bm25_rank) <= 10 AS both_arms, greatest(dense_rank, bm25_rank) AS worse, rrf_rank <= least(4, 8, count(*) OVER (PARTITION BY entity_id)) AS kept FROM r),
+t AS (SELECT *, CASE WHEN both_arms THEN worse END AS agree, row_number() OVER (PARTITION BY entity_id, both_arms AND NOT kept ORDER BY CASE WHEN both_arms THEN worse END NULLS FIRST, doc_id) AS turn FROM f),
+p AS (SELECT *, kept OR (both_arms AND NOT kept AND turn <= 2) AS must, row_number() OVER (PARTITION BY entity_id ORDER BY fused_score DESC, doc_id) <= 10 AS "in" FROM t),
+sw AS (SELECT *, least(count(*) FILTER (must AND NOT "in") OVER (PARTITION BY entity_id), count(*) FILTER ("in" AND NOT must) OVER (PARTITION BY entity_id)) AS m,
+      row_number() OVER (PARTITION BY entity_id, must AND NOT "in" ORDER BY rrf_rank, agree NULLS FIRST, doc_id) AS let, row_number() OVER (PARTITION BY entity_id, "in" AND NOT must ORDER BY fused_score, doc_id DESC) AS gone FROM p)
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY CASE WHEN rrf_rank <= 4 THEN rrf_rank END NULLS LAST, fused_score DESC, doc_id) AS final_rank, doc_id, rrf_rank, fused_score FROM sw WHERE ({_SWAPPED}"""
+)
 def judge_shortlist(spark, d):
     return rk.shortlist(fused(spark, d), top_n=10, preserve=4, head=4).select("entity_id", "final_rank", "doc_id", "rrf_rank", "fused_score")
 
@@ -233,7 +257,17 @@ def family_interleave(spark, d):
     return rk.interleave_families(rows)
 
 
-@query()
+@query(
+    f"""WITH {_FUSE}, x AS (SELECT item_id, doc_id, round(2 * max(part), 9) AS mx, round(sum(part), 9) AS sm FROM o GROUP BY ALL),
+g AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY mx DESC, doc_id) AS rf, row_number() OVER (PARTITION BY item_id ORDER BY sm DESC, doc_id) AS rs FROM x),
+h AS (SELECT item_id, doc_id, CASE WHEN rf <= 30 THEN rf END AS rf, CASE WHEN rs <= 30 THEN rs END AS rs FROM g),
+l AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rs, doc_id) AS turn FROM h WHERE coalesce(rf, 99) > 20 AND rs <= 20 QUALIFY turn <= 3),
+u AS (SELECT item_id, doc_id, CASE WHEN rf <= 17 THEN 0 WHEN rf <= 20 THEN 2 ELSE 4 END AS src, rf AS pos, NULL AS via FROM h WHERE rf IS NOT NULL
+      UNION ALL SELECT item_id, doc_id, 1, rs, 'sum' FROM l
+      UNION ALL SELECT item_id, doc_id, 3, rs, 'sum' FROM h WHERE rs IS NOT NULL AND coalesce(rf, 99) > 20 AND (item_id, doc_id) NOT IN (SELECT (item_id, doc_id) FROM l)),
+b AS (SELECT * FROM u WHERE item_id IN (SELECT item_id FROM l) OR src IN (0, 2) QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY src, pos) = 1)
+SELECT item_id AS entity_id, row_number() OVER (PARTITION BY item_id ORDER BY src, pos, doc_id) AS final_rank, doc_id, via AS rescued_via FROM b QUALIFY final_rank <= 20"""
+)
 def shortlist_rescue(spark, d):
     hits = arm_hits(spark, d)
     rank = lambda df: rt.top_k(df, ["entity_id"], [F.desc("score"), "doc_id"], 30).select("entity_id", "doc_id", "rank")
@@ -264,18 +298,31 @@ def unique_ranked(spark, d):
     """WITH g AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 50 = 0), """
     + _V
     + """, h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10),
-gold AS (SELECT g.vec_id AS query_id, e.vec_id AS doc_id FROM g JOIN embeddings e USING (label) WHERE e.vec_id % 50 != 0)
+gold AS (SELECT g.vec_id AS query_id, e.vec_id AS doc_id FROM g JOIN embeddings e USING (label) WHERE e.vec_id != g.vec_id)
 SELECT count(*) AS n_gold, count(rank) AS n_found, round_even(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round_even(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_10, round_even(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr FROM gold LEFT JOIN h USING (query_id, doc_id)"""
 )
 def recall_and_mrr(spark, d):
-    corpus, asked = vectors(spark, d)
-    gold = asked.select(F.col("vec_id").alias("query_id"), "label").join(corpus.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
+    every, asked = vectors(spark, d)
+    gold = asked.select(F.col("vec_id").alias("query_id"), "label").join(every.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id != doc_id").select("query_id", "doc_id")
     return ev.recall_and_mrr(gold, dense_top10(spark, d), ["query_id", "doc_id"], [5, 10])
 
 
-@query()
+CONFIGS = [(f"{m}-{k}-{n}", m, k, n) for k in (10, 30, 60) for m, n in (("sum", 3), ("max", 3), ("log_dampened", 3), ("top_k_sum", 2), ("top_k_sum", 3), ("top_k_sum", 5))]
+
+
+@query(
+    f"""WITH {ARM_HITS_SQL}, cfg(config, mode, k, n) AS (VALUES {", ".join(str(c) for c in CONFIGS)}),
+p AS (SELECT config, mode, cfg.n, item_id, doc_id, query_index, rank, weight / (k + rank) AS part FROM hit, cfg),
+o AS (SELECT *, row_number() OVER (PARTITION BY config, item_id, doc_id ORDER BY part DESC, rank, query_index) AS place FROM p),
+x AS (SELECT config, item_id, doc_id, round(max(part) + CASE mode WHEN 'sum' THEN sum(part) WHEN 'max' THEN max(part) WHEN 'top_k_sum' THEN sum(part) FILTER (place <= n) ELSE sum(part) * ln(1.0 + count(*)) / ln(2.0) / count(*) END, 9) AS score FROM o GROUP BY config, mode, item_id, doc_id),
+r AS (SELECT config, item_id, doc_id, row_number() OVER (PARTITION BY config, item_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 10),
+wq AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
+ws AS (SELECT item_id, doc_id, round(sum(times * ln(1 + (tot.n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al)))), 6) AS score FROM wq JOIN dfs USING (term) JOIN post USING (term), tot GROUP BY ALL),
+gold AS (SELECT item_id, doc_id FROM ws WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3)
+SELECT config, count(*) AS n_gold, count(rank) AS n_found, round_even(count(*) FILTER (rank <= 1) / count(*), 6) AS recall_1, round_even(count(*) FILTER (rank <= 3) / count(*), 6) AS recall_3, round_even(count(*) FILTER (rank <= 10) / count(*), 6) AS recall_10,
+round_even(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr FROM gold CROSS JOIN (SELECT config FROM cfg) LEFT JOIN r USING (config, item_id, doc_id) GROUP BY config"""
+)
 def fusion_sweep(spark, d):
-    hits = arm_hits(spark, d)
+    """The 18 settings of three constants, four modes and, for the capped one, three numbers of arms."""
     gold = bm25_top(spark, d, 3).select(F.col("query_id").alias("entity_id"), "doc_id")
-    configs = [(f"{m}-{k}-{n}", m, k, n) for m in ("sum", "max", "top_k_sum", "log_dampened") for k in (10, 60) for n in ((2, 3) if m == "top_k_sum" else (3,))]
-    return ev.sweep(hits, gold, configs, [1, 3, 10])
+    return ev.sweep(arm_hits(spark, d), gold, CONFIGS, [1, 3, 10])

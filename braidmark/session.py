@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="braidmark-")
         spark.conf.set("braidmark.checkpoint.dir", named)
     return named
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, its lineage cut, its size known to Spark."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more; other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)

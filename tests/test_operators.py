@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from braidmark.operators import evaluation as ev
+from braidmark.operators import hierarchy as hi
 from braidmark.operators import ranking as rk
 from braidmark.operators import retrieval as rt
 from braidmark.operators import rollups as ru
 from braidmark.operators import verdicts as vd
+from braidmark.plans import registry
 from braidmark.sources import tables as src
 from braidmark.streaming import live
 
@@ -66,6 +68,55 @@ def test_rescue(spark):
     sums = spark.createDataFrame([("e", "f1", 1), ("e", "f2", 2), ("e", "strong", 3), ("e", "weak", 60)], "entity_id string, doc_id string, rank int")
     out = rk.rescue(fused, sums, 50, 1).orderBy("final_rank").collect()
     assert [r.doc_id for r in out[:49]] == [f"f{i}" for i in range(1, 50)] and (out[49].doc_id, out[49].rescued_via) == ("strong", "sum")
+    out = rk.rescue(fused, sums, 50, 3).orderBy("final_rank").collect()
+    assert [r.doc_id for r in out] == [*(f"f{i}" for i in range(1, 48)), "strong", "f48", "f49"] and out[47].rescued_via == "sum" and out[48].rescued_via is None
+    same = rk.rescue(fused, sums.filter("doc_id != 'strong'"), 50, 3).orderBy("final_rank").collect()
+    assert [r.doc_id for r in same] == [f"f{i}" for i in range(1, 51)]
+    short = fused.filter("rank <= 20").unionByName(fused.limit(0))
+    out = rk.rescue(short, sums, 25, 3).orderBy("final_rank").collect()  # then other documents of the sum ranking
+    assert [r.doc_id for r in out[-2:]] == ["strong", "weak"] and len(out) == 22
+    with pytest.raises(ValueError, match="slots"):
+        rk.rescue(fused, sums, 50, 50)
+
+
+def _loop_interleave(families, cap):
+    left, out, last, length = list(enumerate(families)), [], None, 0
+    while left:
+        at = next((i for i, (_, f) in enumerate(left) if f != last), 0) if length >= cap else 0
+        i, f = left.pop(at)
+        length, last = (length + 1 if f == last else 1), f
+        out.append(i)
+    return out
+
+
+def test_interleave_matches_a_loop(spark):
+    rng, rows, want = np.random.default_rng(11), [], {}
+    for e in range(12):
+        families = [None if x == 3 else f"f{x}" for x in rng.choice(4, int(rng.integers(1, 40)), p=[0.6, 0.2, 0.1, 0.1])]
+        rows += [(f"e{e}", i + 1, f"d{i}", f) for i, f in enumerate(families)]
+        want[f"e{e}"] = [f"d{i}" for i in _loop_interleave(families, 3)]
+    rows += [("long", i + 1, f"d{i}", "f" if i < 3000 else "g") for i in range(3100)]
+    out = rk.interleave_families(spark.createDataFrame(rows, "entity_id string, rank long, doc_id string, family string")).toPandas()
+    for e, docs in want.items():
+        assert list(out[out.entity_id == e].sort_values("rank").doc_id) == docs
+    assert (out.entity_id == "long").sum() == 3100
+
+
+def test_ancestors_of_deep_trees_and_cycles(spark):
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n20", None), ("a", "b"), ("b", "c"), ("c", "b"), ("s", "s"), ("o", "gone")]
+    got = {(r.node, r.ancestor, r.distance) for r in hi.ancestors(spark.createDataFrame(rows, "id string, parent string"), "id", "parent").collect()}
+    want = {(f"n{i}", f"n{j}", j - i) for i in range(21) for j in range(i + 1, 21)} | {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("c", "b", 1)}
+    assert got == want
+
+
+def test_unknown_statuses_never_win(spark):
+    df = spark.createDataFrame([("a", "odd"), ("a", "full"), ("a", "none"), ("b", "odd")], "k string, s string")
+    assert {(r.k, r.s) for r in ev.strongest(df, ["k"], "s", ["full", "partial", "none"]).collect()} == {("a", "full"), ("b", None)}
+
+
+def test_scaling_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("e", 2.0)], "entity_id string, x double")
+    assert sorted((str(r.entity_id), r.scaled) for r in rk.robust_minmax(df, ["entity_id"], "x").collect()) == [("None", 0.0), ("None", 1.0), ("e", 0.5)]
 
 
 def _loop_preserve(rows, top_n, preserve):
@@ -112,6 +163,47 @@ def test_grounding(spark):
     assert all(r.got == r.want for r in df.select("want", vd.grounded(F.col("q"), text).alias("got")).collect())
 
 
+def test_grounding_folds_marks_blanks_and_ligatures(spark):
+    text = "Say: \u201cThe \ufb01rst of the \u2018frames\u2019 is ________ today\u201d.\n- Count the apples on the big table\nwith a friend, one by one"
+    rows = [
+        ("The first of the frames is _ today", True),
+        ("'the first of the 'frames' is ____ today'", True),
+        ("Count the apples on the big table with a friend", True),
+        ("count the apples on; with a friend, one by one", True),
+        ("count the apples on; with no friend, one by one", False),
+        ("the apples", False),
+        (None, False),
+    ]
+    df = spark.createDataFrame(rows, "q string, want boolean")
+    assert [r.got for r in df.select(vd.grounded(F.col("q"), F.lit(text)).alias("got")).collect()] == [w for _, w in rows]
+
+
+def test_evidence_repair_and_page(spark):
+    text = "(page 3)\nTell students to read the poem aloud twice.\n(page 4)\nAsk: What do you see in the sky at night? Then draw it."
+    rows = [
+        (["Tell students to read the poem aloud twice [choral]."], "Tell students to read the poem aloud twice", 3),
+        (["Invented words then What do you see in the sky at night? and more"], "What do you see in the sky at night?", 4),
+        (["in the sky at"], "in the sky at night? Then", 4),
+        (["nothing of the kind was ever said here at all"], None, None),
+        ([None, "Ask: What do you see in the sky at night?"], "Ask: What do you see in the sky at night?", 4),
+    ]
+    df = spark.createDataFrame([(q,) for q, _, _ in rows], "q array<string>")
+    out = df.withColumn("e", vd.repaired(F.col("q"), F.lit(text))).withColumn("p", vd.page_of(F.col("e"), F.lit(text))).collect()
+    for r, (_, e, p) in zip(out, rows):
+        assert (e is None and r.e is None) or r.e.rstrip(".").startswith(e) and r.p == p
+
+
+def test_review_flags_timing_and_scope(spark):
+    df = spark.createDataFrame([("X", "full", "high", "Reads the text well and shows it fully here.", "It is partial because it happens only after reading. Students retell events."), ("X", "full", "high", "Reads the text well and shows it fully here.", "Any one of the items is named; all required acts are separable.")], "doc_id string, status string, confidence string, evidence string, rationale string")
+    out = vd.finalize(df.withColumn("src", F.lit("He Reads the text well and shows it fully here.")), "src").collect()
+    assert out[0].rationale == "Students retell events. " + vd.TIMING_NOTE and out[0].review_reason == "invented while/after-reading timing (P5)" and out[0].confidence == "low"
+    assert out[1].review_reason == "list-standard waffle (OR vs separable)" and out[1].final_status == "full"
+    guide = "using the Close Read-aloud Guide (for teacher reference)"
+    texts = [guide, "Close Read-aloud Guide\nAsk: one?\nWhat is it?\nWhy so?", "Close Read-aloud Guide\nAsk: one?\n[Work] next\nWhat is it?\nWhy so?", "no guide"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(vd.scope_caveat(F.lit("C"), F.col("t"), ["C"]).alias("c"), vd.scope_caveat(F.lit("D"), F.col("t"), ["C"]).alias("d")).collect()
+    assert [bool(r.c) for r in got] == [True, False, True, False] and not any(r.d for r in got)
+
+
 def test_page_list(spark):
     df = spark.createDataFrame([("a", p) for p in (74, 91, 84, 92, 92)], "d string, p int")
     assert ru.page_list(ru.page_runs(df, "d", "p"), "d").first().pages == "pp. 74, 84, 91–92"
@@ -157,13 +249,18 @@ def _rows(df):
     return sorted(map(str, (tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False))))
 
 
-@pytest.mark.parametrize("name", ["bm25_top20", "fuse_top_k_sum", "cross_entity_consistency", "coverage_cube", "citation_pages", "uncovered_pages", "text_crosswalk", "embed_plan"])
-def test_oracle(spark, name):
+@pytest.fixture(scope="module")
+def duck():
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
-    got = __spark_entry__.queries()[name](spark, SF).toPandas()
-    assert _rows(got) == _rows(con.execute(__spark_entry__.oracle_sql()[name]).df())
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_oracle(spark, duck, name):
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    assert _rows(got) == _rows(duck.execute(registry.ORACLE_SQL[name]).df())
 
 
 def test_entry_has_rows(spark):
