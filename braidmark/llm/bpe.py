@@ -157,7 +157,7 @@ class _Cache(dict):
 class Vocabulary:
     """Ranks of byte strings, and a bounded cache of merged pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], most_cached: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most_cached: int = 400_000):
         self.ranks, self.most = ranks, most_cached
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():

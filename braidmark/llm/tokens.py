@@ -38,7 +38,7 @@ def _byte_letters() -> list[str]:
 class Counter(dict):
     """pre-token -> number of tokens: proven ones at the start, merged ones as they come."""
 
-    def __init__(self, path: str, most_cached: int = 150_000):
+    def __init__(self, path: str, most_cached: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
