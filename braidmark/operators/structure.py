@@ -54,19 +54,3 @@ def printed_range(spans: DataFrame, page_map: DataFrame, doc: str) -> DataFrame:
 def lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Numbered lines of each text (from 1)."""
     return docs.select(doc, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
-
-
-def battery(checks: list[tuple[str, str, DataFrame]]) -> DataFrame:
-    """(name, severity, violations) to rows of name, severity, passed, detail; each violations table is only counted."""
-    out = None
-    for name, severity, bad in checks:
-        one = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), F.lit(severity).alias("severity"), (F.col("n") == 0).alias("passed"), F.concat(F.col("n").cast("string"), F.lit(" violations")).alias("detail"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def verdict(checked: DataFrame) -> DataFrame:
-    """GO unless a hard check fails."""
-    hard = F.count(F.when((F.col("severity") == "hard") & ~F.col("passed"), 1))
-    soft = F.count(F.when((F.col("severity") == "soft") & ~F.col("passed"), 1))
-    return checked.agg(F.when(hard == 0, "GO").otherwise("BLOCK").alias("verdict"), F.count(F.lit(1)).alias("checks"), hard.alias("fail_count"), soft.alias("warn_count"))

@@ -61,24 +61,6 @@ def document_lines(spark, d):
     return st.lines(table(spark, d, "documents"), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
 
 
-_B = f"WITH {S}, u AS (SELECT count(*) FILTER (\"end\" < start) AS a, (SELECT count(*) FROM (SELECT doc, place FROM s GROUP BY ALL HAVING count(*) > 1)) AS b FROM s)"
-
-
-@query(_B + " SELECT 'no_reversed_span' AS name, 'hard' AS severity, a = 0 AS passed, a || ' violations' AS detail FROM u UNION ALL SELECT 'unique_places', 'soft', b = 0, b || ' violations' FROM u")
-def verification_battery(spark, d):
-    return st.battery(_checks(spark, d))
-
-
-@query(_B + " SELECT CASE WHEN a > 0 THEN 'BLOCK' ELSE 'GO' END AS verdict, 2 AS checks, (a > 0)::INTEGER AS fail_count, (b > 0)::INTEGER AS warn_count FROM u")
-def verification_verdict(spark, d):
-    return st.verdict(st.battery(_checks(spark, d)))
-
-
-def _checks(spark, d):
-    s = spans(spark, d)
-    return [("no_reversed_span", "hard", s.filter(F.col("end") < F.col("start"))), ("unique_places", "soft", s.groupBy("doc", "place").count().filter("count > 1"))]
-
-
 _BAG = """(SELECT {k} AS key, unnest(regexp_extract_all(regexp_replace(lower({c}), '\\([^)]*\\)', ' ', 'g'), '[a-z'']+')) AS token FROM {t})"""
 _BAGS = "s AS (SELECT key, token, count(*) AS tf FROM " + _BAG.format(k="item_id", c="text", t="benchmark") + " WHERE length(token) > 1 AND token NOT IN ('the', 'of') GROUP BY ALL), t AS (SELECT key, token, count(*) AS tf FROM " + _BAG.format(k="doc_id", c="text", t="documents") + " WHERE length(token) > 1 AND token NOT IN ('the', 'of') GROUP BY ALL)"
 
