@@ -193,7 +193,7 @@ def _strip(doc_id: str, text: str, width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 35, crowded: int = 2000, shard_words: int = 300_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 35, crowded: int = 2000, shard_words: int = 100_000) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text and removed (first, last word of each removed stretch)."""
     docs = docs.select(doc_id, text, F.xxhash64(text).alias("h"))
     cut = settle(docs.mapInArrow(_cut(doc_id, text, width), _SEGMENTS), "segments")

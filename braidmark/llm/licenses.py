@@ -2,16 +2,18 @@
 
 A paragraph is a line with a word. Its features are its words and word pairs, hashed; a
 multinomial logistic regression gives family scores, as sums of weights at the features. It is
-trained on wordings of the licence families (templates, whole and cut, alone and among foreign
-words) against a bounded sample of the corpus's own paragraphs. Scores are calibrated on held-out
-wordings by a temperature. A paragraph that looks like a licence is confirmed by its word
+trained on wordings of the licence families (the paragraphs of short licence texts and of the
+notices of long ones, whole and cut, alone and among foreign words) against a bounded sample of the
+corpus's own paragraphs. Scores are calibrated by a temperature on wordings from elsewhere
+(HELD_OUT), which no training sees. A paragraph that looks like a licence is confirmed by its word
 triples' share in the nearest template of that family; unconfirmed or unsure ones are `unknown`.
 
 All paragraphs of a batch are scored at once on arrays; only licence-like ones are compared.
 
 Defined results: a null or empty text has no paragraphs and no licence; repeated rows are
-scanned row by row; extra columns are ignored; an empty table gives an empty result (the
-classifier is then trained on templates alone).
+scanned row by row; of tied families the first in FAMILIES counts; texts of any length are scanned
+whole; extra columns are ignored; an empty table gives an empty result (the classifier is then
+trained on templates alone).
 """
 
 from __future__ import annotations
@@ -34,22 +36,33 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
         "SPDX-License-Identifier: Apache-2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ),
     "bsd-3-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
     ),
     "cc-by-4.0": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -64,6 +77,7 @@ TEMPLATES = {
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
 }
 FAMILIES = tuple(TEMPLATES)
@@ -74,6 +88,18 @@ OTHERS = (
     "This software is licensed to you under a commercial license agreement.",
     "Copyright reserved by the author; redistribution is not permitted.",
 )
+#: Wordings from elsewhere, for the temperature and the tests only.
+HELD_OUT = {
+    "mit": ("MIT licensed, see the file LICENSE for the full text.", "The code in this repository is available under the MIT license.", "Distributed under the MIT License, free of charge and without warranty of any kind."),
+    "apache-2.0": ("The source is available under version 2.0 of the Apache License.", "Apache License 2.0, see http://www.apache.org/licenses/ for its text.", "You may not use these files except in compliance with the Apache License, Version 2.0."),
+    "gpl-3.0": ("You can redistribute it under the GNU GPL, version 3 or later.", "Free software under the GNU General Public License v3.", "Licensed under the GNU General Public License as published by the Free Software Foundation."),
+    "bsd-3-clause": ("Use of this source code is governed by a BSD-style 3-clause license.", "Distributed under the three clause BSD License.", "Redistribution in source and binary forms is permitted if the conditions and the disclaimer are retained."),
+    "cc-by-4.0": ("Text available under the Creative Commons Attribution 4.0 License.", "Shared under a CC BY 4.0 licence.", "Content is licensed under Creative Commons Attribution 4.0 International."),
+    "cc-by-nc-4.0": ("Text available under the Creative Commons Attribution-NonCommercial 4.0 License.", "Shared under a CC BY-NC 4.0 licence for non-commercial use."),
+    "mpl-2.0": ("Covered by the Mozilla Public License, version 2.0.", "This file is subject to the MPL, v. 2.0; you can obtain one at mozilla.org."),
+}
+HELD_OUT_OTHERS = ("All rights reserved by the publisher; no part may be reproduced.", "Subject to our commercial license agreement and its terms.")
+HELD_OUT_NONE = ("The committee will meet on Tuesday to discuss the budget for the new school.", "She opened the window and watched the rain fall on the garden.", "Der Zug nach Hamburg fährt heute vom Gleis sieben ab.", "Mix the flour with two eggs and a pinch of salt.")
 BITS = 18
 
 
@@ -140,14 +166,16 @@ def wordings(background: list[str], seed: int = 5, copies: int = 12) -> tuple[li
 
 
 def fit(texts: list[str], kinds: list[int], rounds: int = 120, rate: float = 2.0, decay: float = 1e-4) -> Model:
-    """Multinomial logistic regression by full-batch gradient steps on the sparse features; a fifth is held out for the temperature."""
+    """Multinomial logistic regression by full-batch gradient steps on the sparse features; HELD_OUT sets the temperature."""
+    apart = [(t, k) for k, f in enumerate(FAMILIES, 1) for t in HELD_OUT[f]] + [(t, len(FAMILIES) + 1) for t in HELD_OUT_OTHERS] + [(t, 0) for t in HELD_OUT_NONE]
+    own, texts, kinds = len(texts), [*texts, *(t for t, _ in apart)], [*kinds, *(k for _, k in apart)]
     hashes, before = _word_numbers(pa.array(texts, pa.string()))
     n, classes = len(texts), len(FAMILIES) + 2
     at, text_of = features_of(hashes, np.repeat(np.arange(n), np.diff(before)))
     value = 1 / np.sqrt(np.maximum(1, np.bincount(text_of, minlength=n)))[text_of]
     used, at = np.unique(at, return_inverse=True)
     y = np.asarray(kinds)
-    held = np.arange(n) % 5 == 4
+    held = np.arange(n) >= own
     share = np.bincount(y[~held], minlength=classes).astype(float)
     weight = np.where(held, 0, 1 / np.maximum(1, share)[y])
     weight = weight / weight.sum()
@@ -177,10 +205,15 @@ def _triples(paragraph: str) -> list[tuple[str, ...]]:
 
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = 400, sample_paragraphs: int = 1500) -> Model:
-    """Fits on the templates and a bounded sample: paragraphs of the sample_docs documents with the least text hash."""
+    """Fits on the templates and a bounded sample: paragraphs of 20 to 2000 characters of the sample_docs documents with the least text hash.
+
+    The hashes are compared first, so that no text but those of the sample is moved.
+    """
     line = F.explode(F.split(F.col(text), "\n")).alias("p")
-    rows = docs.select(text).filter(F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(sample_docs).select(line)
-    found = [r.p for r in rows.filter(F.length("p").between(20, 2000)).limit(sample_paragraphs).collect()]
+    h = F.xxhash64(text)
+    last = docs.filter(F.col(text).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = docs.filter(F.col(text).isNotNull() & (h <= (-(1 << 63) if last is None else last))).select(text).distinct().select(line)
+    found = sorted(r.p for r in rows.filter(F.length("p").between(20, 2000)).limit(sample_paragraphs).collect())
     return fit(*wordings([p for p in found if not looks_like_notice(p)]))
 
 

@@ -12,7 +12,12 @@ permutation seeded by the pass until the rest of its budget is used; only in the
 the budget ends are single documents put in order. No window covers more rows than a source
 has blocks or a block has documents.
 
-Defined results: a null source is a source of its own; a null or empty text counts one token
+Tokens are words and one separator a document: tokenizers need Python, and this path uses
+DataFrame functions only. Shares by words and by tokens differ as far as sources differ in tokens
+a word; a table with a column of real counts may give it as `tokens`.
+
+Defined results: a null source is a source of its own; documents that tie in order are taken by
+doc_id; texts of any length are counted whole; a null or empty text counts one token
 (its separator), as every document does besides its words; repeated rows are dealt row by row;
 extra columns pass through, but for those of the names in ADDED, which are replaced; an empty
 table gives an empty result.
@@ -115,7 +120,7 @@ def plan_sources(totals: DataFrame, mix: Mix) -> DataFrame:
 ADDED = ("mix_pass", "mix_block", "mix_block_pos", "mix_order", "mix_tokens", "mix_weight")
 
 
-def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text", settle=lambda df: df) -> DataFrame:
+def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", source: str = "source", text: str = "text", settle=lambda df: df, tokens: str | None = None) -> DataFrame:
     """docs' rows, once for each pass that takes them.
 
     Adds mix_pass (from 1), mix_block, mix_block_pos (the block's place in that pass), mix_order
@@ -124,7 +129,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     that Spark knows their size: while they are small, texts meet them without a shuffle.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    sized = settle(docs.drop(*ADDED).withColumns({"__key": key, "__tokens": tokens_of(F.col(text))}))
+    sized = settle(docs.drop(*ADDED).withColumns({"__key": key, "__tokens": F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)) + 1 if tokens else tokens_of(F.col(text))}))
     thin = store.settle(sized.select("__key", "__tokens", F.col(doc_id).alias("__id")), "mix-sizes")
     totals = store.settle(source_totals(thin), "mix-totals")
     plan = plan_sources(totals, mix).select("__key", *(F.col(c).alias(f"__{c}") for c in ("weight", "n_blocks", "full", "rest")))

@@ -2,16 +2,17 @@
 
 Base kinds (email, ip, card, phone) are found by fixed patterns and kept as they are. Other
 candidates (secrets, national ids, account numbers, phones without a country code) come from
-wide patterns; regex, gazetteer and context labelers each vote for, against or not at all on
-each candidate. The counts of vote patterns, which are few however many documents there are,
+wide patterns; labelers of their own for form, issuer's prefix, gazetteer of the word before, words
+near, density and quoting each vote for, against or not at all on each candidate. The counts of vote patterns, which are few however many documents there are,
 go to an expectation-maximisation that estimates each labeler's reliability without labels.
-Its posteriors train the final classifier, a logistic regression on coarse features of the
-span, over counts of feature patterns (few as well), and the classifier decides on every
+Its posteriors train the final classifier, a logistic regression on coarse features of the span
+and its neighbours, most of which no labeler votes on, over counts of feature patterns (few as well), and the classifier decides on every
 candidate, which a column expression applies.
 
 Spans are code points, end exclusive. A candidate that overlaps a base span is dropped.
 
-Defined results: a null or empty text has no spans; repeated rows are searched row by row; extra
+Defined results: a null or empty text has no spans; of spans that start together the first kind
+listed comes first; texts of any length are searched whole; repeated rows are searched row by row; extra
 columns are ignored (pass through in `mask_documents`); an empty table gives an empty result.
 """
 
@@ -51,10 +52,12 @@ CUES = {
     "account": ("iban", "account", "konto", "cuenta", "compte", "bank"),
     "local_phone": ("phone", "tel", "telephone", "call", "fax", "mobile", "teléfono", "telefon", "téléphone"),
 }
+#: What stands before numbers and hashes that are no one's secret.
+PLAIN_CUES = ("sha", "sha1", "sha256", "md5", "checksum", "commit", "digest", "version", "build", "isbn", "issn", "doi", "order", "article", "page", "figure", "table", "id")
 PREFIXES = ("ghp_", "gho_", "sk-", "xoxb-", "AKIA", "AIza", "eyJ", "-----")
 HEX_SIZES = (32, 40, 48, 56, 64, 96, 128)
 BEFORE = re.compile(r"(\w+)[^\w\n]{0,8}$")
-N_LABELERS, N_FEATURES = 5, 8
+N_LABELERS, N_FEATURES = 6, 10
 
 
 def luhn(digits: str) -> bool:
@@ -115,10 +118,13 @@ def votes_and_features(kind: str, text: str, start: int, end: int) -> tuple[list
         dense = 0
     else:
         shape, dense = (1 if s[0] == "(" or "-" in s else 0), (-1 if s.count(".") == 2 else 0)
+    plain = cue in PLAIN_CUES and not known
     quoted = text[start - 1 : start] in ("'", '"', "=", ":") or before.endswith((": ", "= "))
-    votes = [shape, 1 if s.startswith(PREFIXES) or known else 0, 1 if near else 0, dense, 1 if quoted else 0]
+    # labelers: form, issuer's prefix, gazetteer of the word before, words near, density, quoting
+    votes = [shape, 1 if s.startswith(PREFIXES) else 0, 1 if known else -1 if plain else 0, 1 if near else -1 if plain else 0, dense, 1 if quoted else 0]
     k = EXTRA.index(kind)
-    features = [k == 1, k == 2, k == 3, shape > 0, known, near, dense > 0, quoted]
+    # what the classifier sees besides: length, share of digits, neighbours
+    features = [k == 1, k == 2, k == 3, known, plain, 3 * digits > 2 * len(s), len(s) >= 32, quoted, text[end : end + 1] in ("'", '"', ";", "\n", ""), letters > 0 and s.lower() == s]
     return votes, list(map(int, features))
 
 
@@ -197,7 +203,7 @@ def label(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def train(labelled: DataFrame) -> np.ndarray:
-    """The span classifier's weights; the driver gets pattern counts, at most 3^5 * 2^8 rows."""
+    """The span classifier's weights; the driver gets pattern counts, at most 3^6 * 2^10 rows."""
     rows = labelled.select(F.inline("__found")).groupBy("votes", "features").count().collect()
     if not rows:
         return np.zeros(N_FEATURES + 1)

@@ -6,7 +6,7 @@ hash join with the list, which removes the false positives; every other URL skip
 Both joins are equality joins on tables made from the list: Spark broadcasts them while their
 measured size is under its threshold and shuffles beyond it.
 
-Defined results: a null URL or one without `://` has an empty host and path, fits no rule, is
+Defined results: of rules that tie in length the last by name counts; URLs of any length are judged whole; a null URL or one without `://` has an empty host and path, fits no rule, is
 in no list and is allowed; repeated rows are judged row by row; an empty list blocks nothing;
 extra columns pass through `judge_urls` (its own columns host, path, rule, verdict, canonical
 replace those of the same name).

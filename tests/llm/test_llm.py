@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -168,6 +169,52 @@ def test_pii(docs, rows):
     assert masked[n - 4].startswith('token = "[SECRET]"') and masked[0] is None and masked[4] == rows[4][1]
 
 
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _base_of(text):
+    out = []
+    for place, (kind, pattern) in enumerate(CONTRACT.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 14 <= len(d) <= 19 and luhn, "phone": 10 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), place, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for *_, x in sorted(out)]
+
+
+def test_pii_base_spans_match_the_patterns(spark, rows):
+    rng = random.Random(31)
+    parts = ["a@b.co", "x.y@", "@", "1.2.3.4", "1.2.3.4.5.6", "256.1.1.1", "00001.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0100", "+49 30 1234567", "+", "12", " ", "-", ".", "word", "é", "\n", "5500000000000004"]
+    made = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(1500)] + [t for _, t, *_ in rows] + [None]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for r in pii.find_spans(df, lambda df, _: df).collect():
+        want = _base_of(made[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k + ":") for x in want) for k in CONTRACT]
+        assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def test_pii_recall_and_precision_on_planted_rows(spark):
+    rng, rows, truth = random.Random(12), [], {}
+    hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    mixed = lambda n: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789", k=n))
+    secret = [lambda: f'token = "{hexed(40)}"', lambda: f"api key: {mixed(32)}", lambda: f"password={mixed(20)}", lambda: f"Authorization: Bearer {mixed(36)}", lambda: f"secret ghp_{mixed(36)}"]
+    plain = [lambda: f"commit {hexed(40)} was merged", lambda: f"the number {rng.randrange(10**15, 10**16)} is prime", lambda: f"sha256 {hexed(64)} of the file", lambda: "a-very-long-hyphenated-compound-word2", lambda: f"order {rng.randrange(10**17, 10**18)} shipped"]
+    for i in range(600):
+        truth[i] = i % 2 == 0
+        rows.append((i, f"some words here {rng.choice(secret if truth[i] else plain)()} and more words"))
+    got = {r.doc_id: bool(r.spans) for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), lambda df, _: df).collect()}
+    hit = sum(got[i] and truth[i] for i in got)
+    assert hit >= 0.9 * sum(truth.values()) and hit >= 0.9 * sum(got.values()), (hit, sum(truth.values()), sum(got.values()))
+
+
 def groups(rows, percent=75):
     sets = {}
     for i, t, *_ in rows:
@@ -280,6 +327,126 @@ def test_mixing(docs, rows):
     assert set(same.full) == {-1} and sorted(zip(same.doc_id, same.mix_pass, same.mix_block)) == sorted(zip(out.doc_id, out.mix_pass, out.mix_block))
 
 
+def _fate(rows, limits=quality.Limits()):
+    """kept by row: the rules, hosts and prior in plain Python."""
+    def facts(t):
+        w = [x.decode() for x in split(t)]
+        seen = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        cover = {k for j in range(len(w) - 2) if seen[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
+        lines = [x for x in (t or "").split("\n") if x.encode().split()]
+        symbols, chars, dup = sum((t or "").count(c) for c in quality.SYMBOLS), sum(map(len, w)), len(lines) - len(set(lines))
+        fails = lambda s, d: symbols * 100 > chars * s or dup * 100 > len(lines) * d
+        return len(w) < limits.min_words or 100 * len(cover) > limits.max_repeat_pct * len(w), fails(20, 50), fails(15, 30)
+
+    found = [(host, *facts(t)) for host, t in rows]
+    hosts = defaultdict(list)
+    for host, base, soft, _ in found:
+        hosts[host].append(base or soft)
+    rates = [sum(v) / len(v) for v in hosts.values()]
+    m = sum(rates) / len(rates)
+    v = sum((r - m) ** 2 for r in rates) / len(rates)
+    k = max(limits.least_strength, min(limits.most_strength, m * (1 - m) / v - 1 if v > 0 else limits.most_strength))
+    limit = round(min(limits.host_rate, m + limits.host_z * math.sqrt(m * (1 - m) / (k + 1))), 9)
+    bad = {h: round((sum(x) + m * k) / (len(x) + k), 9) > limit for h, x in hosts.items()}
+    return [not base and not (strict if bad[host] else soft) for host, base, soft, strict in found], bad
+
+
+def test_host_verdicts_change_rows(spark):
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    rows = []
+    for h in range(8):
+        for _ in range(40):
+            junk = rng.random() < (0.45 if h == 0 else 0.1)
+            rows.append((f"h{h}", "short" if junk else prose(60) + " " + "#" * rng.choice([0, 0, 50, 60, 70, 90])))
+    rows += [(None, prose(60)), (None, None), ("h1", "")]
+    want, bad = _fate(rows)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, text string").withColumns({"n": F.lit(1), "host": F.lit("x")})
+    failed = quality.failures(quality.measure(df))
+    got = {r.doc_id: r.kept for r in quality.judge(failed, quality.host_verdicts(failed)).collect()}
+    assert [got[i] for i in range(len(rows))] == want and bad["h0"] and sum(bad.values()) < len(bad)
+    lenient, _ = _fate(rows, quality.Limits(host_rate=2.0, host_z=100.0))
+    assert lenient != want  # some rows go because of their host alone
+
+
+def test_url_filter_by_brute_force(spark):
+    rng = random.Random(17)
+    hosts = ["example.org", "a.example.org", "x.com", "COM", "bad.net", "www.bad.net", "m.ok.net", "notexample.org", "spam-farm.net", ""]
+    paths = ["", "/", "/es/1", "/en/17", "/en/2", "/fr/x", "/de/", "/a", "/a/", "/a.html", "/a/index.htm"]
+    made = [f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/de/', '#t'])}" for _ in range(800)] + [None, "no url", "", "://", "http://bad.net/a" + "b" * 5000]
+    listed = ["bad.net/a", "ok.net/a", "bad.net", None]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def judged(u):
+        if not u or "://" not in u:
+            return "", "", None, "allow"
+        rest = u.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate(low)
+        fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        if fits:
+            best = max(fits, key=lambda r: (len(r.text), r.text))
+            return host, path, best.text, best.verdict
+        canon = re.sub(r"^(www|m)\.", "", host) + re.sub(r"(/index)?(\.html?)?/*$", "", path) if host else None
+        return host, path, None, "block" if canon is not None and canon in listed else "allow"
+
+    df = spark.createDataFrame(list(enumerate(made)), "page_id long, url string").withColumns({"rule": F.lit("clash"), "block": F.lit(7), "canonical": F.lit("clash")})
+    feed = spark.createDataFrame([(x,) for x in listed], "canonical string")
+    for n_blocks in (1, 64):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge_urls(df, feed, URL_RULES, n_blocks=n_blocks).collect()}
+        assert got == {i: judged(u) for i, u in enumerate(made)}
+    assert urls.judge_urls(df.limit(0), feed, URL_RULES).count() == 0 and urls.judge_urls(df, feed.limit(0), URL_RULES).filter("rule IS NULL AND verdict = 'block'").count() == 0
+
+
+def _xx(parts, seed=42):
+    """The 64-bit hash of Spark's xxhash64 for strings, ints and longs."""
+    import struct
+
+    import xxhash
+
+    for kind, x in parts:
+        if x is not None:
+            seed = xxhash.xxh64_intdigest(x.encode() if kind == "s" else struct.pack("<i" if kind == "i" else "<q", x), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_mixing_by_brute_force(spark):
+    rng = random.Random(41)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choices(["hot", "a", "b", None], weights=[6, 2, 1, 1])[0]) for i in range(400)]
+    mix = mixing.Mix(block_docs=16)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.mix_pass, r.mix_block, r.mix_block_pos) for r in mixing.mix_sources(docs, mix).collect())
+    size, by = {i: len(t.split()) + 1 for i, t, _ in rows}, defaultdict(list)
+    for i, _, s in rows:
+        by[s].append(i)
+    tokens = {s: sum(size[i] for i in ids) for s, ids in by.items()}
+    a = mixing.find_exponent(mixing.source_totals(docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("__key"), mixing.tokens_of(F.col("text")).alias("__tokens"))), mix)
+    raw = {s: n**a for s, n in tokens.items()}
+    budget = sum(raw.values()) / min(n ** (a - 1) for n in tokens.values())
+    want = []
+    for s, ids in by.items():
+        n_blocks, passes = -(-len(ids) // mix.block_docs), round(raw[s] / sum(raw.values()) * budget / tokens[s], 9)
+        full = math.floor(passes)
+        rest, blocks = math.floor((passes - full) * tokens[s]), defaultdict(list)
+        for i in ids:
+            blocks[_xx([("i", mix.seed), ("l", i)]) % n_blocks].append(i)
+        for p in range(1, full + 2):
+            order = sorted(blocks, key=lambda b: (_xx([("i", mix.seed), ("i", p), ("l", b)]), b))
+            used = 0
+            for place, b in enumerate(order, 1):
+                whole = sum(size[i] for i in blocks[b])
+                room = whole if p <= full else rest - used
+                used += whole
+                taken, so_far = [], 0
+                for i in sorted(blocks[b], key=lambda i: (_xx([("i", mix.seed + 1), ("i", p), ("l", i)]), i)):
+                    so_far += size[i]
+                    if room >= whole or (room > 0 and so_far <= room):
+                        taken.append(i)
+                want += [(i, p, b, place) for i in taken] if room > 0 else []
+    assert got == sorted(want)
+
+
 def test_licenses(docs, rows):
     model = licenses.train(docs)
     got = {r.doc_id: r for r in licenses.scan(docs, model).collect()}
@@ -292,6 +459,24 @@ def test_licenses(docs, rows):
     hashes, before = licenses._word_numbers(pa.array(texts))
     guess = licenses._scores(model, hashes, before).argmax(1)
     assert (guess == np.array(kinds)).mean() > 0.9
+    # wordings that no training saw
+    apart = [(t, k) for k, f in enumerate(licenses.FAMILIES, 1) for t in licenses.HELD_OUT[f]] + [(t, 0) for t in licenses.HELD_OUT_NONE]
+    hashes, before = licenses._word_numbers(pa.array([t for t, _ in apart]))
+    guess = licenses._scores(model, hashes, before).argmax(1)
+    assert (guess == np.array([k for _, k in apart])).mean() >= 0.75, guess
+
+
+def test_licence_confirmation_by_brute_force(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n))
+    made, want = [], {}
+    for i, (family, group) in enumerate((f, t) for f, g in licenses.TEMPLATES.items() for t in g):
+        made.append((i, f"{prose(40)}\n{group}\n{prose(30)}"))
+        want[i] = family
+    made += [(100 + i, "\n".join(prose(20) for _ in range(5))) for i in range(40)] + [(200, None), (201, ""), (201, "")]
+    df = spark.createDataFrame(made, "doc_id long, text string").withColumn("families", F.lit("clash"))
+    got = {r.doc_id: r.families for r in licenses.scan(df, licenses.train(df)).collect()}
+    assert sum(got[i] == f for i, f in want.items()) >= 0.95 * len(want) and not any(got[i] for i in got if i >= 100)
 
 
 def test_empty_tables(spark, docs):
@@ -304,10 +489,27 @@ def test_empty_tables(spark, docs):
     assert ngram_join.similar_documents(none).count() == 0
     assert mixing.mix_sources(none).count() == 0
     assert licenses.scan(none, licenses.train(none)).count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.select("doc_id", "text", "lang", "source", "n_chars"), "").count() == 0, name
     empty = topk.quantise(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_stages_keep_columns_of_clashing_names(spark, rows):
+    names = ("n_words", "kept", "soft_failed", "host", "n", "k", "h", "component_id", "mix_pass", "mix_weight", "weight", "tokens", "found", "kind")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("mine") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "").select(df.columns)
+        assert out.count() > 0 and out.filter(" OR ".join(f"{c} != 'mine'" for c in names)).count() == 0, name
+
+
+def test_null_and_repeated_ids_dont_multiply(spark):
+    rows = [(None, f"text {i} " + "same words here " * 20) for i in range(300)] + [(None, "one two three " * 30)] * 200 + [(7, "one two three " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dedup_substring.remove_repeats(df).count() == len(rows)
+    assert ngram_join.similar_documents(df).count() == len(rows)
+
+
 def test_pipeline(spark, rows, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
