@@ -54,3 +54,55 @@ def apply_crosswalk(declared: DataFrame, walk: DataFrame, present: DataFrame, ti
 
 def tier(score: Column, high: float, medium: float) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
+
+
+def merged_tokens(df: DataFrame, key: str, tokens: Column, pairs: DataFrame) -> DataFrame:
+    """key, tokens: adjacent words of a pair (first, second) as one token first_second, greedily from left to right.
+
+    pairs: collocations; only a text's own pairs are looked at, joined by the words that they begin with.
+    """
+    own = df.select(F.col(key).alias("key"), tokens.alias("t"))
+    words = own.select("key", F.posexplode("t").alias("i", "first"))
+    after = own.select("key", F.posexplode("t").alias("j", "second")).withColumn("i", F.col("j") - 1)
+    found = words.join(after, ["key", "i"]).join(pairs.select("first", "second").distinct(), ["first", "second"], "left_semi")
+    starts = found.groupBy("key").agg(F.collect_list("i").alias("starts"))
+    met = own.join(starts, "key", "left")
+    none = F.array().cast("array<int>")
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("i"), F.lit(False).alias("skip"))
+
+    def step(acc: Column, w: Column) -> Column:
+        pair = ~acc["skip"] & F.array_contains(F.coalesce("starts", none), acc["i"])
+        word = F.when(pair, F.concat_ws("_", w, F.get(F.col("t"), acc["i"] + 1))).otherwise(w)
+        return F.struct(F.when(acc["skip"], acc["out"]).otherwise(F.array_append(acc["out"], word)).alias("out"), (acc["i"] + 1).alias("i"), pair.alias("skip"))
+
+    return met.select("key", F.aggregate("t", state, step)["out"].alias("tokens"))
+
+
+def bags_of(merged: DataFrame) -> DataFrame:
+    """key, token, tf of merged tokens."""
+    return merged.select("key", F.explode("tokens").alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def words_of(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """Words of two letters or more outside parentheses, without stop words."""
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\([^)]*\)", " ")
+    return F.filter(F.regexp_extract_all(plain, F.lit("[a-z']+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
+
+
+def band(score: Column) -> Column:
+    """Coverage band 0 to 5 of a share in per cent."""
+    return F.least(F.lit(5), F.greatest(F.lit(0), F.floor(score / 20).cast("int") + F.when(score > 0, 1).otherwise(0)))
+
+
+def embedding_crosswalk(source: DataFrame, target: DataFrame, key: str, vector: str, n: int = 3) -> DataFrame:
+    """key, rank, target, score: the n targets of greatest cosine of each source, in blocks; sources and targets without length score 0 with none."""
+    from braidmark.operators.retrieval import dense_top_k
+
+    best = dense_top_k(target, source, key, key, vector, n, digits=6)
+    return best.select(F.col("query_id").alias("key"), "rank", F.col("doc_id").alias("target"), "score")
+
+
+def untaught(declared: DataFrame, walk: DataFrame, taught: DataFrame) -> DataFrame:
+    """entity_id, doc_id that an entity declares, by way of the crosswalk, but isn't found to teach."""
+    claimed = declared.join(walk.select("source_code", F.col("target_code").alias("doc_id")), "source_code").select("entity_id", "doc_id").distinct()
+    return claimed.join(taught.select("entity_id", "doc_id"), ["entity_id", "doc_id"], "left_anti")

@@ -41,3 +41,87 @@ def stages_done(entities: DataFrame, artifacts: DataFrame, entity: str, stage: s
 
     # one row per stage of a fixed list
     return own.withColumn("done", F.every("complete").over(W.orderBy("at"))).drop("at")
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """job_id, line_no, text with what a line says: stage (a header "== name =="), cost and estimate, item progress (i of n), item and its status, and the stage filled forward."""
+    from pyspark.sql import Window as W
+
+    get = lambda pattern, i=1: F.nullif(F.regexp_extract("text", pattern, i), F.lit(""))
+    out = lines.withColumns(
+        {
+            "header": get(r"^=+\s*(.+?)\s*=+\s*$"),
+            "machine_cost": get(r"(?i)\bcost_usd=([0-9.]+)").try_cast("double"),
+            "estimated_cost": get(r"(?i)\best(?:imated)? cost:?\s*\$?([0-9.]+)").try_cast("double"),
+            "done": get(r"\[(\d+)/(\d+)\]").try_cast("int"),
+            "total": get(r"\[(\d+)/(\d+)\]", 2).try_cast("int"),
+            "item": get(r"\[\d+/\d+\]\s+(\S+)"),
+            "item_status": F.lower(get(r"(?i)\b(error|failed|skip|done|ok|running)\b")),
+        }
+    )
+    return out.withColumn("stage", F.last("header", ignorenulls=True).over(W.partitionBy("job_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def stage_costs(parsed: DataFrame, usage: DataFrame) -> DataFrame:
+    """job_id, stage, cost: the sum of a stage's machine costs, else its last estimate, else its artifacts' usage; and the job's total (null stage).
+
+    usage: job_id, stage, cost.
+    """
+    own = parsed.filter("stage IS NOT NULL").groupBy("job_id", "stage").agg(F.sum("machine_cost").alias("__m"), F.max_by("estimated_cost", F.when(F.col("estimated_cost").isNotNull(), F.col("line_no"))).alias("__e"))
+    used = usage.groupBy("job_id", "stage").agg(F.sum("cost").alias("__u"))
+    met = own.join(used, ["job_id", "stage"], "left").withColumn("cost", F.coalesce("__m", "__e", "__u", F.lit(0.0)))
+    return met.rollup("job_id", "stage").agg(F.bround(F.sum("cost"), 6).alias("cost")).filter("job_id IS NOT NULL")
+
+
+def failure_digest(parsed: DataFrame, errors: DataFrame, hints: list[tuple[str, str]]) -> DataFrame:
+    """job_id, failed, total, common_error, last_error_line, hint of each job with failures.
+
+    errors: job_id, entity_id, error (null: no failure). hints: (pattern, hint), the first that matches counts.
+    """
+    bad = errors.filter("error IS NOT NULL").groupBy("job_id", "error").agg(F.count(F.lit(1)).alias("n"))
+    common = bad.groupBy("job_id").agg(F.max_by("error", F.struct("n", "error")).alias("common_error"))
+    per = errors.groupBy("job_id").agg(F.count_distinct(F.when(F.col("error").isNotNull(), F.col("entity_id"))).alias("failed"), F.count_distinct("entity_id").alias("total"))
+    last = parsed.filter(F.col("item_status").isin("error", "failed")).groupBy("job_id").agg(F.max_by("text", "line_no").alias("last_error_line"))
+    hint = F.lit(None).cast("string")
+    for pattern, said in reversed(hints):
+        hint = F.when(F.concat_ws("\n", "common_error", "last_error_line").rlike(pattern), said).otherwise(hint)
+    return per.filter("failed > 0").join(common, "job_id", "left").join(last, "job_id", "left").withColumn("hint", hint)
+
+
+def cached_usage_cost(usage: DataFrame, rates: list[tuple[str, float, float]], model: str, read: float = 0.1, write: float = 1.25) -> DataFrame:
+    """usage_cost with cache tokens: those read cost `read`, those written `write` times the input price."""
+    weighed = usage.withColumn("tokens_in", F.col("tokens_in") + read * F.col("cache_read") + write * F.col("cache_write"))
+    return usage_cost(weighed, rates, model)
+
+
+def file_states(files: DataFrame, version: str) -> DataFrame:
+    """state (kept, stale, unreadable), n, bytes of cache files: path, length, found_version (null: can't be read)."""
+    state = F.when(F.col("found_version").isNull(), "unreadable").when(F.col("found_version") == version, "kept").otherwise("stale")
+    return files.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+
+
+def cache_files(spark, path: str, pattern: str = r'"version"\s*:\s*"([^"]*)"') -> DataFrame:
+    """path, length, found_version of the files under a folder."""
+    df = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("found_version"))
+
+
+def is_fresh(files: DataFrame, slack: str = "1 second") -> DataFrame:
+    """One row: the newest report and judge times (files: kind, modified, cut), whether reports aren't older, and whether all cuts agree."""
+    newest = lambda k: F.max(F.when(F.col("kind") == k, F.col("modified")))
+    one = files.agg(newest("report").alias("report"), newest("judge").alias("judge"), (F.count_distinct("cut") <= 1).alias("cuts_agree"))
+    return one.withColumn("fresh", F.coalesce(F.col("report") >= F.col("judge") - F.expr(f"INTERVAL {slack}"), F.lit(False)))
+
+
+def score_health(candidates: DataFrame) -> DataFrame:
+    """entity_id, n, n_dense_rank, n_dense_score, health: empty, ok, logging_artifact (ranks without scores), dense_arm_missing (neither) or unknown.
+
+    candidates: entity_id, doc_id (null: an entity without candidates), dense_rank, dense_score.
+    """
+    per = candidates.groupBy("entity_id").agg(F.count("doc_id").alias("n"), F.count("dense_rank").alias("n_dense_rank"), F.count("dense_score").alias("n_dense_score"))
+    r, s = F.col("n_dense_rank") > 0, F.col("n_dense_score") > 0
+    return per.withColumn("health", F.when(F.col("n") == 0, "empty").when(r & s, "ok").when(r, "logging_artifact").when(~s, "dense_arm_missing").otherwise("unknown"))
+
+
+def health_report(health: DataFrame) -> DataFrame:
+    return health.groupBy("health").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("entity_id")).alias("entities"))

@@ -54,3 +54,112 @@ def printed_range(spans: DataFrame, page_map: DataFrame, doc: str) -> DataFrame:
 def lines(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """Numbered lines of each text (from 1)."""
     return docs.select(doc, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+
+
+def top_level(outline: DataFrame, doc: str, level: str) -> DataFrame:
+    """Outline entries of a document's shallowest level."""
+    least = outline.groupBy(doc).agg(F.min(level).alias("__least"))
+    return outline.join(least, doc).filter(F.col(level) == F.col("__least")).drop("__least")
+
+
+def header_segments(headers: DataFrame, last_pages: DataFrame) -> DataFrame:
+    """doc, identity, start, end: from the first page that names an identity up to the next identity's.
+
+    headers: doc, page, identity; last_pages: doc, last_page.
+    """
+    first = headers.filter("identity IS NOT NULL").groupBy("doc", "identity").agg(F.min("page").alias("start"))
+    after = F.lead("start").over(W.partitionBy("doc").orderBy("start", "identity"))
+    met = first.withColumn("__next", after).join(last_pages, "doc")
+    return met.select("doc", "identity", "start", F.coalesce(F.col("__next") - 1, F.col("last_page")).alias("end"))
+
+
+def overview_spans(spans: DataFrame, last_pages: DataFrame) -> DataFrame:
+    """doc, unit, start, end of pages that no span covers: those before a span belong to its unit, those after the last to the last one's.
+
+    spans: doc, unit, start, end; last_pages: doc, last_page.
+    """
+    w = W.partitionBy("doc").orderBy("start", "end")
+    seen = F.coalesce(F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = spans.withColumn("__seen", seen).filter(F.col("start") > F.col("__seen") + 1).select("doc", "unit", (F.col("__seen") + 1).alias("start"), (F.col("start") - 1).alias("end"))
+    tail = spans.groupBy("doc").agg(F.max_by("unit", F.struct("end", "start")).alias("unit"), (F.max("end") + 1).alias("start")).join(last_pages, "doc").filter("start <= last_page")
+    return before.unionByName(tail.select("doc", "unit", "start", F.col("last_page").alias("end")))
+
+
+def printed_page(pages: DataFrame, edge: int = 6) -> DataFrame:
+    """doc, page, printed: a number that stands alone, or after the name of the curriculum, on one of a page's first or last lines; the last such line counts.
+
+    pages: doc, page, text.
+    """
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    at_edge = F.filter(lines, lambda x, i: (i < edge) | (i >= F.size(lines) - edge))
+    numbers = F.filter(F.transform(at_edge, lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^(\d{1,4})$", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"(?i)Curriculum\s+(\d{1,4})\s*$", 1), F.lit("")))), lambda n: n.isNotNull())
+    return pages.select("doc", "page", F.when(F.size(numbers) > 0, F.get(numbers, F.size(numbers) - 1)).cast("int").alias("printed"))
+
+
+def printed_of(points: DataFrame, page_map: DataFrame, doc: str) -> DataFrame:
+    """Points (doc, page) with their printed page; null where the map lacks it."""
+    return points.join(page_map.select(doc, "page", "printed"), [doc, "page"], "left")
+
+
+def font_tier(size: Column, font: Column, hint: str = "MarkPro", major: float = 12.5, section: tuple[float, float] = (10.4, 11.6), runin: tuple[float, float] = (9.0, 9.9)) -> Column:
+    """Heading tier of a line by its font: 1 major, 2 section, 3 run-in, 0 body."""
+    headed = F.contains(font, F.lit(hint))
+    return F.when(headed & (size >= major), 1).when(headed & size.between(*section), 2).when(headed & size.between(*runin), 3).otherwise(0)
+
+
+def agenda_items(lines: DataFrame) -> DataFrame:
+    """doc, at, section, letter, title, minutes of agenda lines like "A. Reading aloud (10 minutes)" under headers like "1. Opening".
+
+    lines: doc, line_no, line.
+    """
+    header = F.regexp_extract("line", r"^\d+\.\s*(.+)", 1)
+    known = F.when(header.startswith("Opening"), "Opening").when(header.startswith("Work Time"), "Work Time").when(header.startswith("Closing"), "Closing and Assessment")
+    filled = fill_forward(lines, "doc", "line_no", known, "section")
+    item = F.col("line").rlike(r"^[A-Z]\.\s*.+") & F.col("section").isNotNull()
+    body = F.regexp_extract("line", r"^[A-Z]\.\s*(.+)", 1)
+    minutes = F.regexp_extract(body, r"\((\d+)\s*minutes?\)", 1).try_cast("int")
+    title = F.trim(F.regexp_replace(body, r"\(\d+\s*minutes?\).*$", ""))
+    return filled.filter(item).select("doc", F.col("line_no").alias("at"), "section", F.substring("line", 1, 1).alias("letter"), title.alias("title"), minutes.alias("minutes"))
+
+
+def section_bodies(lines: DataFrame, sections: list[str]) -> DataFrame:
+    """doc, section, items: the lines under each section's header, in order, without page furniture and preparation notes."""
+    from braidmark.operators.records import is_noise
+
+    named = F.when(F.trim("line").isin(*sections), F.trim("line"))
+    filled = fill_forward(lines, "doc", "line_no", named, "section").filter(F.col("section").isNotNull() & named.isNull() & ~is_noise(F.col("line")))
+    return filled.groupBy("doc", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("x")))), lambda r: r["x"]).alias("items"))
+
+
+def attached_steps(body: DataFrame, blocks: DataFrame, ahead: int = 3, least: int = 12) -> DataFrame:
+    """doc, line_no, block: the block that each body line belongs to (null before the first).
+
+    A line opens one of the next `ahead` blocks after the last opened one if its key (letters and
+    digits) equals the block's, or else shares a beginning of `least` characters with it, the
+    longest and then the nearest first. Which blocks are next depends on those opened before, so a
+    document's lines (some hundreds) are one group. body: doc, line_no, line; blocks: doc, block (from 0), title.
+    """
+    import os.path
+
+    import pandas as pd
+
+    key = F.regexp_replace(F.lower("line"), "[^a-z0-9]", "")
+    titled = blocks.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("k")))), lambda x: x["k"]).alias("titles"))
+    met = body.select("doc", "line_no", key.alias("key")).join(titled, "doc", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        titles = [] if pdf["titles"].iloc[0] is None else list(pdf["titles"].iloc[0])
+        current, out = -1, []
+        for k in pdf["key"]:
+            best = None
+            for at in range(current + 1, min(len(titles), current + 1 + ahead)) if k else ():
+                shared = len(os.path.commonprefix([k, titles[at]]))
+                if titles[at] and (k == titles[at] or shared >= least):
+                    best = max(best or (False, -1, 0, -1), (k == titles[at], shared, -at, at))
+            current = best[3] if best else current
+            out.append(current if current >= 0 else None)
+        return pd.DataFrame({"doc": pdf["doc"], "line_no": pdf["line_no"], "block": pd.array(out, "Int64")})
+
+    schema = met.select("doc", "line_no").schema.add("block", "long")
+    return met.groupBy("doc").applyInPandas(run, schema)

@@ -65,3 +65,116 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     if not df.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError(f"repeated keys: {keys}")
     return df
+
+
+def read_corpus(spark: SparkSession, path: str, schema: StructType | str, key: str, text: str) -> DataFrame:
+    """read_records with an error for missing or repeated keys and for blank texts."""
+    df = read_records(spark, path, schema)
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    bad = df.agg(F.count_if(blank(key)).alias("keys"), F.count_if(blank(text)).alias("texts")).first()
+    if bad["keys"] or bad["texts"]:
+        raise ValueError(f"{bad['keys']} records without a key, {bad['texts']} without a text")
+    return assert_unique(df, [key])
+
+
+def read_alignments(spark: SparkSession, path: str, schema: StructType | str, keys: list[str]) -> DataFrame:
+    """CSV files with a header; rows with an empty key drop out."""
+    df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    for k in keys:
+        df = df.filter(F.trim(F.coalesce(F.col(k), F.lit(""))) != "")
+    return df
+
+
+def read_master(spark: SparkSession, path: str, required: list[str], keys: list[str]) -> DataFrame:
+    """A corrected table: an error if a required header is missing; keyless rows drop out."""
+    df = spark.read.option("header", True).csv(path)
+    missing = sorted(set(required) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    for k in keys:
+        df = df.filter(F.trim(F.coalesce(F.col(k), F.lit(""))) != "")
+    return df
+
+
+def ordered_entities(gold: DataFrame, entity: str, order: str) -> DataFrame:
+    """Distinct entities in order of their first gold row."""
+    return gold.groupBy(entity).agg(F.min(order).alias("__at")).orderBy("__at", entity).select(entity)
+
+
+def gold_of_markdown(spark: SparkSession, path: str, head: str = r"(?m)^#+\s*(\S+)\s*:\s*(\S+)\s*$", row: str = r"(?m)^\|\s*(\S+)\s*\|\s*(full|partial)\s*\|") -> DataFrame:
+    """gold_id, entity_id, doc_id, status: table rows of Markdown files under their headings ("# id: entity")."""
+    text = spark.read.option("wholetext", True).text(path)
+    parts = text.select(F.explode(F.split("value", r"(?m)(?=^#)")).alias("part"))
+    ids = parts.select(F.regexp_extract("part", head, 1).alias("gold_id"), F.regexp_extract("part", head, 2).alias("entity_id"), F.inline(F.arrays_zip(F.regexp_extract_all("part", F.lit(row), F.lit(1)).alias("doc_id"), F.regexp_extract_all("part", F.lit(row), F.lit(2)).alias("status"))))
+    return ids.filter("entity_id != ''")
+
+
+def retrieved(files: DataFrame, field: str) -> DataFrame:
+    """entity_id, rank (from 1), doc_id, has_field of one list of codes in artifacts; an artifact without the list has one row, its doc_id null."""
+    rows = files.select("entity_id", F.col(field).isNotNull().alias("has_field"), F.posexplode_outer(field).alias("__i", "doc_id"))
+    return rows.select("entity_id", (F.col("__i") + 1).alias("rank"), "doc_id", "has_field")
+
+
+def sheet_violations(sheet: DataFrame) -> DataFrame:
+    """row, violation of a flat standards sheet (row, code, text): text without a code, code without a text, formulas, repeated codes, a grade other than the sheet's most common."""
+    code, text = F.trim(F.coalesce("code", F.lit(""))), F.trim(F.coalesce("text", F.lit("")))
+    rows = sheet.select("row", code.alias("code"), text.alias("text"), F.substring_index(code, ".", 1).alias("grade"))
+    named = rows.filter("code != ''")
+    counts = named.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    main = named.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("grade", F.struct("n", "grade")).alias("main"))
+    met = rows.join(counts, "code", "left").join(F.broadcast(main))  # one row
+    kinds = {
+        "blank_code": (F.col("code") == "") & (F.col("text") != ""),
+        "blank_text": (F.col("code") != "") & (F.col("text") == ""),
+        "formula": F.col("text").startswith("=") | F.col("code").startswith("="),
+        "repeated": F.coalesce(F.col("n") > 1, F.lit(False)),
+        "other_grade": (F.col("code") != "") & (F.col("grade") != F.col("main")),
+    }
+    return met.select("row", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))).alias("violation"))
+
+
+def corpus_for_retrieval(records: DataFrame, text: Column) -> DataFrame:
+    """Alignable leaves with the one text that the sparse and the dense arm share."""
+    from braidmark.operators.retrieval import alignable_leaves
+
+    return alignable_leaves(records, "doc_id", "parent", "level").withColumn("text", text)
+
+
+def raw_or_competency(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text from raw_text or else competency; doc_ids without either)."""
+    said = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    out = docs.select("doc_id", F.coalesce(said("raw_text"), said("competency")).alias("text"))
+    return out.filter("text IS NOT NULL"), out.filter("text IS NULL").select("doc_id")
+
+
+def index_rows(lessons: DataFrame) -> DataFrame:
+    """code, pages, min, declared_standards, title: the index of lessons, for a tab-separated file."""
+    return lessons.select("code", F.concat_ws("-", "page_start", "page_end").alias("pages"), F.coalesce(F.col("minutes").cast("string"), F.lit("")).alias("min"), F.array_join("declared", ", ").alias("declared_standards"), "title")
+
+
+def write_index(lessons: DataFrame, path: str) -> None:
+    index_rows(lessons).write.option("sep", "\t").option("header", True).mode("overwrite").csv(path)
+
+
+def run_summary(rows: DataFrame, status: str, sources: str) -> DataFrame:
+    """One row: rows, counts by status, and how many sources they came from."""
+    n = lambda s: F.count_if(F.col(status) == s).alias(f"n_{s}")
+    return rows.agg(F.count(F.lit(1)).alias("row_count"), n("full"), n("partial"), n("none"), F.count_distinct(sources).alias("sources"))
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The one row of a summary as JSON."""
+    summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def dumped(df: DataFrame, order: list[str], optional: list[str], pipeline: list[str]) -> DataFrame:
+    """json: records with keys in order, optional nulls left out, pipeline columns under _pipeline."""
+    required = [c for c in order if c not in optional]
+    body = F.struct(*[F.coalesce(c, F.lit("")).alias(c) if c in required and df.schema[c].dataType.typeName() == "string" else F.col(c) for c in order], F.struct(*pipeline).alias("_pipeline"))
+    return df.select(F.to_json(body).alias("json"))
+
+
+def loaded(dumps: DataFrame, schema: StructType | str) -> DataFrame:
+    """The records of `dumped`, pipeline columns beside the others."""
+    rows = dumps.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return rows.select(*[c for c in rows.columns if c != "_pipeline"], "_pipeline.*")
