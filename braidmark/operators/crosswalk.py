@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidmark.operators.retrieval import top_k
+from braidmark.operators.retrieval import score_terms, top_k
+from braidmark.session import written
 
 
 def bags(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -22,15 +23,20 @@ def idf(target: DataFrame) -> DataFrame:
 
 
 def text_crosswalk(source: DataFrame, target: DataFrame, n: int = 3) -> DataFrame:
-    """key, rank, target, score: IDF-weighted cosine over shared tokens; pairs without any never meet. Unknown tokens weigh 1."""
+    """key, rank, target, score: IDF-weighted cosine over shared tokens (keys are longs); pairs without any never meet. Unknown tokens weigh 1.
+
+    Blocks of targets meet groups of sources, as for the sparse arm: n targets of a block leave it.
+    """
     weights = idf(target)
-    weigh = lambda df: df.join(weights, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    s, t = weigh(source), weigh(target)
-    norm = lambda df: df.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = s.select("key", "token", "w").join(t.selectExpr("key AS target", "token", "w AS v"), "token").groupBy("key", "target").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.join(norm(s), "key").join(norm(t).selectExpr("key AS target", "norm AS norm_t"), "target")
-    scored = scored.withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("norm_t")), 6))
-    return top_k(scored, ["key"], [F.desc("score"), "target"], n).select("key", "rank", "target", "score")
+
+    def unit(df: DataFrame) -> DataFrame:
+        w = df.join(weights, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+        norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return w.join(norm, "key").select(F.col("key").alias("id"), F.col("token").alias("term"), (F.col("w") / F.col("norm")).alias("v"))
+
+    asked, known = written(unit(source), "asked"), written(unit(target), "bags")
+    best = score_terms(known, asked, known.select("id").distinct().count(), n)
+    return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], n).select(F.col("query_id").alias("key"), "rank", F.col("doc_id").alias("target"), "score")
 
 
 def collocations(docs: DataFrame, key: str, tokens: Column, least: int = 2, ratio: float = 0.7) -> DataFrame:

@@ -102,7 +102,7 @@ def file_states(files: DataFrame, version: str) -> DataFrame:
 
 def cache_files(spark, path: str, pattern: str = r'"version"\s*:\s*"([^"]*)"') -> DataFrame:
     """path, length, found_version of the files under a folder."""
-    df = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    df = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).alias("found_version"))
 
 

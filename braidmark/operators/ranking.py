@@ -32,13 +32,13 @@ def blend(df: DataFrame, alpha: float) -> DataFrame:
 
 
 def preserve_heads(df: DataFrame, top_n: int, preserve: int) -> DataFrame:
-    """The best top_n by blended score, with the first `preserve` rows of the prior order let in for the worst others.
+    """The best top_n by blended score, with the first `preserve` rows of the prior order let in for the worst others; rows without a prior rank are never preserved.
 
     df: entity_id, doc_id, rrf_rank, rerank_score, blended_score. Adds rerank_rank.
     """
     best = [F.desc("blended_score"), F.desc("rerank_score"), "doc_id"]
     e = W.partitionBy("entity_id")
-    placed = df.withColumn("__at", F.row_number().over(e.orderBy(*best))).withColumns({"__in": F.col("__at") <= top_n, "__head": F.col("rrf_rank") <= preserve})
+    placed = df.withColumn("__at", F.row_number().over(e.orderBy(*best))).withColumns({"__in": F.col("__at") <= top_n, "__head": F.coalesce(F.col("rrf_rank") <= preserve, F.lit(False))})
     missing, spare = F.col("__head") & ~F.col("__in"), F.col("__in") & ~F.col("__head")
     placed = placed.withColumn("__m", F.least(F.sum(missing.cast("int")).over(e), F.sum(spare.cast("int")).over(e)))
     placed = placed.withColumns(
@@ -54,7 +54,8 @@ def preserve_heads(df: DataFrame, top_n: int, preserve: int) -> DataFrame:
 def fusion_score(df: DataFrame, rrf_k: int = 60, ce_weight: float = 1.0, rrf_weight: float = 10.0) -> DataFrame:
     """Weighted rank priors, with a boost for the middle of the prior list that the reranker likes."""
     middle = F.col("rrf_rank").between(12, 35) & (F.col("ce_rank") <= 26)
-    score = ce_weight / (rrf_k + F.col("ce_rank")) + rrf_weight / (rrf_k + F.col("rrf_rank")) + F.when(middle, 3 / (rrf_k + F.col("ce_rank"))).otherwise(F.lit(0.0))
+    prior = F.coalesce(rrf_weight / (rrf_k + F.col("rrf_rank")), F.lit(0.0))
+    score = ce_weight / (rrf_k + F.col("ce_rank")) + prior + F.when(middle, 3 / (rrf_k + F.col("ce_rank"))).otherwise(F.lit(0.0))
     return df.withColumn("fused_score", F.round(score, 9))
 
 
@@ -69,7 +70,7 @@ def shortlist(df: DataFrame, top_n: int = 50, preserve: int = 12, head: int = 12
     agree = F.greatest("dense_rank", "bm25_rank")
     both = F.col("dense_rank").isNotNull() & F.col("bm25_rank").isNotNull() & (agree <= 10)
     placed = df.withColumns({"__keep_n": keep_n, "__agree": F.when(both, agree)})
-    placed = placed.withColumn("__kept", F.col("rrf_rank") <= F.col("__keep_n"))
+    placed = placed.withColumn("__kept", F.coalesce(F.col("rrf_rank") <= F.col("__keep_n"), F.lit(False)))
     extra = both & ~F.col("__kept")
     placed = placed.withColumn("__turn", F.row_number().over(W.partitionBy("entity_id", extra).orderBy("__agree", "doc_id")))
     must = F.col("__kept") | (extra & (F.col("__turn") <= max(1, min(10, top_n // 4))))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from braidmark.session import written
 
@@ -105,7 +106,7 @@ def _sum_blocks(k: int):
     return run
 
 
-def _score_terms(postings: DataFrame, asked: DataFrame, n_docs: int, k: int, block_rows: int = 2048, group_queries: int = 512) -> DataFrame:
+def score_terms(postings: DataFrame, asked: DataFrame, n_docs: int, k: int, block_rows: int = 2048, group_queries: int = 512) -> DataFrame:
     """query_id, doc_id, score: sums of products over shared terms. postings: id, term, v; asked: id, term, v (long ids).
 
     Blocks of documents meet groups of queries, so no task holds a frequent term's whole list and
@@ -143,13 +144,13 @@ class Corpus:
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
         asked = written(self._asked(queries, query_id, text).join(self.df, "term").select("id", "term", (F.col("times") * idf).alias("v")), "asked")
-        best = _score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", tf.alias("v")), asked, n, k)
+        best = score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", tf.alias("v")), asked, n, k)
         return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
 
     def term_overlap(self, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
         """The best k documents of each query by number of distinct shared terms."""
         asked = written(self._asked(queries, query_id, text).select("id", "term", F.lit(1.0).alias("v")), "asked")
-        best = _score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", F.lit(1.0).alias("v")), asked, self.totals.n_docs, k)
+        best = score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", F.lit(1.0).alias("v")), asked, self.totals.n_docs, k)
         return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
 
 
@@ -292,7 +293,7 @@ def exhaustive_pool(merged: DataFrame, corpus: DataFrame, grade: str, ceiling: i
 
 def embed_with(docs: DataFrame, text: str, embed_fn, out: str = "embedding", dims: int | None = None) -> DataFrame:
     """Adds vectors by a caller's function over lists of texts: one for each text, all of one length, none zero."""
-    schema = docs.schema.add(out, "array<float>")
+    schema = StructType([*docs.schema.fields]).add(out, ArrayType(FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +310,7 @@ def embed_with(docs: DataFrame, text: str, embed_fn, out: str = "embedding", dim
 
 def score_with(pairs: DataFrame, query: str, text: str, score_fn, out: str = "rerank_score") -> DataFrame:
     """Adds scores by a caller's function over lists of queries and texts: one number for each pair."""
-    schema = pairs.schema.add(out, "double")
+    schema = StructType([*pairs.schema.fields]).add(out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

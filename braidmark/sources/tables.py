@@ -24,7 +24,7 @@ def exploded_verdicts(files: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """job_id (the file's name), line_no from 1, text."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("job_id"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("job_id"), "value")
     return whole.select("job_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
 
 
@@ -103,7 +103,7 @@ def ordered_entities(gold: DataFrame, entity: str, order: str) -> DataFrame:
 
 def gold_of_markdown(spark: SparkSession, path: str, head: str = r"(?m)^#+\s*(\S+)\s*:\s*(\S+)\s*$", row: str = r"(?m)^\|\s*(\S+)\s*\|\s*(full|partial)\s*\|") -> DataFrame:
     """gold_id, entity_id, doc_id, status: table rows of Markdown files under their headings ("# id: entity")."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parts = text.select(F.explode(F.split("value", r"(?m)(?=^#)")).alias("part"))
     ids = parts.select(F.regexp_extract("part", head, 1).alias("gold_id"), F.regexp_extract("part", head, 2).alias("entity_id"), F.inline(F.arrays_zip(F.regexp_extract_all("part", F.lit(row), F.lit(1)).alias("doc_id"), F.regexp_extract_all("part", F.lit(row), F.lit(2)).alias("status"))))
     return ids.filter("entity_id != ''")
