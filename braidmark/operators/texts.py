@@ -96,3 +96,53 @@ def top_rows(ranked: DataFrame, documents: DataFrame, n: int) -> DataFrame:
     """The first n rows of each entity with the document's raw text, else its competency, else the first line of its embed text."""
     text = F.coalesce(F.nullif(_text(F.col("raw_text")), F.lit("")), F.nullif(_text(F.col("competency")), F.lit("")), F.substring_index(_text(F.col("embed_text")), "\n", 1))
     return ranked.filter(F.col("rank") <= n).join(documents.select("doc_id", text.alias("text")), "doc_id", "left")
+
+
+def retrieval_meta(ranked: DataFrame, fields: list[str]) -> DataFrame:
+    """Candidates with their retrieval columns as one struct, coverage_pass false where it isn't given."""
+    flag = F.coalesce(F.col("coverage_pass"), F.lit(False)) if "coverage_pass" in ranked.columns else F.lit(False)
+    own = [c for c in fields if c in ranked.columns and c != "coverage_pass"]
+    return ranked.select("entity_id", "doc_id", F.struct(*own, flag.alias("coverage_pass")).alias("retrieval"))
+
+
+def table_lines(tables: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tables of two columns or more; all lines, those of one-column tables among them at their page, page 0 last).
+
+    tables: doc, seq, page, n_cols, cells (array of arrays); lines: doc, page, seq, text.
+    """
+    single = tables.filter("n_cols < 2").select("doc", "page", "seq", F.posexplode(F.flatten("cells")).alias("at", "text"))
+    both = lines.select("doc", "page", F.lit(0).alias("kind"), "seq", F.lit(0).alias("at"), "text").unionByName(single.select("doc", "page", F.lit(1).alias("kind"), "seq", "at", "text"))
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("doc").orderBy(F.when(F.col("page") > 0, F.col("page")).otherwise(1 << 30), "kind", "seq", "at")
+    return tables.filter("n_cols >= 2"), both.withColumn("line_no", F.row_number().over(order)).select("doc", "line_no", "page", "text")
+
+
+def dimensions(df: DataFrame, framework: str, run_id: str, states: dict[str, str]) -> DataFrame:
+    """Adds state (the code of the state that a framework's name begins with) and run_date (eight digits of an id)."""
+    state = F.lit(None).cast("string")
+    for name, code in states.items():
+        state = F.when(F.lower(framework).startswith(name.lower()), code).otherwise(state)
+    day = F.regexp_extract(run_id, r"(?<!\d)(\d{8})(?!\d)", 1)
+    return df.withColumns({"state": state, "run_date": F.try_to_timestamp(day, F.lit("yyyyMMdd")).cast("date")})
+
+
+def record_violations(lessons: DataFrame, known_actions: tuple[str, ...] = ACTIONS) -> DataFrame:
+    """code, rule, detail of lessons that break a rule: span order, id of other parts, unknown action keys, claims without evidence, tables with ragged rows.
+
+    lessons: code, grade, module, unit, lesson, page_start, page_end, actions (a map), supported (array), tables (array of arrays of arrays).
+    """
+    expected = F.concat(F.lit("G"), "grade", F.lit("M"), "module", F.lit("U"), "unit", F.lit("L"), "lesson")
+    unknown = F.array_except(F.map_keys("actions"), F.array(*map(F.lit, known_actions)))
+    claimed = F.map_keys(F.map_filter("actions", lambda _, v: (_text(v) != "") & (v != NONE_OBSERVED)))
+    bare = F.array_except(claimed, F.coalesce("supported", F.array().cast("array<string>")))
+    ragged = F.exists("tables", lambda t: F.exists(t, lambda row: F.size(row) != F.size(F.get(t, F.lit(0)))))
+    row = lambda rule, bad, detail: F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+    found = F.array(
+        row("span_order", F.col("page_end") < F.col("page_start"), F.concat_ws("-", "page_start", "page_end")),
+        row("id_parts", F.col("code") != expected, expected),
+        row("unknown_action", F.size(unknown) > 0, F.array_join(F.array_sort(unknown), ",")),
+        row("unsupported_action", F.size(bare) > 0, F.array_join(F.array_sort(bare), ",")),
+        row("ragged_table", ragged, F.lit("")),
+    )
+    return lessons.select("code", F.inline(F.array_compact(found)))
