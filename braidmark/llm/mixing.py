@@ -25,7 +25,6 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
