@@ -109,7 +109,7 @@ def label_comparison(left: DataFrame, right: DataFrame, keys: list[str], a: str,
     allowed = right.groupBy(*keys).agg(F.array_sort(F.collect_set(b)).alias("allowed"))
     met = left.select(*keys, a).join(allowed, keys, "full_outer")
     where = F.when(F.col("allowed").isNull(), "only_left").when(F.col(a).isNull(), "only_right").otherwise("both")
-    match = F.when(where == "both", F.array_contains("allowed", F.col(a)))
+    match = (where == "both") & F.coalesce(F.array_contains("allowed", F.col(a)), F.lit(False))
     note = F.when(match, "match").when(where == "both", F.concat(F.lit("expected "), F.array_join("allowed", "/"), F.lit(", got "), F.col(a))).otherwise(where)
     return met.select(*keys, where.alias("presence"), match.alias("is_match"), note.alias("note"))
 

@@ -30,15 +30,15 @@ def filtered_report_counts(spark, d):
 
 
 @query(
-    """SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey::VARCHAR ELSE 'f' || l_suppkey END AS resource_id, l_partkey::VARCHAR AS standard_code, 'full' AS matched_status, l_tax > 0.05 AS needs_review, '' AS review_reason, 'high' AS confidence, NULL AS grounded, l_returnflag AS evidence, NULL AS evidence_page, '' AS rationale,
-'' AS standard_raw_text, '' AS judge_model, '' AS prompt_version, NULL AS escalated, l_discount AS rerank_score, NULL AS rrf_score, NULL AS dense_score, NULL AS bm25_score, l_linenumber AS dense_rank, NULL AS bm25_rank, CASE WHEN l_linenumber > 3 THEN true ELSE false END AS coverage_pass, '' AS grounding_note, '' AS input_scope_caveat FROM lineitem"""
+    """SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey::VARCHAR ELSE 'f' || l_suppkey END AS resource_id, l_partkey::VARCHAR AS standard_code, 'full' AS matched_status, l_tax > 0.05 AS needs_review, '' AS review_reason, 'high' AS confidence, l_discount < 0.05 AS grounded, l_returnflag AS evidence, l_linenumber AS evidence_page, '' AS rationale,
+'' AS standard_raw_text, '' AS judge_model, '' AS prompt_version, l_quantity > 40 AS escalated, l_discount AS rerank_score, l_tax AS rrf_score, l_tax + 1 AS dense_score, l_tax + 2 AS bm25_score, l_linenumber AS dense_rank, l_linenumber + 1 AS bm25_rank, CASE WHEN l_linenumber > 3 THEN true ELSE false END AS coverage_pass, '' AS grounding_note, '' AS input_scope_caveat FROM lineitem"""
 )
 def flat_report(spark, d):
     n = F.col("l_linenumber")
-    meta = F.struct(F.col("l_discount").alias("rerank_score"), n.alias("dense_rank"), F.when(n > 3, True).alias("coverage_pass"))
+    meta = F.struct(F.col("l_discount").alias("rerank_score"), F.col("l_tax").alias("rrf_score"), (F.col("l_tax") + 1).alias("dense_score"), (F.col("l_tax") + 2).alias("bm25_score"), n.alias("dense_rank"), (n + 1).alias("bm25_rank"), F.when(n > 3, True).alias("coverage_pass"))
     v = table(spark, d, "lineitem").select(
         F.when(n % 2 == 0, F.col("l_orderkey").cast("string")).alias("resource_id"), F.concat(F.lit("f"), "l_suppkey").alias("file_id"), F.concat(F.lit(" "), F.col("l_partkey").cast("string")).alias("standard_code"), F.lit("full ").alias("matched_status"),
-        (F.col("l_tax") > 0.05).alias("needs_review"), F.lit("high").alias("confidence"), F.col("l_returnflag").alias("evidence"), meta.alias("retrieval"),
+        (F.col("l_tax") > 0.05).alias("needs_review"), F.lit("high").alias("confidence"), F.col("l_returnflag").alias("evidence"), meta.alias("retrieval"), (F.col("l_discount") < 0.05).alias("grounded"), n.alias("evidence_page"), (F.col("l_quantity") > 40).alias("escalated"),
     )
     return vd.flat_report(v)
 

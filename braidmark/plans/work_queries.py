@@ -253,7 +253,7 @@ def rescue_sweep(spark, d):
 
 
 @query("""WITH a AS (SELECT l_partkey AS k, min(l_returnflag) AS x FROM lineitem WHERE l_quantity > 25 GROUP BY 1), b AS (SELECT l_partkey AS k, list_sort(list(DISTINCT l_returnflag)) AS y FROM lineitem WHERE l_tax < 0.01 GROUP BY 1), j AS (SELECT coalesce(a.k, b.k) AS l_partkey, x, y FROM a FULL JOIN b ON a.k = b.k)
-SELECT l_partkey, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' ELSE 'both' END AS presence, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN list_contains(y, x) END AS is_match, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' WHEN list_contains(y, x) THEN 'match' ELSE 'expected ' || array_to_string(y, '/') || ', got ' || x END AS note FROM j""")
+SELECT l_partkey, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' ELSE 'both' END AS presence, x IS NOT NULL AND y IS NOT NULL AND list_contains(y, x) AS is_match, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' WHEN list_contains(y, x) THEN 'match' ELSE 'expected ' || array_to_string(y, '/') || ', got ' || x END AS note FROM j""")
 def label_comparison(spark, d):
     li = table(spark, d, "lineitem")
     left = li.filter("l_quantity > 25").groupBy("l_partkey").agg(F.min("l_returnflag").alias("x"))
