@@ -224,10 +224,10 @@ _SWAPPED = """"in" AND NOT (NOT must AND gone <= m)) OR (must AND NOT "in" AND l
 rb AS (SELECT *, pos <= 10 AS "in", rrf_rank <= 4 AS must FROM ra),
 rc AS (SELECT *, least(count(*) FILTER (must AND NOT "in") OVER (PARTITION BY entity_id), count(*) FILTER ("in" AND NOT must) OVER (PARTITION BY entity_id)) AS m,
       row_number() OVER (PARTITION BY entity_id, must AND NOT "in" ORDER BY rrf_rank) AS let, row_number() OVER (PARTITION BY entity_id, "in" AND NOT must ORDER BY blended_score, pos) AS gone FROM rb)
-SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY blended_score DESC, rerank_score DESC, doc_id) AS rerank_rank, doc_id, rrf_rank, blended_score FROM rc WHERE ({_SWAPPED}"""
+SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY blended_score DESC, rerank_score DESC, doc_id) AS rerank_rank, doc_id, rrf_rank, round(blended_score, 6) AS blended_score FROM rc WHERE ({_SWAPPED}"""
 )
 def rerank_preserve(spark, d):
-    return rk.preserve_heads(reranked(spark, d), 10, 4).select("entity_id", "rerank_rank", "doc_id", "rrf_rank", "blended_score")
+    return rk.preserve_heads(reranked(spark, d), 10, 4).select("entity_id", "rerank_rank", "doc_id", "rrf_rank", F.round("blended_score", 6).alias("blended_score"))
 
 
 def fused(spark, d):

@@ -299,7 +299,7 @@ def single_query_funnel(spark, d):
     other, sparse = c.term_overlap(items, "item_id", "text", 20), c.bm25(items, "item_id", "text", 20)
     h = rt.hybrid(other, sparse, 20)
     scores = h.select("query_id", "doc_id", (F.coalesce("dense_score", F.lit(0.0)) - F.col("doc_id") % 7).alias("rerank_score"))
-    return fu.single_query(other, sparse, scores, 20, 10, 0.3, 4).select("entity_id", "rerank_rank", "doc_id", "rrf_rank", "blended_score")
+    return fu.single_query(other, sparse, scores, 20, 10, 0.3, 4).select("entity_id", "rerank_rank", "doc_id", "rrf_rank", F.round("blended_score", 6).alias("blended_score"))
 
 
 def funnel_arms(spark, d):
@@ -316,12 +316,12 @@ def multi_query_funnel(spark, d):
     return merged.select("entity_id", "doc_id", "rrf_rank", "rrf_score", "added", "bm25_rank", "bm25_score", "query_hits")
 
 
-@query(f"""WITH {rq._FUSE}, f AS (SELECT item_id, doc_id, round(sum(part) + max(part), 9) AS f FROM o GROUP BY 1, 2), w AS (SELECT item_id, doc_id, coalesce(sum(weight::DOUBLE) FILTER (query_index > 0 AND rank <= 12), 0) AS w FROM hit GROUP BY 1, 2) SELECT item_id AS entity_id, doc_id, round(f + 0.55 * w / 60, 8) AS score FROM f JOIN w USING (item_id, doc_id)""")
+@query(f"""WITH {rq._FUSE}, f AS (SELECT item_id, doc_id, round(sum(part) + max(part), 9) AS f FROM o GROUP BY 1, 2), w AS (SELECT item_id, doc_id, coalesce(sum(weight::DOUBLE) FILTER (query_index > 0 AND rank <= 12), 0) AS w FROM hit GROUP BY 1, 2) SELECT item_id AS entity_id, doc_id, round(f + 0.55 * w / 60, 6) AS score FROM f JOIN w USING (item_id, doc_id)""")
 def sum_mode_scores(spark, d):
     arms = funnel_arms(spark, d)
     merged, fused = rt.merge_queries(arms), rt.fuse_arms(arms, "sum").select("entity_id", "doc_id", "score")
     none = fused.limit(0)
-    return rt.sum_extras(merged, fused, none, none).select("entity_id", "doc_id", F.round("score", 8).alias("score"))
+    return rt.sum_extras(merged, fused, none, none).select("entity_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS vectors, CASE WHEN (SELECT count(*) FROM embeddings) < (SELECT count(*) FROM documents) THEN 'partial' WHEN (SELECT count(*) FROM embeddings) > (SELECT count(*) FROM documents) THEN 'stale' ELSE 'equal' END AS state")
