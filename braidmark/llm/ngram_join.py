@@ -38,7 +38,7 @@ else by the row's own; texts are told apart by 64-bit hash; extra columns are ig
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -270,8 +270,10 @@ class _Join:
         are picked by a join with the addresses of the pairs that the sketches leave: sent to all
         tasks while the pairs are few (at most most_sent), else shuffled by address.
         """
-        of = lambda x: self.heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        near = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_bounded(self.percent), "a long, b long")
+        near = pairs
+        if "sketch" in self.heads.columns:
+            of = lambda x: self.heads.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+            near = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_bounded(self.percent), "a long, b long")
         near = settle(near, "near")
         sent = F.broadcast if near.count() <= self.most_sent else lambda df: df
         asked = near.selectExpr("a AS k").union(near.selectExpr("b AS k")).distinct()
@@ -329,39 +331,23 @@ def _star_pairs(heads: DataFrame, stars: DataFrame | None, percent: int, turn: i
     return met.filter(f"c != rc AND {_sizes_fit(percent)} AND {_enough_left(percent)}").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
-    """doc_id, n_shingles, component_id: a row for each row of docs."""
-    return judged_rows(docs, doc_id, text, size, percent, crowded, few_per).select("doc_id", "n_shingles", "component_id")
-
-
-def text_hash(text: Column) -> Column:
-    return F.xxhash64(text)
-
-
-def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, is_first: a row for each row of docs.
+def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int, percent: int, few_per: int = 500, group: Callable[..., DataFrame] = components) -> DataFrame:
+    """node, component: the classes that links hold together, found from the lists they share.
 
-    is_first: whether the row has the doc_id and text of its component's first row, which are
-    those of one row (and its repetitions) in each component.
+    docs: __id, __text, __h. heads: k, n, t (the class's lists), pos (its place in each),
+    first_id, first_h and, where candidates are to be bounded first, sketch. group: makes
+    components of links.
     """
-    docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), text_hash(F.col(text)).alias("__h"))
-    signed = settle(docs.mapInArrow(_sign("__text", "__id", "__h", size), _SIGNED), "signed")
-    named = signed.filter("k IS NOT NULL")
-    address = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))  # null ids last
-    least = settle(named.groupBy("k").agg(address.alias("r")).selectExpr("k", "r.doc_id AS first_id", "r.h AS first_h"), "classes")
-    total = signed.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
-    heads = settle(_prefixes(docs, total, size, percent, crowded).join(least, "k"), "heads")
     work = _Join(docs, heads, size, percent)
 
     # answers from a similar set: a few checks for each class, each round against other members of its first lists
-    n_classes = least.count()
     star_links, stars, turn = None, None, 0
     while True:
         new = work.links(_star_pairs(heads, stars, percent, turn))
         n_new, turn = new.count(), turn + 1
         star_links = new if star_links is None else star_links.unionByName(new)
         if n_new or stars is None:
-            old, stars = stars, settle(components(star_links if stars is None else new.unionByName(stars.selectExpr("node AS a", "component AS b")), most_rounds=2), "stars")
+            old, stars = stars, settle(group(star_links if stars is None else new.unionByName(stars.selectExpr("node AS a", "component AS b")), most_rounds=2), "stars")
             discard(old)
         if turn >= 2 and n_new * few_per <= n_classes:
             break
@@ -383,7 +369,11 @@ def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     # of two members of different stars, one at least is outside the list's largest star
     more = work.links(settle(pairs_of(lists.filter("minor"), lists).distinct(), "pairs"))
 
-    found = components(stars.selectExpr("node AS a", "component AS b").unionByName(star_links).unionByName(more))
+    return group(stars.selectExpr("node AS a", "component AS b").unionByName(star_links).unionByName(more))
+
+
+def judged_by(signed: DataFrame, least: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, is_first of the signed rows, by the components found for their classes."""
     # the least doc_id of each component
     found = found.withColumnRenamed("node", "k")
     head = F.min(F.struct(F.col("first_id").isNull(), "first_id", "k"))
@@ -393,3 +383,28 @@ def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     out = signed.join(named_to, "k", "left")
     is_first = F.col("k").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("h").eqNullSafe(F.col("head_h")))
     return out.select("doc_id", F.col("h").alias("text_hash"), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), is_first.alias("is_first"))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
+    """doc_id, n_shingles, component_id: a row for each row of docs."""
+    return judged_rows(docs, doc_id, text, size, percent, crowded, few_per).select("doc_id", "n_shingles", "component_id")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, is_first: a row for each row of docs.
+
+    is_first: whether the row has the doc_id and text of its component's first row, which are
+    those of one row (and its repetitions) in each component.
+    """
+    docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), text_hash(F.col(text)).alias("__h"))
+    signed = settle(docs.mapInArrow(_sign("__text", "__id", "__h", size), _SIGNED), "signed")
+    named = signed.filter("k IS NOT NULL")
+    address = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))  # null ids last
+    least = settle(named.groupBy("k").agg(address.alias("r")).selectExpr("k", "r.doc_id AS first_id", "r.h AS first_h"), "classes")
+    total = signed.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
+    heads = settle(_prefixes(docs, total, size, percent, crowded).join(least, "k"), "heads")
+    return judged_by(signed, least, linked_classes(docs, heads, least.count(), size, percent, few_per))

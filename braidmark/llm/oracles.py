@@ -46,6 +46,46 @@ reach(a, b) AS (SELECT c, c FROM c UNION SELECT reach.a, e.b FROM reach JOIN e O
 least_of AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(m, n.doc_id) AS component_id FROM n LEFT JOIN c ON c.whole = n.whole AND n.n > 0 LEFT JOIN least_of ON a = c.c"""
 
+#: crc32 bit by bit: each byte comes before seven zeros. step has the edits of a row with up to two inserts after it.
+OP11 = r"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT key, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(key, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, v: xor(xor(a, v) >> 1, 3988292384::BIGINT * (xor(a, v) & 1))), 4294967295::BIGINT) % 20 AS k FROM (SELECT DISTINCT key FROM src)),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS again
+        FROM src JOIN crc USING (key) WHERE k != 0),
+num AS (SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before, count(*) OVER (PARTITION BY conv_id) AS n
+        FROM dam WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, left(role, 1) AS ini, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM num),
+g AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN seen > 1 THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM f),
+st(q) AS (VALUES (0), (1), (2), (3)),
+ins(p, q) AS (VALUES (0, 2), (1, 2), (3, 2), (2, 3)),
+kept(ini, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+more AS (SELECT q AS p, q, 0 AS cost, '' AS letters FROM st UNION ALL SELECT p, q, 2, 'I' FROM ins UNION ALL SELECT a.p, b.q, 4, 'II' FROM ins a JOIN ins b ON a.q = b.p),
+edit AS (SELECT NULL AS ini, q AS p, q, 3 AS cost, 'D' AS letter FROM st UNION ALL SELECT ini, p, q, 0, 'K' FROM kept UNION ALL SELECT NULL, p, q, 2, 'R' FROM ins),
+step AS (SELECT e.ini, e.letter, e.p, m.q, e.cost + m.cost AS cost, e.letter || m.letters AS letters FROM edit e JOIN more m ON m.p = e.q),
+walk(conv_id, i, n, q, key) AS (
+  SELECT conv_id, 0::BIGINT, n, q, lpad(cost::VARCHAR, 9, '0') || letters FROM (SELECT DISTINCT conv_id, n FROM g), more WHERE p = 0
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, w.n, s.q, min(lpad((left(w.key, 9)::INT + s.cost + CASE WHEN g.fault = 3 AND s.letter != 'D' THEN 1 ELSE 0 END)::VARCHAR, 9, '0') || substr(w.key, 10) || s.letters)
+  FROM walk w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1 JOIN step s ON s.p = w.q AND (s.letter = 'D' OR g.fault NOT IN (1, 2)) AND (s.ini IS NULL OR s.ini = g.ini)
+  GROUP BY w.conv_id, w.i, w.n, s.q),
+best AS (SELECT conv_id, min(key) AS key FROM walk WHERE i = n AND q IN (0, 3) GROUP BY conv_id),
+fix(conv_id, audit, spot, i, st, lines) AS (
+  SELECT conv_id, substr(key, 10), 1, 1::BIGINT, 0, []::VARCHAR[] FROM best
+  UNION ALL
+  SELECT x.conv_id, audit, spot + 1, x.i + CASE WHEN c = 'I' THEN 0 ELSE 1 END, CASE WHEN c = 'D' THEN st ELSE CASE left(r, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END,
+         CASE WHEN c = 'D' THEN lines ELSE list_append(lines, r || ':' || CASE WHEN c = 'I' THEN '' ELSE text END) END
+  FROM (SELECT fix.*, g.text, substr(audit, spot, 1) AS c, CASE WHEN substr(audit, spot, 1) IN ('I', 'R') THEN CASE WHEN st = 2 THEN 'assistant' ELSE 'user' END ELSE g.role END AS r
+        FROM fix LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM fix.conv_id AND g.i = fix.i WHERE spot <= length(audit)) x),
+out AS (SELECT conv_id, audit, array_to_string(lines, chr(10)) AS t FROM fix WHERE spot = length(audit) + 1),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+          count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT s.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(left(key, 9)::BIGINT, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN out ON out.conv_id IS NOT DISTINCT FROM s.conv_id"""
+
+#: Two-word shingles at 80 per cent; else as OP8.
+OP13 = OP8.replace("len(w) >= 5", "len(w) >= 2").replace("len(w) - 3", "len(w)").replace("w[i:i + 4]", "w[i:i + 1]").replace("100 * common >= 75", "100 * common >= 80").replace("AS component_id FROM n LEFT", "AS component_id, doc_id = coalesce(m, doc_id) AS kept FROM n LEFT")
+
 
 def op9(junk: tuple[str, ...]) -> str:
     """junk: the names whose hosts make the list."""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidmark.llm import bpe, dedup_substring, licenses, mixing, ngram_join, oracles, pii, quality, tokens, topk, urls
+from braidmark.llm import bpe, dedup_substring, licenses, minhash, mixing, ngram_join, oracles, periodic, pii, quality, repair, tokens, topk, urls
 from braidmark.llm.store import settle
 from braidmark.session import table
 
@@ -71,6 +71,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, licenses.train(docs)).drop("paragraphs")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), order=periodic.planted_repeats)
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_quality_rules,
     op2_topk_bit_sliced,
@@ -82,6 +94,9 @@ _ALL = (
     op8_ngram_jaccard,
     op9_url_filter,
     op10_license_scan,
+    op11_conversation_repair,
+    op12_periodic_runs,
+    op13_minhash_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -91,4 +106,6 @@ ORACLE_SQL = {
     "op3_substring_dedup": oracles.OP3,
     "op8_ngram_jaccard": oracles.OP8,
     "op9_url_filter": oracles.op9(JUNK_NAMES),
+    "op11_conversation_repair": oracles.OP11,
+    "op13_minhash_dedup": oracles.OP13,
 }
