@@ -15,8 +15,11 @@ Rows of a signature make bands; two classes with an equal band are candidates. T
 threshold share none of 40 bands of 5 values with a chance of 1.3e-7. Bands that one class alone
 has are dropped. Candidates are confirmed on their full sets. A class is first checked against one
 member of each of its bands, which makes stars, and then only pairs outside a band's largest star
-are met, so a large group of copies doesn't pair all its members. Links are contracted by a
-union-find inside each task, then by alternating stars between tasks.
+are met, so a large group of copies doesn't pair all its members: the classes outside a band's
+largest star (its hub) meet the hub's members in blocks of sets of like sizes. A block's
+intersections are counted exactly, as products of 0/1 matrices, and only the trees of a union-find
+over its links leave the task. All links are contracted by a union-find inside each task, then by
+alternating stars between tasks.
 
 Defined results: a null or wordless text has an empty set and links with nothing; repeated rows
 keep their rows and share their component; rows that repeat a doc_id with other texts, or have
@@ -160,6 +163,92 @@ def union_find(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     return components(edges.select("a", "b").mapInArrow(_contracted(), "a long, b long"), most_rounds)
 
 
+def _sets(size: int):
+    """k, set of classes' texts; a text that is another class's is left out."""
+
+    def run(batches):
+        for batch in pieces(batches, "__text"):
+            keys = batch.column(batch.schema.get_field_index("k"))
+            found = [(k, s.tobytes()) for k, s in zip(keys.to_pylist(), shingle_sets(batch, "__text", size), strict=True) if len(s) and _class_of(s) == k]
+            columns = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["k", "set"])
+
+    return run
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of both sides: products of 0/1 matrices over the elements that both sides have."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row, x = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+        at = np.searchsorted(both, x)
+        here = at < len(both)
+        here[here] = both[at[here]] == x[here]
+        order = np.argsort(at[here], kind="stable")
+        return at[here][order], row[here][order]
+
+    (i, of_i), (j, of_j) = placed(left), placed(right)
+    for start in range(0, len(both), at_once):
+        parts = []
+        for at, row, n in ((i, of_i, len(left)), (j, of_j, len(right))):
+            a, b = np.searchsorted(at, (start, start + at_once))
+            part = np.zeros((n, min(at_once, len(both) - start)), np.float32)
+            part[row[a:b], at[a:b] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out  # whole numbers below 2^24
+
+
+def _met(percent: int):
+    """The trees of the links between two blocks of sets."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        forest = Forest()
+        if left.num_rows and right.num_rows:
+            keys = [t.column("k").to_pylist() for t in (left, right)]
+            sets = [[np.frombuffer(x, U) for x in t.column("set").to_pylist()] for t in (left, right)]
+            sizes = [np.array([len(s) for s in x], np.int64) for x in sets]
+            both = common_counts(*sets).astype(np.int64)
+            for i, j in np.argwhere(100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both)).tolist():
+                if keys[0][i] != keys[1][j]:
+                    forest.join(keys[0][i], keys[1][j])
+        a, b = forest.edges()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _in_blocks(percent: int, size: int, most_rows: int = 512, most_elements: int = 1 << 20):
+    """For linked_classes: links (as trees) of the classes outside each hub with those of the hub and with one another."""
+
+    def rest(work, named: DataFrame, lists: DataFrame) -> DataFrame:
+        outside = settle(lists.filter("c != major").select("k", F.col("major").alias("hub"), "n").distinct(), "outside")
+        hubs = outside.select("hub").distinct()
+        inside = named.select("k", F.col("c").alias("hub"), "n").join(hubs, "hub", "left_semi").select("k", "hub", "n")
+        band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 - 1e-9)))  # sets of a link are in neighbouring bands
+        left = outside.select("k", "hub", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+        right = settle(inside.unionByName(outside).select("k", "hub", band.alias("band"), "n"), "met")
+        rows = F.greatest(F.lit(1), F.least(F.lit(most_rows), F.floor(most_elements / F.max("n")).cast("int")))
+        blocks = right.groupBy("hub", "band").agg(rows.alias("rows"), F.count(F.lit(1)).alias("n_right")).join(left.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("n_left")), ["hub", "band"])
+        blocks = settle(blocks.select("hub", "band", F.ceil(F.col("n_left") / F.col("rows")).cast("int").alias("lefts"), F.ceil(F.col("n_right") / F.col("rows")).cast("int").alias("rights")), "blocks")
+        asked = right.join(blocks, ["hub", "band"], "left_semi").select("k").unionByName(outside.select("k")).distinct()
+        asked = settle(work.heads.join(asked, "k", "left_semi").select("k", "first_id", "first_h"), "asked")
+        sets = settle(work.texts(asked).mapInArrow(_sets(size), "k long, set binary"), "sets")
+        deal = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = left.join(blocks, ["hub", "band"]).select("k", "hub", "band", deal("lefts").alias("i"), upto("rights").alias("j"))
+        two = right.join(blocks, ["hub", "band"]).select("k", "hub", "band", upto("lefts").alias("i"), deal("rights").alias("j"))
+        key = ("hub", "band", "i", "j")
+        with_sets = lambda df: df.join(sets, "k").select(*[F.col(c).alias(c) for c in (*key, "k", "set")]).groupBy(*key)  # noqa: E731  (columns of its own on either side)
+        out = settle(with_sets(one).cogroup(with_sets(two)).applyInArrow(_met(percent), "a long, b long"), "trees")
+        discard(outside, right, blocks, asked, sets)
+        return out
+
+    return rest
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs.
 
@@ -180,5 +269,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     heads = listed.join(sizes, "k").join(least, "k").withColumn("pos", F.transform("t", lambda _: F.lit(0)))
     heads = settle(heads, "heads")
     discard(shared)
-    out = judged_by(signed, least, linked_classes(docs, heads, least.count(), size, percent, group=union_find))
+    out = judged_by(signed, least, linked_classes(docs, heads, least.count(), size, percent, group=union_find, rest=_in_blocks(percent, size)))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

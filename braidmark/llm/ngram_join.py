@@ -263,6 +263,11 @@ class _Join:
     def __init__(self, docs: DataFrame, heads: DataFrame, size: int, percent: int, most_sent: int = 1_000_000):
         self.docs, self.heads, self.size, self.percent, self.most_sent = docs, heads, size, percent, most_sent
 
+    def texts(self, asked: DataFrame) -> DataFrame:
+        """k, __text of classes (k, first_id, first_h)."""
+        address = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__h") == F.col("first_h"))
+        return self.docs.join(asked, address).select("k", "__text").dropDuplicates(["k"])  # repeated rows have one address
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b: class keys) that link.
 
@@ -278,8 +283,7 @@ class _Join:
         sent = F.broadcast if near.count() <= self.most_sent else lambda df: df
         asked = near.selectExpr("a AS k").union(near.selectExpr("b AS k")).distinct()
         asked = settle(self.heads.join(asked, "k", "left_semi").select("k", "first_id", "first_h"), "asked")
-        address = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__h") == F.col("first_h"))
-        texts = self.docs.join(sent(asked), address).select("k", "__text").dropDuplicates(["k"])  # repeated rows have one address
+        texts = self.texts(sent(asked))
         right = near.join(texts.select(F.col("k").alias("b"), F.col("__text").alias("tb")), "b")
         met = right.join(texts.select(F.col("k").alias("a"), F.col("__text").alias("ta")), "a").select("a", "b", "ta", "tb")
         out = settle(met.mapInArrow(_linked("text", self.size, self.percent), "a long, b long").distinct(), "links")
@@ -331,12 +335,13 @@ def _star_pairs(heads: DataFrame, stars: DataFrame | None, percent: int, turn: i
     return met.filter(f"c != rc AND {_sizes_fit(percent)} AND {_enough_left(percent)}").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
 
 
-def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int, percent: int, few_per: int = 500, group: Callable[..., DataFrame] = components) -> DataFrame:
+def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int, percent: int, few_per: int = 500, group: Callable[..., DataFrame] = components, rest: Callable[..., DataFrame] | None = None) -> DataFrame:
     """node, component: the classes that links hold together, found from the lists they share.
 
     docs: __id, __text, __h. heads: k, n, t (the class's lists), pos (its place in each),
     first_id, first_h and, where candidates are to be bounded first, sketch. group: makes
-    components of links.
+    components of links. rest: (join, classes with their star c, lists with their largest star)
+    -> the links of classes of different stars that share a list, in place of pairs of classes.
     """
     work = _Join(docs, heads, size, percent)
 
@@ -352,10 +357,13 @@ def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int,
         if turn >= 2 and n_new * few_per <= n_classes:
             break
 
-    known = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
-    known = known.select("k", "c", "n", F.inline(F.arrays_zip("t", "pos")))
+    named = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
+    known = named.select("k", "c", "n", F.inline(F.arrays_zip("t", "pos")))
     counted = known.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("t")
     spread = settle(counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major")).filter("stars > 1").drop("stars"), "spread")
+    if rest is not None:
+        more = rest(work, named, known.join(spread, "t"))
+        return group(stars.selectExpr("node AS a", "component AS b").unionByName(star_links).unionByName(more))
     lists = settle(known.join(spread, "t").select("t", "k", "c", "n", F.col("pos").alias("at"), (F.col("c") != F.col("major")).alias("minor")), "lists")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 - 1e-9)))

@@ -273,3 +273,10 @@ def test_forest():
         plain = [min(x, y) if r in (x, y) else r for r in plain]
     assert [forest.root(i) for i in range(60)] == plain
     assert dict(zip(*forest.edges())) == {i: r for i, r in enumerate(plain) if i != r}
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, n).astype(U)) for n in (1, 5, 90, 300, 40, 7)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[2:]] for a in sets[:4]]
+    assert minhash.common_counts(sets[:4], sets[2:], at_once=64).astype(int).tolist() == want
