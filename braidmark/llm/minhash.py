@@ -163,15 +163,28 @@ def union_find(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     return components(edges.select("a", "b").mapInArrow(_contracted(), "a long, b long"), most_rounds)
 
 
-def _sets(size: int):
-    """k, set of classes' texts; a text that is another class's is left out."""
+def _key_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of class keys k (which are random) with two of its bits each: bits / 8 bytes, however many keys."""
+    of = [F.col("k").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("k", 32).bitwiseAND(F.lit(bits - 1))]
+    at = keys.select(F.explode(F.array(*of)).alias("bit"))
+    words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return out.view(U)
+
+
+def _sets(size: int, keys):
+    """k, set of the texts whose class may be among the keys (a filter)."""
 
     def run(batches):
+        table = keys.value
+        among = lambda bit: (table[(bit >> U(6)).astype(np.int64)] >> (bit & U(63))) & U(1)
+        last = U(64 * len(table) - 1)
         for batch in pieces(batches, "__text"):
-            keys = batch.column(batch.schema.get_field_index("k"))
-            found = [(k, s.tobytes()) for k, s in zip(keys.to_pylist(), shingle_sets(batch, "__text", size), strict=True) if len(s) and _class_of(s) == k]
-            columns = zip(*found, strict=True) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], names=["k", "set"])
+            found = [(_class_of(s), s) for s in shingle_sets(batch, "__text", size) if len(s)]
+            k = np.array([x for x, _ in found], np.int64).view(U)
+            keep = np.flatnonzero(among(k & last) & among((k >> U(32)) & last)).tolist() if len(k) else []
+            yield pa.RecordBatch.from_arrays([pa.array([found[i][0] for i in keep], pa.int64()), pa.array([found[i][1].tobytes() for i in keep], pa.binary())], names=["k", "set"])
 
     return run
 
@@ -220,8 +233,12 @@ def _met(percent: int):
     return run
 
 
-def _in_blocks(percent: int, size: int, most_rows: int = 512, most_elements: int = 1 << 20):
-    """For linked_classes: links (as trees) of the classes outside each hub with those of the hub and with one another."""
+def _in_blocks(percent: int, size: int, most_rows: int = 512, most_elements: int = 1 << 20, filter_bits: int = 1 << 26):
+    """For linked_classes: links (as trees) of the classes outside each hub with those of the hub and with one another.
+
+    Their sets come from one more pass over the texts, which a Bloom filter of fixed size lets
+    through: no text is shuffled; what it lets through by mistake meets nothing.
+    """
 
     def rest(work, named: DataFrame, lists: DataFrame) -> DataFrame:
         outside = settle(lists.filter("c != major").select("k", F.col("major").alias("hub"), "n").distinct(), "outside")
@@ -234,8 +251,8 @@ def _in_blocks(percent: int, size: int, most_rows: int = 512, most_elements: int
         blocks = right.groupBy("hub", "band").agg(rows.alias("rows"), F.count(F.lit(1)).alias("n_right")).join(left.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("n_left")), ["hub", "band"])
         blocks = settle(blocks.select("hub", "band", F.ceil(F.col("n_left") / F.col("rows")).cast("int").alias("lefts"), F.ceil(F.col("n_right") / F.col("rows")).cast("int").alias("rights")), "blocks")
         asked = right.join(blocks, ["hub", "band"], "left_semi").select("k").unionByName(outside.select("k")).distinct()
-        asked = settle(work.heads.join(asked, "k", "left_semi").select("k", "first_id", "first_h"), "asked")
-        sets = settle(work.texts(asked).mapInArrow(_sets(size), "k long, set binary"), "sets")
+        keys = work.docs.sparkSession.sparkContext.broadcast(_key_filter(asked, filter_bits))
+        sets = settle(work.docs.select("__text").mapInArrow(_sets(size, keys), "k long, set binary").dropDuplicates(["k"]), "sets")
         deal = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         one = left.join(blocks, ["hub", "band"]).select("k", "hub", "band", deal("lefts").alias("i"), upto("rights").alias("j"))
@@ -243,7 +260,7 @@ def _in_blocks(percent: int, size: int, most_rows: int = 512, most_elements: int
         key = ("hub", "band", "i", "j")
         with_sets = lambda df: df.join(sets, "k").select(*[F.col(c).alias(c) for c in (*key, "k", "set")]).groupBy(*key)  # noqa: E731  (columns of its own on either side)
         out = settle(with_sets(one).cogroup(with_sets(two)).applyInArrow(_met(percent), "a long, b long"), "trees")
-        discard(outside, right, blocks, asked, sets)
+        discard(outside, right, blocks, sets)
         return out
 
     return rest
