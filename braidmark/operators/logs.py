@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def line_type(line: Column, rules: list[tuple[str, str]], default: str = "info") -> Column:
@@ -22,6 +23,13 @@ def stage_rollup(rows: DataFrame, job: str, stage: str, item: str, status: str,
     return items.groupBy(job, stage).agg(F.count(F.lit(1)).alias("n_items"), *n)
 
 
+def job_states(events: DataFrame) -> DataFrame:
+    """job_id, created, status: each job's first time and last status (ties to the greatest); events: job_id, ts, status. Events without a time are left out."""
+    at = F.col("ts").cast("timestamp")
+    status = F.coalesce("status", F.lit(""))
+    return events.filter("ts IS NOT NULL").groupBy("job_id").agg(F.min(at).alias("created"), F.max(F.struct(at.alias("at"), status.alias("status"))).alias("last")).select("job_id", "created", "last.status")
+
+
 def usage_cost(usage: DataFrame, rates: list[tuple[str, float, float]], model: str) -> DataFrame:
     """Cost by model and in total (null model): rates are (pattern, price per million in, out), the first match counts."""
     price_in, price_out = F.lit(0.0), F.lit(0.0)
@@ -37,18 +45,14 @@ def stages_done(entities: DataFrame, artifacts: DataFrame, entity: str, stage: s
     every = entities.select(entity, F.posexplode(F.array(*map(F.lit, order))).alias("at", stage))
     have = artifacts.select(entity, stage).distinct().withColumn("__have", F.lit(True))
     own = every.join(have, [entity, stage], "left").groupBy("at", stage).agg(F.every(F.coalesce("__have", F.lit(False))).alias("complete"), F.count("__have").alias("n_done"))
-    from pyspark.sql import Window as W
-
     # one row per stage of a fixed list
     return own.withColumn("done", F.every("complete").over(W.orderBy("at"))).drop("at")
 
 
-def parsed_lines(lines: DataFrame) -> DataFrame:
-    """job_id, line_no, text with what a line says: stage (a header "== name =="), cost and estimate, item progress (i of n), item and its status, and the stage filled forward."""
-    from pyspark.sql import Window as W
-
+def line_columns(lines: DataFrame) -> DataFrame:
+    """lines (with text) and what each says: header ("== name =="), cost and estimate, item progress (i of n), item and its status."""
     get = lambda pattern, i=1: F.nullif(F.regexp_extract("text", pattern, i), F.lit(""))
-    out = lines.withColumns(
+    return lines.withColumns(
         {
             "header": get(r"^=+\s*(.+?)\s*=+\s*$"),
             "machine_cost": get(r"(?i)\bcost_usd=([0-9.]+)").try_cast("double"),
@@ -59,7 +63,28 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
             "item_status": F.lower(get(r"(?i)\b(error|failed|skip|done|ok|running)\b")),
         }
     )
-    return out.withColumn("stage", F.last("header", ignorenulls=True).over(W.partitionBy("job_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def parsed_lines(lines: DataFrame, part_lines: int = 100_000) -> DataFrame:
+    """job_id, line_no, text with what a line says (see line_columns) and the stage: the last header so far, carried over parts of part_lines line numbers."""
+    return carried(line_columns(lines), "job_id", "line_no", "header", "stage", part_lines)
+
+
+def carried(rows: DataFrame, by: str, order: str, value: str, out: str, part: int = 100_000) -> DataFrame:
+    """The last value that isn't null up to each row, as out, for groups of any length.
+
+    A group is cut into parts by its (whole-number) order. Each part's last value is carried over
+    to the next parts on a table of a row for each part, and only the rows before a part's first
+    value take it from there, so no task holds more than a part. Null groups and orders are groups
+    and places of their own (order: first).
+    """
+    cut = rows.withColumn("__part", F.floor(F.col(order) / F.lit(part)).cast("bigint"))
+    inside = cut.withColumn(out, F.last(value, ignorenulls=True).over(W.partitionBy(by, "__part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    # a row for each part, with what stands before it
+    parts = cut.groupBy(F.col(by).alias("__by"), F.col("__part").alias("__p")).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.coalesce(order, F.lit(-(2**63))))).alias("__last"))
+    before = parts.withColumn("__before", F.last("__last", ignorenulls=True).over(W.partitionBy("__by").orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).filter("__before IS NOT NULL").drop("__last")
+    met = inside.join(before, F.col(by).eqNullSafe(F.col("__by")) & F.col("__part").eqNullSafe(F.col("__p")), "left")
+    return met.withColumn(out, F.coalesce(out, "__before")).select(*rows.columns, out)
 
 
 def stage_costs(parsed: DataFrame, usage: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
+from braidmark.session import written
+
 SIDECAR = r"(^_|\.bak$|\.incomplete\.json$|\.summary\.json$|\.manifest\.json$)"
 FORMULA = ("=", "+", "-", "@")
 
@@ -23,9 +26,19 @@ def exploded_verdicts(files: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """job_id (the file's name), line_no from 1, text."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("job_id"), "value")
-    return whole.select("job_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+    """job_id (the file's name), line_no from 1, text; files are split, and no task holds one.
+
+    A split numbers its own lines; the lines of the splits before it in its file are added from a
+    table of a row for each split. The scan is written once, so that both see the same numbers.
+    """
+    at = F.col("_metadata")
+    job = F.regexp_replace(at["file_name"], r"\.[^.]*$", "")
+    scan = spark.read.text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("start"), job.alias("job_id"), F.monotonically_increasing_id().alias("id"), F.rtrim(F.col("value"), F.lit("\r")).alias("text"))
+    scan = written(scan, "lines")
+    splits = scan.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "start", (before - F.col("first") + 1).alias("shift"))
+    return scan.join(splits, ["file", "start"]).select("job_id", (F.col("id") + F.col("shift")).alias("line_no"), "text")
 
 
 def read_gold(spark: SparkSession, path: str, keys: list[str], status: str, kept: tuple[str, ...] = ("full", "partial")) -> DataFrame:
