@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from braidmark.operators.retrieval import score_terms, top_k
+from braidmark.operators.index import Index, Share, hits_of
+from braidmark.operators.retrieval import packed_queries, top_k
 from braidmark.session import written
 
 
-def bags(df: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
-    """key, token, tf: words of two letters or more outside parentheses, without stop words."""
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\([^)]*\)", " ")
-    token = F.explode(F.regexp_extract_all(plain, F.lit("[a-z']+"), F.lit(0))).alias("token")
-    return df.select(F.col(key).alias("key"), token).filter((F.length("token") > 1) & ~F.col("token").isin(*stop)).groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def idf(target: DataFrame) -> DataFrame:
     """token, idf = ln(N / df) + 0.1 over the target's bags."""
     n = target.select("key").distinct().agg(F.count(F.lit(1)).alias("n"))
@@ -23,20 +18,28 @@ def idf(target: DataFrame) -> DataFrame:
 
 
 def text_crosswalk(source: DataFrame, target: DataFrame, n: int = 3) -> DataFrame:
-    """key, rank, target, score: IDF-weighted cosine over shared tokens (keys are longs); pairs without any never meet. Unknown tokens weigh 1.
+    """key, rank, target, score: IDF-weighted cosine over shared tokens; pairs without any never meet. Unknown tokens weigh 1.
 
-    Blocks of targets meet groups of sources, as for the sparse arm: n targets of a block leave it.
+    source, target: key (long), tokens (merged by collocation, see merged_tokens). The targets'
+    index bounds what a block of them can reach, as for the sparse arms. Ranked by scores to nine
+    digits (norms are sums in any order), ties to the smaller key; shown to six digits.
     """
-    weights = idf(target)
+    known = written(target.select("key", "tokens"), "bags")
+    bags_ = written(bags_of(known), "tf")
+    weights = idf(bags_)
 
-    def unit(df: DataFrame) -> DataFrame:
-        w = df.join(weights, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-        norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return w.join(norm, "key").select(F.col("key").alias("id"), F.col("token").alias("term"), (F.col("w") / F.col("norm")).alias("v"))
+    def norms(bags_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        w = bags_.join(weights, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+        return w, w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
-    asked, known = written(unit(source), "asked"), written(unit(target), "bags")
-    best = score_terms(known, asked, known.select("id").distinct().count(), n)
-    return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], n).select(F.col("query_id").alias("key"), "rank", F.col("doc_id").alias("target"), "score")
+    _, target_norms = norms(bags_)
+    index = Index(known.join(target_norms, "key").select(F.col("key").alias("id"), F.col("norm").alias("len"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("terms")))
+    own, own_norms = norms(bags_of(source))
+    # a target's weight is tf * idf / norm: its idf goes to the source's side, as only shared tokens count
+    asked = own.filter("idf IS NOT NULL").join(own_norms, "key").select(F.col("key").alias("id"), F.col("token").alias("term"), (F.col("w") / F.col("norm") * F.col("idf")).alias("w"))
+    best = hits_of(index.search(packed_queries(asked), n, Share(), digits=9))
+    ranked = top_k(best, ["query_id"], [F.desc("score"), "doc_id"], n)
+    return ranked.select(F.col("query_id").alias("key"), "rank", F.col("doc_id").alias("target"), F.round("score", 6).alias("score"))
 
 
 def collocations(docs: DataFrame, key: str, tokens: Column, least: int = 2, ratio: float = 0.7) -> DataFrame:
@@ -65,23 +68,30 @@ def tier(score: Column, high: float, medium: float) -> Column:
 def merged_tokens(df: DataFrame, key: str, tokens: Column, pairs: DataFrame) -> DataFrame:
     """key, tokens: adjacent words of a pair (first, second) as one token first_second, greedily from left to right.
 
-    pairs: collocations; only a text's own pairs are looked at, joined by the words that they begin with.
+    pairs: collocations. Of pairs that overlap in a row of them every other one is taken, which is
+    what going from left to right comes to; a row of df is looked up by a number of its own, so
+    repeated keys keep their own tokens.
     """
-    own = df.select(F.col(key).alias("key"), tokens.alias("t"))
-    words = own.select("key", F.posexplode("t").alias("i", "first"))
-    after = own.select("key", F.posexplode("t").alias("j", "second")).withColumn("i", F.col("j") - 1)
-    found = words.join(after, ["key", "i"]).join(pairs.select("first", "second").distinct(), ["first", "second"], "left_semi")
-    starts = found.groupBy("key").agg(F.collect_list("i").alias("starts"))
-    met = own.join(starts, "key", "left")
-    none = F.array().cast("array<int>")
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("i"), F.lit(False).alias("skip"))
-
-    def step(acc: Column, w: Column) -> Column:
-        pair = ~acc["skip"] & F.array_contains(F.coalesce("starts", none), acc["i"])
-        word = F.when(pair, F.concat_ws("_", w, F.get(F.col("t"), acc["i"] + 1))).otherwise(w)
-        return F.struct(F.when(acc["skip"], acc["out"]).otherwise(F.array_append(acc["out"], word)).alias("out"), (acc["i"] + 1).alias("i"), pair.alias("skip"))
-
-    return met.select("key", F.aggregate("t", state, step)["out"].alias("tokens"))
+    own = written(df.select(F.col(key).alias("key"), tokens.alias("t"), F.monotonically_increasing_id().alias("row")), "tokens")
+    pairs = written(pairs.select("first", "second").distinct(), "collocations")
+    after = F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    found = own.select("row", F.posexplode(after).alias("i", "p")).select("row", "i", "p.*").filter("second IS NOT NULL").join(pairs, ["first", "second"], "left_semi")
+    island = F.col("i") - F.row_number().over(W.partitionBy("row").orderBy("i"))
+    found = found.withColumn("island", island).withColumn("at", F.row_number().over(W.partitionBy("row", "island").orderBy("i"))).filter("at % 2 = 1")
+    starts = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", F.lit(True)))).alias("starts"))
+    met = own.join(starts, "row", "left")
+    begins = lambda i: F.coalesce(F.try_element_at("starts", i), F.lit(False))
+    word = lambda w, i: F.when(begins(i - 1), None).when(begins(i), F.concat_ws("_", w, F.get(F.col("t"), i + 1))).otherwise(w)
+    return met.select("key", F.when(F.col("starts").isNull(), F.col("t")).otherwise(F.array_compact(F.transform("t", word))).alias("tokens"))
+
+
+def merged_sides(source: DataFrame, target: DataFrame, stop: tuple[str, ...] = (), least: int = 2, ratio: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """key, tokens of both sides (key, text), merged by the collocations of both together."""
+    both = source.select("key", "text", F.lit("s").alias("side")).unionByName(target.select("key", "text", F.lit("t").alias("side")))
+    own = written(both.select(F.struct("side", "key").alias("key"), words_of(F.col("text"), stop).alias("t")), "words")
+    merged = written(merged_tokens(own, "key", F.col("t"), collocations(own, "key", F.col("t"), least, ratio)), "merged")
+    one, two = (merged.filter(F.col("key.side") == s).select("key.key", "tokens") for s in ("s", "t"))
+    return one, two
 
 
 def bags_of(merged: DataFrame) -> DataFrame:

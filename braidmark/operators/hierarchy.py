@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidmark.session import written
+from braidmark.session import discard, written
 
 LEVELS = ("grade", "domain", "big_idea", "standard", "substandard")
 
@@ -29,21 +29,26 @@ def code_columns(df: DataFrame, code: str) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
-    """node, ancestor, distance for every ancestor in the table, however deep; a missing parent or a cycle ends a chain.
+    """node, ancestor, distance (the least) for every ancestor in the table, however deep; a missing parent or a cycle ends a chain.
 
-    One join per level of the tree, on the chains that are still open, each level written out; a
-    chain that comes to a pair again has met a cycle.
+    Pairs up to a distance are joined with those at just that distance, which doubles it: a tree
+    of depth d takes log2(d) + 1 rounds. Each round is written and the one before it deleted; a
+    pair that is met again (a cycle, or a longer way) is dropped.
     """
     edges = nodes.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor IS NOT NULL AND node != ancestor").distinct()
-    edges = written(edges.join(nodes.select(F.col(node).alias("ancestor")).distinct(), "ancestor", "left_semi").select("node", "ancestor"), "edges")
-    up = edges.selectExpr("node AS ancestor", "ancestor AS next")
-    out = step = edges.withColumn("distance", F.lit(1))
+    known = edges.join(nodes.select(F.col(node).alias("ancestor")).distinct(), "ancestor", "left_semi").select("node", "ancestor", F.lit(1).alias("distance"))
+    known, reach = written(known, "pairs"), 1
     while True:
-        further = step.join(up, "ancestor").filter("next != node").select("node", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance"))
-        step = written(further.join(out, ["node", "ancestor"], "left_anti").distinct(), "level")
-        if step.isEmpty():
-            return out.select("node", "ancestor", "distance")
-        out = out.unionByName(step)
+        near = known.select(F.col("node").alias("mid"), F.col("ancestor").alias("far"), F.col("distance").alias("more"))
+        further = known.filter(F.col("distance") == reach).join(near, F.col("ancestor") == F.col("mid")).filter("far != node")
+        further = further.select("node", F.col("far").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+        new = written(further.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "distance"), "pairs")
+        if new.isEmpty():
+            discard(new)
+            return known
+        both = written(known.unionByName(new), "pairs")
+        discard(known, new)
+        known, reach = both, 2 * reach
 
 
 def paths(nodes: DataFrame, node: str, parent: str) -> DataFrame:

@@ -6,23 +6,77 @@ import heapq
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from braidmark.session import written
+
+
+def order_statistics(df: DataFrame, ranks: str, most_rows: int = 100_000, bins: int = 1024) -> DataFrame:
+    """g, at, x: for each group the value at each of its ranks (from 0), exactly.
+
+    df: g, x (double, neither null nor NaN). ranks: SQL for the ranks as an array of longs, from n, the
+    group's number of values. While a range of values has more than most_rows, its values are
+    counted in equal bins (and, in the end, one by one, when its ends are neighbours or equal) and
+    only the bins that hold a rank are read further; a range of fewer is sorted. No task holds a
+    group.
+    """
+    df = written(df.select("g", "x"), "values")
+    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    wanted = sizes.select("g", "n", "low", "high", F.explode(F.array_distinct(F.expr(ranks))).alias("at")).withColumn("rest", F.col("at"))
+    wanted, done = written(wanted, "wanted"), None
+    while True:
+        # ranges of one value are settled; small ones are sorted below
+        settled = wanted.filter("low = high").select("g", "at", F.col("low").alias("x"))
+        done = settled if done is None else done.unionByName(settled)
+        large = wanted.filter(f"low < high AND n > {most_rows}")
+        small = wanted.filter(f"low < high AND n <= {most_rows}")
+        ranges = small.select("g", "low", "high").distinct()
+        held = df.join(ranges.withColumnRenamed("g", "__g"), (F.col("g") == F.col("__g")) & F.col("x").between(F.col("low"), F.col("high"))).drop("__g")
+        counted = held.groupBy("g", "low", "high", "x").agg(F.count(F.lit(1)).alias("k"))
+        upto = F.sum("k").over(W.partitionBy("g", "low", "high").orderBy("x"))
+        placed = counted.withColumn("upto", upto).withColumn("after", F.col("upto") - F.col("k")).drop("k")
+        found = small.join(placed, ["g", "low", "high"]).filter("rest >= after AND rest < upto").select("g", "at", "x")
+        done = written(done.unionByName(found), "found")
+        if large.isEmpty():
+            return done
+        ranges = large.select("g", "low", "high").distinct()
+        held = df.join(ranges.withColumnRenamed("g", "__g"), (F.col("g") == F.col("__g")) & F.col("x").between(F.col("low"), F.col("high"))).drop("__g")
+        share = (F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)  # halves: no overflow
+        binned = held.withColumn("bin", F.when(F.col("x") == F.col("low"), -1).when(F.col("x") == F.col("high"), bins).otherwise(F.least(F.lit(bins - 1), F.floor(share * bins).cast("int"))))
+        counts = binned.groupBy("g", "low", "high", "bin").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("a"), F.max("x").alias("b"))
+        counts = counts.withColumn("upto", F.sum("k").over(W.partitionBy("g", "low", "high").orderBy("bin"))).withColumn("after", F.col("upto") - F.col("k"))
+        hit = large.drop("n").join(counts, ["g", "low", "high"]).filter("rest >= after AND rest < upto")
+        wanted = written(hit.select("g", F.col("k").alias("n"), F.col("a").alias("low"), F.col("b").alias("high"), "at", (F.col("rest") - F.col("after")).alias("rest")), "wanted")
+
 
 def robust_minmax(df: DataFrame, by: list[str], value: str, out: str = "scaled", few: int = 10) -> DataFrame:
-    """Scales to 0..1 between the 5th and 95th percentiles (least and greatest of few rows); constant: 0.5."""
-    x = F.when(F.isnan(value), None).otherwise(F.col(value))
-    own = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(x).alias("__a"), F.max(x).alias("__b"), F.percentile(x, F.lit(0.05)).alias("__p5"), F.percentile(x, F.lit(0.95)).alias("__p95"))
-    low = F.when(F.col("__n") >= few, F.col("__p5")).otherwise(F.col("__a"))
-    high = F.when(F.col("__n") >= few, F.col("__p95")).otherwise(F.col("__b"))
+    """Scales to 0..1 between the 5th and 95th percentiles (least and greatest of few rows); constant: 0.5.
+
+    few counts all rows of a group, those without a value too; percentiles are linear between the
+    values at the two nearest ranks, found by order_statistics.
+    """
+    x = F.when(F.isnan(value), None).otherwise(F.col(value)).cast("double")
+    key = F.struct(*by)  # a null key is a group of its own
+    own = df.groupBy(key.alias("g")).agg(F.count(F.lit(1)).alias("__n"), F.count(x).alias("__k"), F.min(x).alias("__a"), F.max(x).alias("__b"))
+    spot = lambda p: f"{p} * (n - 1)"
+    ranks = ", ".join(f"cast({f}({spot(p)}) AS bigint)" for p in ("0.05D", "0.95D") for f in ("floor", "ceil"))
+    values = df.select(key.alias("g"), x.alias("x")).filter("x IS NOT NULL")
+    at = order_statistics(values, f"array({ranks})").groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("__v"))
+    own = own.join(at, "g", "left")
+
+    def percentile(p: float) -> Column:
+        place = F.lit(p) * (F.col("__k") - 1)
+        low, high = (F.try_element_at("__v", f(place).cast("bigint")) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    low = F.when(F.col("__n") >= few, percentile(0.05)).otherwise(F.col("__a"))
+    high = F.when(F.col("__n") >= few, percentile(0.95)).otherwise(F.col("__b"))
+    own = own.select(F.col("g").alias("__g"), "__a", low.alias("__low"), high.alias("__high"))
     filled = F.coalesce(x, F.col("__a"))
-    scaled = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (filled - low) / (high - low)))).otherwise(F.lit(0.5))
-    for c in by:
-        own = own.withColumnRenamed(c, f"__by_{c}")
-    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]  # a null key is a group of its own
-    return df.join(own, same).withColumn(out, F.round(scaled, 9)).select(*[c for c in df.columns if c != out], out)
+    scaled = F.when(F.col("__high") > F.col("__low"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (filled - F.col("__low")) / (F.col("__high") - F.col("__low"))))).otherwise(F.lit(0.5))
+    return df.join(own, key == F.col("__g")).withColumn(out, F.round(scaled, 9)).select(*[c for c in df.columns if c != out], out)
 
 
 def blend(df: DataFrame, alpha: float) -> DataFrame:

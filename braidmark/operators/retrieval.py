@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, FloatType, StructType
 
+from braidmark.operators.index import BM25, Index, Once, hits_of
 from braidmark.session import written
 
 TOKEN = r"[a-z0-9]+(?:\.[a-z0-9]+)*"
@@ -56,102 +57,69 @@ def allowed_hits(hits: DataFrame, allowed: DataFrame) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).select("query_id", "rank", "doc_id", "score")
 
 
-def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, term, tf, len: one row per document and term; a document without terms has one row, its term null and its len 1."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    terms = tokens.select("doc_id", F.greatest(F.lit(1), F.size("tokens")).alias("len"), F.explode_outer("tokens").alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-
-
-def corpus_stats(docs: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, df) and one row of n_docs and the mean length."""
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    totals = postings.agg(F.sum("tf").alias("__t")).join(n).select("n_docs", (F.col("__t") / F.col("n_docs")).alias("avg_len"))  # one row each
-    return postings.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals
-
-
 _HITS = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def _best_of(score: np.ndarray, asked: np.ndarray, docs: np.ndarray, k: int, digits: int, least: float | None = None) -> pa.Table:
+def _best_of(score: np.ndarray, asked: np.ndarray, docs: np.ndarray, k: int, digits: int) -> pa.Table:
     """The k best columns of each row, ties to the smaller document; docs ascend."""
     score = np.round(score, digits)
     best = np.argsort(-score, axis=1, kind="stable")[:, :k]
     rows = np.repeat(np.arange(len(asked)), best.shape[1])
     found = score[rows, best.ravel()]
-    keep = slice(None) if least is None else found > least
-    return pa.Table.from_arrays([pa.array(asked[rows][keep]), pa.array(docs[best.ravel()][keep]), pa.array(found[keep])], schema=_HITS)
+    return pa.Table.from_arrays([pa.array(asked[rows]), pa.array(docs[best.ravel()]), pa.array(found)], schema=_HITS)
 
 
-def _sum_blocks(k: int):
-    """Postings of a block of documents (id, term, v) meet a group's query terms (id, term, v): sums of products, k documents a query."""
+def hashed(tokens: Column) -> Column:
+    """64-bit hashes of tokens."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _HITS.empty_table()
-        get = lambda t, c: t.column(c).to_numpy()
-        docs, row = np.unique(get(left, "id"), return_inverse=True)
-        asked, col = np.unique(get(right, "id"), return_inverse=True)
-        order, ask = np.argsort(get(left, "term"), kind="stable"), np.argsort(get(right, "term"), kind="stable")
-        terms, starts = np.unique(get(left, "term")[order], return_index=True)
-        ends = np.append(starts[1:], len(order))
-        names = get(right, "term")[ask]
-        lows, highs = np.searchsorted(names, terms, "left"), np.searchsorted(names, terms, "right")
-        v, w, score = get(left, "v"), get(right, "v"), np.zeros((len(asked), len(docs)))
-        for s, e, a, b in zip(starts.tolist(), ends.tolist(), lows.tolist(), highs.tolist(), strict=True):
-            if a < b:  # a document has a term once, and so has a query
-                score[np.ix_(col[ask[a:b]], row[order[s:e]])] += w[ask[a:b], None] * v[None, order[s:e]]
-        return _best_of(score, asked, docs, k, 6, 0.0)
-
-    return run
 
-
-def score_terms(postings: DataFrame, asked: DataFrame, n_docs: int, k: int, block_rows: int = 2048, group_queries: int = 512) -> DataFrame:
-    """query_id, doc_id, score: sums of products over shared terms. postings: id, term, v; asked: id, term, v (long ids).
-
-    Blocks of documents meet groups of queries, so no task holds a frequent term's whole list and
-    k rows of a block leave it. Terms are compared by 64-bit hash.
-    """
-    asked = asked.select("id", F.xxhash64("term").alias("term"), "v")
-    blocks, groups = max(1, -(-n_docs // block_rows)), max(1, -(-asked.select("id").distinct().count() // group_queries))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    wanted = asked.select("term").distinct()
-    thin = postings.select("id", F.xxhash64("term").alias("term"), F.col("v").cast("double").alias("v")).join(wanted, "term", "left_semi")
-    left = thin.select("id", "term", "v", deal(blocks).alias("block"), upto(groups).alias("part")).groupBy("block", "part")
-    right = asked.select("id", "term", F.col("v").cast("double").alias("v"), upto(blocks).alias("block"), deal(groups).alias("part")).groupBy("block", "part")
-    return left.cogroup(right).applyInArrow(_sum_blocks(k), "query_id long, doc_id long, score double")
+def packed_queries(terms: DataFrame) -> DataFrame:
+    """id, terms (hashes), weights of rows id, term, w: a row for each query, terms in their own order."""
+    own = F.array_sort(F.collect_list(F.struct("term", "w")))
+    return terms.groupBy("id").agg(own.alias("t")).select("id", F.transform("t", lambda x: F.xxhash64(x["term"])).alias("terms"), F.transform("t", lambda x: x["w"]).alias("weights"))
 
 
 class Corpus:
-    """A corpus's postings, written once and shared by the sparse arms; doc_id is a long."""
+    """A corpus's index, written once and shared by the sparse arms; doc_id is a long."""
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str):
-        self.docs, self.postings = docs, written(term_counts(docs, doc_id, text), "postings")
-        df, totals = corpus_stats(docs, self.postings)
-        self.df, self.totals = df, totals.first()
+        tokens = docs.select(F.col(doc_id).alias("id"), tokenize(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+        self.tokens = tokens
+        self.index = Index(tokens.select("id", F.greatest(F.lit(1), F.size("tokens")).alias("len"), hashed(F.col("tokens")).alias("terms")))
+        self.n_docs, total = self.index.totals()
+        self.avg_len = total / self.n_docs if self.n_docs else 1.0
+
+    def statistics(self) -> DataFrame:
+        """term, df."""
+        return self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def _asked(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
         terms = queries.select(F.col(query_id).alias("id"), F.explode(tokenize(F.coalesce(F.col(text), F.lit("")))).alias("term"))
         return terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("times"))
 
+    def _best(self, asked: DataFrame, k: int, value) -> DataFrame:
+        best = hits_of(self.index.search(packed_queries(asked), k, value))
+        return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+    def bm25_terms(self, queries: DataFrame, query_id: str, text: str) -> DataFrame:
+        """id, term, w of each query's terms that the corpus has: times asked * idf."""
+        idf = F.log(1 + (self.n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        known = self.index.df().withColumnRenamed("term", "__t")
+        met = self._asked(queries, query_id, text).withColumn("__t", F.xxhash64("term")).join(known, "__t")
+        return met.select("id", "term", (F.col("times") * idf).alias("w"))
+
     def bm25(self, queries: DataFrame, query_id: str, text: str, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
         """query_id, rank, doc_id, score: the best k documents of each query (long ids) by BM25 over shared terms.
 
-        Repeated query terms count again; scores must exceed 0; ties go to the smaller id.
+        Repeated query terms count again; scores must exceed 0. Ranked by the scores as they are,
+        ties to the smaller id; shown to six digits.
         """
-        n, avg_len = self.totals.n_docs, self.totals.avg_len or 1.0
-        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))
-        asked = written(self._asked(queries, query_id, text).join(self.df, "term").select("id", "term", (F.col("times") * idf).alias("v")), "asked")
-        best = score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", tf.alias("v")), asked, n, k)
-        return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
+        return self._best(self.bm25_terms(queries, query_id, text), k, BM25(self.avg_len, k1, b))
 
     def term_overlap(self, queries: DataFrame, query_id: str, text: str, k: int) -> DataFrame:
         """The best k documents of each query by number of distinct shared terms."""
-        asked = written(self._asked(queries, query_id, text).select("id", "term", F.lit(1.0).alias("v")), "asked")
-        best = score_terms(self.postings.select(F.col("doc_id").alias("id"), "term", F.lit(1.0).alias("v")), asked, self.totals.n_docs, k)
-        return top_k(best, ["query_id"], [F.desc("score"), "doc_id"], k).select("query_id", "rank", "doc_id", "score")
+        return self._best(self._asked(queries, query_id, text).select("id", "term", F.lit(1.0).alias("w")), k, Once())
 
 
 def _cosine_block(k: int, digits: int):

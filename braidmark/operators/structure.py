@@ -44,11 +44,35 @@ def runs(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return marked.groupBy(by, "run", value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
+def covering(start: Column, end: Column) -> Column:
+    """The least set of dyadic spans (level, at: pages at * 2^level and so on) that covers start to end: two of each length at most."""
+
+    def of_level(level: Column) -> Column:
+        low = -F.call_function("shiftright", -start, level)  # the first span of this length that begins in the range, and the last that ends in it
+        high = F.call_function("shiftright", end + 1, level) - 1
+        odd = lambda x: F.pmod(x, F.lit(2)) == 1
+        span = lambda at: F.struct(level.alias("level"), at.alias("at"))
+        return F.array_compact(F.array(F.when((low <= high) & odd(low), span(low)), F.when((low <= high) & ~odd(high), span(high))))
+
+    return F.when(start <= end, F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.log2((end - start + 1).cast("double"))).cast("int") + 1), of_level)))
+
+
 def printed_range(spans: DataFrame, page_map: DataFrame, doc: str) -> DataFrame:
-    """First and last printed page of each span's mapped pages: the span's pages are exploded to an equality join."""
-    pages = spans.select("*", F.explode(F.sequence("start", "end")).alias("page"))
-    met = pages.join(page_map, [doc, "page"])
-    return met.groupBy(doc, "start", "end").agg(F.min_by("printed", "page").alias("printed_first"), F.max_by("printed", "page").alias("printed_last"))
+    """First and last printed page of each span's mapped pages, by way of dyadic spans.
+
+    The map is summed up once for each length that a span may need: the first and last mapped page
+    of each dyadic span. A span meets those that cover it, about two for each doubling of its
+    length, so rows grow with spans and mapped pages, not with the pages between.
+    """
+    whole = spans.withColumns({"start": F.col("start").cast("bigint"), "end": F.col("end").cast("bigint")})
+    top = whole.agg(F.max(F.floor(F.log2((F.col("end") - F.col("start") + 1).cast("double"))))).first()[0]
+    points = page_map.filter("page IS NOT NULL").select(doc, F.col("page").cast("bigint").alias("page"), "printed", F.explode(F.sequence(F.lit(0), F.lit(int(top or 0) + 1))).alias("level"))
+    known = F.struct("page", "printed")
+    summed = points.groupBy(doc, "level", F.call_function("shiftright", F.col("page"), F.col("level")).alias("at")).agg(F.min(known).alias("low"), F.max(known).alias("high"))
+    cover = whole.select(doc, "start", "end", F.inline(covering(F.col("start"), F.col("end"))))
+    met = cover.join(summed, [doc, "level", "at"]).groupBy(doc, "start", "end").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    typed = [F.col(c).cast(spans.schema[c].dataType).alias(c) for c in ("start", "end")]
+    return met.select(doc, *typed, F.col("low.printed").alias("printed_first"), F.col("high.printed").alias("printed_last"))
 
 
 def lines(docs: DataFrame, doc: str, text: str) -> DataFrame:

@@ -30,10 +30,10 @@ def bm25_sql(asked: str, keys: str, k: int) -> str:
     """CTEs up to `hit`: the best k documents for each row of asked (keys, text)."""
     return f"""{POSTINGS},
 q AS (SELECT {keys}, term, count(*) AS times FROM (SELECT {keys}, unnest({TOKENS}) AS term FROM {asked}) GROUP BY ALL),
-sc AS (SELECT {keys}, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al)))), 6) AS score
+sc AS (SELECT {keys}, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / al))) ORDER BY term) AS raw
        FROM q JOIN dfs USING (term) JOIN post USING (term), tot GROUP BY ALL),
-hit AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0
-        QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, doc_id) <= {k})"""
+hit AS (SELECT * EXCLUDE (raw), round(raw, 6) AS score, row_number() OVER (PARTITION BY {keys} ORDER BY raw DESC, doc_id) AS rank FROM sc WHERE raw > 0
+        QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY raw DESC, doc_id) <= {k})"""
 
 
 ARMS_SQL = """arms AS (SELECT item_id, i - 1 AS query_index, trim(s[i]) AS text, CASE WHEN i = 1 THEN 1.5 ELSE 1.0 END AS weight
@@ -79,8 +79,8 @@ def vectors(spark, d):
 @query(f"WITH {POSTINGS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(al, 6) AS avg_len FROM dfs, tot")
 def corpus_statistics(spark, d):
     c = corpus(spark, d)
-    n, df = c.totals.n_docs, F.col("df")
-    return c.df.select("term", "df", F.round(F.log(1 + (n - df + 0.5) / (df + 0.5)), 6).alias("idf"), F.round(F.lit(c.totals.avg_len), 6).alias("avg_len"))
+    n, df = c.n_docs, F.col("df")
+    return c.statistics().select("term", "df", F.round(F.log(1 + (n - df + 0.5) / (df + 0.5)), 6).alias("idf"), F.round(F.lit(c.avg_len), 6).alias("avg_len"))
 
 
 @query(f"WITH {bm25_sql('benchmark', 'item_id', 20)} SELECT item_id AS query_id, rank, doc_id, score FROM hit")

@@ -61,20 +61,31 @@ def document_lines(spark, d):
     return st.lines(table(spark, d, "documents"), "doc_id", "text").withColumn("line_no", F.col("line_no").cast("long"))
 
 
-_BAG = """(SELECT {k} AS key, unnest(regexp_extract_all(regexp_replace(lower({c}), '\\([^)]*\\)', ' ', 'g'), '[a-z'']+')) AS token FROM {t})"""
-_BAGS = "s AS (SELECT key, token, count(*) AS tf FROM " + _BAG.format(k="item_id", c="text", t="benchmark") + " WHERE length(token) > 1 AND token NOT IN ('the', 'of') GROUP BY ALL), t AS (SELECT key, token, count(*) AS tf FROM " + _BAG.format(k="doc_id", c="text", t="documents") + " WHERE length(token) > 1 AND token NOT IN ('the', 'of') GROUP BY ALL)"
+STOP = ("the", "of")
+#: Words of both sides; pairs that mostly stand together, merged from left to right: of a row of overlapping pairs every other one.
+_WORDS = """(SELECT {k} AS key, list_filter(regexp_extract_all(regexp_replace(lower(coalesce({c}, '')), '\\([^)]*\\)', ' ', 'g'), '[a-z'']+'), lambda w: length(w) > 1 AND w NOT IN ('the', 'of')) AS t FROM {t})"""
+_BAGS = f"""sx AS {_WORDS.format(k="item_id", c="text", t="benchmark")}, tx AS {_WORDS.format(k="doc_id", c="text", t="documents")},
+ax AS (SELECT 's' AS side, * FROM sx UNION ALL SELECT 't', * FROM tx),
+pw AS (SELECT side, key, i, t[i] AS a, t[i + 1] AS b FROM (SELECT *, unnest(range(1, len(t))) AS i FROM ax)),
+pd AS (SELECT a, b, count(DISTINCT (side, key)) AS df FROM pw GROUP BY 1, 2 HAVING count(DISTINCT (side, key)) >= 2), wd AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(t)) AS w FROM ax) GROUP BY 1),
+co AS (SELECT a, b FROM pd JOIN wd x ON x.w = a JOIN wd y ON y.w = b WHERE df >= 0.7 * x.n AND df >= 0.7 * y.n),
+hit AS (SELECT side, key, i, i - row_number() OVER (PARTITION BY side, key ORDER BY i) AS island FROM pw SEMI JOIN co ON co.a = pw.a AND co.b = pw.b),
+take AS (SELECT side, key, i FROM (SELECT *, row_number() OVER (PARTITION BY side, key, island ORDER BY i) AS at FROM hit) WHERE at % 2 = 1),
+wx AS (SELECT side, key, t, i, t[i] AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM ax)),
+mx AS (SELECT wx.side, wx.key, CASE WHEN u.i IS NOT NULL THEN w || '_' || t[wx.i + 1] ELSE w END AS token FROM wx LEFT JOIN take u ON u.side = wx.side AND u.key = wx.key AND u.i = wx.i
+       ANTI JOIN take v ON v.side = wx.side AND v.key = wx.key AND v.i + 1 = wx.i),
+s AS (SELECT key, token, count(*) AS tf FROM mx WHERE side = 's' GROUP BY ALL), t AS (SELECT key, token, count(*) AS tf FROM mx WHERE side = 't' GROUP BY ALL)"""
 
 
 @query(
     f"""WITH {_BAGS}, i AS (SELECT token, ln((SELECT count(DISTINCT key) FROM t) / count(*)) + 0.1 AS idf FROM t GROUP BY 1),
 sw AS (SELECT key, s.token, tf * coalesce(idf, 1) AS w FROM s LEFT JOIN i ON s.token = i.token), tw AS (SELECT key AS target, t.token, tf * idf AS w FROM t JOIN i ON t.token = i.token),
-sn AS (SELECT key, sqrt(sum(w * w)) AS n FROM sw GROUP BY 1), tn AS (SELECT target, sqrt(sum(w * w)) AS n FROM tw GROUP BY 1),
-d AS (SELECT key, target, sum(sw.w * tw.w) AS dot FROM sw JOIN tw ON sw.token = tw.token GROUP BY 1, 2), c AS (SELECT key, target, round(dot / (sn.n * tn.n), 6) AS score FROM d JOIN sn USING (key) JOIN tn USING (target))
-SELECT key, row_number() OVER (PARTITION BY key ORDER BY score DESC, target) AS rank, target, score FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, target) <= 3"""
+sn AS (SELECT key, sqrt(sum(w * w)) AS n FROM sw GROUP BY 1), tn AS (SELECT target, sqrt(sum(w * w ORDER BY token)) AS n FROM tw GROUP BY 1),
+d AS (SELECT key, target, sum(sw.w * tw.w ORDER BY sw.token) AS dot FROM sw JOIN tw ON sw.token = tw.token GROUP BY 1, 2), c AS (SELECT key, target, dot / (sn.n * tn.n) AS raw FROM d JOIN sn USING (key) JOIN tn USING (target))
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY round(raw, 9) DESC, target) AS rank, target, round(raw, 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(raw, 9) DESC, target) <= 3"""
 )
 def text_crosswalk(spark, d):
-    stop = ("the", "of")
-    return cw.text_crosswalk(cw.bags(table(spark, d, "benchmark"), "item_id", "text", stop), cw.bags(table(spark, d, "documents"), "doc_id", "text", stop))
+    return cw.text_crosswalk(*cw.merged_sides(table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), STOP))
 
 
 @query(

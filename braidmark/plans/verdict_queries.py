@@ -94,9 +94,9 @@ def judged_candidates(spark, d):
     return vd.judged_set(hits, extras, 10)
 
 
-@query("SELECT doc_id, CASE WHEN length(x) >= 40 AND len(w) >= 5 THEN array_to_string(w[1:12], ' ') END AS key FROM (SELECT doc_id, x, list_filter(string_split(x, ' '), lambda y: length(y) > 1) AS w FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(translate(substr(text, 1, 90), '‘’“”–— ', '''''\"\"-- ')), '_''\"', '   '), '(^|\\n)\\s*-\\s*', '\\1 ', 'g'), '\\s+', ' ', 'g')) AS x FROM documents))")
+@query("SELECT doc_id, CASE WHEN length(x) >= 40 AND len(w) >= 5 THEN array_to_string(w[1:12], ' ') END AS key FROM (SELECT doc_id, x, list_filter(string_split(x, ' '), lambda y: length(y) > 1) AS w FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(translate(text, '‘’“”–— ', '''''\"\"-- ')), '_''\"', '   '), '(^|\\n)\\s*-\\s*', '\\1 ', 'g'), '\\s+', ' ', 'g')) AS x FROM documents))")
 def evidence_keys(spark, d):
-    return table(spark, d, "documents").select("doc_id", vd.evidence_key(F.substring("text", 1, 90)).alias("key"))
+    return table(spark, d, "documents").select("doc_id", vd.evidence_key(F.col("text")).alias("key"))
 
 
 @query(f"WITH {ROWS}, s AS (SELECT doc_id, status, count(*) AS n FROM rws GROUP BY 1, 2), g AS (SELECT doc_id, sum(n)::BIGINT AS group_size, count(*) > 1 AS conflict, CASE WHEN count(*) > 1 AND 2 * max(n) > sum(n) THEN arg_max(status, (n, status)) END AS majority FROM s GROUP BY 1) SELECT id, needs_review OR conflict AS needs_review, CASE WHEN conflict THEN concat_ws('; ', nullif(trim(review_reason), ''), 'cross-lesson inconsistency: ' || doc_id || CASE WHEN majority IS NOT NULL THEN '; reconciled→' || majority ELSE '' END) ELSE review_reason END AS review_reason, CASE WHEN conflict THEN 'low' ELSE 'high' END AS confidence, CASE WHEN conflict AND status != coalesce(majority, status) THEN '[P3 CONSISTENCY: was ' || status || ', aligned to ' || majority || ']' END AS consistency_note FROM rws JOIN g USING (doc_id)")
