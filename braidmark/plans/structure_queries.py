@@ -70,7 +70,7 @@ pw AS (SELECT side, key, i, t[i] AS a, t[i + 1] AS b FROM (SELECT *, unnest(rang
 pd AS (SELECT a, b, count(DISTINCT (side, key)) AS df FROM pw GROUP BY 1, 2 HAVING count(DISTINCT (side, key)) >= 2), wd AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(t)) AS w FROM ax) GROUP BY 1),
 co AS (SELECT a, b FROM pd JOIN wd x ON x.w = a JOIN wd y ON y.w = b WHERE df >= 0.7 * x.n AND df >= 0.7 * y.n),
 hit AS (SELECT side, key, i, i - row_number() OVER (PARTITION BY side, key ORDER BY i) AS island FROM pw SEMI JOIN co ON co.a = pw.a AND co.b = pw.b),
-take AS (SELECT side, key, i FROM (SELECT *, row_number() OVER (PARTITION BY side, key, island ORDER BY i) AS at FROM hit) WHERE at % 2 = 1),
+take AS (SELECT side, key, i FROM (SELECT *, row_number() OVER (PARTITION BY side, key, island ORDER BY i) AS turn FROM hit) WHERE turn % 2 = 1),
 wx AS (SELECT side, key, t, i, t[i] AS w FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM ax)),
 mx AS (SELECT wx.side, wx.key, CASE WHEN u.i IS NOT NULL THEN w || '_' || t[wx.i + 1] ELSE w END AS token FROM wx LEFT JOIN take u ON u.side = wx.side AND u.key = wx.key AND u.i = wx.i
        ANTI JOIN take v ON v.side = wx.side AND v.key = wx.key AND v.i + 1 = wx.i),

@@ -29,6 +29,10 @@ ps AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY job_id ORDER
 
 
 def log_lines(spark, d):
+    return log_lines_of(table(spark, d, "events"))
+
+
+def log_lines_of(events, *more):
     e, i = F.col("event_type"), F.col("event_id")
     text = (
         F.when(e == "signup", F.concat(F.lit("== stage "), i % 5, F.lit(" ==")))
@@ -37,7 +41,7 @@ def log_lines(spark, d):
         .when(e == "click", F.concat(F.lit("Estimated cost: $"), i % 6, F.lit(".5")))
         .otherwise(F.concat(F.lit("[2/9] item"), i % 11, F.lit(" done")))
     )
-    return table(spark, d, "events").select(F.col("user_id").alias("job_id"), i.alias("line_no"), text.alias("text"))
+    return events.select(F.col("user_id").alias("job_id"), i.alias("line_no"), text.alias("text"), *more)
 
 
 @query(f"WITH {LINES} SELECT * FROM ps")

@@ -92,8 +92,11 @@ def test_greedy_collocations(spark):
     pairs = spark.createDataFrame([("new", "york"), ("york", "city")], "first string, second string")
     out = {r.key: r.tokens for r in cw.merged_tokens(df, "k", cw.words_of(F.col("t")), pairs).collect()}
     assert out == {1: ["new_york", "city", "new_york"], 2: ["york_city", "york"], 3: []}
-    bags = cw.bags_of(cw.merged_tokens(df, "k", cw.words_of(F.col("t")), pairs))
-    assert cw.text_crosswalk(bags, bags, 1).filter("key = target").count() == 2
+    merged = cw.merged_tokens(df, "k", cw.words_of(F.col("t")), pairs)
+    assert cw.text_crosswalk(merged, merged, 1).filter("key = target").count() == 2
+    many = spark.createDataFrame([(i, f"alpha beta gamma{i} alpha") for i in range(4)] + [(9, None)], "key long, text string")
+    one, two = cw.merged_sides(many.filter("key < 2"), many, ("gamma",))
+    assert {r.key: r.tokens for r in one.collect()} == {i: ["alpha_beta", f"gamma", "alpha"] for i in range(2)} and two.count() == 5
 
 
 def test_multi_query_funnel_with_scores(spark):
