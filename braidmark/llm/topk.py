@@ -14,9 +14,10 @@ smaller than a block); each block gives k rows per query, and the best k of all
 block's row is copied only while there are fewer blocks than `spread`, to keep more tasks busy.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
-rows that repeat a vec_id are rows of their own, and queries of their own, if their quantised
-vectors differ, else one row; vectors of different length don't meet; ties go to the smaller id;
-extra columns are ignored; empty tables give an empty result.
+rows without a vec_id can't be named and take no part either; every other row is a row and, if
+asked, a query of its own, also one that repeats an id or a vector too: a query meets all rows but
+itself; vectors of different length don't meet, empty ones meet each other with a score of 0; ties
+go to the smaller id; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -33,30 +34,30 @@ U = np.uint64
 
 
 def quantise(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id, q array<long>, dim: the usable vectors, each different vector of an id once."""
+    """vec_id, q array<long>, dim, row (a number of its own): the usable vectors. Write them before they are used twice, so that numbers stay."""
     x = F.col(embedding)
     ok = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     q = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("bigint"))
     usable = vectors.filter(ok & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("vec_id"), q.alias("q"))
-    return usable.distinct().withColumn("dim", F.size("q"))
+    return usable.withColumns({"dim": F.size("q"), "row": F.monotonically_increasing_id()})
 
 
-def _sliced(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids and values in order of id, and the slices: bitmaps by digit and attribute."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
+def _sliced(ids: np.ndarray, own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, row numbers and values in order of id, and the slices: bitmaps by digit and attribute."""
+    order = np.lexsort((own, ids))
+    ids, own, values = ids[order], own[order], values[order]
     n, dims = values.shape
     above = values - values.min(0)
     digits = max(1, int(above.max(initial=0)).bit_length())
     bits = np.zeros((digits, dims, -(-n // 64) * 64), np.uint8)
     for j in range(digits):
         bits[j, :, :n] = ((above >> j) & 1).T
-    return ids, values, np.packbits(bits, axis=2, bitorder="little").view(U)
+    return ids, own, values, np.packbits(bits, axis=2, bitorder="little").view(U)
 
 
 class SlicedBlock:
-    def __init__(self, ids: np.ndarray, values: np.ndarray, plain: np.ndarray):
-        self.ids, self.values = ids, values
+    def __init__(self, ids: np.ndarray, own: np.ndarray, values: np.ndarray, plain: np.ndarray):
+        self.ids, self.own, self.values = ids, own, values
         self.digits, dims, words = plain.shape
         plain = plain.reshape(self.digits * dims, words)
         self.slices = np.concatenate([plain, ~plain])
@@ -94,11 +95,10 @@ class SlicedBlock:
             k += 1
         return out
 
-    def best(self, query_id: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, query_row: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than the query's own."""
         tied = self.full.copy()
-        start, end = np.searchsorted(self.ids, [query_id, query_id + 1]).tolist()
-        for own in (start + np.flatnonzero((self.values[start:end] == weights).all(1))).tolist():
+        for own in np.flatnonzero(self.own == query_row).tolist():
             tied[own >> 6] &= ~(U(1) << U(own & 63))
         sure, n_sure = np.zeros_like(tied), 0
         if int(np.bitwise_count(tied).sum()) > k:
@@ -121,28 +121,28 @@ class SlicedBlock:
 
 def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     flat = np.concatenate([np.asarray(c.flatten()) for c in column.chunks]) if n else np.empty(0, np.int64)
-    return flat.astype(np.int64).reshape(n, -1)
+    return flat.astype(np.int64).reshape(n, len(flat) // max(1, n))
 
 
-_BEST = pa.schema([("query_id", pa.int64()), ("nth", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_BEST = pa.schema([("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _index(table: pa.Table) -> pa.Table:
     """A block's rows to its row in the index."""
     n = table.num_rows
-    ids, values, slices = _sliced(np.asarray(table.column("vec_id")), _matrix(table.column("q"), n))
+    ids, own, values, slices = _sliced(np.asarray(table.column("vec_id")), np.asarray(table.column("row")), _matrix(table.column("q"), n))
     small = np.int16 if np.abs(values).max(initial=0) < 1 << 15 else np.int64
-    packed = [pa.array([x.tobytes()], pa.binary()) for x in (ids, values.astype(small), slices)]
-    return pa.table([table.column("dim").slice(0, 1), table.column("block").slice(0, 1), pa.array([n], pa.int32()), *packed], names=["dim", "block", "n", "ids", "vals", "slices"])
+    packed = [pa.array([x.tobytes()], pa.binary()) for x in (ids, own, values.astype(small), slices)]
+    return pa.table([table.column("dim").slice(0, 1), table.column("block").slice(0, 1), pa.array([n], pa.int32()), *packed], names=["dim", "block", "n", "ids", "own", "vals", "slices"])
 
 
-_INDEX = "dim int, block long, n int, ids binary, vals binary, slices binary"
+_INDEX = "dim int, block long, n int, ids binary, own binary, vals binary, slices binary"
 
 
 def _packed_queries(table: pa.Table) -> pa.Table:
-    asked, nth = (np.asarray(table.column(c)).astype(np.int64) for c in ("vec_id", "nth"))
+    asked, nth = (np.asarray(table.column(c)).astype(np.int64) for c in ("vec_id", "row"))
     packed = [pa.array([x.tobytes()], pa.binary()) for x in (asked, nth, _matrix(table.column("q"), table.num_rows))]
-    return pa.table([table.column("dim").slice(0, 1), table.column("part").slice(0, 1), *packed], names=["dim", "part", "asked", "nths", "weights"])
+    return pa.table([table.column("dim").slice(0, 1), table.column("part").slice(0, 1), *packed], names=["dim", "part", "asked", "rows", "weights"])
 
 
 def _meet(k: int):
@@ -157,33 +157,33 @@ def _meet(k: int):
                 if key != held:
                     raw = np.frombuffer(get("vals").as_buffer(), np.uint8)
                     values = raw.view(np.int16 if len(raw) == 2 * n * dim else np.int64).reshape(n, dim).astype(np.int64)
-                    plain = np.frombuffer(get("slices").as_buffer(), U).reshape(-1, dim, -(-n // 64))
-                    held, block = key, SlicedBlock(np.frombuffer(get("ids").as_buffer(), np.int64), values, plain)
-                asked, nths = (np.frombuffer(get(c).as_buffer(), np.int64) for c in ("asked", "nths"))
+                    words = -(-n // 64)
+                    plain = np.frombuffer(get("slices").as_buffer(), U).reshape(-1, dim, words) if dim else np.zeros((1, 0, words), U)
+                    held, block = key, SlicedBlock(*(np.frombuffer(get(c).as_buffer(), np.int64) for c in ("ids", "own")), values, plain)
+                asked, rows = (np.frombuffer(get(c).as_buffer(), np.int64) for c in ("asked", "rows"))
                 weights = np.frombuffer(get("weights").as_buffer(), np.int64).reshape(len(asked), dim)
-                best = [block.best(int(i), w, k) for i, w in zip(asked, weights, strict=True)]
+                best = [block.best(int(i), w, k) for i, w in zip(rows, weights, strict=True)]
                 sizes = [len(ids) for ids, _ in best]
-                cols = [np.repeat(asked, sizes), np.repeat(nths, sizes), *(np.concatenate(x) for x in zip(*best, strict=True))]
+                cols = [np.repeat(asked, sizes), np.repeat(rows, sizes), *(np.concatenate(x) for x in zip(*best, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_BEST)
 
     return run
 
 
 def top_k(quantised: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = 16384, group_queries: int = 512, spread: int = 16) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows of quantised other than its own; k for each vector of a query's id."""
+    """query_id, rank, vec_id, score: each query's k best rows of quantised other than itself; queries are rows of quantised."""
     n_blocks = max(1, -(-quantised.count() // block_rows))
     n_groups = max(1, -(-queries.count() // group_queries))
     copies = min(n_groups, -(-spread // n_blocks))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))  # noqa: E731  (by row: an id may have many)
     upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-    rows = quantised.select("vec_id", "q", "dim", deal(n_blocks).alias("block"))
+    rows = quantised.select("vec_id", "row", "q", "dim", deal(n_blocks).alias("block"))
     index = settle(rows.groupBy("dim", "block").applyInArrow(_index, _INDEX), "sliced")
-    nth = F.row_number().over(W.partitionBy("vec_id").orderBy("q")).cast("bigint")
-    asked = queries.withColumn("nth", nth).select("vec_id", "nth", "q", "dim", deal(n_groups).alias("part"))
-    groups = settle(asked.groupBy("dim", "part").applyInArrow(_packed_queries, "dim int, part long, asked binary, nths binary, weights binary"), "asked")
+    asked = queries.select("vec_id", "row", "q", "dim", deal(n_groups).alias("part"))
+    groups = settle(asked.groupBy("dim", "part").applyInArrow(_packed_queries, "dim int, part long, asked binary, rows binary, weights binary"), "asked")
     sent = groups.select("*", F.explode(upto(n_blocks)).alias("block"), F.pmod("part", F.lit(copies)).alias("copy"))
     copied = index.withColumn("copy", F.explode(upto(copies)))
     met = sent.hint("merge").join(copied, ["dim", "block", "copy"])  # sorted by block, so a block is unpacked once a task
-    best = met.select("dim", "block", "n", "ids", "vals", "slices", "asked", "nths", "weights").mapInArrow(_meet(k), "query_id long, nth long, vec_id long, score long")
-    place = F.row_number().over(W.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id"))
+    best = met.select("dim", "block", "n", "ids", "own", "vals", "slices", "asked", "rows", "weights").mapInArrow(_meet(k), "query_id long, row long, vec_id long, score long")
+    place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

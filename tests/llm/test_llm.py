@@ -86,7 +86,7 @@ def test_topk(spark):
     rng = np.random.default_rng(5)
     vectors = {i: rng.normal(0, 0.2, 8).astype(np.float32).tolist() for i in range(300)}
     vectors |= {i: vectors[7] for i in range(300, 340)}  # ties
-    rows = [*vectors.items(), (400, None), (420, [float("nan")] * 8), (440, [1.0, None] * 4), (10, vectors[10])]
+    rows = [*vectors.items(), (400, None), (420, [float("nan")] * 8), (440, [1.0, None] * 4), (None, vectors[3])]
     q = topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = defaultdict(list)
     for r in topk.top_k(q, q.filter("vec_id % 20 = 0"), 20, 64, 4).orderBy("query_id", "rank").collect():
@@ -113,6 +113,16 @@ def test_topk_even_weights_and_repeated_ids(spark):
     assert got == want
 
 
+def test_topk_empty_vectors_and_repeated_rows(spark):
+    rows = [(20, [1.0, 2.0]), (21, [0.5, 0.5]), (21, [0.5, 0.5]), (22, [0.25, 0.5]), (40, []), (60, []), (41, []), (40, []), (None, [9.0, 9.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, q string, block int").coalesce(1)
+    q = topk.quantise(df)
+    got = Counter((r.query_id, r.vec_id, r.score) for r in topk.top_k(q, q.filter("vec_id % 20 = 0")).collect())
+    of = lambda a, b: sum(int(64 * x) * int(64 * y) for x, y in zip(a, b))
+    want = Counter((i, j, of(v, w)) for a, (i, v) in enumerate(rows) if i is not None and i % 20 == 0 for b, (j, w) in enumerate(rows) if j is not None and a != b and len(v) == len(w))
+    assert got == want and got[20, 21, of(rows[0][1], rows[1][1])] == 2
+
+
 @pytest.mark.parametrize("crowded", [2000, 1])
 def test_substring(docs, rows, crowded):
     seen, all_words = Counter(), [split(t) for _, t, *_ in rows]
