@@ -205,7 +205,8 @@ def _triples(paragraph: str) -> list[tuple[str, ...]]:
 
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = 400, sample_paragraphs: int = 1500) -> Model:
-    """Fits on the templates and a bounded sample: paragraphs of 20 to 2000 characters of the sample_docs documents with the least text hash.
+    """Fits on the templates and a bounded sample: paragraphs of 20 to 2000 characters of the sample_docs documents with the least text hash, and of these paragraphs the sample_paragraphs with the least hash, so
+    that every run takes the same.
 
     The hashes are compared first, so that no text but those of the sample is moved.
     """
@@ -213,7 +214,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 400, sample_pa
     h = F.xxhash64(text)
     last = docs.filter(F.col(text).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     rows = docs.filter(F.col(text).isNotNull() & (h <= (-(1 << 63) if last is None else last))).select(text).distinct().select(line)
-    found = sorted(r.p for r in rows.filter(F.length("p").between(20, 2000)).limit(sample_paragraphs).collect())
+    found = sorted(r.p for r in rows.filter(F.length("p").between(20, 2000)).orderBy(F.xxhash64("p"), "p").limit(sample_paragraphs).collect())
     return fit(*wordings([p for p in found if not looks_like_notice(p)]))
 
 
