@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType
 
+from braidmark.session import written
+
 # Code patterns, sections, roles, patterns of readiness, written work and phonics.
 STANDARD_CODE = r"\b([A-Z]{1,4}\.(?:K|\d+)\.\d+[a-z]{0,3})\b"
 _ONE = r"(?:W|L|(?![IVX]{2,4}\.)[A-Z]{2,4})\.(?:K|\d+)\.\d+[a-z]{0,3}"
@@ -174,28 +176,74 @@ def located(evidence: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFram
     return found.filter("__s IS NOT NULL").select("entity_id", "at", joined.alias("location")), found.filter("__s IS NULL").select("entity_id", "at", "location")
 
 
+def grams_of(text: Column) -> Column:
+    """The three-character pieces of a text, in order."""
+    n = F.length(text)
+    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+
+def quote_candidates(quotes: DataFrame, lines: DataFrame, least_ratio: float, least_reverse: int) -> DataFrame:
+    """q, x: which lines (x, entity_id, __x) a quote (q, entity_id, __q) can equal, be part of, contain, or be similar to; no such pair is missing.
+
+    From an index of each entity's grams, the rarest first. A line that contains a quote has the
+    quote's rarest gram, and a quote that contains a line has the line's. Texts of la and lb
+    characters with a similarity of r or more have unlike characters s = (1 - r) * (la + lb) at
+    most, so at most s + 1 equal stretches, and share (la + lb) * r / 2 - 2 * (s + 1) grams or
+    more: of the quote's grams so many but one can be missed, and one of the others, taken from
+    the rarest on, must be in the line. Their lengths differ by a factor of r / (2 - r) at most.
+    Quotes too short for that meet lines of like lengths.
+    """
+    factor = least_ratio / (2 - least_ratio)
+    index = lines.select("entity_id", "x", F.length("__x").alias("lb"), F.explode(F.array_distinct(grams_of(F.col("__x")))).alias("gram"))
+    df = index.groupBy("entity_id", "gram").agg(F.count(F.lit(1)).alias("df"))
+    own = quotes.select("entity_id", "q", F.length("__q").alias("la"), F.explode(grams_of(F.col("__q"))).alias("gram")).groupBy("entity_id", "q", "la", "gram").agg(F.count(F.lit(1)).alias("times"))
+    own = own.join(df, ["entity_id", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rare = W.partitionBy("q").orderBy("df", "gram")
+    own = own.withColumns({"turn": F.row_number().over(rare), "before": F.sum("times").over(rare) - F.col("times")})
+    least = (2.5 * least_ratio - 2) * F.col("la") * (1 + factor) - 2  # shared grams of the shortest line that is like enough
+    own = own.withColumn("needed", F.ceil(least - 1e-9)).withColumn("near", (F.col("needed") >= 1) & (F.col("before") <= F.col("la") - 2 - F.col("needed")))
+    met = own.filter("near OR turn = 1").join(index, ["entity_id", "gram"])
+    like = F.col("near") & (F.col("lb") >= factor * F.col("la") - 1e-9) & (factor * F.col("lb") <= F.col("la") + 1e-9)
+    pairs = met.filter(like | ((F.col("turn") == 1) & (F.col("lb") >= F.col("la")))).select("q", "x")
+    first = index.filter(F.col("lb") >= least_reverse).join(df, ["entity_id", "gram"]).groupBy("entity_id", "x").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    pairs = pairs.unionByName(own.join(first, ["entity_id", "gram"]).select("q", "x"))
+    # quotes without a gram that must be shared, and those without any gram
+    short = quotes.select("entity_id", "q", F.length("__q").alias("la")).filter(least < 1e-9)
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(factor * F.col("la") - 1e-9)).cast("int"), F.floor(F.col("la") / factor + 1e-9).cast("int"))
+    by_length = short.select("entity_id", "q", F.explode(lengths).alias("lb")).join(lines.select("entity_id", "x", F.length("__x").alias("lb")), ["entity_id", "lb"]).select("q", "x")
+    tiny = short.filter("la < 3").join(lines.select("entity_id", "x"), "entity_id").select("q", "x")
+    return pairs.unionByName(by_length).unionByName(tiny).distinct()
+
+
 def verbatim(quotes: DataFrame, lines: DataFrame, least_ratio: float = 0.88, least_reverse: int = 24) -> DataFrame:
     """Each quote's source line: equal, the shortest that contains it, the longest (of enough characters) that it contains, else the most similar.
 
     quotes: entity_id, at, quote, block (may be null); lines: entity_id, line_no, line, block. Quote
     marks, case and spaces don't count; among lines of one class those of the quote's block come
-    first. Only quotes that no line settles are compared by similarity. Null: nothing near enough.
+    first. Only pairs that an index of grams lets through are looked at (see quote_candidates), and
+    only quotes that no line settles are compared by similarity. Null: nothing near enough.
     """
     fold = lambda c: F.lower(F.translate(spaced(c), "\"“”‘’", "'''''"))
-    own = quotes.withColumn("__q", fold(redacted(F.col("quote"))))
-    text = lines.select("entity_id", "line_no", "line", F.col("block").alias("__b"), fold(F.col("line")).alias("__x")).filter("__x != ''")
-    met = own.filter("__q != ''").join(text, "entity_id")
+    own = written(quotes.select("entity_id", "at", F.col("block").alias("__block"), fold(redacted(F.col("quote"))).alias("__q")).filter("__q != ''").withColumn("q", F.monotonically_increasing_id()), "quotes")
+    text = written(lines.select("entity_id", "line_no", "line", F.col("block").alias("__b"), fold(F.col("line")).alias("__x")).filter("__x != ''").withColumn("x", F.monotonically_increasing_id()), "lines")
+    pairs = written(quote_candidates(own, text, least_ratio, least_reverse), "pairs")
+    met = pairs.join(own, "q").join(text.drop("entity_id"), "x")
     kind = F.when(F.col("__q") == F.col("__x"), 0).when(F.contains("__x", F.col("__q")), 1).when(F.contains("__q", F.col("__x")) & (F.length("__x") >= least_reverse), 2)
-    away = F.coalesce((F.col("block") != F.col("__b")) | (F.col("block").isNotNull() & F.col("__b").isNull()), F.lit(False)).cast("int")
+    away = F.coalesce((F.col("__block") != F.col("__b")) | (F.col("__block").isNotNull() & F.col("__b").isNull()), F.lit(False)).cast("int")
     size = F.when(kind == 2, -F.length("line")).when(kind == 1, F.length("line")).otherwise(0)
     order = F.struct(kind.alias("k"), F.when(kind > 0, away).otherwise(0).alias("w"), size.alias("s"), "line_no", "line")
     settled = met.withColumn("__o", F.when(kind.isNotNull(), order)).groupBy("entity_id", "at").agg(F.min("__o").alias("o")).select("entity_id", "at", F.col("o.line").alias("__sure"))
 
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        def of(x: str, y: str) -> float:
+            both = SequenceMatcher(None, x, y)
+            return both.ratio() if both.quick_ratio() >= least_ratio else 0.0
+
+        return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)])
 
-    rest = own.join(settled.filter("__sure IS NOT NULL"), ["entity_id", "at"], "left_anti").filter("__q != ''").join(text, "entity_id").withColumn("__r", ratio("__q", "__x"))
+    open_ = own.join(settled.filter("__sure IS NOT NULL"), ["entity_id", "at"], "left_anti").select("q", "entity_id", "at", "__q")
+    rest = pairs.join(open_, "q").join(text.drop("entity_id"), "x").withColumn("__r", ratio("__q", "__x"))
     near = rest.groupBy("entity_id", "at").agg(F.max(F.struct("__r", (-F.col("line_no")).alias("n"), "line")).alias("b")).filter(F.col("b.__r") >= least_ratio).select("entity_id", "at", F.col("b.line").alias("__near"))
     out = quotes.join(settled, ["entity_id", "at"], "left").join(near, ["entity_id", "at"], "left")
     return out.withColumn("source_line", F.coalesce("__sure", "__near")).drop("__sure", "__near")

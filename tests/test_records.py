@@ -1,6 +1,8 @@
 """Record clean-up, scans, funnels and steps that SQL can't say, on small fixtures."""
 
 import json
+import random
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
@@ -50,6 +52,38 @@ def test_verbatim_lines(spark):
     assert [r.source_line for r in out] == [lines[0][2], lines[1][2], lines[0][2], lines[2][2], lines[2][2], None]
 
 
+def test_quotes_by_index_equal_all_pairs(spark):
+    rng = random.Random(7)
+    words = ["sun", "moon", "read", "the", "story", "a", "of", "students", "write", "draw", "ok"]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+
+    def changed(t):
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(t) + 1)
+            t = t[:i] + rng.choice(["", "x", "qu"]) + t[i + rng.randrange(2) :]
+        return t
+
+    lines = [(e, i, prose(rng.choice([1, 1, 2, 5, 9, 14])), None) for e in "ab" for i in range(60)] + [("a", 90, "", None), ("a", 91, None, None), ("c", 0, "only", None)]
+    quotes = []
+    for i in range(160):
+        e, _, t, _ = rng.choice(lines[:120])
+        cut = sorted(rng.sample(range(len(t) + 1), 2)) if len(t) > 4 else (0, len(t))
+        quotes.append((e, i, rng.choice([changed(t), t, t[cut[0] : cut[1]], f"so {t} then", prose(4), "ok", "s", changed(t[:6])]), None))
+    quotes += [("a", 500, "", None), ("a", 501, None, None), ("z", 502, "sun", None)]
+    schema = "entity_id string, {} int, {} string, block string"
+    got = {(r.entity_id, r.at): r.source_line for r in rc.verbatim(spark.createDataFrame(quotes, schema.format("at", "quote")), spark.createDataFrame(lines, schema.format("line_no", "line"))).collect()}
+    for e, at, quote, _ in quotes:
+        q = " ".join((quote or "").split())
+        own = [(n, line, " ".join((line or "").split())) for x, n, line, _ in lines if x == e and (line or "").strip()]
+        sure = [(0, 0, n, t) for n, t, x in own if x == q] + [(1, len(t), n, t) for n, t, x in own if q in x != q] + [(2, -len(t), n, t) for n, t, x in own if x in q != x and len(x) >= 24]
+        near = [(-SequenceMatcher(None, q, x).ratio(), n, t) for n, t, x in own]
+        want = None if not q else min(sure)[3] if sure else min(near)[2] if near and -min(near)[0] >= 0.88 else None
+        assert got[e, at] == want, (e, at, quote)
+    asked = spark.createDataFrame([q for q in quotes if q[2] and len(q[2]) > 30], schema.format("q", "quote")).select("entity_id", "q", F.col("quote").alias("__q"))
+    known = spark.createDataFrame([(e, 100 * (e == "b") + i, t, None) for e, i, t, _ in lines if t], schema.format("x", "line")).select("entity_id", "x", F.col("line").alias("__x"))
+    assert 3 * rc.quote_candidates(asked, known, 0.88, 24).count() < asked.join(known, "entity_id").count()
+
+
 def test_lesson_repair(spark):
     evidence = "array<struct<quote:string,actor:string,evidence_role:string,supports_action:array<string>>>"
     row = (
