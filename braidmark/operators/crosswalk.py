@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, StringType
 
 from braidmark.operators.index import Index, Share, hits_of
 from braidmark.operators.retrieval import packed_queries, top_k
@@ -45,8 +47,10 @@ def text_crosswalk(source: DataFrame, target: DataFrame, n: int = 3) -> DataFram
 def collocations(docs: DataFrame, key: str, tokens: Column, least: int = 2, ratio: float = 0.7) -> DataFrame:
     """first, second, df of adjacent pairs in enough documents, by number and by share of each word's documents."""
     own = docs.select(F.col(key).alias("key"), tokens.alias("t"))
-    pairs = F.array_distinct(F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second"))))
-    pair_df = own.select(F.inline(pairs)).filter("second IS NOT NULL").groupBy("first", "second").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
+    # words have no spaces; distinct strings are found by hash, structs by comparing all
+    joined = F.array_distinct(F.filter(F.zip_with("t", F.slice("t", 2, F.greatest(F.size("t"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull()))
+    pair_df = own.select(F.explode(joined).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least)
+    pair_df = pair_df.select(F.split("pair", " ")[0].alias("first"), F.split("pair", " ")[1].alias("second"), "df")
     word_df = own.select(F.explode(F.array_distinct("t")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     met = pair_df.join(word_df.selectExpr("w AS first", "n AS n1"), "first").join(word_df.selectExpr("w AS second", "n AS n2"), "second")
     return met.filter((F.col("df") >= ratio * F.col("n1")) & (F.col("df") >= ratio * F.col("n2"))).select("first", "second", "df")
@@ -78,11 +82,21 @@ def merged_tokens(df: DataFrame, key: str, tokens: Column, pairs: DataFrame) ->
     found = own.select("row", F.posexplode(after).alias("i", "p")).select("row", "i", "p.*").filter("second IS NOT NULL").join(pairs, ["first", "second"], "left_semi")
     island = F.col("i") - F.row_number().over(W.partitionBy("row").orderBy("i"))
     found = found.withColumn("island", island).withColumn("at", F.row_number().over(W.partitionBy("row", "island").orderBy("i"))).filter("at % 2 = 1")
-    starts = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("i", F.lit(True)))).alias("starts"))
+    starts = found.groupBy("row").agg(F.collect_list("i").alias("starts"))
     met = own.join(starts, "row", "left")
-    begins = lambda i: F.coalesce(F.try_element_at("starts", i), F.lit(False))
-    word = lambda w, i: F.when(begins(i - 1), None).when(begins(i), F.concat_ws("_", w, F.get(F.col("t"), i + 1))).otherwise(w)
-    return met.select("key", F.when(F.col("starts").isNull(), F.col("t")).otherwise(F.array_compact(F.transform("t", word))).alias("tokens"))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def merged(t: pd.Series, starts: pd.Series) -> pd.Series:
+        def of(words, begins):
+            out = list(words)
+            for i in begins:
+                out[i], out[i + 1] = f"{out[i]}_{out[i + 1]}", None
+            return [w for w in out if w is not None]
+
+        return pd.Series([of(*x) for x in zip(t, starts, strict=True)], dtype=object)
+
+    changed = met.filter("starts IS NOT NULL").select("key", merged("t", "starts").alias("tokens"))
+    return changed.unionByName(met.filter("starts IS NULL").select("key", F.col("t").alias("tokens")))
 
 
 def merged_sides(source: DataFrame, target: DataFrame, stop: tuple[str, ...] = (), least: int = 2, ratio: float = 0.7) -> tuple[DataFrame, DataFrame]:
