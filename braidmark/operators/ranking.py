@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import deque
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -138,38 +134,43 @@ def shortlist(df: DataFrame, top_n: int = 50, preserve: int = 12, head: int = 12
     return kept.withColumn("final_rank", final).select(*df.columns, "final_rank")
 
 
-def interleave_families(df: DataFrame, family: str = "family", rank: str = "rank", most_in_row: int = 3) -> DataFrame:
+def interleave_families(df: DataFrame, family: str = "family", rank: str = "rank", most_in_row: int = 3, part_rows: int = 256) -> DataFrame:
     """After most_in_row rows of one family, the next row of another comes first; nothing is dropped.
 
-    Each step depends on the last, so an entity's list is one group: one queue a family, and a
-    heap of the queues' heads, from which the first or second is taken.
+    Rows are read in order of rank. All that wait at a time are of one family, as the others go on
+    at once: one that waits is let in after the next row of another family, up to most_in_row
+    together. So the last family, how many of it came in a row, how many wait and how many were
+    let in are all there is to carry. An entity's list (a shortlist, some dozens of rows) is one
+    sorted array, folded in parts of part_rows. Tied ranks: by the other columns, which are comparable.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(rank, kind="stable").reset_index(drop=True)
-        codes = pd.factorize(pdf[family], use_na_sentinel=False)[0].tolist()
-        queues: dict[int, deque] = {}
-        for at, code in enumerate(codes):
-            queues.setdefault(code, deque()).append(at)
-        heads, order, last, length = [(q[0], code) for code, q in queues.items()], [], None, 0
-        heapq.heapify(heads)
-        while heads:
-            at, code = heapq.heappop(heads)
-            if code == last and length >= most_in_row and heads:
-                other = heapq.heappop(heads)
-                heapq.heappush(heads, (at, code))
-                at, code = other
-            queues[code].popleft()
-            if queues[code]:
-                heapq.heappush(heads, (queues[code][0], code))
-            length = length + 1 if code == last else 1
-            last = code
-            order.append(at)
-        out = pdf.iloc[order].reset_index(drop=True)
-        out[rank] = range(1, len(out) + 1)
-        return out
-
-    return df.groupBy("entity_id").applyInPandas(run, df.schema)
+    row = F.struct(F.col(rank).alias("__rank"), F.col(family).alias("__family"), F.struct(*df.columns).alias("__row"))
+    listed = df.groupBy("entity_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # turn: how many waiting rows come up to this one; one that waits comes before the row let in at once
+    found = "array<struct<turn: bigint, at_once: boolean>>"
+    none = lambda kind: F.array().cast(kind)
+    state = lambda last, length, wait, let_in, out: F.struct(last.alias("last"), length.cast("bigint").alias("length"), wait.cast("bigint").alias("wait"), let_in.cast("bigint").alias("let_in"), out.alias("out"))
+
+    def after_row(s: Column, x: Column) -> Column:
+        same, busy = s["last"].eqNullSafe(x["__family"]), s["wait"] > 0
+        held = same & (s["length"] >= most_in_row)
+        freed = F.least(s["wait"], F.lit(most_in_row).cast("bigint"))
+        note = F.struct(F.when(held, s["let_in"] + s["wait"] + 1).otherwise(s["let_in"]).alias("turn"), (~held).alias("at_once"))
+        last = F.when(held | busy, s["last"]).otherwise(x["__family"])
+        length = F.when(held, s["length"]).when(busy, freed).when(same, s["length"] + 1).otherwise(1)
+        wait = F.when(held, s["wait"] + 1).otherwise(s["wait"] - freed)
+        return state(last, length, wait, F.when(held, s["let_in"]).otherwise(s["let_in"] + freed), F.concat(s["out"], F.array(note)))
+
+    def after_part(s: Column, part: Column) -> Column:
+        read = F.aggregate(part, state(s["last"], s["length"], s["wait"], s["let_in"], none(found)), after_row)
+        return F.get(F.transform(F.array(read), lambda t: state(t["last"], t["length"], t["wait"], t["let_in"], F.concat(s["out"], F.array(t["out"])))), F.lit(0))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / part_rows).cast("int")), lambda i: F.slice("rows", i * part_rows + 1, F.lit(part_rows)))
+    begin = state(F.lit(None).cast(df.schema[family].dataType), F.lit(0), F.lit(0), F.lit(0), none(f"array<{found}>"))
+    noted = listed.withColumn("notes", F.flatten(F.aggregate(parts, begin, after_part, lambda s: s["out"])))
+    placed = F.zip_with("rows", "notes", lambda x, n: F.struct(n["turn"].alias("turn"), n["at_once"].alias("at_once"), x.alias("x")))
+    ordered = noted.select(F.array_sort(placed).alias("rows")).select(F.posexplode("rows").alias("at", "x"))
+    kept = [(F.col("at") + 1).cast(df.schema[c].dataType).alias(c) if c == rank else F.col(f"x.x.__row.{c}") for c in df.columns]
+    return ordered.select(*kept)
 
 
 def rescue(fused: DataFrame, sums: DataFrame, top_n: int, slots: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from braidmark.session import written
+
 
 def segments(outline: DataFrame, doc: str, page: str, last_page: str) -> DataFrame:
     """start and end page of each outline entry: up to the next entry, or the document's end."""
@@ -155,35 +157,62 @@ def section_bodies(lines: DataFrame, sections: list[str]) -> DataFrame:
     return filled.groupBy("doc", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("x")))), lambda r: r["x"]).alias("items"))
 
 
-def attached_steps(body: DataFrame, blocks: DataFrame, ahead: int = 3, least: int = 12) -> DataFrame:
+def attached_steps(body: DataFrame, blocks: DataFrame, ahead: int = 3, least: int = 12, part_lines: int = 256, fan: int = 64) -> DataFrame:
     """doc, line_no, block: the block that each body line belongs to (null before the first).
 
     A line opens one of the next `ahead` blocks after the last opened one if its key (letters and
     digits) equals the block's, or else shares a beginning of `least` characters with it, the
-    longest and then the nearest first. Which blocks are next depends on those opened before, so a
-    document's lines (some hundreds) are one group. body: doc, line_no, line; blocks: doc, block (from 0), title.
+    longest and then the nearest first. body: doc, line_no (from 0 or 1), line; blocks: doc, block
+    (from 0, without gaps), title. Lines without a doc, and those of a doc without blocks, get null.
+
+    Which blocks are next depends on those opened before: a line is a function from the last opened
+    block to the next one, and all but a few values stay as they are. Lines are dealt to parts by
+    number, the functions of a part's lines are composed to one, those of `fan` parts to one, and so
+    on up; then each part is told the block it begins with. No task holds a document's lines.
     """
-    import os.path
-
-    import pandas as pd
-
-    key = F.regexp_replace(F.lower("line"), "[^a-z0-9]", "")
-    titled = blocks.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("k")))), lambda x: x["k"]).alias("titles"))
-    met = body.select("doc", "line_no", key.alias("key")).join(titled, "doc", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        titles = [] if pdf["titles"].iloc[0] is None else list(pdf["titles"].iloc[0])
-        current, out = -1, []
-        for k in pdf["key"]:
-            best = None
-            for at in range(current + 1, min(len(titles), current + 1 + ahead)) if k else ():
-                shared = len(os.path.commonprefix([k, titles[at]]))
-                if titles[at] and (k == titles[at] or shared >= least):
-                    best = max(best or (False, -1, 0, -1), (k == titles[at], shared, -at, at))
-            current = best[3] if best else current
-            out.append(current if current >= 0 else None)
-        return pd.DataFrame({"doc": pdf["doc"], "line_no": pdf["line_no"], "block": pd.array(out, "Int64")})
-
-    schema = met.select("doc", "line_no").schema.add("block", "long")
-    return met.groupBy("doc").applyInPandas(run, schema)
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    titled = blocks.select("doc", F.col("block").cast("int").alias("at"), key("title").alias("t")).filter("t != ''").withColumn("b", F.substring("t", 1, least))
+    keyed = body.select("doc", F.col("line_no").cast("bigint").alias("line_no"), key("line").alias("k"))
+    # one row for each different line of a document; equal lines share its function
+    asked = keyed.filter("k != ''").select("doc", "k").distinct().withColumn("b", F.substring("k", 1, least)).join(titled, ["doc", "b"])
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("k"), F.length("t"))), lambda i: F.substring("k", F.lit(1), i) == F.substring("t", F.lit(1), i)))
+    opens = asked.withColumn("shared", shared).filter(f"k = t OR shared >= {least}")
+    opens = opens.groupBy("doc", "k").agg(F.collect_list(F.struct((F.col("k") == F.col("t")).alias("same"), "shared", (-F.col("at")).alias("near"))).alias("opens"))
+    numbered = keyed.filter("doc IS NOT NULL").join(opens, ["doc", "k"], "left").withColumn("part", F.floor(F.col("line_no") / part_lines).cast("bigint"))
+
+    def after_line(last: Column, line: Column) -> Column:
+        near = F.filter(line["opens"], lambda x: (-x["near"] > last) & (-x["near"] <= last + ahead))
+        return F.coalesce(-F.array_max(near)["near"], last)
+
+    def after_part(last: Column, part: Column) -> Column:
+        return F.coalesce(F.get(F.filter(part["moves"], lambda m: m["from"] == last), F.lit(0))["to"], last)
+
+    def composed(items: Column, states: Column, after) -> Column:
+        """The values that the functions of all items, one after another, change."""
+        to = lambda s: F.aggregate(items, s, after)
+        return F.filter(F.transform(F.array_distinct(states), lambda s: F.struct(s.alias("from"), to(s).alias("to"))), lambda m: m["from"] != m["to"])
+
+    low = lambda line: F.flatten(F.transform(line["opens"], lambda x: F.sequence(F.greatest(-x["near"] - ahead, F.lit(-1)), -x["near"] - 1)))
+    items = F.array_sort(F.collect_list(F.struct("line_no", "opens")))
+    states = F.flatten(F.transform(F.filter("items", lambda x: x["opens"].isNotNull()), low))
+    levels = [written(numbered.groupBy("doc", "part").agg(items.alias("items")).withColumn("moves", composed(F.col("items"), states, after_line)), "parts")]
+    parts = int(body.agg(F.max("line_no")).first()[0] or 0) // part_lines + 1
+    while parts > 1:
+        of = levels[-1].select("doc", "part", "moves").groupBy("doc", F.floor(F.col("part") / fan).cast("bigint").alias("up")).agg(F.array_sort(F.collect_list(F.struct("part", "moves"))).alias("items"))
+        begins = F.flatten(F.transform("items", lambda p: F.transform(p["moves"], lambda m: m["from"])))
+        levels.append(written(of.select("doc", F.col("up").alias("part"), "items", composed(F.col("items"), begins, after_part).alias("moves")), "parts"))
+        parts = -(-parts // fan)
+
+    def told(after, ended: int) -> Column:
+        """item, last: each item with the block that it begins (or, with ended = 1, ends) with, from the one that the part begins with."""
+        ends = F.aggregate("items", F.array("last"), lambda acc, x: F.concat(acc, F.array(after(F.element_at(acc, -1), x))))
+        return F.zip_with("items", F.slice(ends, 1 + ended, F.size("items")), lambda x, end: F.struct(x.alias("item"), end.alias("last")))
+
+    at = levels[-1].select("doc", "part", F.lit(-1).alias("last"))
+    for level in reversed(levels[1:]):
+        below = level.join(at, ["doc", "part"]).select("doc", F.inline(told(after_part, 0)).alias("item", "last"))
+        at = below.select("doc", "item.part", "last")
+    lines = levels[0].join(at, ["doc", "part"]).select("doc", F.inline(told(after_line, 1)).alias("item", "block"))
+    out = lines.select("doc", "item.line_no", "block")
+    out = out.unionByName(keyed.filter("doc IS NULL").select("doc", "line_no", F.lit(-1).alias("block")))
+    return out.select("doc", F.col("line_no").cast(body.schema["line_no"].dataType).alias("line_no"), F.when(F.col("block") >= 0, F.col("block").cast("bigint")).alias("block"))
