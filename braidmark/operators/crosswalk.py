@@ -125,11 +125,23 @@ def band(score: Column) -> Column:
 
 
 def embedding_crosswalk(source: DataFrame, target: DataFrame, key: str, vector: str, n: int = 3) -> DataFrame:
-    """key, rank, target, score: the n targets of greatest cosine of each source, in blocks; sources and targets without length score 0 with none."""
-    from braidmark.operators.retrieval import dense_top_k
+    """key, rank, target, score: the n targets of greatest cosine of each source, in blocks; ties to the smaller id.
 
-    best = dense_top_k(target, source, key, key, vector, n, digits=6)
-    return best.select(F.col("query_id").alias("key"), "rank", F.col("doc_id").alias("target"), "score")
+    A pair of which one vector has no length (null, empty, zero, or not a number) scores 0 and counts as the others do:
+    for that, the n smallest ids of such targets, and of all targets, are sent to all sources.
+    """
+    from braidmark.operators.retrieval import dense_top_k, top_k
+
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    flat = ~F.coalesce((norm > 0) & ~F.isnan(norm), F.lit(False))
+    of = lambda df, name: df.select(F.col(key).cast("long").alias(name), flat.alias("flat"))
+    least = lambda df: df.select("target").orderBy("target").limit(n)
+    targets = of(target, "target")
+    flats = least(targets.filter("flat")).withColumn("flat", F.lit(False)).unionByName(least(targets).withColumn("flat", F.lit(True)))
+    level = of(source, "key").join(F.broadcast(flats), "flat").select("key", "target", F.lit(0.0).alias("score"))  # 2 * n rows
+    best = dense_top_k(target, source, key, key, vector, n, digits=6).select(F.col("query_id").alias("key"), F.col("doc_id").alias("target"), "score")
+    return top_k(best.unionByName(level), ["key"], [F.desc("score"), "target"], n).select("key", "rank", "target", "score")
 
 
 def untaught(declared: DataFrame, walk: DataFrame, taught: DataFrame) -> DataFrame:

@@ -251,7 +251,13 @@ def judge_shortlist(spark, d):
     return rk.shortlist(fused(spark, d), top_n=10, preserve=4, head=4).select("entity_id", "final_rank", "doc_id", "rrf_rank", "fused_score")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {bm25_sql("benchmark", "item_id", 20)}, r AS (SELECT item_id AS entity_id, rank AS spot, doc_id, lang AS family FROM hit JOIN documents USING (doc_id)),
+w AS (SELECT entity_id, 0::BIGINT AS n, list({{'spot': spot, 'doc_id': doc_id, 'family': family}} ORDER BY spot) AS rest, NULL::VARCHAR AS last, 0::BIGINT AS run, NULL::BIGINT AS doc_id FROM r GROUP BY 1
+UNION ALL SELECT entity_id, n + 1, list_filter(rest, lambda x: x.spot != p.spot), p.family, CASE WHEN p.family IS NOT DISTINCT FROM last THEN run + 1 ELSE 1 END, p.doc_id
+FROM (SELECT *, CASE WHEN run >= 3 THEN coalesce(list_filter(rest, lambda x: x.family IS DISTINCT FROM last)[1], rest[1]) ELSE rest[1] END AS p FROM w WHERE len(rest) > 0))
+SELECT entity_id, n AS rank, doc_id, last AS family FROM w WHERE n > 0"""
+)
 def family_interleave(spark, d):
     rows = bm25_top(spark, d).join(docs(spark, d).select("doc_id", F.col("lang").alias("family")), "doc_id").select(F.col("query_id").alias("entity_id"), "rank", "doc_id", "family")
     return rk.interleave_families(rows)

@@ -174,18 +174,22 @@ def tree_ancestors(spark, d):
     return hi.ancestors(tree(spark, d), "id", "parent")
 
 
+def embed_sides(spark, d):
+    """The index holds what has a label, and the benchmark's texts under their own numbers, which documents of those numbers replace."""
+    stamp = lambda df, key, model: df.select(F.col(key).alias("doc_id"), inc.content_hash(F.col("text")).alias("h"), model.alias("model"))
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").join(items.select(F.col("item_id").alias("doc_id")), "doc_id", "left_anti")
+    index = stamp(items, "item_id", F.lit("en")).unionByName(stamp(labelled, "doc_id", F.col("lang")))
+    return stamp(docs, "doc_id", F.col("lang")), index
+
+
 @query(
     """WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, lang AS model FROM documents), b AS (SELECT item_id AS doc_id, sha256(coalesce(text, '')) AS h, 'en' AS model FROM benchmark
 UNION ALL SELECT doc_id, sha256(coalesce(text, '')), lang FROM documents JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT item_id FROM benchmark))
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'prune' WHEN b.doc_id IS NOT NULL AND a.h = b.h AND a.model IS NOT DISTINCT FROM b.model THEN 'skip' ELSE 'embed' END AS action FROM a FULL JOIN b ON a.doc_id = b.doc_id"""
 )
 def embed_plan(spark, d):
-    """The index holds what has a label, and the benchmark's texts under their own numbers, which documents of those numbers replace."""
-    stamp = lambda df, key, model: df.select(F.col(key).alias("doc_id"), inc.content_hash(F.col("text")).alias("h"), model.alias("model"))
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").join(items.select(F.col("item_id").alias("doc_id")), "doc_id", "left_anti")
-    index = stamp(items, "item_id", F.lit("en")).unionByName(stamp(labelled, "doc_id", F.col("lang")))
-    return inc.embed_plan(stamp(docs, "doc_id", F.col("lang")), index, "doc_id", ["h", "model"])
+    return inc.embed_plan(*embed_sides(spark, d), "doc_id", ["h", "model"])
 
 
 @query(

@@ -105,7 +105,7 @@ def output_freshness(spark, d):
     return logs.is_fresh(files)
 
 
-@query("WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT s.vec_id AS key, t.vec_id AS target, round(list_cosine_similarity(s.e, t.e), 6) AS score FROM v s, v t WHERE s.label = 0 AND t.label != 0) SELECT key, row_number() OVER (PARTITION BY key ORDER BY score DESC, target) AS rank, target, score FROM c QUALIFY rank <= 3")
+@query("WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT s.vec_id AS key, t.vec_id AS target, CASE WHEN coalesce(list_sum(list_transform(s.e, lambda x: x * x)), 0) > 0 AND coalesce(list_sum(list_transform(t.e, lambda x: x * x)), 0) > 0 THEN round(list_cosine_similarity(s.e, t.e), 6) ELSE 0 END AS score FROM v s, v t WHERE s.label = 0 AND t.label != 0) SELECT key, row_number() OVER (PARTITION BY key ORDER BY score DESC, target) AS rank, target, score FROM c QUALIFY rank <= 3")
 def embedding_crosswalk(spark, d):
     """Vectors of the first label against those of all others."""
     v = table(spark, d, "embeddings")

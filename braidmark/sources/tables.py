@@ -70,7 +70,8 @@ def write_report(df: DataFrame, path: str, columns: list[str], texts: list[str])
 
 
 def write_by_entity(df: DataFrame, path: str, entity: str) -> None:
-    df.write.partitionBy(entity).mode("overwrite").parquet(path)
+    """A folder for each entity; those of entities that df lacks stay as they are."""
+    df.write.partitionBy(entity).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
