@@ -16,8 +16,9 @@ Tokens are words and one separator a document: tokenizers need Python, and this
 DataFrame functions only. Shares by words and by tokens differ as far as sources differ in tokens
 a word; a table with a column of real counts may give it as `tokens`.
 
-Defined results: a null source is a source of its own; documents that tie in order are taken by
-doc_id; texts of any length are counted whole; a null or empty text counts one token
+Defined results: a null source is a source of its own; documents are dealt and
+put in order by doc_id, those of a null or repeated doc_id by their text too, and rows that also
+repeat the text by their other columns and their number among equals, so that no order of arrival shows; texts of any length are counted whole; a null or empty text counts one token
 (its separator), as every document does besides its words; repeated rows are dealt row by row;
 extra columns pass through, but for those of the names in ADDED, which are replaced; an empty
 table gives an empty result.
@@ -116,6 +117,24 @@ def plan_sources(totals: DataFrame, mix: Mix) -> DataFrame:
     )
 
 
+def repeated(thin: DataFrame) -> DataFrame:
+    """__same, __n: how many rows have an id and text, for rows whose id is null or comes again."""
+    texts = thin.groupBy("__id", "__same").agg(F.count(F.lit(1)).alias("__n"))
+    ids = texts.filter("__id IS NOT NULL").groupBy("__id").agg(F.sum("__n").alias("__all")).filter("__all > 1").select("__id")
+    named = texts.join(ids, "__id", "left_semi").unionByName(texts.filter("__id IS NULL"))
+    return named.groupBy("__same").agg(F.sum("__n").alias("__n"))
+
+
+def numbered(rows: DataFrame, at_once: int = 1000) -> DataFrame:
+    """rows with __more, which differs from row to row, also between equal ones: those are counted, and as many rows made again in stretches of at_once."""
+    counted = store.settle(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")), "mix-counted")
+    # columns beside id and text count only where they tell rows apart
+    counted = counted.join(counted.groupBy("__same").agg((F.count(F.lit(1)) > 1).alias("__differ")), "__same")
+    stretches = counted.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(at_once).cast("bigint")))).repartition(F.xxhash64("__same", "__from"))
+    each = stretches.withColumn("__i", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + at_once, F.col("__n")) - 1)))
+    return each.withColumn("__more", F.xxhash64("__same", F.when(F.col("__differ"), F.to_json(F.struct(*rows.columns))), "__i")).drop("__n", "__from", "__i", "__differ")
+
+
 ADDED = ("mix_pass", "mix_block", "mix_block_pos", "mix_order", "mix_tokens", "mix_weight")
 
 
@@ -128,17 +147,25 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     that Spark knows their size: while they are small, texts meet them without a shuffle.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
-    sized = settle(docs.drop(*ADDED).withColumns({"__key": key, "__tokens": F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)) + 1 if tokens else tokens_of(F.col(text))}))
-    thin = store.settle(sized.select("__key", "__tokens", F.col(doc_id).alias("__id")), "mix-sizes")
+    sized = settle(docs.drop(*ADDED).withColumns({"__key": key, "__tokens": F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)) + 1 if tokens else tokens_of(F.col(text)), "__same": F.xxhash64(doc_id, text)}))
+    thin = store.settle(sized.select("__key", "__tokens", F.col(doc_id).alias("__id"), "__same"), "mix-sizes")
     totals = store.settle(source_totals(thin), "mix-totals")
+    again = store.settle(repeated(thin), "mix-repeated")
+    copies = store.settle(numbered(sized.join(again, "__same").filter("__n > 1").drop("__n")), "mix-copies")
+
+    def told_apart(rows: DataFrame, own: DataFrame) -> DataFrame:
+        once = rows.join(again, "__same", "left").filter("__n IS NULL OR __n = 1").withColumn("__more", F.when(F.col("__n") == 1, F.col("__same"))).drop("__n", "__same")
+        return once.unionByName(own.drop("__same"))
+
+    sized, thin = told_apart(sized, copies), told_apart(thin, copies.select("__key", "__tokens", F.col(doc_id).alias("__id"), "__same", "__more"))
     plan = plan_sources(totals, mix).select("__key", *(F.col(c).alias(f"__{c}") for c in ("weight", "n_blocks", "full", "rest")))
     # a hot source's rows meet its one planned row in `salts` places
     salted = store.settle(plan.withColumn("__salt", F.explode(F.array(*map(F.lit, range(mix.salts))))), "mix-plan")
 
     def dealt(rows: DataFrame, row_id: str) -> DataFrame:
-        spread = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id, F.lit("salt")), F.lit(mix.salts)).cast("int"))
+        spread = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id, "__more", F.lit("salt")), F.lit(mix.salts)).cast("int"))
         met = spread.join(salted, ["__key", "__salt"])
-        return met.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(mix.seed), F.col(row_id)), F.col("__n_blocks"))).drop("__salt", "__n_blocks")
+        return met.withColumn("mix_block", F.pmod(F.xxhash64(F.lit(mix.seed), F.col(row_id), F.col("__more")), F.col("__n_blocks"))).drop("__salt", "__n_blocks")
 
     blocks = dealt(thin, "__id").groupBy("__key", "mix_block").agg(F.sum("__tokens").alias("tokens"), F.max("__full").alias("full"), F.max("__rest").alias("rest"))
     blocks = blocks.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("full") + 1)))
@@ -149,8 +176,8 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), doc_id: str = "doc_id", sourc
     # what of the budget is left when this block's turn comes; nothing: the block isn't read
     placed = placed.withColumn("__room", room).filter("__room > 0").select("__key", "mix_block", "mix_pass", "mix_block_pos", "__room", (F.col("__room") >= F.col("tokens")).alias("__whole"))
     placed = store.settle(placed, "mix-blocks")
-    taken = dealt(sized, doc_id).join(placed, ["__key", "mix_block"]).withColumn("mix_order", F.xxhash64(F.lit(mix.seed + 1), F.col("mix_pass"), F.col(doc_id)))
-    inside = W.partitionBy("__key", "mix_block", "mix_pass").orderBy("mix_order", doc_id).rowsBetween(W.unboundedPreceding, 0)
+    taken = dealt(sized, doc_id).join(placed, ["__key", "mix_block"]).withColumn("mix_order", F.xxhash64(F.lit(mix.seed + 1), F.col("mix_pass"), F.col(doc_id), F.col("__more")))
+    inside = W.partitionBy("__key", "mix_block", "mix_pass").orderBy("mix_order", doc_id, "__more").rowsBetween(W.unboundedPreceding, 0)
     last = taken.filter("NOT __whole").withColumn("__so_far", F.sum("__tokens").over(inside)).filter("__so_far <= __room").drop("__so_far")
     out = taken.filter("__whole").unionByName(last)
-    return out.withColumnsRenamed({"__tokens": "mix_tokens", "__weight": "mix_weight"}).drop("__key", "__full", "__rest", "__room", "__whole")
+    return out.withColumnsRenamed({"__tokens": "mix_tokens", "__weight": "mix_weight"}).drop("__key", "__full", "__rest", "__room", "__whole", "__more")

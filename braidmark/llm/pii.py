@@ -203,14 +203,19 @@ def label(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def train(labelled: DataFrame) -> np.ndarray:
-    """The span classifier's weights; the driver gets pattern counts, at most 3^6 * 2^10 rows."""
-    rows = labelled.select(F.inline("__found")).groupBy("votes", "features").count().collect()
+    """The span classifier's weights; the driver gets pattern counts, at most 3^6 * 2^10 rows.
+
+    A labeler's reliability is estimated for each kind apart, as some speak of one kind only.
+    """
+    rows = labelled.select(F.inline("__found")).groupBy("kind", "votes", "features").count().collect()
     if not rows:
         return np.zeros(N_FEATURES + 1)
-    rows.sort(key=lambda r: (r["votes"], r["features"]))
+    rows.sort(key=lambda r: (r["kind"], r["votes"], r["features"]))
     votes, x = np.array([r["votes"] for r in rows]), np.array([r["features"] for r in rows])
     count = np.array([r["count"] for r in rows], float)
-    _, post = reliabilities(votes, count)
+    kinds, post = np.array([r["kind"] for r in rows]), np.empty(len(rows))
+    for kind in set(kinds):
+        post[kinds == kind] = reliabilities(votes[kinds == kind], count[kinds == kind])[1]
     return fit_logistic(x, post, count)
 
 

@@ -8,6 +8,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from braidmark.llm import minhash, periodic, repair
 from braidmark.llm.words import U
@@ -280,3 +281,20 @@ def test_common_counts():
     sets = [np.unique(rng.integers(0, 400, n).astype(U)) for n in (1, 5, 90, 300, 40, 7)]
     want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets[2:]] for a in sets[:4]]
     assert minhash.common_counts(sets[:4], sets[2:], at_once=64).astype(int).tolist() == want
+
+
+def test_mixing_deals_null_and_repeated_ids_by_row(spark):
+    from braidmark.llm import mixing
+
+    rows = [(None, f"w{i} x", "hot", i) for i in range(3000)] + [(i, "a b c", "hot", i) for i in range(2000)] + [(7, "a b c", "hot", 7)] * 2500 + [(9, f"t{i}", "cold", i) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+    mix = mixing.Mix(block_docs=500)
+    pick = lambda df: sorted((repr(tuple(r)) for r in mixing.mix_sources(df, mix).select("doc_id", "text", "source", "extra", "mix_pass", "mix_block", "mix_order").collect()))
+    got = pick(docs)
+    assert got == pick(docs.repartition(7, "extra").orderBy(F.rand(3)))
+    out = mixing.mix_sources(docs, mix).toPandas()
+    first = out[out.mix_pass == 1]
+    assert len(first) == len(rows)
+    # 3000 null ids and 2501 equal rows are spread over their source's blocks
+    assert first[first.source == "hot"].groupby("mix_block").size().max() < 1.25 * 500
+    assert sorted(first.text) == sorted(r[1] for r in rows)
