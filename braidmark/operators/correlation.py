@@ -53,7 +53,7 @@ def domain_section(code: Column, names: dict[str, str]) -> Column:
 def short_explanation(rationales: Column, most: int = 280) -> Column:
     """From the first rationale that isn't blank: its contrasting sentences up to 120 characters and more, else its first, cut at a word."""
     first = F.get(F.filter(F.transform(rationales, lambda r: F.trim(F.regexp_replace(F.replace(_text(r), F.lit("⚑ REVIEW:"), F.lit("")), r"\s+", " "))), lambda r: r != ""), F.lit(0))
-    parts = F.filter(F.transform(F.split(F.replace(first, F.lit("? "), F.lit(". ")), r"\. "), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.replace(first, F.lit("? "), F.lit(". ")), r"\. "), lambda p: F.trim(p)), lambda p: p != "")
     stop = lambda p: F.when(F.endswith(p, F.lit(".")), p).otherwise(F.concat(p, F.lit(".")))
     chosen = F.aggregate(parts, F.lit(""), lambda acc, p: F.when((F.length(acc) < 120) & p.rlike(CONTRAST), F.concat_ws(" ", F.nullif(acc, F.lit("")), stop(p))).otherwise(acc))
     said = F.when(chosen != "", chosen).otherwise(stop(F.get(parts, F.lit(0))))

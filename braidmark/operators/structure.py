@@ -116,7 +116,7 @@ def printed_page(pages: DataFrame, edge: int = 6) -> DataFrame:
 
     pages: doc, page, text.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda p: F.trim(p)), lambda x: x != "")
     at_edge = F.filter(lines, lambda x, i: (i < edge) | (i >= F.size(lines) - edge))
     numbers = F.filter(F.transform(at_edge, lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^(\d{1,4})$", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"(?i)Curriculum\s+(\d{1,4})\s*$", 1), F.lit("")))), lambda n: n.isNotNull())
     return pages.select("doc", "page", F.when(F.size(numbers) > 0, F.get(numbers, F.size(numbers) - 1)).cast("int").alias("printed"))

@@ -64,7 +64,7 @@ def normalized(text: Column) -> Column:
 
 def parts_of(quote: Column) -> Column:
     """A folded quote's parts between ; and ellipses, of enough characters."""
-    return F.filter(F.transform(F.split(quote, STITCH), F.trim), lambda p: F.length(p) >= LEAST_PART)
+    return F.filter(F.transform(F.split(quote, STITCH), lambda p: F.trim(p)), lambda p: F.length(p) >= LEAST_PART)
 
 
 def grounded(evidence: Column, source: Column, least: int = LEAST_CHARS) -> Column:
@@ -218,7 +218,7 @@ def invents_timing(rationale: Column) -> Column:
 def scrubbed_timing(rationale: Column) -> Column:
     """Without the sentences that make reading time a condition, and with a note if there were any."""
     text = F.trim(F.coalesce(rationale, F.lit("")))
-    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda p: (p != "") & ~p.rlike(TIMING_GATE) & ~(p.rlike(TIMING_WORDS) & p.rlike(SCORE_WORDS)))
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(TIMING_GATE) & ~(p.rlike(TIMING_WORDS) & p.rlike(SCORE_WORDS)))
     left = F.array_join(sentences, " ")
     body = F.when(left == "", TIMING_EMPTY).otherwise(left)
     return F.when(invents_timing(text), F.concat_ws(" ", body, F.lit(TIMING_NOTE))).otherwise(text)

@@ -123,13 +123,13 @@ def overview_metrics(spark, d):
 
 
 @query(
-    """WITH h AS (SELECT DISTINCT l_partkey AS doc_id FROM lineitem), p AS (SELECT p_partkey AS doc_id, CASE WHEN p_size % 3 = 0 THEN ' ' ELSE p_brand END AS domain, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size END AS grade FROM part WHERE p_retailprice > 1000),
-d AS (SELECT p_partkey AS doc_id, p_type AS domain, -1 AS grade FROM part) SELECT h.doc_id, coalesce(nullif(trim(p.domain), ''), d.domain, '') AS domain, CASE WHEN p.doc_id IS NOT NULL THEN p.grade ELSE d.grade END AS grade FROM h LEFT JOIN p USING (doc_id) LEFT JOIN d USING (doc_id)"""
+    """WITH h AS (SELECT DISTINCT l_partkey AS doc_id FROM lineitem), p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE ' ' END AS domain, toxic::BIGINT AS grade FROM labels),
+d AS (SELECT doc_id, lang AS domain, n_chars::BIGINT AS grade FROM documents) SELECT h.doc_id, coalesce(nullif(trim(p.domain), ''), d.domain, '') AS domain, CASE WHEN p.doc_id IS NOT NULL THEN p.grade ELSE d.grade END AS grade FROM h LEFT JOIN p USING (doc_id) LEFT JOIN d USING (doc_id)"""
 )
 def payload_enrichment(spark, d):
-    part = table(spark, d, "part").withColumn("doc_id", F.col("p_partkey"))
-    index = part.filter("p_retailprice > 1000").select("doc_id", F.when(F.col("p_size") % 3 == 0, " ").otherwise(F.col("p_brand")).alias("domain"), F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("grade"))
-    disk = part.select("doc_id", F.col("p_type").alias("domain"), F.lit(-1).alias("grade"))
+    """The index holds the labelled documents; hits may name documents that neither side has."""
+    index = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise(" ").alias("domain"), F.col("toxic").cast("bigint").alias("grade"))
+    disk = table(spark, d, "documents").select("doc_id", F.col("lang").alias("domain"), F.col("n_chars").cast("bigint").alias("grade"))
     hits = table(spark, d, "lineitem").select(F.col("l_partkey").alias("doc_id")).distinct()
     return cg.with_payload(hits, index, disk, ["domain"])
 

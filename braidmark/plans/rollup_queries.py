@@ -146,16 +146,22 @@ def key_violations(spark, d):
 _FOLDED = """trim(regexp_replace(regexp_replace(translate(lower(translate({x}, '‘’“”–— ', '''''""-- ')), '_''"', '   '), '(^|\n)\\s*-\\s*', '\\1 ', 'g'), '\\s+', ' ', 'g'))"""
 
 
+_STITCH = ";|\\.\\.\\.|…"
+
+
 @query(
-    f"""WITH c AS (SELECT doc_id, replace(text, ';', ',') AS text FROM documents), e AS (SELECT *, substr(text, CASE WHEN doc_id % 2 = 0 THEN 11 ELSE 1 END, 60) || CASE WHEN doc_id % 3 = 0 THEN ' zzz' ELSE '' END AS q FROM c),
+    f"""WITH e AS (SELECT doc_id, text, length(text) // 3 AS n, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, n) || CASE WHEN doc_id % 2 = 0 THEN ' ... ' ELSE '; ' END || substr(text, 2 * n) ELSE text || ' zzz' END AS q FROM documents),
 f AS (SELECT doc_id, length(trim(q)) >= 24 AS long, {_FOLDED.format(x="q")} AS q, {_FOLDED.format(x="text")} AS t FROM e),
-g AS (SELECT doc_id, coalesce(long AND q != '' AND contains(t, q), false) AS grounded FROM f)
+h AS (SELECT *, list_filter(list_transform(string_split_regex(q, '{_STITCH}'), lambda x: trim(x)), lambda x: length(x) >= 12) AS parts FROM f),
+g AS (SELECT doc_id, coalesce(long AND q != '' AND t != '' AND (contains(t, q) OR (regexp_matches(q, '{_STITCH}') AND len(parts) > 0 AND len(list_filter(parts, lambda p: NOT contains(t, p))) = 0)), false) AS grounded FROM h)
 SELECT doc_id, grounded, CASE WHEN grounded THEN 'full' ELSE 'none' END AS final_status, CASE WHEN grounded THEN 'high' ELSE 'low' END AS confidence, CASE WHEN grounded THEN '' ELSE 'confidence=low; grounding rejection' END AS review_reason FROM g"""
 )
 def grounded_verdicts(spark, d):
-    start, source = F.when(F.col("doc_id") % 2 == 0, 11).otherwise(1), F.replace("text", F.lit(";"), F.lit(","))
-    q = F.concat(F.substr(source, start, F.lit(60)), F.when(F.col("doc_id") % 3 == 0, " zzz").otherwise(""))
-    drafts = table(spark, d, "documents").select("doc_id", source.alias("text"), q.alias("evidence"), F.lit("full").alias("status"), F.lit("high").alias("confidence"))
+    """Quotes of whole texts: as they are, stitched from their first and last third, or with a word that the text lacks."""
+    third, key = F.floor(F.length("text") / 3).cast("int"), F.col("doc_id")
+    stitched = F.concat(F.substr("text", F.lit(1), third), F.when(key % 2 == 0, " ... ").otherwise("; "), F.substr("text", 2 * third))
+    q = F.when(key % 3 == 0, F.col("text")).when(key % 3 == 1, stitched).otherwise(F.concat("text", F.lit(" zzz")))
+    drafts = table(spark, d, "documents").select("doc_id", "text", q.alias("evidence"), F.lit("full").alias("status"), F.lit("high").alias("confidence"))
     return vd.finalize(drafts, "text").select("doc_id", "grounded", "final_status", "confidence", "review_reason")
 
 
@@ -239,11 +245,11 @@ def stages_done(spark, d):
     return logs.stages_done(e.select("user_id").distinct(), have, "user_id", "stage", ["view", "click", "signup", "purchase"])
 
 
-@query("WITH a AS (SELECT l_orderkey, l_partkey, min(l_quantity) AS q, 0 AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL UNION ALL SELECT l_orderkey, l_partkey, max(l_tax), 1 FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL) SELECT l_orderkey, l_partkey, arg_max(q, p) AS q FROM a GROUP BY ALL")
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality ELSE d.n_chars END::DOUBLE AS q FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def latest_pool_list(spark, d):
-    li = table(spark, d, "lineitem")
-    keys = ["l_orderkey", "l_partkey"]
-    return src.latest_of([li.filter("l_linenumber <= 3").groupBy(*keys).agg(F.min("l_quantity").alias("q")), li.filter("l_linenumber >= 3").groupBy(*keys).agg(F.max("l_tax").alias("q"))], keys)
+    """Every document's length, replaced by its label where a later list has one."""
+    one = lambda name, c: table(spark, d, name).select("doc_id", F.col(c).cast("double").alias("q"))
+    return src.latest_of([one("documents", "n_chars"), one("labels", "quality")], ["doc_id"])
 
 
 @query("SELECT conv_id, turn, CASE WHEN substr(text, 1, 1) IN ('=', '+', '-', '@') THEN '''' || text ELSE text END AS text FROM conversations")

@@ -96,11 +96,11 @@ def ungrounded_codes(spark, d):
 
 
 def _second(lessons):
-    """A second division that loses blocks of some lessons and sees other minutes in some."""
-    return lessons.filter(F.col("place") < 7).withColumn("minutes", F.when(F.col("page_end") % 5 == 0, 0).otherwise(F.col("minutes")))
+    """A second division that sees other minutes in some lessons."""
+    return lessons.withColumn("minutes", F.when(F.col("page_end") % 5 == 0, 0).otherwise(F.col("minutes")))
 
 
-_D = "dg AS (SELECT doc, code FROM les a WHERE parsed_by = 'docling' AND NOT EXISTS (SELECT 1 FROM les b WHERE b.doc = a.doc AND b.code = a.code AND b.place < 7 AND b.place = a.place AND (b.page_end % 5 != 0 OR a.minutes = 0)))"
+_D = "dg AS (SELECT doc, code FROM les a WHERE parsed_by = 'docling' AND NOT EXISTS (SELECT 1 FROM les b WHERE b.doc = a.doc AND b.code = a.code AND b.place = a.place AND (b.page_end % 5 != 0 OR a.minutes = 0)))"
 
 
 @query(f"WITH {GUIDE}, one AS (SELECT doc, code FROM les GROUP BY ALL HAVING count(*) = 1), {_D} SELECT dg.* FROM dg JOIN one USING (doc, code)")

@@ -228,13 +228,13 @@ def entity_recall(spark, d):
     return out.withColumn("missed", F.array_join(F.col("missed").cast("array<string>"), ","))
 
 
-@query(f"WITH {_BM}, {_GOLD}, a AS (SELECT item_id, doc_id, rank FROM hit), b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM hit), s AS (SELECT 'before' AS stage, g.*, rank FROM gold g LEFT JOIN a USING (item_id, doc_id) UNION ALL SELECT 'after', g.*, rank FROM gold g LEFT JOIN b USING (item_id, doc_id)) SELECT stage, count(*) AS n_gold, count(rank) AS n_found, round_even(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round_even(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr, (SELECT count(*) FILTER (item_id % 10 = 0) FROM benchmark) AS missing_files, (SELECT count(*) FILTER (item_id % 10 = 3) FROM benchmark) AS missing_before, 0 AS missing_after FROM s GROUP BY 1")
+@query(f"WITH {_BM}, {_GOLD}, a AS (SELECT item_id, doc_id, rank FROM hit), b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS rank FROM hit JOIN documents USING (doc_id) WHERE lang = 'en'), s AS (SELECT 'before' AS stage, g.*, rank FROM gold g LEFT JOIN a USING (item_id, doc_id) UNION ALL SELECT 'after', g.*, rank FROM gold g LEFT JOIN b USING (item_id, doc_id)) SELECT stage, count(*) AS n_gold, count(rank) AS n_found, round_even(count(*) FILTER (rank <= 5) / count(*), 6) AS recall_5, round_even(sum(coalesce(1 / rank, 0)) / count(*), 6) AS mrr, 0 AS missing_files, 0 AS missing_before, (SELECT count(DISTINCT item_id) FROM gold WHERE item_id NOT IN (SELECT item_id FROM b)) AS missing_after FROM s GROUP BY 1")
 def recall_before_and_after(spark, d):
-    from pyspark.sql import Window as W
-
+    """Before and after a stage that keeps one language; items without a hit in it have no list after it."""
     hits = rq.bm25_top(spark, d).withColumnRenamed("query_id", "item_id")
-    after = hits.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy("doc_id")))
-    scanned = rq.items(spark, d).filter("item_id % 10 != 0").select("item_id", (F.col("item_id") % 10 != 3).alias("has_before"), F.lit(True).alias("has_after"))
+    met = hits.join(rq.docs(spark, d).select("doc_id", "lang"), "doc_id")
+    scanned = met.groupBy("item_id").agg(F.lit(True).alias("has_before"), F.coalesce(F.bool_or(F.col("lang") == "en"), F.lit(False)).alias("has_after"))
+    after = rt.top_k(met.filter("lang = 'en'").drop("rank"), ["item_id"], [F.desc("score"), "doc_id"], 20)
     return ev.recall_before_and_after(gold_pairs(hits.withColumnRenamed("item_id", "query_id")), hits, after, scanned, ["item_id", "doc_id"], [5])
 
 
@@ -256,12 +256,13 @@ def rescue_sweep(spark, d):
     return ev.rescue_sweep(rank(rt.fuse_arms(hits, "max")), sums, sums.filter("rank <= 15").select("entity_id", "doc_id"), 20, [0, 1, 3, 5])
 
 
-@query("""WITH a AS (SELECT l_partkey AS k, min(l_returnflag) AS x FROM lineitem WHERE l_quantity > 25 GROUP BY 1), b AS (SELECT l_partkey AS k, list_sort(list(DISTINCT l_returnflag)) AS y FROM lineitem WHERE l_tax < 0.01 GROUP BY 1), j AS (SELECT coalesce(a.k, b.k) AS l_partkey, x, y FROM a FULL JOIN b ON a.k = b.k)
-SELECT l_partkey, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' ELSE 'both' END AS presence, x IS NOT NULL AND y IS NOT NULL AND list_contains(y, x) AS is_match, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' WHEN list_contains(y, x) THEN 'match' ELSE 'expected ' || array_to_string(y, '/') || ', got ' || x END AS note FROM j""")
+@query("""WITH a AS (SELECT doc_id, CASE WHEN n_chars >= 400 THEN 'good' ELSE 'poor' END AS x FROM documents), b AS (SELECT doc_id, list_sort(list(DISTINCT y)) AS y FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS y FROM labels UNION ALL SELECT doc_id, CASE WHEN toxic = 1 THEN 'poor' ELSE 'good' END FROM labels) GROUP BY 1), j AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, x, y FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+SELECT doc_id, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' ELSE 'both' END AS presence, x IS NOT NULL AND y IS NOT NULL AND list_contains(y, x) AS is_match, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' WHEN list_contains(y, x) THEN 'match' ELSE 'expected ' || array_to_string(y, '/') || ', got ' || x END AS note FROM j""")
 def label_comparison(spark, d):
-    li = table(spark, d, "lineitem")
-    left = li.filter("l_quantity > 25").groupBy("l_partkey").agg(F.min("l_returnflag").alias("x"))
-    return ev.label_comparison(left, li.filter("l_tax < 0.01").select("l_partkey", F.col("l_returnflag").alias("y")), ["l_partkey"], "x", "y")
+    """A label by length for every document against those that a table holds for some."""
+    left = rq.docs(spark, d).select("doc_id", F.when(F.col("n_chars") >= 400, "good").otherwise("poor").alias("x"))
+    said = F.array(F.when(F.col("quality") == 1, "good").otherwise("poor"), F.when(F.col("toxic") == 1, "poor").otherwise("good"))
+    return ev.label_comparison(left, table(spark, d, "labels").select("doc_id", F.explode(said).alias("y")), ["doc_id"], "x", "y")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS entity_id, l_linenumber AS rank, l_partkey AS doc_id, CASE WHEN l_suppkey % 6 = 0 THEN upper(p_name) ELSE p_name END AS text, p_name FROM lineitem JOIN part ON p_partkey = l_partkey), g AS (SELECT entity_id, count(*) AS c, count(DISTINCT rank) AS r, min(rank) AS lo, max(rank) AS hi, count(DISTINCT doc_id) AS d, count(DISTINCT lower(trim(text))) AS t FROM r GROUP BY 1)
