@@ -272,26 +272,22 @@ def query_arms(items: DataFrame, most_queries: int = 24, most_chars: int = 360,
     """entity_id, query_index (from 1), source, text: concise texts of enough characters, near-duplicates of earlier ones dropped, the first by source priority.
 
     items: entity_id, at, source, priority, text. Whether a text is dropped depends on those kept
-    before it, so an entity's texts (some dozens) are one group; everything else is columns.
+    before it, so an entity's texts (some dozens) are one array, folded in the JVM in order of `at`.
     """
     short = items.withColumn("text", concise(F.col("text"), most_chars)).filter(F.length("text") >= least_chars)
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))), lambda w: (F.length(w) > 2) & ~w.isin(*BOILERPLATE))
-    keyed = short.select("entity_id", "at", "source", "priority", "text", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("key"), words.alias("words"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[str, set]] = []
-        keep = []
-        for key, words in zip(pdf.sort_values("at")["key"], pdf.sort_values("at")["words"], strict=True):
-            own = set(words)
-            same = any(key == k or (own and w and (len(own & w) >= near * len(own | w) or len(own & w) >= near * min(len(own), len(w)))) for k, w in kept)
-            keep.append(not same)
-            if not same:
-                kept.append((key, own))
-        return pdf.sort_values("at")[keep][["entity_id", "at", "source", "priority", "text"]]
-
-    kept = keyed.groupBy("entity_id").applyInPandas(run, items.select("entity_id", "at", "source", "priority", "text").schema)
-    place = F.row_number().over(W.partitionBy("entity_id").orderBy("priority", "at"))
-    return kept.withColumn("query_index", place).filter(F.col("query_index") <= most_queries).select("entity_id", "query_index", "source", "text")
+    key = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    lists = short.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("at", "priority", "source", "text", key.alias("key"), words.alias("words")))).alias("items"))
+
+    def same(a: Column, b: Column) -> Column:
+        x, y = F.size(a["words"]), F.size(b["words"])
+        shared = F.size(F.array_intersect(a["words"], b["words"]))
+        return (a["key"] == b["key"]) | ((x > 0) & (y > 0) & ((shared >= near * (x + y - shared)) | (shared >= near * F.least(x, y))))
+
+    kept = F.aggregate("items", F.slice("items", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: same(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(x["priority"].alias("priority"), x["at"].alias("at"), x["source"].alias("source"), x["text"].alias("text"))))
+    arms = lists.select("entity_id", F.posexplode(F.slice(ordered, 1, most_queries)).alias("i", "x"))
+    return arms.select("entity_id", (F.col("i") + 1).alias("query_index"), "x.source", "x.text")
 
 
 def bridges(entities: DataFrame, table: list[tuple[list[str], str, str]]) -> DataFrame:

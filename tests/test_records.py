@@ -16,6 +16,7 @@ from braidmark.operators import records as rc
 from braidmark.operators import retrieval as rt
 from braidmark.operators import structure as st
 from braidmark.operators import texts as tx
+from braidmark.operators import verdicts as vd
 from braidmark.sources import tables as src
 from braidmark.streaming import live
 
@@ -232,3 +233,29 @@ def test_old_decision_tables_are_deleted(spark, tmp_path):
         fold(spark.createDataFrame([(e % 2, e, f"x{e}")], "item int, at int, decision string"), e)
     assert sorted(p.name for p in tmp_path.iterdir() if p.is_dir()) == ["d.2", "d.3"]
     assert {(r.item, r.decision) for r in spark.read.parquet(str(tmp_path / "d.3")).collect()} == {(0, "x2"), (1, "x3")}
+
+
+def test_pieces_are_trimmed_of_spaces(spark):
+    """A digit at a piece's edge that equals its place in the list stays; spaces go."""
+    pages = spark.createDataFrame([("d", 1, "66\n a\nb\nc\nd\ne\n 6 \n")], "doc string, page int, text string")
+    assert st.printed_page(pages).first().printed == 6
+    text = "0 first sentence of the lesson. Something else is said between. The second 1 sentence ends here 1"
+    quote = "0 first sentence of the lesson.  ...  The second 1 sentence ends here 1"
+    got = spark.createDataFrame([(quote, text), ("not in there at all ... The second 1 sentence", text)], "q string, t string")
+    assert [r.g for r in got.select(vd.grounded(F.col("q"), F.col("t")).alias("g")).collect()] == [True, False]
+
+
+def test_arms_equal_a_loop(spark):
+    rng = random.Random(3)
+    words = ["sun", "moon", "read", "story", "students", "write", "draw", "river", "stone", "cloud"]
+    items = [(e, i, rng.choice("abc"), rng.randrange(3), " ".join(rng.choices(words, k=rng.randrange(2, 9)))) for e in "xy" for i in range(40)]
+    out = rc.query_arms(spark.createDataFrame(items, "entity_id string, at int, source string, priority int, text string"), 9)
+    got = {(r.entity_id, r.query_index): (r.source, r.text) for r in out.collect()}
+    for e in "xy":
+        kept = []
+        for _, i, source, priority, text in (r for r in items if r[0] == e and len(r[4]) >= 12):
+            own = {w for w in text.split() if w not in rc.BOILERPLATE}
+            same = lambda k: k[3] == text or (own and k[4] and (len(own & k[4]) >= 0.88 * len(own | k[4]) or len(own & k[4]) >= 0.88 * min(len(own), len(k[4]))))  # noqa: B023, E731
+            if not any(map(same, kept)):
+                kept.append((priority, i, source, text, own))
+        assert [got.get((e, n)) for n in range(1, 10)] == [(k[2], k[3]) for k in sorted(kept, key=lambda k: k[:2])[:9]] + [None] * max(0, 9 - len(kept))
