@@ -66,7 +66,9 @@ def guarded(column: Column) -> Column:
 
 
 def write_report(df: DataFrame, path: str, columns: list[str], texts: list[str]) -> None:
-    df.select(*[guarded(F.col(c)).alias(c) if c in texts else F.col(c) for c in columns]).write.option("header", True).mode("overwrite").csv(path)
+    """CSV with a header: quotes doubled, spaces at the ends kept, text columns guarded."""
+    out = df.select(*[guarded(F.col(c)).alias(c) if c in texts else F.col(c) for c in columns])
+    out.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).mode("overwrite").csv(path)
 
 
 def write_by_entity(df: DataFrame, path: str, entity: str) -> None:
