@@ -3,8 +3,10 @@
 The list's canonical URLs set bits in a blocked Bloom filter: the hash names one 64-bit block
 and a few bits in it. A URL whose bits are all set is a possible hit and goes on to the exact
 hash join with the list, which removes the false positives; every other URL skips that join.
-Both joins are equality joins on tables made from the list: Spark broadcasts them while their
-measured size is under its threshold and shuffles beyond it.
+The filter is packed into rows of 1024 blocks and has `MOST_BLOCKS` of them (8 MB) at most, however
+long the list, so it is sent to all tasks and pages are not shuffled to be asked. A longer list
+fills it up: more URLs go on to the exact join, the results stay the same. Only possible hits take
+part in the exact join; for that the pages are read once more.
 
 Defined results: of rules that tie in length the last by name counts; URLs of any length are judged whole; a null URL or one without `://` has an empty host and path, fits no rule, is
 in no list and is allowed; repeated rows are judged row by row; an empty list blocks nothing;
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 #: Mirrors of a site share its canonical URL.
 MIRRORS = r"^(www|m)\."
 PAGE_ENDING = r"(/index)?(\.html?)?/*$"
+#: Blocks (of 64 bits) that a filter has at most, and those in one of its rows.
+MOST_BLOCKS = 1 << 20
+ROW_BLOCKS = 1024
 
 
 @dataclass(frozen=True)
@@ -78,12 +83,16 @@ def _block(key: Column, n_blocks: int) -> Column:
 
 
 def bloom_filter(keys: DataFrame, key: str, n_blocks: int, n_bits: int = 5) -> DataFrame:
-    """block, mask: one row for each block that has a key."""
-    return keys.groupBy(_block(F.col(key), n_blocks).alias("__block")).agg(F.bit_or(_bits(F.col(key), n_bits)).alias("__mask"))
+    """__row, __masks: the masks of blocks 1024 * __row on, in order; 0 for a block without a key."""
+    own = keys.select(_block(F.col(key), n_blocks).alias("b"), _bits(F.col(key), n_bits).alias("m"))
+    every = keys.sparkSession.range(n_blocks).select(F.col("id").alias("b"), F.lit(0).cast("bigint").alias("m"))
+    masks = own.unionByName(every).groupBy("b").agg(F.bit_or("m").alias("m"))
+    rows = masks.groupBy(F.floor(F.col("b") / ROW_BLOCKS).cast("bigint").alias("__row")).agg(F.array_sort(F.collect_list(F.struct("b", "m"))).alias("l"))
+    return rows.select("__row", F.col("l.m").alias("__masks"))
 
 
 def blocks_for(n_keys: int, bits_per_key: int = 12) -> int:
-    return max(64, n_keys * bits_per_key // 64)
+    return min(MOST_BLOCKS, max(64, n_keys * bits_per_key // 64))
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", n_blocks: int | None = None) -> DataFrame:
@@ -100,14 +109,14 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     filled = bloom_filter(keys, "__listed", n_blocks)
     # a URL that a rule decides needs no look-up
     asks = F.when(F.col("__rule").isNull(), F.col("canonical"))
-    probed = parsed.withColumns({"__at": _block(asks, n_blocks), "__bits": _bits(asks, 5)})
-    # rows without a question are dealt by their own hash, to numbers that are no block's
-    elsewhere = -1 - F.pmod(F.xxhash64(F.col(url), F.col("canonical")), F.lit(n_blocks).cast("bigint"))
-    probed = probed.join(filled, F.when(asks.isNotNull(), F.col("__at")).otherwise(elsewhere) == F.col("__block"), "left")
-    possible = F.coalesce(F.col("__mask").bitwiseAND(F.col("__bits")) == F.col("__bits"), F.lit(False)) & asks.isNotNull()
-    probed = probed.withColumn("possible_hit", possible).drop("__at", "__bits", "__block", "__mask")
-    nowhere = F.concat(F.lit("\0"), F.coalesce(F.col(url), F.lit("")))  # no canonical URL begins so
-    exact = probed.join(keys, F.when(F.col("possible_hit"), F.col("canonical")).otherwise(nowhere) == F.col("__listed"), "left")
+    at = F.coalesce(_block(asks, n_blocks), F.lit(0).cast("bigint"))
+    probed = parsed.withColumns({"__at": at, "__bits": _bits(asks, 5)})
+    probed = probed.join(F.broadcast(filled), F.floor(F.col("__at") / ROW_BLOCKS).cast("bigint") == F.col("__row"), "left")  # MOST_BLOCKS of 8 bytes at most
+    mask = F.get("__masks", F.pmod("__at", F.lit(ROW_BLOCKS)).cast("int"))
+    possible = F.coalesce(mask.bitwiseAND(F.col("__bits")) == F.col("__bits"), F.lit(False)) & asks.isNotNull()
+    probed = probed.withColumn("possible_hit", possible).drop("__at", "__bits", "__row", "__masks")
+    exact = probed.filter("possible_hit").join(keys, F.col("canonical") == F.col("__listed"), "left")
+    exact = exact.unionByName(probed.filter("NOT possible_hit").withColumn("__listed", F.lit(None).cast("string")))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__listed").isNotNull(), "block").otherwise("allow"))
     return exact.withColumns({"rule": F.col("__rule.rule"), "verdict": verdict}).drop("__rule", "__listed")
 
