@@ -88,7 +88,10 @@ def _extras(spark, d):
     return hits, vd.add_families(hits, texts, [("first", "the", [1, 2, 3]), ("second", "der|les", [2, 900, 10])], rq.docs(spark, d))
 
 
-@query()
+_EXTRAS_SQL = BOOK.sql["coverage_extras"]
+
+
+@query(f"WITH {rq.bm25_sql('benchmark', 'item_id', 20)}, ex AS ({_EXTRAS_SQL}), head AS (SELECT item_id AS entity_id, doc_id, rank AS spot, false AS coverage_pass FROM hit WHERE rank <= 10), u AS (SELECT * FROM head UNION ALL SELECT entity_id, doc_id, place + 10, true FROM ex WHERE (entity_id, doc_id) NOT IN (SELECT (entity_id, doc_id) FROM head)) SELECT entity_id, doc_id, coverage_pass, row_number() OVER (PARTITION BY entity_id ORDER BY spot, doc_id) AS rank FROM u")
 def judged_candidates(spark, d):
     hits, extras = _extras(spark, d)
     return vd.judged_set(hits, extras, 10)
