@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,17 @@ def test_deep_chains_in_few_rounds(spark, monkeypatch):
         found[r.node][r.ancestor] = r.distance
     assert found["n299"] == {f"n{i}": 299 - i for i in range(299)} and found["x"] == {"y": 1, "z": 2}
     assert "own" not in found and "lost" not in found and len(rounds) <= 2 * 10 + 1
+
+
+def test_a_task_reads_one_block_at_a_time(spark):
+    docs = spark.range(60).selectExpr("id", "4D AS len", "array(id % 7, id % 5, 1L, 1L) AS terms").repartition(2)
+    index = rt.Index(docs.repartition(4), block_docs=5)
+    found = index.search(spark.createDataFrame([(i, [1, i], [1.0, 2.0]) for i in range(5)], "id long, terms array<long>, weights array<double>"), 3, BM25(4.0), group_hits=4)
+    groups, blocks = 0, 0
+    for path in (f.removeprefix("file:") for f in index.blocks.inputFiles()):
+        meta = pq.ParquetFile(path).metadata
+        groups, blocks = groups + meta.num_row_groups, blocks + meta.num_rows
+    assert groups == blocks >= 12
+    best = rt.top_k(hits_of(found), ["query_id"], [F.desc("score"), "doc_id"], 3).groupBy("query_id").count().collect()
+    assert sorted((r.query_id, r["count"]) for r in best) == [(i, 3) for i in range(5)]
+    assert found.filter("query_id IS NULL").count() % 4 == 0
