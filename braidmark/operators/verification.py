@@ -66,12 +66,12 @@ def disagreements(lessons: DataFrame, second: DataFrame, engine: str = "docling"
     """doc, code: lessons that a second division lacks or sees otherwise: span, set of codes, minutes, blocks in order, set of sections."""
     shape = lambda df: df.select("doc", "code", "page_start", "page_end", F.array_sort(F.array_distinct("declared")).alias("d"), "minutes", F.transform("blocks", lambda b: F.struct(b["section"], b["letter"])).alias("b"), F.array_sort(F.array_distinct(F.transform("blocks", lambda b: b["section"]))).alias("s"))
     own, other = shape(lessons.filter(F.col("parsed_by") == engine)), shape(second)
-    fields = ("page_start", "page_end", "d", "minutes", "b", "s")
-    met = own.join(other.select("doc", "code", *[F.col(c).alias(f"__{c}") for c in fields], F.lit(True).alias("__have")), ["doc", "code"], "left")
-    same = F.col("__have").isNotNull()
-    for c in fields:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return met.filter(~same).select("doc", "code")
+    # equal as a whole, so a repeated code is settled by any of its rows; a hash of the fields, which may be null, finds them
+    fields = F.xxhash64("page_start", "page_end", "d", "minutes", "b", "s")
+    sides = [df.withColumn("__f", F.struct("page_start", "page_end", "d", "minutes", "b", "s")).withColumn("__h", fields) for df in (own, other)]
+    one, two = sides[0].alias("one"), sides[1].alias("two")
+    same = [F.col(f"one.{c}") == F.col(f"two.{c}") for c in ("doc", "code", "__h")]
+    return one.join(two, same[0] & same[1] & same[2] & F.col("one.__f").eqNullSafe(F.col("two.__f")), "left_anti").select("doc", "code")
 
 
 def _named(name: str, severity: str, bad: Column, shown: Column | None = None) -> Column:
