@@ -28,9 +28,9 @@ def headers(pages: DataFrame) -> DataFrame:
     return found.select("doc", "page", "at", number(1).alias("grade"), number(2).alias("module"), number(3).alias("unit"), number(4).alias("lesson"))
 
 
-def expected_counts(pages: DataFrame) -> DataFrame:
-    """doc, derived: lessons by the first header of each page: distinct grade and module inside each unit and lesson, one at least."""
-    first = headers(pages).filter("at = 0")
+def expected_counts(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """doc, derived: lessons by the first header of each page: distinct grade and module inside each unit and lesson, one at least. found: the pages' headers, if at hand."""
+    first = (headers(pages) if found is None else found).filter("at = 0")
     both = F.when(F.col("grade").isNotNull() & F.col("module").isNotNull(), F.struct("grade", "module"))
     per = first.groupBy("doc", "unit", "lesson").agg(F.greatest(F.lit(1), F.count_distinct(both)).alias("n"))
     return per.groupBy("doc").agg(F.sum("n").alias("derived"))
@@ -45,9 +45,9 @@ def partition_faults(segments: DataFrame, docs: DataFrame) -> DataFrame:
     return met.select("doc", (F.coalesce("__n", F.lit(0)) + (F.coalesce("__last", F.lit(0)) != F.col("page_count")).cast("bigint")).alias("faults"))
 
 
-def unconfirmed(lessons: DataFrame, pages: DataFrame) -> DataFrame:
-    """Lessons without a header of their unit and lesson on their first page; a header's grade and module count where printed."""
-    h = headers(pages).select("doc", F.col("page").alias("page_start"), "unit", "lesson", F.col("grade").alias("__g"), F.col("module").alias("__m"))
+def unconfirmed(lessons: DataFrame, pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Lessons without a header of their unit and lesson on their first page; a header's grade and module count where printed. found: the pages' headers, if at hand."""
+    h = (headers(pages) if found is None else found).select("doc", F.col("page").alias("page_start"), "unit", "lesson", F.col("grade").alias("__g"), F.col("module").alias("__m"))
     hit = lessons.select("doc", "code", "page_start", "unit", "lesson", "grade", "module").join(h, ["doc", "page_start", "unit", "lesson"])
     hit = hit.filter(F.coalesce(F.col("__g") == F.col("grade"), F.lit(True)) & F.coalesce(F.col("__m") == F.col("module"), F.lit(True))).select("doc", "code").distinct()
     return lessons.join(hit, ["doc", "code"], "left_anti")
@@ -83,6 +83,7 @@ def _named(name: str, severity: str, bad: Column, shown: Column | None = None) -
 def battery(lessons: DataFrame, pages: DataFrame, docs: DataFrame, overviews: DataFrame, second: DataFrame | None = None, engine: str = "docling") -> DataFrame:
     """doc, name, severity, n_bad, passed for every document and check that applies to it."""
     lessons, pages = written(lessons, "lessons"), written(pages, "pages")  # read by several checks each
+    found = written(headers(pages), "headers")
     w = W.partitionBy("doc").orderBy("place")
     u = W.partitionBy("doc", "unit").orderBy("place")
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
@@ -103,8 +104,8 @@ def battery(lessons: DataFrame, pages: DataFrame, docs: DataFrame, overviews: Da
     per = flagged.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("code")).alias("v5"), F.count_if(F.col("parsed_by") == engine).alias("n_engine"), *[F.count_if(k).alias(k) for k in flags])
     count = lambda df, name: df.groupBy("doc").agg(F.count(F.lit(1)).alias(name))
     segments = overviews.select("doc", "start", "end").unionByName(lessons.select("doc", F.col("page_start").alias("start"), F.col("page_end").alias("end")))
-    met = docs.join(per, "doc", "left").join(expected_counts(pages), "doc", "left").join(partition_faults(segments, docs), "doc", "left")
-    met = met.join(count(unconfirmed(lessons, pages), "v7"), "doc", "left").join(count(ungrounded_codes(lessons, pages, engine), "v10"), "doc", "left")
+    met = docs.join(per, "doc", "left").join(expected_counts(pages, found), "doc", "left").join(partition_faults(segments, docs), "doc", "left")
+    met = met.join(count(unconfirmed(lessons, pages, found), "v7"), "doc", "left").join(count(ungrounded_codes(lessons, pages, engine), "v10"), "doc", "left")
     met = met.join(count(disagreements(lessons, second, engine), "v15"), "doc", "left") if second is not None else met.withColumn("v15", F.lit(None).cast("bigint"))
     wanted, n = F.coalesce("expected", "derived"), F.coalesce("n", F.lit(0))
     checks = [
@@ -129,7 +130,8 @@ def battery(lessons: DataFrame, pages: DataFrame, docs: DataFrame, overviews: Da
         _named("V10 codes grounded", "hard", F.col("v10"), F.col("n_engine") > 0),
         _named("V15 second division agrees", "hard", F.col("v15"), (F.col("n_engine") > 0) & F.lit(second is not None)),
     ]
-    return met.select("doc", F.inline(F.array_compact(F.array(*checks)))).withColumn("passed", F.col("n_bad") == 0)
+    # a check that doesn't apply is a row of nulls, dropped after the array is laid out
+    return met.select("doc", F.inline(F.array(*checks))).filter("name IS NOT NULL").withColumn("passed", F.col("n_bad") == 0)
 
 
 def verdicts(checked: DataFrame) -> DataFrame:
