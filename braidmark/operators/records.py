@@ -170,7 +170,8 @@ def located(evidence: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFram
     longer = F.col("__section").startswith(F.col("__hint")) & (F.length("__hint") > 0) & F.substr(F.col("__section"), F.length("__hint") + 1, F.lit(1)).isin(" ", "&", "/")
     names = F.array_compact(F.array_distinct(F.collect_list(F.when(longer, F.col("__section")))))
     found = met.groupBy("entity_id", "at", "location", "__letter", "__rest").agg(F.max(F.when(exact, F.col("__section"))).alias("__e"), names.alias("__l"))
-    found = found.withColumn("__s", F.coalesce("__e", F.when(F.size("__l") == 1, F.get("__l", F.lit(0)))))
+    found = found.select("entity_id", "at", "location", "__letter", "__rest", F.coalesce("__e", F.when(F.size("__l") == 1, F.get("__l", F.lit(0)))).alias("__s"))
+    found = written(found, "located")  # both sides are read from it
     block = F.concat_ws(" ", "__s", "__letter")
     joined = F.when(F.col("__rest") == "", block).when(F.substring("__rest", 1, 1).isin(*",;:)]}"), F.concat(block, "__rest")).otherwise(F.concat_ws(" ", block, "__rest"))
     return found.filter("__s IS NOT NULL").select("entity_id", "at", joined.alias("location")), found.filter("__s IS NULL").select("entity_id", "at", "location")

@@ -259,3 +259,14 @@ def test_arms_equal_a_loop(spark):
             if not any(map(same, kept)):
                 kept.append((priority, i, source, text, own))
         assert [got.get((e, n)) for n in range(1, 10)] == [(k[2], k[3]) for k in sorted(kept, key=lambda k: k[:2])[:9]] + [None] * max(0, 9 - len(kept))
+
+
+def test_both_sides_of_located_are_made_once(spark, monkeypatch):
+    evidence = spark.createDataFrame([("e", 1, "Opening A"), ("e", 2, "Closing A, step 2"), ("e", 3, "Work B"), ("f", 1, "Opening A")], "entity_id string, at long, location string")
+    blocks = spark.createDataFrame([("e", "Opening", "A"), ("e", "Closing and Assessment", "A"), ("e", "Work Time", "A")], "entity_id string, section string, letter string")
+    names, real = [], rc.written
+    monkeypatch.setattr(rc, "written", lambda df, name, *a: names.append(name) or real(df, name, *a))
+    good, bad = rc.located(evidence, blocks)
+    assert names == ["located"]
+    assert sorted(map(tuple, good.collect())) == [("e", 1, "Opening A"), ("e", 2, "Closing and Assessment A, step 2")]
+    assert sorted(map(tuple, bad.collect())) == [("e", 3, "Work B"), ("f", 1, "Opening A")]
