@@ -23,7 +23,9 @@ at all. Set relations then skip work twice.
    large group of near copies costs a few checks for each member.
 2. Blocks skipped by position: what is left of a list is cut into blocks by set size (powers of
    the inverse threshold, so only neighbouring blocks can link), and a pair is read only if the
-   shingles after its places in both sets still suffice.
+   shingles after its places in both sets still suffice. A list of more than `paired` classes
+   gives no pairs: its classes outside its largest star meet that star's, and one another, in
+   blocks of sets (see blocks).
 
 Candidates pass a count sketch (shared shingles per hash bucket: the sum of the lesser counts
 bounds the intersection from above), then the sets themselves are intersected. Links become components
@@ -37,7 +39,6 @@ else by the row's own; texts are told apart by 64-bit hash; extra columns are ig
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,25 +46,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidmark.llm.blocks import in_blocks
 from braidmark.llm.components import components
 from braidmark.llm.store import discard, settle
-from braidmark.llm.words import U, hash_words, mix, pieces, rolling
+from braidmark.llm.words import U, class_of, mix, pieces, shingle_sets
 
 PER_BUCKET = 1
 SPAN = 1_000_000  # shingles counted together before they are shuffled
 
 
-def shingle_sets(batch: pa.RecordBatch, text: str, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each row's text."""
-    hashes, before, *_ = hash_words(batch.column(batch.schema.get_field_index(text)), lower=True)
-    full = rolling(hashes, size)
-    for s, e in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-        if e - s >= size:
-            yield np.unique(full[s : e - size + 1])
-        else:
-            yield rolling(hashes[s:e], e - s) if e > s else np.empty(0, U)
-
-
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -87,10 +78,6 @@ def overlap_bound(x: bytes, y: bytes) -> int:
     return int(np.minimum(a, b).sum())
 
 
-def _class_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def print_bytes(total: int) -> int:
     """Bytes of a shingle's hash in lists and filters: so many that few of all shingles share one by chance. The sets themselves are compared whole."""
     return min(8, max(5, -(-(total.bit_length() + 8) // 8)))
@@ -122,7 +109,7 @@ def _sign(text: str, doc_id: str, text_hash: str, size: int):
         for batch in pieces(batches, text):
             keys, sizes = [], []
             for s in shingle_sets(batch, text, size):
-                keys.append(_class_of(s) if len(s) else None)
+                keys.append(class_of(s) if len(s) else None)
                 sizes.append(len(s))
             ids, hashes = (batch.column(batch.schema.get_field_index(c)) for c in (doc_id, text_hash))
             yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "h", "k", "n"])
@@ -217,7 +204,7 @@ def _picked(text: str, size: int, percent: int, filters, buckets: int, width: in
                 if not len(s) or alone >= prefix:
                     continue
                 order = np.argsort(own, kind="stable")[alone:prefix]
-                keys.append(_class_of(s))
+                keys.append(class_of(s))
                 sizes.append(len(s))
                 lists.append(t[begin:end][order].view(np.int64))
                 places.append(np.arange(alone, prefix, dtype=np.int32))
@@ -245,11 +232,11 @@ def _linked(text: str, size: int, percent: int):
             a, b = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("a", "b"))
             each, first, which = np.unique(a, return_index=True, return_inverse=True)
             left = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("ta")).take(pa.array(first))], names=["ta"])
-            sets = [s if len(s) and _class_of(s) == k else None for s, k in zip(shingle_sets(left, "ta", size), each.tolist(), strict=True)]
+            sets = [s if len(s) and class_of(s) == k else None for s, k in zip(shingle_sets(left, "ta", size), each.tolist(), strict=True)]
             keep = np.zeros(len(a), bool)
             for i, y in enumerate(shingle_sets(batch, "tb", size)):
                 x = sets[which[i]]
-                if x is not None and len(y) and _class_of(y) == b[i]:
+                if x is not None and len(y) and class_of(y) == b[i]:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -335,13 +322,15 @@ def _star_pairs(heads: DataFrame, stars: DataFrame | None, percent: int, turn: i
     return met.filter(f"c != rc AND {_sizes_fit(percent)} AND {_enough_left(percent)}").select(F.least("k", "r").alias("a"), F.greatest("k", "r").alias("b")).distinct()
 
 
-def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int, percent: int, few_per: int = 500, group: Callable[..., DataFrame] = components, rest: Callable[..., DataFrame] | None = None) -> DataFrame:
+def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int, percent: int, few_per: int = 500, group: Callable[..., DataFrame] = components, rest: Callable[..., DataFrame] | None = None, paired: int = 0) -> DataFrame:
     """node, component: the classes that links hold together, found from the lists they share.
 
     docs: __id, __text, __h. heads: k, n, t (the class's lists), pos (its place in each),
     first_id, first_h and, where candidates are to be bounded first, sketch. group: makes
     components of links. rest: (join, classes with their star c, lists with their largest star)
     -> the links of classes of different stars that share a list, in place of pairs of classes.
+    paired: lists of so many classes at most give pairs all the same (a list's pairs grow with its
+    square, those of all such lists with their number). Without rest all lists give pairs.
     """
     work = _Join(docs, heads, size, percent)
 
@@ -360,10 +349,14 @@ def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int,
     named = heads.join(stars.selectExpr("node AS k", "component AS c"), "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = named.select("k", "c", "n", F.inline(F.arrays_zip("t", "pos")))
     counted = known.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("t")
-    spread = settle(counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major")).filter("stars > 1").drop("stars"), "spread")
+    spread = counted.agg(F.count(F.lit(1)).alias("stars"), F.max_by("c", F.struct("m", "c")).alias("major"), F.sum("m").alias("classes"))
+    spread = settle(spread.filter("stars > 1").drop("stars"), "spread")
+    links = stars.selectExpr("node AS a", "component AS b").unionByName(star_links)
     if rest is not None:
-        more = rest(work, named, known.join(spread, "t"))
-        return group(stars.selectExpr("node AS a", "component AS b").unionByName(star_links).unionByName(more))
+        links = links.unionByName(rest(work, named, known.join(spread.filter(F.col("classes") > paired), "t")))
+        if not paired:
+            return group(links)
+        spread = spread.filter(F.col("classes") <= paired)
     lists = settle(known.join(spread, "t").select("t", "k", "c", "n", F.col("pos").alias("at"), (F.col("c") != F.col("major")).alias("minor")), "lists")
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * (1 - 1e-9)))
@@ -377,7 +370,7 @@ def linked_classes(docs: DataFrame, heads: DataFrame, n_classes: int, size: int,
     # of two members of different stars, one at least is outside the list's largest star
     more = work.links(settle(pairs_of(lists.filter("minor"), lists).distinct(), "pairs"))
 
-    return group(stars.selectExpr("node AS a", "component AS b").unionByName(star_links).unionByName(more))
+    return group(links.unionByName(more))
 
 
 def judged_by(signed: DataFrame, least: DataFrame, found: DataFrame) -> DataFrame:
@@ -402,11 +395,11 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500) -> DataFrame:
+def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, crowded: int = 10, few_per: int = 500, paired: int = 16) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, is_first: a row for each row of docs.
 
     is_first: whether the row has the doc_id and text of its component's first row, which are
-    those of one row (and its repetitions) in each component.
+    those of one row (and its repetitions) in each component. paired: see linked_classes.
     """
     docs = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), text_hash(F.col(text)).alias("__h"))
     signed = settle(docs.mapInArrow(_sign("__text", "__id", "__h", size), _SIGNED), "signed")
@@ -415,4 +408,4 @@ def judged_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     least = settle(named.groupBy("k").agg(address.alias("r")).selectExpr("k", "r.doc_id AS first_id", "r.h AS first_h"), "classes")
     total = signed.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0
     heads = settle(_prefixes(docs, total, size, percent, crowded).join(least, "k"), "heads")
-    return judged_by(signed, least, linked_classes(docs, heads, least.count(), size, percent, few_per))
+    return judged_by(signed, least, linked_classes(docs, heads, least.count(), size, percent, few_per, rest=in_blocks(percent, size), paired=paired))

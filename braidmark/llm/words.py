@@ -7,6 +7,7 @@ and two of a million different words share one with a chance of about 3e-8.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,3 +133,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             yield batch.slice(i, j - i)
             i = j
     pa.default_memory_pool().release_unused()  # workers live on between tasks
+
+
+def shingle_sets(batch: pa.RecordBatch, text: str, size: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each row's text."""
+    hashes, before, *_ = hash_words(batch.column(batch.schema.get_field_index(text)), lower=True)
+    full = rolling(hashes, size)
+    for s, e in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+        if e - s >= size:
+            yield np.unique(full[s : e - size + 1])
+        else:
+            yield rolling(hashes[s:e], e - s) if e > s else np.empty(0, U)
+
+
+def class_of(s: np.ndarray) -> int:
+    """A set's 64-bit key."""
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)

@@ -252,6 +252,31 @@ def test_ngram_join(docs, rows, crowded):
     assert len(got) == len(rows) and dict(got) == groups(rows)
 
 
+def test_large_lists_meet_in_blocks(spark, monkeypatch):
+    """Copies around the threshold: only lists of few classes are paired, with the groups of all pairs."""
+    rng = random.Random(21)
+    base, rows = [f"w{i}" for i in range(120)], []
+    spots = [(f, f"y{v}") for f in range(6, 115, 12) for v in range(2)]
+    for i in range(90):
+        words = list(base)
+        for at, word in rng.sample(spots, rng.randrange(1, 7)):
+            words[at] = word
+        rows.append((i, " ".join(words)))
+    docs, listed, settle = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), [], ngram_join.settle
+
+    def spy(df, name):
+        out = settle(df, name)
+        if name == "lists":
+            listed.append(out.groupBy("t").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join, "settle", spy)
+    for paired in (0, 8):
+        got = [(r.doc_id, (r.n_shingles, r.component_id)) for r in ngram_join.judged_rows(docs, paired=paired).collect()]
+        assert len(got) == len(rows) and dict(got) == groups(rows)
+    assert len(set(c for _, (_, c) in got)) > 1 and len(listed) == 1 and (listed[0] or 0) <= 8
+
+
 def by_row(rows):
     """doc_id, n_shingles, component_id of each row, judged by its text, and the number of components."""
     found = groups([(i, t) for i, (_, t) in enumerate(rows)])
