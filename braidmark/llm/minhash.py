@@ -18,8 +18,8 @@ member of each of its bands, which makes stars, and then only pairs outside a ba
 are met, so a large group of copies doesn't pair all its members: the classes outside a band's
 largest star (its hub) meet the hub's members in blocks of sets of like sizes. A block's
 intersections are counted exactly, as products of 0/1 matrices, and only the trees of a union-find
-over its links leave the task. All links are contracted by a union-find inside each task, then by
-alternating stars between tasks.
+over its links leave the task. All links are contracted by a union-find inside each task, then, where they are
+many, by alternating stars between tasks.
 
 Defined results: a null or wordless text has an empty set and links with nothing; repeated rows
 keep their rows and share their component; rows that repeat a doc_id with other texts, or have
@@ -115,15 +115,16 @@ def _sign(text: str, doc_id: str, text_hash_at: str, size: int, bands: int, rows
     return run
 
 
-def _contracted(most_nodes: int = 500_000):
-    """Edges to the stars of each task's trees; a task's forest is handed on when it has most_nodes nodes."""
+def _contracted(most_nodes: int = 500_000, roots: bool = False):
+    """Edges to the stars of each task's trees; a task's forest is handed on when it has most_nodes nodes. roots: also a row of each root with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
 
         def stars():
             a, b = forest.edges()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            own = [x for x, y in forest.up.items() if x == y] if roots else []
+            return pa.RecordBatch.from_arrays([pa.array(a + own, pa.int64()), pa.array(b + own, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for a, b in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b")), strict=True):
@@ -136,9 +137,19 @@ def _contracted(most_nodes: int = 500_000):
     return run
 
 
-def union_find(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """node, component of an edge table (a, b long): a forest in each task, then stars between tasks (see components)."""
-    return components(edges.select("a", "b").mapInArrow(_contracted(), "a long, b long"), most_rounds)
+def union_find(edges: DataFrame, most_rounds: int | None = None, most_edges: int = 200_000) -> DataFrame:
+    """node, component of an edge table (a, b long): forests in tasks of about most_edges edges, then stars between tasks (see components).
+
+    Forests of at most most_edges edges in all are joined by one more task, which leaves nothing for the stars to do.
+    """
+    made = _contracted(max(500_000, 2 * most_edges + 1))
+    forest = settle(edges.select("a", "b").mapInArrow(made, "a long, b long"), "forest")
+    n = forest.count()
+    if n <= most_edges:
+        out = settle(forest.coalesce(1).mapInArrow(_contracted(2 * most_edges + 1, roots=True), "a long, b long"), "components")
+        discard(forest)
+        return out.selectExpr("a AS node", "b AS component")
+    return components(forest.coalesce(-(-n // most_edges)).mapInArrow(made, "a long, b long"), most_rounds)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 2, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:

@@ -298,3 +298,18 @@ def test_mixing_deals_null_and_repeated_ids_by_row(spark):
     # 3000 null ids and 2501 equal rows are spread over their source's blocks
     assert first[first.source == "hot"].groupby("mix_block").size().max() < 1.25 * 500
     assert sorted(first.text) == sorted(r[1] for r in rows)
+
+
+def test_few_links_are_joined_without_stars(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(300) if i % 50 != 49] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
+    edges = spark.createDataFrame(pairs + [(7, 7)], "a long, b long").repartition(4)
+    by_stars = {(r.node, r.component) for r in minhash.union_find(edges, most_edges=10).collect()}
+    monkeypatch.setattr(minhash, "components", lambda *_: pytest.fail("stars"))
+    assert sorted(tuple(r) for r in minhash.union_find(edges).collect()) == sorted(by_stars)
+    plain = list(range(1200))
+    for a, b in pairs * 300:
+        if plain[a] != plain[b]:
+            plain[a] = plain[b] = min(plain[a], plain[b])
+    assert by_stars == {(x, plain[x]) for p in pairs if p[0] != p[1] for x in p}
+    assert minhash.union_find(edges.limit(0)).count() == 0
