@@ -134,6 +134,27 @@ def test_greedy_collocations(spark):
     assert {r.key: r.tokens for r in one.collect()} == {i: ["alpha_beta", "alpha"] for i in range(2)} and two.count() == 5
 
 
+def test_crosswalk_by_sent_tables_equals_joins(spark):
+    rng = random.Random(3)
+    words = ["sun", "moon", "star", "new", "york", "city", "hall", "a", "b"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(12))) + " old town hall" * (i % 3 == 0)) for i in range(40)] + [(40, None), (41, "")]
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    t = cw.words_of(F.col("text"))
+    found = [{tuple(r) for r in cw.collocations(df, "key", t, 2, 0.3, most_sent=m).collect()} for m in (0, 100)]
+    assert found[0] == found[1] and ("old", "town") in {x[:2] for x in found[0]}
+    pairs = spark.createDataFrame([("sun", "moon"), ("moon", "star"), ("star", "sun"), ("old", "town"), ("town", "hall"), ("sun", "sun")], "first string, second string")
+    merged = [cw.merged_tokens(df, "key", t, pairs, most_sent=m) for m in (0, 100)]
+    assert sorted(map(tuple, merged[0].collect()), key=str) == sorted(map(tuple, merged[1].collect()), key=str)
+    assert "hashpartitioning" not in merged[1]._jdf.queryExecution().toString()  # no word of a row is shuffled
+    none = cw.merged_tokens(df, "key", t, pairs.limit(0))
+    assert {r.key: r.tokens for r in none.collect()} == {r.key: r.t for r in df.select("key", t.alias("t")).collect()}
+    # a key in two rows is one target
+    target = merged[1].unionByName(spark.createDataFrame([(5, ["sun", "zeta"]), (6, [])], "key long, tokens array<string>"))
+    source = spark.createDataFrame([(1, ["sun", "old_town", "zeta"]), (2, ["nowhere"])], "key long, tokens array<string>")
+    walks = [[tuple(r) for r in cw.text_crosswalk(source, target, 5, most_sent=m).orderBy("rank").collect()] for m in (0, 100)]
+    assert walks[0] == walks[1] and len({x[2] for x in walks[0]}) == 5 and {x[0] for x in walks[0]} == {1}
+
+
 def test_multi_query_funnel_with_scores(spark):
     rows = [("e", q, "s", 1.0, q > 0, d, r, 1.0 / r, r, None, 0.5, None, 1) for q, docs in enumerate(((1, 2, 3), (2, 4), (5, 1))) for r, d in enumerate(docs, 1)]
     arms = spark.createDataFrame(rows, "entity_id string, query_index int, source string, weight double, covers boolean, doc_id long, rank int, score double, dense_rank int, bm25_rank int, dense_score double, bm25_score double, grade int")
