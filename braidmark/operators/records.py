@@ -216,24 +216,38 @@ def quote_candidates(quotes: DataFrame, lines: DataFrame, least_ratio: float, le
     return pairs.unionByName(by_length).unionByName(tiny).distinct()
 
 
-def verbatim(quotes: DataFrame, lines: DataFrame, least_ratio: float = 0.88, least_reverse: int = 24) -> DataFrame:
+def verbatim(quotes: DataFrame, lines: DataFrame, least_ratio: float = 0.88, least_reverse: int = 24, most_pairs: int = 1 << 16) -> DataFrame:
     """Each quote's source line: equal, the shortest that contains it, the longest (of enough characters) that it contains, else the most similar.
 
     quotes: entity_id, at, quote, block (may be null); lines: entity_id, line_no, line, block. Quote
     marks, case and spaces don't count; among lines of one class those of the quote's block come
-    first. Only pairs that an index of grams lets through are looked at (see quote_candidates), and
-    only quotes that no line settles are compared by similarity. Null: nothing near enough.
+    first. Quotes and lines of an entity of at most most_pairs pairs meet as they are, each text
+    shuffled once a pass; of larger ones only pairs that an index of grams lets through are looked at
+    (see quote_candidates), which shuffles every gram of their texts. Only quotes that no line settles
+    are compared by similarity, with lines of like lengths. Null: nothing near enough.
     """
     fold = lambda c: F.lower(F.translate(spaced(c), "\"“”‘’", "'''''"))
     own = written(quotes.select("entity_id", "at", F.col("block").alias("__block"), fold(redacted(F.col("quote"))).alias("__q")).filter("__q != ''").withColumn("q", F.monotonically_increasing_id()), "quotes")
     text = written(lines.select("entity_id", "line_no", "line", F.col("block").alias("__b"), fold(F.col("line")).alias("__x")).filter("__x != ''").withColumn("x", F.monotonically_increasing_id()), "lines")
-    pairs = written(quote_candidates(own, text, least_ratio, least_reverse), "pairs")
-    met = pairs.join(own, "q").join(text.drop("entity_id"), "x")
+    n = lambda df, name: df.groupBy("entity_id").agg(F.count(F.lit(1)).alias(name))
+    large = written(n(own, "n").join(n(text, "m"), "entity_id").filter(F.col("n") * F.col("m") > most_pairs).select("entity_id"), "large")
+    some = not large.isEmpty()
+    of_large = lambda df, how: df.join(F.broadcast(large), "entity_id", how) if some else df
+    if some:
+        pairs, known = written(quote_candidates(of_large(own, "left_semi"), of_large(text, "left_semi"), least_ratio, least_reverse), "pairs"), of_large(text, "left_semi").drop("entity_id")
+
+    def met_by(asked: DataFrame) -> DataFrame:
+        """Quotes with the lines that they may have to do with."""
+        columns = [*asked.columns, "line_no", "line", "__b", "__x"]
+        plain = of_large(asked, "left_anti").join(of_large(text, "left_anti"), "entity_id").select(columns)
+        return plain.unionByName(pairs.join(of_large(asked, "left_semi"), "q").join(known, "x").select(columns)) if some else plain
+
+    met = met_by(own)
     kind = F.when(F.col("__q") == F.col("__x"), 0).when(F.contains("__x", F.col("__q")), 1).when(F.contains("__q", F.col("__x")) & (F.length("__x") >= least_reverse), 2)
     away = F.coalesce((F.col("__block") != F.col("__b")) | (F.col("__block").isNotNull() & F.col("__b").isNull()), F.lit(False)).cast("int")
     size = F.when(kind == 2, -F.length("line")).when(kind == 1, F.length("line")).otherwise(0)
     order = F.struct(kind.alias("k"), F.when(kind > 0, away).otherwise(0).alias("w"), size.alias("s"), "line_no", "line")
-    settled = met.withColumn("__o", F.when(kind.isNotNull(), order)).groupBy("entity_id", "at").agg(F.min("__o").alias("o")).select("entity_id", "at", F.col("o.line").alias("__sure"))
+    settled = met.filter(kind.isNotNull()).withColumn("__o", order).groupBy("entity_id", "at").agg(F.min("__o").alias("o")).select("entity_id", "at", F.col("o.line").alias("__sure"))
 
     @F.pandas_udf(DoubleType())
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -243,8 +257,11 @@ def verbatim(quotes: DataFrame, lines: DataFrame, least_ratio: float = 0.88, lea
 
         return pd.Series([of(x, y) for x, y in zip(a, b, strict=True)])
 
-    open_ = own.join(settled.filter("__sure IS NOT NULL"), ["entity_id", "at"], "left_anti").select("q", "entity_id", "at", "__q")
-    rest = pairs.join(open_, "q").join(text.drop("entity_id"), "x").withColumn("__r", ratio("__q", "__x"))
+    settled = written(settled, "settled")  # read twice
+    open_ = own.join(settled, ["entity_id", "at"], "left_anti").select("q", "entity_id", "at", "__q")
+    a, b = F.length("__q"), F.length("__x")
+    like = 2 * F.least(a, b) >= (least_ratio - 1e-9) * (a + b)
+    rest = met_by(open_).filter(like).withColumn("__r", ratio("__q", "__x"))
     near = rest.groupBy("entity_id", "at").agg(F.max(F.struct("__r", (-F.col("line_no")).alias("n"), "line")).alias("b")).filter(F.col("b.__r") >= least_ratio).select("entity_id", "at", F.col("b.line").alias("__near"))
     out = quotes.join(settled, ["entity_id", "at"], "left").join(near, ["entity_id", "at"], "left")
     return out.withColumn("source_line", F.coalesce("__sure", "__near")).drop("__sure", "__near")

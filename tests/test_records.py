@@ -85,6 +85,26 @@ def test_quotes_by_index_equal_all_pairs(spark):
     assert 3 * rc.quote_candidates(asked, known, 0.88, 24).count() < asked.join(known, "entity_id").count()
 
 
+def test_quotes_of_small_and_large_entities_meet_alike(spark, monkeypatch):
+    """Small entities meet without an index, whose grams are many times their texts; large ones by it, with the same lines."""
+    made, grams = rc.quote_candidates, []
+
+    def counted(quotes, lines, *a):
+        grams.append({r.entity_id for r in lines.select("entity_id").collect()})
+        return made(quotes, lines, *a)
+
+    monkeypatch.setattr(rc, "quote_candidates", counted)
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choices(["sun", "moon", "read", "the", "story", "students"], k=n))
+    lines = [(e, i, prose(rng.choice([2, 6, 12])), None) for e, n in (("a", 40), ("b", 5), (None, 3)) for i in range(n)]
+    quotes = [(e, i, rng.choice([t, t[1:-1], t.replace("o", "", 1), f"so {t}", prose(6)]), None) for i, (e, _, t, _) in enumerate(lines)]
+    schema = "entity_id string, {} int, {} string, block string"
+    asked, known = spark.createDataFrame(quotes, schema.format("at", "quote")), spark.createDataFrame(lines, schema.format("line_no", "line"))
+    got = [sorted(map(str, rc.verbatim(asked, known, most_pairs=n).collect())) for n in (0, 100, 1 << 16)]
+    assert got[0] == got[1] == got[2]
+    assert grams == [{"a", "b"}, {"a"}]
+
+
 def test_lesson_repair(spark):
     evidence = "array<struct<quote:string,actor:string,evidence_role:string,supports_action:array<string>>>"
     row = (
