@@ -54,12 +54,18 @@ def unconfirmed(lessons: DataFrame, pages: DataFrame, found: DataFrame | None =
 
 
 def ungrounded_codes(lessons: DataFrame, pages: DataFrame, engine: str = "docling") -> DataFrame:
-    """doc, code, declared: declared codes that no page of the lesson's span prints. Spans meet pages by document and page."""
-    wanted = lessons.filter(F.col("parsed_by") == engine).select("doc", "code", "page_start", "page_end", F.explode(F.array_distinct("declared")).alias("declared"))
-    spans = wanted.filter("page_end >= page_start").select("doc", "code", "declared", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    printed = pages.select("doc", "page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(STANDARD_CODE), F.lit(1)))).alias("declared"))
-    found = spans.join(printed, ["doc", "page", "declared"], "left_semi").select("doc", "code", "declared").distinct()
-    return wanted.select("doc", "code", "declared").join(found, ["doc", "code", "declared"], "left_anti").distinct()
+    """doc, code, declared: declared codes that no page of the lesson's span prints: the next page from a span's start on that prints the code lies behind its end.
+
+    Spans and pages are dealt once, by document and code, and read in order of page.
+    """
+    wanted = lessons.filter(F.col("parsed_by") == engine).select("doc", "code", F.col("page_start").alias("at"), "page_end", F.explode(F.array_distinct("declared")).alias("declared"))
+    printed = pages.filter("doc IS NOT NULL AND page IS NOT NULL").select("doc", "page", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(STANDARD_CODE), F.lit(1)))).alias("declared"))
+    both = wanted.withColumn("asks", F.lit(True)).unionByName(printed.withColumn("at", F.col("page")), allowMissingColumns=True)
+    before = W.partitionBy("doc", "declared").orderBy(F.desc("at"), F.desc_nulls_last("page")).rowsBetween(W.unboundedPreceding, 0)
+    met = both.withColumn("next", F.min("page").over(before)).filter("asks")
+    # a code that is null equals none, so its spans stay
+    found = F.coalesce(F.col("at").isNotNull() & (F.col("next") <= F.col("page_end")) & F.col("code").isNotNull(), F.lit(False))
+    return met.groupBy("doc", "code", "declared").agg(F.max(found).alias("found")).filter("NOT found").drop("found")
 
 
 def disagreements(lessons: DataFrame, second: DataFrame, engine: str = "docling") -> DataFrame:

@@ -32,3 +32,14 @@ def test_headers_are_found_once_for_all_checks(spark, monkeypatch):
     assert len(times) == 1 and None not in {n for _, n in got}
     assert (got[1, "V1 lesson count"], got[2, "V1 lesson count"], got[1, "V7 headers match"], got[2, "V7 headers match"], got[2, "V10 codes grounded"], got[2, "V2 pages partitioned"]) == (0, 0, 0, 1, 1, 1)
     assert (1, "V16 page count") not in got and got[2, "V16 page count"] == 1 and (1, "V0 separation fallback") not in got and (1, "V15 second division agrees") not in got
+
+
+def test_ungrounded_codes_do_not_lay_out_a_spans_pages(spark):
+    span = lambda code, start, end, declared, doc=1: (*_lesson(doc, 1, code)[:7], start, end, declared, *_lesson(doc, 1, code)[10:])
+    rows = [
+        span("long", 1, 2_000_000_000, ["W.1.1", "W.1.2", "W.1.9", "W.1.1", None]), span("one", 5, 5, ["W.1.1", "W.1.2"]), span("after", 6, 9, ["W.1.1"]), span("back", 5, 4, ["W.1.1"]), span("back", 4, 5, ["W.1.1"]),
+        span("open", None, 9, ["W.1.1"]), span("open", 1, None, ["W.1.2"]), span(None, 5, 5, ["W.1.1"]), span("doc", 5, 5, ["W.1.1"], None), span("other", 5, 5, ["W.1.1"], 2),
+    ]
+    pages = spark.createDataFrame([(1, 5, "W.1.1 and W.1.1"), (1, None, "W.1.9"), (None, 5, "W.1.1"), (1, 1_999_999_999, "W.1.2"), (2, 6, "W.1.1"), (2, 7, None)], "doc long, page int, text string")
+    got = {tuple(r) for r in vf.ungrounded_codes(spark.createDataFrame(rows, _LESSONS), pages).collect()}
+    assert got == {(1, "long", "W.1.9"), (1, "long", None), (1, "one", "W.1.2"), (1, "after", "W.1.1"), (1, "open", "W.1.1"), (1, "open", "W.1.2"), (1, None, "W.1.1"), (None, "doc", "W.1.1"), (2, "other", "W.1.1")}
