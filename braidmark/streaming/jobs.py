@@ -56,11 +56,13 @@ class StageStates(StatefulProcessor):
         return [0] * (len(self.statuses) + 1)
 
     def _settled(self, stage: str) -> list[int]:
-        return list(self.counts.getValue((stage,))[0]) if self.counts.containsKey((stage,)) else self._zero()
+        return list(self.counts.getValue((stage,))[0]) if self.any_settled and self.counts.containsKey((stage,)) else self._zero()
 
     def _moved(self, counts: dict[str, list[int]], stage: str, old: int | None, new: int) -> None:
         """One item of a stage from a status (none: not seen) to another; the last place counts those without one."""
-        n = counts.setdefault(stage, self._settled(stage))
+        n = counts.get(stage)
+        if n is None:
+            n = counts[stage] = self._settled(stage)
         if old is None:
             n[-1] += 1
         elif old < len(self.statuses):
@@ -77,7 +79,7 @@ class StageStates(StatefulProcessor):
                 continue
             key = (stage, item)
             old = ranks.get(key)
-            if old is None and self.items.containsKey(key):
+            if old is None and self.any_settled and self.items.containsKey(key):
                 old = self.items.getValue(key)[0]
             if old is None or rank < old:
                 self._moved(counts, stage, old, rank)
@@ -85,12 +87,15 @@ class StageStates(StatefulProcessor):
         return stage
 
     def _turn(self, key, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        lines = {r[0]: r for r in (tuple(x) for x in self.waiting.get())} if self.waiting.exists() else {}
+        # each question to the store is a message: a job without settled lines has neither items nor counts, one that wasn't seen before has shown nothing
+        waited, self.any_settled = self.waiting.exists(), self.open.exists()
+        seen = waited or self.any_settled
+        lines = {r[0]: r for r in (tuple(x) for x in self.waiting.get())} if waited else {}
         for r in new:
             lines.setdefault(r[0], r)
         ordered = [lines[i] for i in sorted(lines)]
         ready = next((i for i, r in enumerate(ordered) if r[1] >= watermark), len(ordered))
-        stage = self.open.get()[0] if self.open.exists() else None
+        stage = self.open.get()[0] if self.any_settled else None
         if ready:
             ranks, counts = {}, {}
             stage = self._walk(stage, ordered[:ready], ranks, counts)
@@ -99,16 +104,17 @@ class StageStates(StatefulProcessor):
             for s, n in counts.items():
                 self.counts.updateValue((s,), (n,))
             self.open.update((stage, ordered[ready - 1][0]))
+            self.any_settled = True
         rest = ordered[ready:]
         if rest:
             self.waiting.put(rest)
             self.handle.registerTimer(max(r[1] for r in rest) + 1)
-        elif self.waiting.exists():
+        elif waited:
             self.waiting.clear()
         # what is true now, with the lines that wait
         now: dict[str, list[int]] = dict(counts) if ready else {}
         self._walk(stage, rest, {}, now)
-        old = {k[0]: list(v[0]) for k, v in self.shown.iterator()}
+        old = {k[0]: list(v[0]) for k, v in self.shown.iterator()} if seen else {}
         out = []
         for s in sorted({*now, *old}):
             n = now.get(s) or self._settled(s)

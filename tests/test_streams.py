@@ -133,3 +133,51 @@ def test_lines_are_numbered_over_splits(spark, tmp_path, split):
         if x.startswith("=="):
             stage[job] = x.strip("= ")
         assert got[job, i] == stage.get(job)
+
+
+class Store:
+    """States in memory that count what is asked of them; items and counts have only what was settled."""
+
+    def __init__(self):
+        self.asked, self.held = {}, {}
+
+    def __getattr__(self, name):
+        return (lambda kind, *_: State(self, kind)) if name.startswith("get") else lambda *_: None
+
+
+class State:
+    def __init__(self, store, kind):
+        self.store, self.kind, self.d = store, kind, store.held.setdefault(kind, {})
+
+    def _ask(self):
+        self.store.asked[self.kind] = self.store.asked.get(self.kind, 0) + 1
+
+    def exists(self):
+        self._ask()
+        return bool(self.d)
+
+    def containsKey(self, k):
+        self._ask()
+        return k in self.d
+
+    get = lambda self: self.d[None]
+    put = update = lambda self, v: self.d.__setitem__(None, v)
+    clear = lambda self: self.d.clear()
+    getValue = lambda self, k: self.d[k]
+    updateValue = lambda self, k, v: self.d.__setitem__(k, v)
+
+    def iterator(self):
+        self._ask()
+        return iter(list(self.d.items()))
+
+
+def test_a_new_job_asks_the_store_no_question_for_each_line():
+    store, states = Store(), jobs.StageStates(["failed", "done", "ok"])
+    states.init(store)
+    lines = [(0, 0, "s", None, 3)] + [(i, i, None, f"i{i % 50}", 1 + i % 2) for i in range(1, 101)]
+    turn = lambda new, mark: [tuple(r) for df in states._turn((1,), new, mark) for r in df.itertuples(index=False)]
+    assert turn(lines, 0) == [(1, "s", 50, 0, 25, 25)]
+    assert not {"items", "counts", "shown"} & set(store.asked) and sum(store.asked.values()) == 2
+    assert turn([], 1000) == []  # settled: nothing new to show
+    assert turn([(200, 1001, None, "i1", 0), (201, 1002, None, "new", 0)], 1000) == [(1, "s", 51, 2, 25, 24)]
+    assert turn([], 2000) == [] and store.held["items"]["s", "i1"] == (0,) and list(store.held["counts"]["s",][0]) == [2, 25, 24, 51]
